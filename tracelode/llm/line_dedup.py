@@ -169,6 +169,7 @@ def line_dedup(docs: DataFrame, least: int = 10, bits_per_key: int = 16) -> Data
     partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merged(folder), "segment int").agg(F.count("*")).collect()
     suspects = stored(keys.mapInArrow(_suspects(folder, segments), "key binary, doc_id long"), "line-suspects")
     confirmed = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("key", "first")
+    confirmed = stored(confirmed, "line-repeats")  # so that the join below is between two plain shuffles, and hot keys are split
     drop = suspects.join(confirmed, "key").where("doc_id != first").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
     rows = docs.withColumn("text", F.col("text").cast("string")).join(drop, "doc_id", "left")
     rest = [c for c in rows.columns if c not in ("text", "drop")]

@@ -232,4 +232,5 @@ def simhash_groups(docs: DataFrame, radius: int = 3, k: int = 3) -> DataFrame:
     each = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "distinct-fingerprints")
     parts = connected_components(near_links(each, radius))
     named = each.join(parts, each.id == parts.node, "left").select(F.col("fp").alias("fp1"), F.coalesce("component", "id").alias("component_id"))
+    named = stored(named, "simhash-groups")  # so that the join below is between two plain shuffles, and hot fingerprints are split
     return prints.join(named, prints.fp == named.fp1, "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
