@@ -1,0 +1,247 @@
+"""Parsing of commands, messages and observations as column expressions; one Arrow UDF where shell quoting needs it."""
+
+from __future__ import annotations
+
+import re
+import shlex
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Labels that count as missing.
+NULLISH = ["unknown", "none", "", "nan"]
+
+#: Tools by what they do. The first word of a command decides, after wrappers are taken off.
+TOOL_GROUPS = {
+    "search": ["grep", "rg", "ack", "findstr", "search", "search_file", "search_dir"],
+    "read_file": ["cat", "head", "tail", "less", "more", "open", "view", "read", "sed_read", "read_file"],
+    "list_files": ["ls", "find", "fd", "tree", "find_file", "pwd", "list_files"],
+    "edit": ["edit", "apply_patch", "write_file", "create", "touch", "mkdir", "mv", "cp", "rm", "tee"],
+    "test": ["test", "pytest", "unittest", "tox", "nox", "go_test", "npm_test"],
+    "execute": ["execute", "python", "python3", "node", "npm", "npx", "yarn", "pnpm", "make", "go", "cargo", "mvn", "gradle", "bash", "sh"],
+    "retrieve": ["retrieve", "curl", "wget", "browser", "browse", "fetch", "web_search"],
+    "final": ["submit", "final", "answer", "finish", "verify"],
+}
+GROUP_OF = {tool: group for group, tools in TOOL_GROUPS.items() for tool in tools}
+#: Phases by group.
+PHASES = {"search": "explore/read", "read_file": "explore/read", "list_files": "explore/read", "edit": "edit/write", "test": "execute/test", "execute": "execute/test", "retrieve": "retrieve/browser", "final": "verify/final"}
+#: Extensions that make a token a path, and the patterns of paths, addresses, tests and errors.
+EXTENSIONS = "py js ts tsx jsx go rs java c cc cpp h hpp sh md txt json yaml yml toml ini cfg csv log xml html css sql".split()
+
+PATH = r"(?U)(?<![\w@.-])((?:/|\.{1,2}/)?(?:[\w@+.-]+/)*[\w@+.-]+\.(?:" + "|".join(EXTENSIONS) + r")(?=$|[^\w./-]))"
+URL = r"""(https?://[^\s\])"']+)"""
+TEST = r"(?U)((?:tests?/)?[\w./-]+\.py::\S+|test_[\w.-]+)"
+ERROR = r"(?i)\b(error|exception|traceback|failed|failure|timeout|timed out)\b"
+TRACE = r'(?i)File "([^"]+)", line (\d+)'
+RAISED = r"\b([A-Z]\w*(?:Error|Exception))\b"
+
+
+def _text(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def nullish(c: Column) -> Column:
+    return F.lower(_text(c)).isin(NULLISH)
+
+
+def basename(c: Column) -> Column:
+    """Last part of a path without quotes, lower-cased."""
+    return F.lower(F.element_at(F.split(F.regexp_replace(c, "^[\"']+|[\"']+$", ""), "/"), -1))
+
+
+def clean_name(c: Column) -> Column:
+    """First word, lower-cased, without quotes and backticks; unknown if there is none."""
+    word = F.element_at(F.split(F.regexp_replace(_text(c), "^[\\s\"'`]+|[\\s\"'`]+$", ""), "\\s+"), 1)
+    return F.coalesce(F.nullif(F.lower(word), F.lit("")), F.lit("unknown"))
+
+
+def fenced_command(c: Column) -> Column:
+    """Last non-blank line of the last fenced block, without a prompt; null without a block."""
+    blocks = F.regexp_extract_all(_text(c), F.lit(r"(?is)```(?:bash|sh|shell|console)?[ \t]*\n(.*?)```"), 1)
+    lines = F.filter(F.split(F.try_element_at(blocks, F.lit(-1)), "\n"), lambda x: F.trim(x) != "")
+    return F.regexp_replace(F.trim(F.try_element_at(lines, F.lit(-1))), r"^\$ ", "")
+
+
+def _first(element: Column, keys: list[str]) -> list[Column]:
+    """Values of the first of several keys in a JSON object, empty values as null."""
+    got = [F.get_json_object(element, f"$.{k}") for k in keys]
+    return [F.when(~x.isin("", "[]", "{}", "0", "false"), x) for x in got]
+
+
+CALLS = ["tools", "tool_calls", "tool_call"]
+
+
+def _call(element: Column, keys: list[str]) -> list[Column]:
+    """For each place of a call: the first item if it is a list, the object, or the string itself."""
+    out = []
+    for place in CALLS:
+        head = F.get_json_object(element, f"$.{place}[0]")
+        one = F.coalesce(head, F.get_json_object(element, f"$.{place}"))
+        is_object = F.substring(one, 1, 1) == "{"
+        out += [F.when(is_object, x) for x in _first(one, keys)]
+        out.append(F.when(~is_object & ~one.isin("", "[]", "null") & (F.substring(one, 1, 1) != "["), one))
+    return out
+
+
+def command_string(element: Column, message: Column) -> Column:
+    """The command of a step: in its call, on the step itself, or fenced in the message."""
+    keys = ["cmd", "command", "input", "arguments", "args", "tool_input"]
+    return F.coalesce(*_call(element, keys), *_first(element, keys), fenced_command(message))
+
+
+def wrapper(element: Column) -> Column:
+    """The name of the tool that a step calls; unknown if none."""
+    keys = ["fn", "name", "tool_name", "tool"]
+    named = [c for i, c in enumerate(_call(element, keys)) if i % (len(keys) + 1) < len(keys)]
+    return clean_name(F.coalesce(*named, *_first(element, ["tool_name", "tool", "name", "fn"])))
+
+
+def artifact_flag(command: Column, tool: Column) -> Column:
+    """Not a command: empty, the look of a prompt or of JSON, too long, or several lines of an unknown tool."""
+    c = F.trim(_text(command))
+    return (c == "") | c.rlike(r"^(>>>|\.\.\.|[{}\[\]])") | (F.char_length(c) > 4000) | (c.contains("\n") & nullish(tool))
+
+
+_SHELLS = {"bash", "sh", "zsh", "dash"}
+_BEFORE = {"env", "time", "timeout", "sudo"}
+_WRITES = {"write_file", "apply_patch", "edit", "create"}
+
+
+def split_command(command: str | None) -> list[str]:
+    """Shell words; white space decides where quotes do not close."""
+    text = (command or "").strip().removeprefix("$ ")
+    try:
+        return shlex.split(text)
+    except ValueError:
+        return text.split()
+
+
+def semantic_tool(command: str | None, wrapper_name: str | None) -> str:
+    """What a command runs: its first word, seen through assignments, wrappers and shells."""
+    words = split_command(command)
+    while words and re.match(r"^\w+=", words[0]):
+        words = words[1:]
+    if words and words[0] in _BEFORE:
+        words = words[1:]
+        while words and words[0].startswith("-"):
+            words = words[1:]
+    if not words:
+        name = (wrapper_name or "unknown").lower()
+        return "unknown" if name in _SHELLS or name in NULLISH else name
+    head = words[0].strip("\"'").rsplit("/", 1)[-1].lower()
+    rest = words[1:]
+    if head in _SHELLS and "-c" in rest and rest.index("-c") + 1 < len(rest):
+        return semantic_tool(rest[rest.index("-c") + 1], wrapper_name)
+    if re.fullmatch(r"python[\d.]*", head) and rest[:1] == ["-m"] and rest[1:2] and rest[1] in ("pytest", "unittest"):
+        return rest[1]
+    if any("pytest" in w for w in words):
+        return "pytest"
+    if head in ("go", "npm") and rest[:1] == ["test"]:
+        return f"{head}_test"
+    if head == "sed":
+        return "edit" if any(w.startswith("-i") for w in rest) else "sed_read"
+    if head == "echo":
+        return "write_file" if re.search(r">>?\s+\S", command or "") else "echo"
+    return head if re.fullmatch(r"[a-zA-Z0-9_.+-]+", head) else "unknown"
+
+
+def explicit_write(command: str | None, tool: str) -> bool:
+    """A command that writes a file by its own words."""
+    words = split_command(command)
+    if tool in _WRITES:
+        return True
+    if words[:1] and words[0] in ("sed", "perl") and any(w.startswith("-i") for w in words[1:]):
+        return True
+    if "tee" in words and any(not w.startswith("-") for w in words[words.index("tee") + 1 :]):
+        return True
+    return bool(re.search(r"\b(echo|printf|cat)\b.*>>?\s+\S", command or "", re.S))
+
+
+@F.pandas_udf(T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("tool", T.StringType()), T.StructField("writes", T.BooleanType())]))
+def shell(command: pd.Series, wrapper_name: pd.Series) -> pd.DataFrame:
+    """Tokens, tool and whether it writes, of distinct commands once a batch."""
+    known: dict[tuple, tuple] = {}
+    rows = []
+    for key in zip(command, wrapper_name):
+        if key not in known:
+            tool = semantic_tool(*key)
+            known[key] = split_command(key[0]), tool, explicit_write(key[0], tool)
+        rows.append(known[key])
+    return pd.DataFrame(rows, columns=["tokens", "tool", "writes"])
+
+
+def tool_group(tool: Column) -> Column:
+    """One of eight groups; echo is unknown; other tools stand for themselves."""
+    pairs = F.create_map(*[F.lit(x) for kv in GROUP_OF.items() for x in kv])
+    return F.when(F.lower(tool) == "echo", "unknown").otherwise(F.coalesce(F.try_element_at(pairs, F.lower(tool)), tool, F.lit("unknown")))
+
+
+def phase(group: Column) -> Column:
+    pairs = F.create_map(*[F.lit(x) for kv in PHASES.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, group), F.lit("unknown"))
+
+
+def no_tool_step(wrapper_name: Column, command: Column, group: Column) -> Column:
+    return nullish(wrapper_name) & (_text(command) == "") & nullish(group)
+
+
+def tool_action(wrapper_name: Column, command: Column, group: Column) -> Column:
+    return ~no_tool_step(wrapper_name, command, group) & ~artifact_flag(command, group) & ~nullish(group)
+
+
+def _all(c: Column, pattern: str, strip: str, limit: int) -> Column:
+    found = F.transform(F.regexp_extract_all(_text(c), F.lit(pattern), 1), lambda x: F.regexp_replace(x, strip, ""))
+    return F.slice(F.array_distinct(F.filter(found, lambda x: x != "")), 1, limit)
+
+
+def paths(c: Column, limit: int = 64) -> Column:
+    return _all(c, PATH, r"""^[.,;:()\[\]{}'"]+(?=[^./])|[.,;:()\[\]{}'"]+$""", limit)
+
+
+def urls(c: Column, limit: int = 32) -> Column:
+    return _all(c, URL, r"[.,;)]+$", limit)
+
+
+def test_ids(c: Column, limit: int = 16) -> Column:
+    return _all(c, TEST, r"^[.,;]+|[.,;]+$", limit)
+
+
+def error_signature(c: Column) -> Column:
+    """The first sign of an error: a traceback's place, an exception's name, a test id, a timeout, any error word."""
+    t = _text(c)
+    place = F.regexp_extract(t, TRACE, 1)
+    name, test = F.regexp_extract(t, RAISED, 1), F.try_element_at(test_ids(t, 1), F.lit(1))
+    return F.coalesce(
+        F.when(place != "", F.concat(F.lit("traceback:"), basename(place), F.lit(":"), F.regexp_extract(t, TRACE, 2))),
+        F.when(name != "", F.concat(F.lit("exception:"), name)),
+        F.when(test.isNotNull(), F.concat(F.lit("failed_test:"), test)),
+        F.when(t.rlike(r"(?i)\b(timeout|timed out)\b"), "timeout"),
+        F.when(t.rlike(ERROR), "generic_error"),
+    )
+
+
+def error_flag(c: Column) -> Column:
+    return _text(c).rlike(ERROR) | error_signature(c).isNotNull()
+
+
+def object_prefix(path: Column) -> Column:
+    """The first two parts of a path."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", ".", ".."))
+    return F.coalesce(F.nullif(F.array_join(F.slice(parts, 1, 2), "/"), F.lit("")), F.lit("unknown"))
+
+
+def object_dir(path: Column) -> Column:
+    """Parent folder, `.` if there is none."""
+    norm = F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"(?<=/)\./|^\./(?=.)", "")
+    up = F.regexp_extract(norm, "^(.*)/[^/]*$", 1)
+    return F.when(up != "", up).when(norm.startswith("/"), "/").otherwise(".")
+
+
+def object_extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^.+(\.[^.]+)$", 1))
+
+
+def access_type(group: Column, writes: Column, from_observation: Column) -> Column:
+    return F.when(from_observation, "mention").when(writes | (group == "edit"), "write").when(group.isin("execute", "test"), "execute").when(group == "retrieve", "retrieve").otherwise("read")
