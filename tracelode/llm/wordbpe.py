@@ -17,7 +17,7 @@ _loaded: dict[str, "Words"] = {}
 class Words(dict):
     """Ids (little-endian unsigned 32-bit) of pre-tokens, as the tokenizers library gives them; bounded by forgetting all."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         from tokenizers import Tokenizer
