@@ -62,14 +62,14 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"kind": pa.array(np.full(len(keys[a : a + 50_000]), kind), pa.int32()), "key": pa.array(keys[a : a + 50_000], pa.int64()), "n": pa.array(n[a : a + 50_000], pa.int64())})
         held[kind] = []
 
-    for part in batches(parts, most=4 << 20):
+    for part in batches(parts, most=1 << 20):
         text = part.column("text")
         words, _ = word_keys(text)
         for kind, keys in ((0, grams(text)[0]), (1, words.view(np.int64))):
             held[kind].append(np.unique(keys, return_counts=True))
             if len(held[kind]) > 8:
                 merge(kind)
-                if len(held[kind][0][0]) > 3_000_000:
+                if len(held[kind][0][0]) > 1_500_000:
                     yield from rows(kind)
         held[1].append((np.array([END_WORD]), np.array([len(text)])))
     yield from rows(0)
@@ -114,7 +114,9 @@ def _write_shards(folder: str, zero: np.ndarray):
             key, n = key[order], n[order]
             last = key >> 8 & 255
             for b in np.unique(last):
-                put(folder, f"{b:03d}.npz", pack(**trie_shard(key[last == b], n[last == b], zero)))
+                nodes = trie_shard(key[last == b], n[last == b], zero)
+                # counts and sums that fit take half the room
+                put(folder, f"{b:03d}.npz", pack(**{k: x.astype(np.int32) if k[0] not in "kc" and x.max() < 1 << 31 else x for k, x in nodes.items()}))
             yield pa.record_batch({"n": pa.array([len(key)], pa.int64())})
 
     return write
@@ -128,6 +130,7 @@ def log_probs(key: np.ndarray, trie: dict[str, np.ndarray] | None, zero: np.ndar
 
     def step(found: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> None:
         nonlocal live
+        n, total = n.astype(float), total.astype(float)
         with np.errstate(divide="ignore"):
             out[live[found]] += np.log10((2 * n[found] - 1) / (2 * total[found]))
             some = ~found & (total > 0)
@@ -158,7 +161,7 @@ def log_probs(key: np.ndarray, trie: dict[str, np.ndarray] | None, zero: np.ndar
 def _scorer(trie: str, words: str, bits: int, zero: np.ndarray, total: int, kinds: int):
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = None
-        for part in batches(parts, most=4 << 20):
+        for part in batches(parts, most=1 << 20):
             nodes = nodes or trie_reader(trie)
             text = part.column("text")
             key, sizes = grams(text)
