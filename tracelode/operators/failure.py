@@ -37,7 +37,7 @@ def per_trace(steps: DataFrame, objects: DataFrame, traces: DataFrame) -> DataFr
     df = df.withColumn("no_progress_loop_score", (c("repeated_tool_ratio") + c("repeated_object_ratio") + c("error_rate")) / 3)
     loops = F.least(c("repeated_error_signature_count") / F.greatest(c("n_err"), F.lit(1)), F.lit(1.0)) + F.least(c("max_same_tool_run_length") / F.greatest(c("n"), F.lit(1)), F.lit(1.0))
     score = (c("repeated_tool_ratio") + c("repeated_phase_ratio") + c("repeated_object_ratio") + c("repeated_prefix_ratio") + c("error_rate") + loops) / 7
-    return df.withColumn("failure_loop_score", score).select("trace_id", "success", *[F.round(c(m).cast("double"), 6).alias(m) for m in METRICS])
+    return df.withColumn("failure_loop_score", score).select("trace_id", "success", *[F.round(c(m).cast("double"), 9).alias(m) for m in METRICS])
 
 
 def long(metrics: DataFrame) -> DataFrame:

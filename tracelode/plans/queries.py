@@ -280,7 +280,7 @@ base AS (SELECT trace_id, count(*) AS n, 1 - count(DISTINCT tool) / count(*) AS
 runs AS (SELECT trace_id, max(c) AS mr FROM (SELECT trace_id, tool, i, count(*) AS c FROM (SELECT trace_id, tool, row_number() OVER (PARTITION BY trace_id ORDER BY step_id) - row_number() OVER (PARTITION BY trace_id, tool ORDER BY step_id) AS i FROM acts) GROUP BY ALL) GROUP BY trace_id),
 ob AS (SELECT trace_id, 1 - count(DISTINCT object_id) / count(*) AS ro, 1 - count(DISTINCT object_prefix) / count(object_prefix) AS rx, count(*) FILTER (object_type = 'error') - count(DISTINCT object_id) FILTER (object_type = 'error') AS re, count(*) FILTER (object_type = 'test_case') - count(DISTINCT object_id) FILTER (object_type = 'test_case') AS rtc, count(*) FILTER (object_type = 'error') AS ne FROM objects GROUP BY trace_id),
 f0 AS (SELECT trace_id, success, coalesce(ht, 0) AS ht, coalesce(hp, 0) AS hp, coalesce(rt, 0) AS rt, coalesce(rp, 0) AS rp, coalesce(ro, 0) AS ro, coalesce(rx, 0) AS rx, coalesce(mr, 0) AS mr, coalesce(er, 0) AS er, coalesce(re, 0) AS re, coalesce(rtc, 0) AS rtc, coalesce(ne, 0) AS ne, coalesce(n, 0) AS n FROM traces LEFT JOIN base USING (trace_id) LEFT JOIN runs USING (trace_id) LEFT JOIN ob USING (trace_id) LEFT JOIN hx USING (trace_id) LEFT JOIN hp USING (trace_id)),
-f1 AS (SELECT trace_id, success, round(ht, 6) AS semantic_tool_entropy, round(hp, 6) AS phase_entropy, round(rt, 6) AS repeated_tool_ratio, round(rp, 6) AS repeated_phase_ratio, round(ro, 6) AS repeated_object_ratio, round(rx, 6) AS repeated_prefix_ratio, CAST(mr AS DOUBLE) AS max_same_tool_run_length, round(er, 6) AS error_rate, CAST(re AS DOUBLE) AS repeated_error_signature_count, CAST(rtc AS DOUBLE) AS repeated_test_case_count, round((rt + ro + er) / 3, 6) AS no_progress_loop_score, round((rt + rp + ro + rx + er + least(re / greatest(ne, 1), 1) + least(mr / greatest(n, 1), 1)) / 7, 6) AS failure_loop_score FROM f0)"""
+f1 AS (SELECT trace_id, success, round(ht, 9) AS semantic_tool_entropy, round(hp, 9) AS phase_entropy, round(rt, 9) AS repeated_tool_ratio, round(rp, 9) AS repeated_phase_ratio, round(ro, 9) AS repeated_object_ratio, round(rx, 9) AS repeated_prefix_ratio, CAST(mr AS DOUBLE) AS max_same_tool_run_length, round(er, 9) AS error_rate, CAST(re AS DOUBLE) AS repeated_error_signature_count, CAST(rtc AS DOUBLE) AS repeated_test_case_count, round((rt + ro + er) / 3, 9) AS no_progress_loop_score, round((rt + rp + ro + rx + er + least(re / greatest(ne, 1), 1) + least(mr / greatest(n, 1), 1)) / 7, 9) AS failure_loop_score FROM f0)"""
 _LONG = f"lg AS (SELECT trace_id, NOT success AS failed, metric, value FROM f1 UNPIVOT (value FOR metric IN ({', '.join(failure.METRICS)}))), rk AS (SELECT *, (rank() OVER (PARTITION BY metric ORDER BY value) + rank() OVER (PARTITION BY metric ORDER BY value) + count(*) OVER (PARTITION BY metric, value) - 1) / 2 AS r, count(*) OVER (PARTITION BY metric, value) AS ties FROM lg)"
 _F = f"{_O}, {_FAIL}"
 
