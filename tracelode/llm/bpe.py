@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import resident
 from .textops import batches
 from .wordbpe import WORD, SIMPLE
 
@@ -173,14 +174,9 @@ class Bpe:
         return " ".join(map(self.plain.__getitem__, ids))
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def bpe(path: str) -> Bpe:
     """One for each Python worker and file."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    return resident("bpe", path, Bpe)
 
 
 def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import resident
 from .textops import LEAD, LOWER, SPACE, batches, flat, mix, owners, rolling, span_hash, spans
 
 #: The symbols that are counted.
@@ -54,14 +55,9 @@ class Pieces:
         return np.concatenate([*rows, np.zeros(0, np.int32)]), np.array([len(x) for x in rows], np.int64)
 
 
-_loaded: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
     """One for each Python worker and file."""
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    return resident("pieces", path, Pieces)
 
 
 def _add(x: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import uuid
@@ -120,3 +121,17 @@ def write_table(df: DataFrame, folder: str, bits: int) -> None:
 
     rows = df.select("key", "value", F.shiftrightunsigned("key", 64 - bits).cast("int").alias("top"))
     rows.repartitionById(1 << bits, "top").select("key", "value").mapInArrow(write, "n long").agg({"n": "sum"}).collect()
+
+
+_resident: dict[tuple[str, str], object] = {}
+
+
+def resident(kind: str, path: str, make):
+    """A Python worker's one large table: workers serve many stages, so another table's cache goes when a new one comes."""
+    if (kind, path) not in _resident:
+        _resident.clear()
+        _open.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _resident[kind, path] = make(path)
+    return _resident[kind, path]

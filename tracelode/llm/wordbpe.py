@@ -5,19 +5,19 @@ from __future__ import annotations
 import os
 import re
 
+from .shared import resident
+
 #: Texts of these characters only are split by Python's re; all others go through the library whole.
 SIMPLE = re.compile("[\x00-\x1b\x20-\x7fÀ-įı-ɏ‐-‧€]*")
 #: The patterns of the two tokenizer files, written for these characters.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 BYTE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 
-_loaded: dict[str, "Words"] = {}
-
 
 class Words(dict):
     """Ids (little-endian unsigned 32-bit) of pre-tokens, as the tokenizers library gives them; bounded by forgetting all."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         from tokenizers import Tokenizer
@@ -53,6 +53,4 @@ class Words(dict):
 
 def words(path: str) -> Words:
     """One for each Python worker and file."""
-    if path not in _loaded:
-        _loaded[path] = Words(path)
-    return _loaded[path]
+    return resident("words", path, Words)
