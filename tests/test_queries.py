@@ -33,7 +33,8 @@ def test_stream(spark, sf_dir, tmp_path):
     from tracelode.streaming import steps as stream
 
     src = spark.read.parquet(f"{sf_dir}/events.parquet")
-    files = spark.readStream.schema(src.schema).parquet(f"{sf_dir}/events.parquet")
+    src.write.parquet(str(tmp_path / "in"))  # a stream reads a folder
+    files = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
     for name, f in (("label_counts", stream.label_counts), ("sessions", stream.sessions)):
         q = f(files).writeStream.format("memory").queryName(name).outputMode("complete" if name == "label_counts" else "append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
         q.awaitTermination(120)
