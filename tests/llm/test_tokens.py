@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from tracelode.llm import bpe, packing, token_binary
 from tracelode.llm.shared import get
+from tracelode.llm.wordbpe import SIMPLE, Words
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -119,3 +120,11 @@ def test_differencing():
         sums = [sum(sizes[i] for i in w) for w in dealt]
         assert max(sums) - min(sums) < 0.1 * sum(sums) / k
     assert sorted(map(len, packing.differencing([5, 3], 4))) == [0, 0, 1, 1]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_each_simple_character_is_split_as_the_library_does(path):
+    table = Words(path)
+    chars = [chr(c) for c in range(0x2100) if SIMPLE.fullmatch(chr(c))]
+    texts = [f"a{c}b {c} 1{c}\n\n {c}{c}'s" for c in chars]
+    assert table.encode(texts) == [table.ids(x) for x in texts]
