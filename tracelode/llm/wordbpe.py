@@ -10,8 +10,8 @@ from .shared import resident
 
 #: Texts of these characters only are split by Python's re; all others go through the library whole.
 SIMPLE = re.compile("[\x00-\x1b\x20-\x7fÀ-įı-ɏ‐-‧€]*")
-#: The letters among them, and two that lower-casing gives.
-LETTER = "A-Za-zÀ-ÖØ-öø-ɏⱥⱦ"
+#: The letters among them, and those that lower-casing gives (up to ʯ, ⱥ and ⱦ).
+LETTER = "A-Za-zÀ-ÖØ-öø-ʯⱥⱦ"
 #: The patterns of the two tokenizer files, written for these characters.
 WORD = re.compile(rf"[{LETTER}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s0-9{LETTER}]+")
 BYTE = re.compile(rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
