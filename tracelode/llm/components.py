@@ -54,7 +54,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Nodes without an edge to another node, and smallest nodes themselves, have no row. No edges: no rows.
     Only forests of local edges are shuffled; minima are combined before each shuffle.
     """
-    e = stored(edges.where("u != v").mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    links = stored(edges.where("u != v").select("u", "v"), "links")  # written, so that no task needs two Python workers at once
+    e = stored(links.mapInArrow(_contract, "u long, v long").distinct(), "edges")
     before = None
     while True:
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()

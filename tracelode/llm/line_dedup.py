@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pack, put, run_dir, shards, stored
+from .shared import pack, put, release, run_dir, shards, stored
 from .textops import batches, flat
 
 _WHITE = b" \t\n\v\f\r"
@@ -29,6 +29,7 @@ def line_key(line: bytes, least: int) -> bytes | None:
 
 def _lines(least: int):
     def lines(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in batches(parts, most=8 << 20):
             data, at = flat(part.column("text"))
             raw, keys, counts = data.tobytes(), [], []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.known: dict[int, np.ndarray] = {}
+        self.known: dict[int, bytes] = {}
         self.most = most
 
     def of(self, keys: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +51,9 @@ class Pieces:
             self.known.clear()
             new = range(len(listed))
         for i, ids in zip(new, self.model.encode([words(i) for i in new], num_threads=1)):
-            self.known[listed[i]] = np.array(ids, np.int32)
+            self.known[listed[i]] = array("i", ids).tobytes()
         rows = [self.known[k] for k in listed]
-        return np.concatenate([*rows, np.zeros(0, np.int32)]), np.array([len(x) for x in rows], np.int64)
+        return np.frombuffer(b"".join(rows), np.int32), np.array([len(x) // 4 for x in rows], np.int64)
 
 
 def pieces(path: str) -> Pieces:
@@ -135,7 +136,7 @@ def script_of(text: pa.Array) -> np.ndarray:
 def _rules(path: str, bands: dict[str, tuple[float, float, float, float, float]]):
     def rules(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, limits = pieces(path), np.array([bands[k] for k in SCRIPTS])
-        for part in batches(parts):
+        for part in batches(parts, most=1 << 20):
             text = part.column("text")
             base, cost, script = base_counts(text), fertility(text, table), script_of(text)
             low, high, most, least, longest = limits[script].T

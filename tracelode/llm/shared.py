@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import io
 import tempfile
@@ -129,9 +130,17 @@ _resident: dict[tuple[str, str], object] = {}
 def resident(kind: str, path: str, make):
     """A Python worker's one large table: workers serve many stages, so another table's cache goes when a new one comes."""
     if (kind, path) not in _resident:
+        release()
+        _resident[kind, path] = make(path)
+    return _resident[kind, path]
+
+
+def release() -> None:
+    """For stages that need no table of a vocabulary: let go of what the worker kept from a stage before, and give its memory back."""
+    if _resident or _open:
         _resident.clear()
         _open.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
-        _resident[kind, path] = make(path)
-    return _resident[kind, path]
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, roots
-from .shared import stored
+from .shared import release, stored
 from .textops import batches, flat
 
 HOT = 4096  # rows of a bucket that are compared in one place; beyond, the bucket is cut by further bits
@@ -38,6 +38,7 @@ def fingerprint(raw: bytes, k: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(k: int):
     def fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in batches(parts):
             data, at = flat(part.column("text"))
             raw = data.tobytes().lower()
