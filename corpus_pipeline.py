@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tracelode.llm.line_dedup import line_dedup
 from tracelode.llm.packing import pack_documents
+from tracelode.llm.passages import passage_dedup
 from tracelode.llm.quality import quality_rules
 from tracelode.llm.shared import stored
 from tracelode.llm.simhash import simhash_groups
-from tracelode.llm.substring_dedup import substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -39,7 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand in an earlier document go; documents stay."""
-    return _documents(substring_dedup(docs))
+    return _documents(passage_dedup(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,229 @@
+"""Passages that documents share, whole: exact runs up to their first and last word, and near ones across isolated changes."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import connected_components
+from .shared import hold, lookup, release, run_dir, stored, write_table
+from .substring_dedup import BANDS, WORDS, Paragraphs, _collisions, _least_most, _verified, cut, repeated_paragraphs
+from .textops import LOWER, SPACE, batches, flat, owners, rolling, span_hash, spans
+
+SEED, PLACES = 11, 13  # the smallest hash of 11 words among 13 places is a seed: each run of 23 words holds one
+#: Lengths of passages that are compared as near ones, and how many words before a seed they begin.
+NEAR: dict[int, tuple[int, ...]] = {}
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BITS = 6
+_ABSENT = -(1 << 63)
+
+
+class Words:
+    """The words of a batch's texts: hashes, places in bytes, and seeds."""
+
+    def __init__(self, text: pa.Array):
+        data, self.at = flat(text)
+        self.starts, self.ends, self.first = spans(SPACE[data], self.at)
+        self.hash = span_hash(LOWER[data], self.starts, self.ends)
+        n = len(self.hash)
+        self.whose = owners(self.first, n)
+        self.left = self.first[1:][self.whose] - np.arange(n)  # words from here to the text's end
+        self.seeds, self.seed = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if n >= SEED + PLACES - 1:
+            runs = np.append(rolling(self.hash, SEED), np.full(SEED - 1, _NONE))
+            place = np.where(self.left >= SEED, (runs >> np.uint64(28)) << np.uint64(28) | np.arange(n, dtype=np.uint64), _NONE)
+            low = np.append(place, np.full(PLACES, _NONE))
+            low = np.minimum.reduce([low[i : i + n] for i in range(PLACES)])[self.left >= SEED + PLACES - 1]
+            self.seeds = np.unique(low & np.uint64((1 << 28) - 1)).astype(np.int64)
+            self.seed = runs[self.seeds]
+
+    def repeated(self, folder: str) -> np.ndarray:
+        """Places of seeds that the table holds."""
+        return self.seeds[lookup(self.seed, folder, _ABSENT, _BITS) != _ABSENT]
+
+    def windows(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, content) of all runs of WORDS words that hold one of these seeds."""
+        begin = (seeds[:, None] - np.arange(WORDS - SEED + 1)).ravel()
+        begin, back = begin[begin >= 0], np.repeat(seeds, WORDS - SEED + 1)[begin >= 0]
+        begin = np.unique(begin[(self.left[begin] >= WORDS) & (self.whose[begin] == self.whose[back])])
+        return begin, self._content(begin, WORDS)
+
+    def near(self, seeds: np.ndarray, words: int) -> np.ndarray:
+        """Where passages of so many words about these seeds begin."""
+        begin = (seeds[:, None] - np.array(NEAR[words])).ravel()
+        begin, back = begin[begin >= 0], np.repeat(seeds, len(NEAR[words]))[begin >= 0]
+        return np.unique(begin[(self.left[begin] >= words) & (self.whose[begin] == self.whose[back])])
+
+    def _content(self, begin: np.ndarray, words: int) -> np.ndarray:
+        out = Paragraphs.__new__(Paragraphs)
+        out.hash, out.begin, out.words = self.hash, begin, words
+        return out.contents()
+
+    def paragraphs(self, begin: np.ndarray, words: int) -> Paragraphs:
+        out = Paragraphs.__new__(Paragraphs)
+        out.hash, out.begin, out.words, out.first = self.hash, begin, words, self.first
+        out.doc = self.whose[begin]
+        out.lo, out.hi = self.starts[begin] - self.at[out.doc], self.ends[begin + words - 1] - self.at[out.doc]
+        out.content = out.contents()
+        return out
+
+
+def _grouped(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """(key, least, most) of rows (key, doc), once a key."""
+    both = np.concatenate(rows)
+    rows.clear()
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], both[1:, 0] != both[:-1, 0]])[: len(both)])
+    least, most = (f.reduceat(both[:, 1], first) if len(first) else first for f in (np.minimum, np.maximum))
+    return pa.record_batch({"key": pa.array(both[first, 0]), "least": pa.array(least, pa.int64()), "most": pa.array(most, pa.int64())})
+
+
+def _seen(folder: str | None):
+    """Seeds (no folder), or all runs of WORDS words that hold a repeated seed, with their smallest and largest documents."""
+
+    def seen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held: list[np.ndarray] = []
+        for part in batches(parts, most=1 << 20):
+            words = Words(part.column("text"))
+            at, keys = (words.seeds, words.seed) if folder is None else words.windows(words.repeated(folder))
+            held.append(np.stack([keys.view(np.int64), part.column("doc_id").to_numpy()[words.whose[at]]], 1))
+            if sum(map(len, held)) > 500_000:
+                yield _grouped(held)
+        if held:
+            yield _grouped(held)
+
+    return seen
+
+
+def _table(rows: DataFrame, name: str) -> str:
+    """A table of keys that stand in several documents, with the smallest of these as value."""
+    folder = run_dir(rows.sparkSession, name)
+    several = rows.groupBy("key").agg(F.min("least").alias("value"), F.max("most").alias("last")).where("value != last")
+    write_table(several.select("key", "value"), folder, _BITS)
+    return folder
+
+
+def _runs(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of consecutive places."""
+    apart = np.flatnonzero(np.diff(begin) != 1) + 1
+    return np.concatenate([[0], apart]), np.concatenate([apart, [len(begin)]]) - 1
+
+
+def _wanted(seeds: str, exact: str):
+    """(exact, key, content, least, most): under exact = 1 the contents that cover all runs which an earlier document holds, end to end; else the band keys of near passages that hold other words too."""
+
+    def wanted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        hold(seeds, exact)
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            rows = _least_most(np.concatenate(held))
+            held.clear()
+            return pa.record_batch({"exact": pa.array(rows[:, 0].astype(np.int32))} | {name: pa.array(rows[:, i]) for i, name in enumerate(("key", "content", "least", "most"), 1)})
+
+        for part in batches(parts, most=1 << 20):
+            words, ids = Words(part.column("text")), part.column("doc_id").to_numpy()
+            some = words.repeated(seeds)
+            if not len(some):
+                continue
+            begin, content = words.windows(some)
+            keep = lookup(content, exact, _ABSENT, _BITS)
+            gone = (keep != _ABSENT) & (keep != ids[words.whose[begin]])
+            begin, content, keep = begin[gone], content[gone], keep[gone]
+            step = np.zeros(len(words.hash) + 1, np.int64)
+            np.add.at(step, begin, 1)
+            np.add.at(step, begin + WORDS, -1)
+            stays = np.append(0, np.cumsum(np.cumsum(step)[:-1] == 0))
+            if len(begin):
+                # a run of windows within a text ends at the text's last whole window, so it never goes on in the next text
+                first, last = _runs(begin)
+                offset = np.arange(len(begin)) - np.repeat(first, last - first + 1)
+                pick = offset % WORDS == 0
+                pick[last] = True
+                held.append(np.stack([np.ones(pick.sum(), np.int64), content[pick].view(np.int64), content[pick].view(np.int64), keep[pick], keep[pick]], 1))
+            for n in NEAR:
+                at = words.near(some, n)
+                found = words.paragraphs(at[stays[at + n] > stays[at]], n)
+                if len(found.begin):
+                    doc = np.repeat(ids[found.doc], BANDS)
+                    held.append(np.stack([np.zeros(len(doc), np.int64), found.bands().ravel().view(np.int64), np.repeat(found.content.view(np.int64), BANDS), doc, doc], 1))
+            if sum(map(len, held)) > 300_000:
+                yield out()
+        if held:
+            yield out()
+
+    return wanted
+
+
+def _found(seeds: str, wanted: str, near: str):
+    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Exact passages with their smallest document, near ones with shingles (once a batch and content)."""
+        release()
+        hold(seeds, wanted, near)
+        for part in batches(parts, most=1 << 20):
+            words = Words(part.column("text"))
+            some = words.repeated(seeds)
+            for n in (WORDS, *NEAR):
+                rows = words.paragraphs(words.windows(some)[0] if n == WORDS else words.near(some, n), n)
+                value = lookup(rows.content, wanted if n == WORDS else near, _ABSENT, _BITS)
+                hit = np.flatnonzero(value != _ABSENT)
+                sets: dict[int, bytes] = {}
+                if n != WORDS and len(hit):
+                    once = hit[np.unique(rows.content[hit], return_index=True)[1]]
+                    table = np.sort((rows.shingles(once) >> np.uint64(32)).astype("<u4"), 1)
+                    table = np.pad(table, ((0, 0), (0, max(NEAR) - n)), mode="edge")  # what repeats does not count
+                    sets = dict(zip(once.tolist(), (x.tobytes() for x in table)))
+                doc = rows.doc[hit]
+                yield pa.record_batch({
+                    "doc_id": part.column("doc_id").take(pa.array(doc)), "word": pa.array(rows.begin[hit] - words.first[doc], pa.int64()), "n": pa.array(np.full(len(hit), n), pa.int64()), "lo": pa.array(rows.lo[hit], pa.int64()), "hi": pa.array(rows.hi[hit], pa.int64()),
+                    "content": pa.array(rows.content[hit].view(np.int64)), "keep": pa.array(value[hit] if n == WORDS else [None] * len(hit), pa.int64()), "shingles": pa.array([sets.get(x) for x in hit.tolist()], pa.binary()),
+                })
+
+    return found
+
+
+def repeated_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """Passages that stand in two documents or more: the columns of repeated_paragraphs(), whose rows are among these.
+
+    Exact: every run of WORDS words or more that a document shares with an earlier one (smaller doc_id) is covered by removed rows from its first word to
+    its last. Seeds (the smallest hash of SEED words of PLACES places) that stand in several documents are looked up;
+    each run of 23 words holds one, so all runs of WORDS words about them are all that can repeat.
+
+    Near: passages of 49 and 97 words about repeated seeds that are not whole in earlier documents meet by MinHash bands
+    (98 % of pairs at similarity 0.8) and are joined if the Jaccard similarity of their 5-word shingles is `least` or
+    more. One changed word in 49 leaves 0.8; with the exact runs on both sides this covers passages across isolated changes.
+
+    A run has a row for each WORDS words and one at its end; rows overlap. Rules for null and short texts, doc_id and repeats are those of repeated_paragraphs().
+    """
+    spark = docs.sparkSession
+    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = "key long, least long, most long"
+    seeds = _table(plain.mapInArrow(_seen(None), kind), "passage-seeds")
+    exact = _table(plain.mapInArrow(_seen(seeds), kind), "passage-runs")
+    keys = stored(plain.mapInArrow(_wanted(seeds, exact), "exact int, key long, content long, least long, most long"), "passage-keys")
+    wanted, near = run_dir(spark, "passage-wanted"), run_dir(spark, "passage-near")
+    write_table(keys.where("exact = 1").groupBy("key").agg(F.min("least").alias("value")), wanted, _BITS)
+    met = stored(keys.where("exact = 0").repartition("key").mapInArrow(_collisions, "near int, key long, content long"), "passage-met")
+    write_table(met.select(F.col("content").alias("key")).distinct().withColumn("value", F.lit(1).cast("long")), near, _BITS)
+    found = stored(plain.mapInArrow(_found(seeds, wanted, near), "doc_id long, word long, n long, lo long, hi long, content long, keep long, shingles binary"), "passages")
+    sets = found.where("shingles is not null").groupBy("content").agg(F.first("shingles").alias("shingles"))
+    pairs = met.select("key", "content").join(sets, "content").select("key", "content", "shingles")
+    parts = connected_components(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_verified(least), "u long, v long"))
+    member = found.where("keep is null").drop("keep", "shingles")
+    member = stored(member.join(parts, member.content == parts.node, "left").withColumn("cluster_id", F.coalesce("component", "content")).drop("node", "component", "content"), "passage-members")
+    keep = member.groupBy("cluster_id").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep != last").drop("last")
+    keep = stored(keep, "passage-clusters")
+    rows = found.where("keep is not null").withColumn("cluster_id", F.col("content")).drop("content", "shingles").unionByName(member.join(keep, "cluster_id"))
+    rows = rows.select("doc_id", F.col("word").alias("word_start"), F.col("n").alias("n_words"), F.col("lo").alias("byte_start"), F.col("hi").alias("byte_end"), "cluster_id", F.col("keep").alias("keep_doc_id"), (F.col("doc_id") != F.col("keep")).alias("removed"))
+    return rows.unionByName(repeated_paragraphs(docs, least))
+
+
+def passage_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """substring_dedup(), with the removed rows of repeated_passages() cut out."""
+    return cut(docs, repeated_passages(docs, least))

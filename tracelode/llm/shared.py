@@ -88,6 +88,12 @@ def shards(folder: str, most: int = 96 << 20) -> Shards:
     return _open[folder]
 
 
+def hold(*folders: str) -> None:
+    """Readers of several tables that a stage asks in turn, within the memory of one."""
+    _open.clear()
+    _open.update({x: Shards(x, (96 << 20) // len(folders)) for x in folders})
+
+
 def lookup(keys: np.ndarray, folder: str, default: int, bits: int) -> np.ndarray:
     """Values of uint64 keys in a table that write_table() wrote."""
     order = np.argsort(keys)
