@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import hold, lookup, release, run_dir, stored, write_table
-from .substring_dedup import BANDS, WORDS, Paragraphs, _collisions, _least_most, _verified, cut, repeated_paragraphs
-from .textops import LOWER, SPACE, batches, flat, owners, rolling, span_hash, spans
+from .substring_dedup import BANDS, WORDS, Paragraphs, _least_most, _verified, cut, repeated_paragraphs
+from .textops import LOWER, SPACE, batches, flat, mix, owners, rolling, span_hash, spans
 
 SEED, PLACES = 11, 13  # the smallest hash of 11 words among 13 places is a seed: each run of 23 words holds one
 #: Lengths of passages that are compared as near ones, and how many words before a seed they begin.
-NEAR = {49: (0, 13, 26, 38), 97: (0, 28, 57, 86)}
+NEAR = {49: (0, 13, 26, 38), 97: (0, 43, 86)}
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = 6
 _ABSENT = -(1 << 63)
@@ -114,39 +114,63 @@ def _runs(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], apart]), np.concatenate([apart, [len(begin)]]) - 1
 
 
+def _removed(words: Words, some: np.ndarray, ids: np.ndarray, exact: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of WORDS words that an earlier document holds (begin, content, smallest document), and how many words stay before each place."""
+    begin, content = words.windows(some)
+    keep = lookup(content, exact, _ABSENT, _BITS)
+    gone = (keep != _ABSENT) & (keep != ids[words.whose[begin]])
+    step = np.zeros(len(words.hash) + 1, np.int64)
+    np.add.at(step, begin[gone], 1)
+    np.add.at(step, begin[gone] + WORDS, -1)
+    return begin[gone], content[gone], keep[gone], np.append(0, np.cumsum(np.cumsum(step)[:-1] == 0))
+
+
 def _wanted(seeds: str, exact: str):
-    """(exact, key, content, least, most): under exact = 1 the contents that cover all runs which an earlier document holds, end to end; else the band keys of near passages that hold other words too."""
+    """(near, key, value): near = 0: contents that cover all runs which an earlier document holds, end to end, and the smallest document; near = 1: seeds that an earlier document holds too, of passages that are not wholly removed."""
 
     def wanted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         hold(seeds, exact)
+        for part in batches(parts, most=1 << 20):
+            words, ids = Words(part.column("text")), part.column("doc_id").to_numpy()
+            first_in = lookup(words.seed, seeds, _ABSENT, _BITS)
+            some, first_in = words.seeds[first_in != _ABSENT], first_in[first_in != _ABSENT]
+            begin, content, keep, stays = _removed(words, some, ids, exact)
+            pick = np.zeros(0, np.int64)
+            if len(begin):
+                # a run of windows within a text ends at the text's last whole window, so it never goes on in the next text
+                first, last = _runs(begin)
+                offset = np.arange(len(begin)) - np.repeat(first, last - first + 1)
+                chosen = offset % WORDS == 0
+                chosen[last] = True
+                pick = np.flatnonzero(chosen)
+            a, b = np.maximum(some - max(NEAR), words.first[words.whose[some]]), np.minimum(some + max(NEAR), words.first[words.whose[some] + 1])
+            later = (first_in != ids[words.whose[some]]) & (stays[b] > stays[a])
+            key = np.unique(words.seed[np.searchsorted(words.seeds, some[later])])
+            yield pa.record_batch({"near": pa.array(np.repeat(np.array([0, 1], np.int32), [len(pick), len(key)])), "key": pa.array(np.concatenate([content[pick], key]).view(np.int64)), "value": pa.array(np.concatenate([keep[pick], np.ones(len(key), np.int64)]))})
+
+    return wanted
+
+
+def _near_keys(seeds: str, exact: str, needed: str):
+    """(key, content, least, most): band keys of near passages about needed seeds that are not wholly removed."""
+
+    def near_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        hold(seeds, exact, needed)
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
             rows = _least_most(np.concatenate(held))
             held.clear()
-            return pa.record_batch({"exact": pa.array(rows[:, 0].astype(np.int32))} | {name: pa.array(rows[:, i]) for i, name in enumerate(("key", "content", "least", "most"), 1)})
+            return pa.record_batch({name: pa.array(rows[:, i]) for i, name in enumerate(("key", "content", "least", "most"), 1)})
 
         for part in batches(parts, most=1 << 20):
             words, ids = Words(part.column("text")), part.column("doc_id").to_numpy()
-            some = words.repeated(seeds)
+            some = words.repeated(needed)
             if not len(some):
                 continue
-            begin, content = words.windows(some)
-            keep = lookup(content, exact, _ABSENT, _BITS)
-            gone = (keep != _ABSENT) & (keep != ids[words.whose[begin]])
-            begin, content, keep = begin[gone], content[gone], keep[gone]
-            step = np.zeros(len(words.hash) + 1, np.int64)
-            np.add.at(step, begin, 1)
-            np.add.at(step, begin + WORDS, -1)
-            stays = np.append(0, np.cumsum(np.cumsum(step)[:-1] == 0))
-            if len(begin):
-                # a run of windows within a text ends at the text's last whole window, so it never goes on in the next text
-                first, last = _runs(begin)
-                offset = np.arange(len(begin)) - np.repeat(first, last - first + 1)
-                pick = offset % WORDS == 0
-                pick[last] = True
-                held.append(np.stack([np.ones(pick.sum(), np.int64), content[pick].view(np.int64), content[pick].view(np.int64), keep[pick], keep[pick]], 1))
+            stays = _removed(words, words.repeated(seeds), ids, exact)[3]
             for n in NEAR:
                 at = words.near(some, n)
                 found = words.paragraphs(at[stays[at + n] > stays[at]], n)
@@ -158,19 +182,35 @@ def _wanted(seeds: str, exact: str):
         if held:
             yield out()
 
-    return wanted
+    return near_keys
+
+
+def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, content) of a partition's band keys with several contents, not all in one document. The key is now made of the contents, so that bands with the same ones are one group."""
+    held = [np.stack([np.zeros(p.num_rows, np.int64), *(c.to_numpy() for c in p.columns)], 1) for p in parts if p.num_rows]
+    if not held:
+        return
+    rows = _least_most(np.concatenate(held))
+    held.clear()
+    first = np.flatnonzero(np.concatenate([[True], rows[1:, 1] != rows[:-1, 1]]))
+    size = np.diff(np.append(first, len(rows)))
+    key = np.repeat(mix(np.add.reduceat(mix(np.ascontiguousarray(rows[:, 2]).view(np.uint64)), first)), size)
+    near = np.repeat((size > 1) & (np.minimum.reduceat(rows[:, 3], first) != np.maximum.reduceat(rows[:, 4], first)), size)
+    both = np.unique(np.stack([key[near].view(np.int64), rows[near, 2]], 1), axis=0)
+    for a in range(0, len(both), 20_000):
+        yield pa.record_batch({"key": pa.array(both[a : a + 20_000, 0]), "content": pa.array(both[a : a + 20_000, 1])})
 
 
-def _found(seeds: str, wanted: str, near: str):
+def _found(seeds: str, needed: str, wanted: str, near: str):
     def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Exact passages with their smallest document, near ones with shingles (once a batch and content)."""
         release()
-        hold(seeds, wanted, near)
+        hold(seeds, needed, wanted, near)
         for part in batches(parts, most=1 << 20):
             words = Words(part.column("text"))
-            some = words.repeated(seeds)
+            some, about = words.repeated(seeds), words.repeated(needed)
             for n in (WORDS, *NEAR):
-                rows = words.paragraphs(words.windows(some)[0] if n == WORDS else words.near(some, n), n)
+                rows = words.paragraphs(words.windows(some)[0] if n == WORDS else words.near(about, n), n)
                 value = lookup(rows.content, wanted if n == WORDS else near, _ABSENT, _BITS)
                 hit = np.flatnonzero(value != _ABSENT)
                 sets: dict[int, bytes] = {}
@@ -195,7 +235,7 @@ def repeated_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
     its last. Seeds (the smallest hash of SEED words of PLACES places) that stand in several documents are looked up;
     each run of 23 words holds one, so all runs of WORDS words about them are all that can repeat.
 
-    Near: passages of 49 and 97 words about repeated seeds that are not whole in earlier documents meet by MinHash bands
+    Near: passages of 49 and 97 words that are not wholly in earlier documents, about seeds that a later document holds beside words of its own, meet by MinHash bands
     (98 % of pairs at similarity 0.8) and are joined if the Jaccard similarity of their 5-word shingles is `least` or
     more. One changed word in 49 leaves 0.8; with the exact runs on both sides this covers passages across isolated changes.
 
@@ -206,12 +246,14 @@ def repeated_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
     kind = "key long, least long, most long"
     seeds = _table(plain.mapInArrow(_seen(None), kind), "passage-seeds")
     exact = _table(plain.mapInArrow(_seen(seeds), kind), "passage-runs")
-    keys = stored(plain.mapInArrow(_wanted(seeds, exact), "exact int, key long, content long, least long, most long"), "passage-keys")
-    wanted, near = run_dir(spark, "passage-wanted"), run_dir(spark, "passage-near")
-    write_table(keys.where("exact = 1").groupBy("key").agg(F.min("least").alias("value")), wanted, _BITS)
-    met = stored(keys.where("exact = 0").repartition("key").mapInArrow(_collisions, "near int, key long, content long"), "passage-met")
+    keys = stored(plain.mapInArrow(_wanted(seeds, exact), "near int, key long, value long").distinct(), "passage-keys")
+    wanted, needed, near = run_dir(spark, "passage-wanted"), run_dir(spark, "passage-needed"), run_dir(spark, "passage-near")
+    for i, folder in enumerate((wanted, needed)):
+        write_table(keys.where(f"near = {i}").select("key", "value"), folder, _BITS)
+    met = plain.mapInArrow(_near_keys(seeds, exact, needed), "key long, content long, least long, most long").repartition("key").mapInArrow(_groups, "key long, content long")
+    met = stored(met.distinct(), "passage-met")
     write_table(met.select(F.col("content").alias("key")).distinct().withColumn("value", F.lit(1).cast("long")), near, _BITS)
-    found = stored(plain.mapInArrow(_found(seeds, wanted, near), "doc_id long, word long, n long, lo long, hi long, content long, keep long, shingles binary"), "passages")
+    found = stored(plain.mapInArrow(_found(seeds, needed, wanted, near), "doc_id long, word long, n long, lo long, hi long, content long, keep long, shingles binary"), "passages")
     sets = found.where("shingles is not null").groupBy("content").agg(F.first("shingles").alias("shingles"))
     pairs = met.select("key", "content").join(sets, "content").select("key", "content", "shingles")
     parts = connected_components(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_verified(least), "u long, v long"))
