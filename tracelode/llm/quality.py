@@ -30,6 +30,8 @@ BANDS = {
     "other": (0.2, 12.0, 1.00, 1.5, 1e9),
 }
 ENTROPY_FROM = 64
+#: Most share that one word may have of all words of a text with ENTROPY_FROM tokens or more (texts broken by separators), by script; scripts without documents to set it from have none.
+COMMONEST = {"latin": 0.25}
 
 
 class Pieces:
@@ -98,7 +100,7 @@ def base_counts(text: pa.Array) -> dict[str, np.ndarray]:
 
 
 def fertility(text: pa.Array, table: Pieces) -> dict[str, np.ndarray]:
-    """n_tokens, byte fallback tokens and token entropy of each text, its words encoded one by one."""
+    """n_tokens, byte fallback tokens, token entropy and the commonest word's count of each text, its words encoded one by one."""
     data, at = flat(text)
     n = len(at) - 1
     starts, ends, first = spans(SPACE[data], at)
@@ -114,8 +116,11 @@ def fertility(text: pa.Array, table: Pieces) -> dict[str, np.ndarray]:
     place = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[inverse], each)
     pair, c = np.unique(doc << 20 | ids[place], return_counts=True)
     sums = np.bincount(pair >> 20, c * np.log2(c), n)
+    commonest = np.zeros(n, np.int64)
+    word, times = np.unique(owners(first, len(starts)) * max(len(uniq), 1) + inverse, return_counts=True)
+    np.maximum.at(commonest, word // max(len(uniq), 1), times)
     entropy = np.where(n_tokens > 0, np.log2(np.maximum(n_tokens, 1)) - sums / np.maximum(n_tokens, 1), 0.0)
-    return {"n_tokens": n_tokens, "byte_tokens": n_bytes, "entropy": np.maximum(entropy, 0)}
+    return {"n_tokens": n_tokens, "byte_tokens": n_bytes, "entropy": np.maximum(entropy, 0), "commonest": commonest}
 
 
 def script_of(text: pa.Array) -> np.ndarray:
@@ -135,7 +140,7 @@ def script_of(text: pa.Array) -> np.ndarray:
 
 def _rules(path: str, bands: dict[str, tuple[float, float, float, float, float]]):
     def rules(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, limits = pieces(path), np.array([bands[k] for k in SCRIPTS])
+        table, limits, commonest = pieces(path), np.array([bands[k] for k in SCRIPTS]), np.array([COMMONEST.get(k, 1.0) for k in SCRIPTS])
         for part in batches(parts, most=1 << 20):
             text = part.column("text")
             base, cost, script = base_counts(text), fertility(text, table), script_of(text)
@@ -143,7 +148,7 @@ def _rules(path: str, bands: dict[str, tuple[float, float, float, float, float]]
             tokens = np.maximum(cost["n_tokens"], 1)
             chars, share = base["word_chars"] / tokens, cost["byte_tokens"] / tokens
             failed = (base["n_words"] < 10) | (100 * base["n_repeat_words"] > 20 * base["n_words"])
-            outside = (chars < low) | (chars > high) | (share > most) | ((cost["n_tokens"] >= ENTROPY_FROM) & (cost["entropy"] < least)) | (cost["n_tokens"] > longest * base["n_words"])
+            outside = (chars < low) | (chars > high) | (share > most) | ((cost["n_tokens"] >= ENTROPY_FROM) & ((cost["entropy"] < least) | (cost["commonest"] > commonest[script] * base["n_words"]))) | (cost["n_tokens"] > longest * base["n_words"])
             out = part.drop_columns([c for c in ("text",)])
             for name, x in {**{k: v.astype(np.int64) for k, v in base.items()}, "base_failed": failed, "kept": ~failed & ~outside, "chars_per_token": chars, "fallback_share": share, "token_entropy": cost["entropy"]}.items():
                 out = out.append_column(name, pa.array(x))
@@ -159,7 +164,7 @@ def quality_rules(docs: DataFrame, path: str, bands: dict[str, tuple[float, floa
     """docs with counts, base_failed, kept and the tokenizer measures of each text (see ADDED).
 
     A text is rejected if it has fewer than 10 words, if over 20 % of its words stand in five-word windows found twice,
-    or if its characters per token, tokens per word, byte-fallback share or token entropy leave the bands of its script. Everything
+    or if its characters per token, tokens per word, byte-fallback share, token entropy or commonest word's share leave the bands of its script. Everything
     is worked out in one pass over whole texts, without a shuffle.
 
     Null texts count as empty: no words, so rejected. Rows stand for themselves even if they repeat. No rows: no rows.
