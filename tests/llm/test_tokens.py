@@ -63,6 +63,19 @@ def test_bpe(docs, by_id, word_ids):
         assert r.decoded == tok.decode(word_ids[r.doc_id], skip_special_tokens=False)
 
 
+def test_bpe_on_every_code_point_up_to_2ff():
+    """Each character alone, inside a word, beside digits, twice; and random texts of these characters."""
+    table, tok = bpe.Bpe(WORD), Tokenizer.from_file(WORD)
+    rng = np.random.Generator(np.random.PCG64(8))
+    texts = [t for c in map(chr, range(0x300)) for t in (c, f"a{c}b", f"{c}{c}", f"Ab {c} 1{c}2 {c}'s")]
+    texts += ["".join(map(chr, rng.integers(0, top, 40))) for top in (0x20, 0x80, 0x100, 0x300) for _ in range(300)]
+    texts += ["a\x01b", "\x00\x01", "\x1b", "\x7f", "\x08"]
+    for text, raw in zip(texts, table.encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+    with pytest.raises(ValueError):
+        table.learn({" "})
+
+
 def test_bpe_edges(empty, nulls):
     assert bpe.bpe_round_trip(empty, WORD).count() == 0
     assert sorted((str(r.doc_id), r.n_tokens) for r in bpe.bpe_round_trip(nulls, WORD).collect())[0] == ("5", 0)

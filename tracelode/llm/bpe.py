@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ from .shared import resident
 from .textops import batches
 from .wordbpe import WORD, SIMPLE
 
+#: Characters outside white space whose byte character is another one.
+CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x7f]")
+
 
 def byte_chars() -> list[str]:
     """The printable character that byte-level vocabularies use for each byte: itself if printable, else the next free one from 256."""
@@ -142,6 +146,8 @@ class Bpe:
             if not ids or not all(map(self.pairs.__getitem__, zip(ids, ids[1:]))):
                 self.failed += 1
                 ids = self.exact(self.symbols(word + self.suffix))
+                if word and not ids:
+                    raise ValueError(f"the vocabulary has no symbols for {word!r}")
             self.words[word] = np.array(ids, "<u4").tobytes()
 
     def split(self, text: str) -> list[str | int]:
@@ -159,10 +165,10 @@ class Bpe:
         for text in texts:
             if SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
                 low = text.lower()
-                if low.isascii():
+                if low.isascii() and not CONTROL.search(low):
                     parts.append(WORD.findall(low))
-                else:
-                    parts.append([w if w.isascii() else "".join([chars[b] for b in w.encode()]) for w in WORD.findall(low)])
+                else:  # a word of printable ASCII is its own byte characters
+                    parts.append([w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]) for w in WORD.findall(low)])
             else:
                 parts.append(self.split(text))
         self.learn({w for p in parts for w in set(p) if isinstance(w, str)})
