@@ -9,7 +9,7 @@ from tracelode.llm import simhash
 from tracelode.llm.components import connected_components, roots
 from tracelode.llm.exact_dedup import exact_dedup
 from tracelode.llm.line_dedup import line_dedup
-from tracelode.llm.substring_dedup import WORDS, repeated_paragraphs, substring_dedup
+from tracelode.llm.substring_dedup import WORDS, repeated_passages, substring_dedup
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -131,38 +131,42 @@ def test_components(spark):
 
 
 def test_substring_dedup_finds_every_passage(docs, by_id):
-    """Each run of 2 * WORDS - 1 words that two documents share holds a paragraph that is found in both."""
+    """Each run of WORDS words that two documents share is covered by a removed row in all but the first, and by a row there."""
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t.translate(UPPER)) for i, t in by_id.items()}
-    n = 2 * WORDS - 1
+    n = WORDS
     where = defaultdict(set)
     for i, w in words.items():
         for k in range(len(w) - n + 1):
             where[" ".join(w[k : k + n])].add((i, k))
-    found = defaultdict(list)
-    for r in repeated_paragraphs(docs).collect():
-        found[r.doc_id].append(r.word_start)
-    shared = {x for s in where.values() if len({i for i, _ in s}) > 1 for x in s}
+    shared = {x: s for x, s in where.items() if len({i for i, _ in s}) > 1}
+    gone, found = (defaultdict(lambda: np.zeros(6000, bool)) for _ in range(2))
+    for r in repeated_passages(docs).collect():
+        found[r.doc_id][r.word_start : r.word_start + r.n_words] = True
+        if r.removed:
+            gone[r.doc_id][r.word_start : r.word_start + r.n_words] = True
     assert shared
-    for i, k in shared:
-        assert any(k <= x <= k + n - WORDS for x in found[i])
+    for places in shared.values():
+        least = min(i for i, _ in places)
+        assert all(gone[i][k : k + n].all() for i, k in places if i != least)
+        assert any(found[i][k : k + n].all() for i, k in places if i == least)
 
 
 def test_substring_dedup_pairs_are_similar(docs, by_id):
     sets = defaultdict(list)
-    for r in repeated_paragraphs(docs).collect():
-        w = re.findall(r"[^\x20\x09-\x0D]+", by_id[r.doc_id].translate(UPPER))[r.word_start : r.word_start + WORDS]
-        assert w == re.findall(r"[^\x20\x09-\x0D]+", by_id[r.doc_id].encode()[r.byte_start : r.byte_end].decode().translate(UPPER))
-        sets[r.cluster_id].append((r.doc_id, r.keep_doc_id, r.removed, {tuple(w[i : i + 5]) for i in range(WORDS - 4)}))
+    for r in repeated_passages(docs).collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", by_id[r.doc_id].translate(UPPER))[r.word_start : r.word_start + r.n_words]
+        assert len(w) >= WORDS and w == re.findall(r"[^\x20\x09-\x0D]+", by_id[r.doc_id].encode()[r.byte_start : r.byte_end].decode().translate(UPPER))
+        sets[r.cluster_id].append((r.doc_id, r.keep_doc_id, r.removed, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}))
     for members in sets.values():
         assert {m[1] for m in members} == {min(m[0] for m in members)} and len({m[0] for m in members}) > 1
         assert all(m[2] == (m[0] != m[1]) for m in members)
         for m in members:
-            assert len(members) == 1 or any(o is not m and len(m[3] & o[3]) >= 0.8 * len(m[3] | o[3]) for o in members)
+            assert any(o is not m and len(m[3] & o[3]) >= 0.8 * len(m[3] | o[3]) for o in members)
 
 
 def test_substring_dedup_texts(docs, by_id):
     gone = defaultdict(list)
-    for r in repeated_paragraphs(docs).where("removed").collect():
+    for r in repeated_passages(docs).where("removed").collect():
         gone[r.doc_id].append((r.byte_start, r.byte_end))
     for r in substring_dedup(docs).collect():
         raw = bytearray(by_id[r.doc_id].encode())
@@ -175,5 +179,5 @@ def test_substring_dedup_texts(docs, by_id):
 
 
 def test_substring_dedup_edges(empty, nulls):
-    assert repeated_paragraphs(empty).count() == 0 and substring_dedup(empty).count() == 0
-    assert repeated_paragraphs(nulls).count() == 0 and substring_dedup(nulls).count() == 5
+    assert repeated_passages(empty).count() == 0 and substring_dedup(empty).count() == 0
+    assert repeated_passages(nulls).count() == 0 and substring_dedup(nulls).count() == 5

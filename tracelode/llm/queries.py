@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, lm_ppm, packing, passages, quality, simhash, token_binary, toxicity
+from . import bpe, exact_dedup, line_dedup, lm_ppm, packing, quality, simhash, substring_dedup, token_binary, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(_docs(spark, sf_dir))
+    return substring_dedup.repeated_passages(_docs(spark, sf_dir))
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
