@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .textops import batches
 from .wordbpe import words
 
+FINE = 4  # of so many documents one is cut finely
+
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Deal items to k windows of nearly equal sums (largest differencing method).
@@ -54,34 +56,46 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows(pieces: list[tuple[int, int, int]], capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Full windows of pieces (item, begin, length), and what is left, less than one window.
+def windows(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of nearly equal sums that hold all pieces (item, begin, length), none over the capacity.
 
-    There are as many windows as their capacity just cannot hold the pieces, so differencing brings many to the
-    capacity or over it. Those are cut there and closed; what exceeds, with the pieces of windows still below, goes
-    to another round with more windows, until less than one is left.
+    As few windows as the sum asks for are tried first; while one of them is over the capacity there is one more.
+    Pieces of an item that follow each other and meet in a window are one piece again.
     """
-    done = []
-    while (total := sum(p[2] for p in pieces)) >= capacity:
-        rest = []
-        for items in differencing([p[2] for p in pieces], total // capacity):
-            own = [pieces[i] for i in items]
-            if (over := sum(p[2] for p in own) - capacity) < 0:
-                rest += own
-                continue
-            while over:  # cut the longest piece, the fewest cuts
-                at = max(range(len(own)), key=lambda i: own[i][2])
-                item, begin, length = own[at]
-                gone = min(over, length - 1) or length
-                own[at : at + 1] = [(item, begin, length - gone)] if gone < length else []
-                rest.append((item, begin + length - gone, gone))
-                over -= gone
-            done.append(own)
-        pieces = rest
-    return done, pieces
-
-
-def _packer(path: str, end_id: int, capacity: int, group: int):
+    k = -(-sum(p[2] for p in pieces) // capacity)
+    while k:
+        dealt = differencing([p[2] for p in pieces], k)
+        if max(sum(pieces[i][2] for i in items) for items in dealt) <= capacity:
+            break
+        k += 1
+    out = []
+    for items in dealt if k else []:
+        own: list[tuple[int, int, int]] = []
+        for item, begin, length in sorted(pieces[i] for i in items):
+            if own and own[-1][0] == item and own[-1][1] + own[-1][2] == begin:
+                own[-1] = (item, own[-1][1], own[-1][2] + length)
+            else:
+                own.append((item, begin, length))
+        if own:
+            out.append(own)
+    return out
+
+
+def cuts(begin: int, end: int, most: int, fine: bool) -> list[tuple[int, int]]:
+    """(begin, length) of the pieces of a rest: equal ones of `most` ids or fewer; fine: the last one in halves down to two ids, so that differencing has something to level windows with."""
+    at = np.linspace(begin, end, -(-(end - begin) // most) + 1).astype(int).tolist()
+    out = [(a, b - a) for a, b in zip(at, at[1:])]
+    if fine:
+        at, length = out.pop()
+        while length > 2:
+            half = length - length // 2
+            out.append((at, half))
+            at, length = at + half, length - half
+        out.append((at, length))
+    return out
+
+
+def _packer(path: str, end_id: int, capacity: int, group: int, piece: int):
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, end = words(path), end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 36
@@ -105,14 +119,10 @@ def _packer(path: str, end_id: int, capacity: int, group: int):
             return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         def close() -> None:
-            nonlocal pool
-            done, left = windows(pool, capacity)
-            for pieces in done:
+            for pieces in windows(pool, capacity):
                 put(pieces)
-            kept = sorted({p[0] for p in left})
-            where = {x: i for i, x in enumerate(kept)}
-            docs[:] = [docs[x] for x in kept]
-            pool = [(where[a], b, c) for a, b, c in left]
+            docs.clear()
+            pool.clear()
 
         for batch in batches(parts):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), table.encode(batch.column("text").to_pylist())):
@@ -121,30 +131,28 @@ def _packer(path: str, end_id: int, capacity: int, group: int):
                 n = len(ids) // 4
                 for begin in range(0, n - capacity + 1, capacity):
                     put([(len(docs) - 1, begin, capacity)])
-                if n % capacity:
-                    pool.append((len(docs) - 1, n - n % capacity, n % capacity))
+                if rest := n % capacity:
+                    pool += [(len(docs) - 1, a, b) for a, b in cuts(n - rest, n, piece, len(docs) % FINE == 0)]
                 if len(docs) >= group:
                     close()
                 if len(rows) >= 2000:
                     yield out()
         close()
-        if pool:
-            put(pool)
         yield out()
 
     return pack
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, group: int = 512) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, group: int = 512, piece: int = 512) -> DataFrame:
     """Pieces of documents in sequences of `capacity` ids: doc_id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset.
 
-    Texts are encoded and end_id appended. Whole windows are cut off each document; the rests of `group` documents
-    at a time are dealt to windows by differencing, and what fills no window waits for the next ones, so only the last
-    sequence of a partition is padded. Nothing is shuffled, and memory holds one group. sequence_id has the partition
-    in its upper bits, so it is the same if a task runs again.
+    Texts are encoded and end_id appended. Windows that one document fills are cut off it; its rest is cut into equal pieces
+    of `piece` ids or fewer, that of every FINE-th document in ever smaller halves, and the pieces of `group` documents at a time are dealt by differencing to windows of nearly equal
+    sums, one more whenever one would be over the capacity. Each window is padded by the few ids it lacks. Nothing is
+    shuffled, and memory holds one group. sequence_id has the partition in its upper bits, so it is the same if a task runs again.
 
     Null texts count as empty (one id, the end). Rows stand for themselves even if they repeat; doc_id may be null.
     No rows: no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_packer(path, end_id, capacity, group), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(_packer(path, end_id, capacity, group, piece), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
