@@ -10,91 +10,129 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .textops import LOWER, batches, flat, owners, span_hash, spans
-
-#: English insults, one voter each.
-INSULTS = ["idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "vermin", "filth", "freak", "cretin", "fool", "jerk", "creep", "garbage"]
+from .textops import LOWER, SPACE, batches, flat, owners, span_hash, spans
+
+#: Insults in four languages, one voter each.
+INSULTS = """
+idiot moron stupid scum trash loser pathetic worthless disgusting clown dumb imbecile vermin filth freak cretin fool jerk creep garbage
+crétin connard salaud ordure abruti débile minable dégoûtant
+dummkopf trottel abschaum arschloch widerlich wertlos schwachkopf drecksack
+estúpido imbécil escoria basura asqueroso patético inútil payaso
+""".split()
 PREFIXES = (4, 5, 6, 7, 8)  # bytes at a word's beginning that are features too
-SAMPLE = 12_000  # labelled rows that are used at most, those of smallest hash
-VOTERS, FEATURES = 400, 4000
+SAMPLE = 12_000  # labelled rows that are used at most, and as many without a label: those of smallest hash
+VOTERS, FEATURES, SURE = 400, 4000, 0.75
+#: Shares of words that are known as toxic, from each of which on a text has a feature and a vote.
+RATES = [i / 500 for i in range(1, 16)]
+#: Looks of a text that vote too, on either side as the label model finds; the order of patterns().
+PATTERNS = ["shouts", "exclaims", "symbols", "repeats", "digits", "addresses", "short", "long", "few known words"]
 
 #: Bytes outside words: all but letters.
 APART = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
-
-
 #: A feature counts again if it stands in a text this often; the level is in a key's two lowest bits.
 LEVELS = (1, 2, 4)
 _BASE = np.uint64(0xFFFFFFFFFFFFFFFC)
+_SYMBOLS = np.zeros(256, bool)
+_SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature key of level 0) of all words of letters, A-Z lower-cased, and of their beginnings, as often as they stand."""
-    data, at = flat(text)
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of U+00C0 to U+00DE in lower case."""
     low = LOWER[data]
+    wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    low[wide] += 0x20
+    return low
+
+
+def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, feature key of level 0) of all words of letters, lower-cased, and of their beginnings, as often as they stand; and each text's first word."""
+    data, at = flat(text)
+    low = lowered(data)
     starts, ends, first = spans(APART[data], at)
-    whose = owners(first, len(starts))
-    out = [span_hash(low, starts, ends)]
-    who = [whose]
+    word = np.arange(len(starts))
+    keys, which = [span_hash(low, starts, ends)], [word]
     for n in PREFIXES:
         long = ends - starts > n
-        out.append(span_hash(low, starts[long], starts[long] + n) + np.uint64(n))
-        who.append(whose[long])
-    return np.concatenate(who), np.concatenate(out) & _BASE
-
-
-def _examples(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in batches(parts):
-        whose, keys = features(part.column("text"))
-        order = np.lexsort((keys, whose))
-        whose, keys = whose[order], keys[order]
-        first = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (keys[1:] != keys[:-1])])[: len(keys)])
-        count = np.diff(np.append(first, len(keys)))
-        whose, keys = whose[first], keys[first]
-        often = [count >= n for n in LEVELS]
-        keys = np.concatenate([keys[x] | np.uint64(i) for i, x in enumerate(often)])
-        whose = np.concatenate([whose[x] for x in often])
-        order = np.argsort(whose, kind="stable")
-        whose, keys = whose[order], keys[order]
-        cut = np.searchsorted(whose, np.arange(part.num_rows + 1))
-        raw = [keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-        yield pa.record_batch({"toxic": part.column("toxic"), "keys": pa.array(raw, pa.binary())})
+        keys.append(span_hash(low, starts[long], starts[long] + n) + np.uint64(n))
+        which.append(word[long])
+    which = np.concatenate(which)
+    return owners(first, len(starts))[which], which, np.concatenate(keys) & _BASE, first
+
+
+def _levels(whose: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key with level) of each feature that stands often enough for the level, once a text."""
+    order = np.lexsort((keys, whose))
+    whose, keys = whose[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (keys[1:] != keys[:-1])])[: len(keys)])
+    count = np.diff(np.append(first, len(keys)))
+    often = [first[count >= n] for n in LEVELS]
+    return np.concatenate([whose[x] for x in often]), np.concatenate([keys[x] | np.uint64(i) for i, x in enumerate(often)])
+
+
+def patterns(text: pa.Array, known: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which text has which of PATTERNS, one row a text. known: how many of its words are known as toxic."""
+    data, at = flat(text)
+    add = lambda x: np.diff(np.append(0, np.cumsum(x, dtype=np.int64))[at])
+    upper, letters, words = add((data >= 65) & (data <= 90)), add(~APART[data]), np.diff(first)
+    starts, ends, begin = spans(SPACE[data], at)
+    h, own = span_hash(data, starts, ends), owners(begin, len(starts))
+    again = np.bincount(own[1:][(h[1:] == h[:-1]) & (own[1:] == own[:-1])], minlength=len(text))
+    size = np.diff(at)
+    colon = np.zeros(len(data), bool)
+    colon[:-2] = (data[:-2] == 58) & (data[1:-1] == 47) & (data[2:] == 47)
+    return np.column_stack([
+        (upper > 0.6 * letters) & (letters > 20), add(data == 33) >= 5, add(_SYMBOLS[data]) >= 10, again >= 10, add((data >= 48) & (data <= 57)) > 0.1 * size,
+        add(colon) > 0, words < 10, words > 1000, (known > 0) & (known < 0.008 * words),
+    ])
 
 
 def document_counts(rows: DataFrame, least: int) -> DataFrame:
-    """(key, n, pos): in how many examples, and in how many toxic ones, a feature stands."""
+    """(key, n, pos): in how many labelled rows (text, toxic), and in how many toxic ones, a feature stands."""
 
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            raw, at = flat(part.column("keys"))
-            keys = np.frombuffer(raw.tobytes(), np.int64)
-            toxic = np.repeat(part.column("toxic").to_numpy(), np.diff(at) // 8)
-            uniq, where = np.unique(keys, return_inverse=True)
+        for part in batches(parts):
+            whose, _, keys, _ = features(part.column("text"))
+            whose, keys = _levels(whose, keys)
+            uniq, where = np.unique(keys.view(np.int64), return_inverse=True)
+            toxic = part.column("toxic").to_numpy()[whose]
             yield pa.record_batch({"key": pa.array(uniq), "n": pa.array(np.bincount(where, minlength=len(uniq)), pa.int64()), "pos": pa.array(np.bincount(where, toxic, len(uniq)).astype(np.int64))})
 
     return rows.mapInArrow(split, "key long, n long, pos long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= least)
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior that each row is toxic, under a generative model of its voters.
+def label_model(votes: np.ndarray, gold: np.ndarray, open_: int = 0, rounds: int = 50) -> np.ndarray:
+    """Posterior that each row is toxic, under a generative model of its voters. votes: 1 where a voter fires, 0 where it abstains; gold: 1, 0, or -1 where a row has no label.
+    The last `open_` voters may stand for either side: a prior holds both their rates at one value; the others' prior leans to toxic.
 
-    Each voter fires with one rate on toxic rows and another on clean ones; both, and the prior, come from expectation
-    maximisation, begun at the rows' labels, which stay one (very accurate) voter. Voters that fire together beyond
-    what the label explains are correlated: each one's log ratio is divided by the sum of its correlations.
+    A voter fires with one rate on toxic rows and another on clean ones; the given label is a voter too, right with a rate on each side,
+    that abstains on rows without one. Correlations between voters within a class are a matrix of
+    the model: voters are weighed as in a discriminant with that matrix (its inverse times their separation), so many that fire
+    together count about as one. Rates, correlations and the prior come from expectation maximisation over all rows; the labels
+    only say where it begins.
     """
-    q = np.clip(gold.astype(float), 0.02, 0.98)
+    known = gold >= 0
+    q = np.where(known, np.clip(gold, 0.05, 0.95), np.clip(gold[known].mean() if known.any() else 0.5, 0.02, 0.98)).astype(float)
+    either = np.arange(votes.shape[1]) >= votes.shape[1] - open_
+    rate = (votes.sum(0) + 0.5) / (len(votes) + 1)
+    more, most = np.where(either, 20 * rate, [[0.5], [0.05]]), np.where(either, 20, 1)
     for _ in range(rounds):
         pos, neg = q.sum() + 1e-9, (1 - q).sum() + 1e-9
-        hit, false = (q @ votes + 0.5) / (pos + 1), ((1 - q) @ votes + 0.05) / (neg + 1)
+        hit, false = (q @ votes + more[0]) / (pos + most), ((1 - q) @ votes + more[1]) / (neg + most)
+        right = (q[known] @ gold[known] + 19) / (q[known].sum() + 20), ((1 - q[known]) @ (1 - gold[known]) + 19) / ((1 - q[known]).sum() + 20)
         rest = votes - (q[:, None] * hit + (1 - q)[:, None] * false)
-        sd = np.sqrt((rest**2).mean(0)) + 1e-9
-        corr = (rest.T @ rest) / len(rest) / sd[:, None] / sd[None, :]
-        weight = 1 / np.maximum(1, np.where(corr > 0.2, corr, 0).sum(1))
+        sd = np.sqrt((rest**2).mean(0)) + 1e-6
+        corr = 0.8 * (rest.T @ rest) / len(rest) / sd[:, None] / sd[None, :]
+        corr[np.diag_indices(len(corr))] = 1.0
+        apart = (hit - false) / sd
+        weight = np.clip(np.linalg.solve(corr, apart) / np.where(np.abs(apart) > 1e-9, apart, 1.0), 0.0, 1.0)
         fire, quiet = np.log(hit / false) * weight, np.log((1 - hit) / (1 - false)) * weight
-        score = votes @ (fire - quiet) + quiet.sum() + np.log(pos / neg) + np.where(gold > 0, 4.0, -4.0)
+        score = votes @ (fire - quiet) + quiet.sum() + np.log(pos / neg)
+        score[known] += np.where(gold[known] > 0, np.log(right[0] / (1 - right[1])), np.log((1 - right[0]) / right[1]))
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if np.abs(new - q).max() < 1e-4:
-            return new
+        done = np.abs(new - q).max() < 1e-4
         q = new
+        if done:
+            break
     return q
 
 
@@ -125,71 +163,93 @@ def linear(rows: list[np.ndarray], n: int, target: np.ndarray, rounds: int = 500
 
 
 class Model:
-    """Features of level 0, sorted, and the weight of each of their levels."""
-
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
-        self.keys, at = np.unique(keys & _BASE, return_inverse=True)
-        self.weights, self.bias = np.zeros((len(self.keys), len(LEVELS))), bias
-        self.weights[at, (keys & ~_BASE).astype(np.int64)] = weights
+    """Known features, their columns and weights. Columns: `keys` (with level), then RATES, then PATTERNS."""
+
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray):
+        """toxic: which keys (with level) are signs of toxic words."""
+        self.base, at = np.unique(keys & _BASE, return_inverse=True)
+        self.column = np.full((len(self.base), len(LEVELS)), -1)
+        self.column[at, (keys & ~_BASE).astype(np.int64)] = np.arange(len(keys))
+        self.toxic = np.zeros(len(self.base), bool)
+        self.toxic[at[toxic]] = True
+        self.n = len(keys) + len(RATES) + len(PATTERNS)
+        self.weights, self.bias = np.zeros(self.n), 0.0
+
+    def columns(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(text, column) of all that a text has."""
+        whose, word, keys, first = features(text)
+        known = np.zeros(len(text), np.int64)
+        doc, col = [], []
+        if len(self.base):
+            at = np.minimum(np.searchsorted(self.base, keys), len(self.base) - 1)
+            hit = np.flatnonzero(self.base[at] == keys)
+            sure = hit[self.toxic[at[hit]]]
+            known = np.bincount(owners(first, first[-1])[np.unique(word[sure])], minlength=len(text))
+            pair, count = np.unique(whose[hit] * len(self.base) + at[hit], return_counts=True)
+            own, feature = pair // len(self.base), pair % len(self.base)
+            for i, n in enumerate(LEVELS):
+                some = (count >= n) & (self.column[feature, i] >= 0)
+                doc.append(own[some])
+                col.append(self.column[feature[some], i])
+        words = np.maximum(np.diff(first), 1)
+        more = np.column_stack([*[(known > 0) & (known >= r * words) for r in RATES], patterns(text, known, first)])
+        a, b = np.nonzero(more)
+        return np.concatenate([*doc, a]), np.concatenate([*col, b + self.n - more.shape[1]])
 
     def scores(self, text: pa.Array) -> np.ndarray:
-        total = np.full(len(text), self.bias)
-        if len(self.keys):
-            whose, keys = features(text)
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-            pair, count = np.unique(whose[hit] * len(self.keys) + at[hit], return_counts=True)
-            doc, feature = pair // len(self.keys), pair % len(self.keys)
-            for i, n in enumerate(LEVELS):
-                total += np.bincount(doc, self.weights[feature, i] * (count >= n), len(text))
-        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+        doc, col = self.columns(text)
+        return 1 / (1 + np.exp(-np.clip(np.bincount(doc, self.weights[col], len(text)) + self.bias, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE) -> Model:
-    """Learn from labelled rows with crc32(doc_id as text) mod `folds` not 0, at most `sample` of them (those of smallest hash).
+    """Learn from rows with crc32(doc_id as text) mod `folds` not 0: at most `sample` labelled ones and as many without a label (those of smallest hash).
 
-    Features that stand in toxic examples more often than chance allows become voters, beside the lexicon. Only
-    counts of features, the chosen features of at most `sample` rows and the model reach the driver.
+    Features that stand in toxic examples more often than chance allows become voters, beside the lexicon, the shares of
+    toxic words and the patterns. Only counts of features, the columns of at most twice `sample` rows and the model reach the driver.
     """
     spark = docs.sparkSession
-    some = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
-    some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.join(F.broadcast(some), "doc_id").select("text", "toxic").mapInArrow(_examples, "toxic int, keys binary"), "toxic-examples")
-    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").where(learn)
+    gold = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    least = [F.xxhash64("doc_id"), "doc_id"]
+    some = gold.orderBy(*least).limit(sample).unionByName(texts.select("doc_id").join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").distinct().orderBy(*least).limit(sample).withColumn("toxic", F.lit(-1)))
+    rows = stored(texts.join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxic-examples")  # twice `sample` ids at most
+    labelled = rows.where("toxic >= 0")
+    n, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not positive or positive == n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((positive + 0.5) / (n - positive + 0.5))))
+        model = Model(np.zeros(0, np.uint64), np.zeros(0, bool))
+        model.bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
+        return model
     prior = positive / n
     mean, sd = F.col("n") * prior, F.sqrt(F.col("n") * (prior * (1 - prior)))
-    ranked = document_counts(rows, 3).withColumn("z", (F.col("pos") - mean) / sd).withColumn("rate", (F.col("pos") + 1) / (F.col("n") + 2))
+    ranked = document_counts(labelled, 3).withColumn("z", (F.col("pos") - mean) / sd).withColumn("rate", (F.col("pos") + 1) / (F.col("n") + 2))
     best = ranked.where(F.col("z") > 3).orderBy(F.desc("z"), "key").limit(FEATURES).collect()
     insults = span_hash(*_joined(INSULTS)) & _BASE
+    sure = np.array([r.key for r in best if r.rate > SURE][:VOTERS], np.int64).view(np.uint64)
     keys = np.unique(np.concatenate([np.array([r.key for r in best], np.int64).view(np.uint64), insults]))
-    names = spark.sparkContext.broadcast(keys)
+    toxic = np.isin(keys, np.concatenate([sure, insults]))
+    model = Model(keys, toxic)
+    names = spark.sparkContext.broadcast(model)
 
     def chosen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = names.value
-        for part in parts:
-            out = []
-            for raw in part.column("keys").to_pylist():
-                got = np.frombuffer(raw, np.uint64)
-                at = np.minimum(np.searchsorted(own, got), len(own) - 1)
-                out.append(at[own[at] == got].astype(np.int32).tobytes())
-            yield pa.record_batch({"toxic": part.column("toxic"), "cols": pa.array(out, pa.binary())})
-
-    got = rows.mapInArrow(chosen, "toxic int, cols binary").toArrow()
-    gold = got["toxic"].to_numpy()
+        for part in batches(parts):
+            doc, col = names.value.columns(part.column("text"))
+            order = np.argsort(doc, kind="stable")
+            cut = np.searchsorted(doc[order], np.arange(part.num_rows + 1))
+            col = col[order].astype(np.int32)
+            yield pa.record_batch({"toxic": part.column("toxic"), "cols": pa.array([col[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
+
+    got = rows.select("text", "toxic").mapInArrow(chosen, "toxic int, cols binary").toArrow()
     cols = [np.frombuffer(x, np.int32) for x in got["cols"].to_pylist()]
-    sure = [np.int64(r.key).view(np.uint64) for r in best if r.rate > 0.5][:VOTERS]
-    voters = np.unique(np.concatenate([np.searchsorted(keys, np.array(sure, np.uint64)), np.searchsorted(keys, insults)])).astype(np.int64)
-    column = np.full(len(keys), -1)
+    voters = np.concatenate([np.flatnonzero(toxic), np.arange(len(keys), model.n)])
+    column = np.full(model.n, -1)
     column[voters] = np.arange(len(voters))
-    votes = np.zeros((len(gold), len(voters)), np.float32)
+    votes = np.zeros((len(cols), len(voters)), np.float32)
     for i, x in enumerate(cols):
         at = column[x]
         votes[i, at[at >= 0]] = 1
-    weights, bias = linear(cols, len(keys), label_model(votes, gold))
-    return Model(keys, weights, bias)
+    model.weights, model.bias = linear(cols, model.n, label_model(votes, got["toxic"].to_numpy(), len(PATTERNS)))
+    return model
 
 
 def _joined(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,10 +261,10 @@ def _joined(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1), predicted.
 
-    fit() gives a linear classifier on words and word beginnings; its weights (at most FEATURES and the lexicon) go
-    to all tasks. Nothing but the text enters a score.
+    fit() gives a linear classifier on words, word beginnings, shares of toxic words and patterns; its weights (at most FEATURES,
+    the lexicon and some twenty more) go to all tasks. Nothing but the text enters a score.
 
-    Null texts count as empty: the classifier's bias. A null doc_id counts as held out. Labels without a document, or
+    Null texts count as empty: the classifier's bias and that they are short. A null doc_id counts as held out. Labels without a document, or
     null, are ignored; of several for a document the largest counts. Without both kinds of label all scores are
     the prior. Repeated rows stay repeated. No rows: no rows. Other columns are ignored.
     """
