@@ -7,6 +7,7 @@ import xxhash
 
 from tracelode.llm import simhash
 from tracelode.llm.components import connected_components, roots
+from tracelode.llm import exact_dedup as exact_dedup_module
 from tracelode.llm.exact_dedup import exact_dedup
 from tracelode.llm.line_dedup import line_dedup
 from tracelode.llm.substring_dedup import WORDS, repeated_passages, substring_dedup
@@ -42,6 +43,17 @@ def test_exact_dedup(docs, by_id):
             assert {r[0]: tuple(r)[1:] for r in exact_dedup(docs, keep=keep, fan_in=fan_in).collect()} == want
 
 
+def test_digests_that_begin_alike_stay_apart():
+    """Entries equal in their first eight bytes, or in digest but not in length, are others; equal ones of many runs become one."""
+    rows = np.zeros(6, exact_dedup_module._ROW)
+    rows["digest"] = [[1, 2, 3, 4], [1, 2, 3, 5], [1, 2, 3, 4], [1, 2, 3, 4], [0, 9, 9, 9], [1, 2, 3, 5]]
+    rows["n_bytes"], rows["keep_id"], rows["group_size"] = [7, 7, 7, 8, 7, 7], [5, 6, 9, 1, 2, 3], 1
+    for largest, want in ((True, [(0, 2, 1), (1, 9, 2), (1, 1, 1), (1, 6, 2)]), (False, [(0, 2, 1), (1, 5, 2), (1, 1, 1), (1, 3, 2)])):
+        runs = [exact_dedup_module.merged([rows[i : i + 1]], largest) for i in range(6)]
+        both = exact_dedup_module.merged([exact_dedup_module.merged(runs[:3], largest), exact_dedup_module.merged(runs[3:], largest)], largest)
+        assert [(int(x["digest"][0]), int(x["keep_id"]), int(x["group_size"])) for x in both] == want
+
+
 def test_exact_dedup_edges(empty, nulls):
     assert exact_dedup(empty).count() == 0
     got = rows(exact_dedup(nulls).select("doc_id", "keep_id", "group_size", "kept"))
@@ -65,7 +77,15 @@ def test_line_dedup(docs, by_id):
 
 
 def test_line_dedup_small_filter_is_exact(docs):
-    assert rows(line_dedup(docs, bits_per_key=1).select("doc_id", "text")) == rows(line_dedup(docs).select("doc_id", "text"))
+    """A filter so small that every key is suspected gives the same result."""
+    assert rows(line_dedup(docs, filter_bits=16).select("doc_id", "text")) == rows(line_dedup(docs).select("doc_id", "text"))
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "the same long line\nanother line here", "a", "b"), (2, "the same long line", "c", "d"), (2, None, None, None)], "doc_id long, text string, drop string, keys string")
+    out = line_dedup(df)
+    assert out.columns == ["doc_id", "drop", "keys", "text", "n_lines", "n_dropped"]
+    assert rows(out) == sorted([(1, "a", "b", "the same long line\nanother line here", 2, 0), (2, "c", "d", "", 1, 1), (2, None, None, "", 1, 0)], key=str)
 
 
 def test_line_dedup_edges(empty, nulls):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pack, put, release, run_dir, shards, stored
+from .shared import free_name, get, names, put, release, resident, run_dir, stored
 from .textops import batches, flat
 
 _WHITE = b" \t\n\v\f\r"
@@ -59,34 +59,38 @@ def _keys(parts: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tupl
         yield np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
 
 
-def _places(rows: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+def _places(rows: np.ndarray, segments: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Each digest's segment, and its bits there."""
     step = rows[:, 1] | np.uint64(1)
-    bits = np.stack([(rows[:, 0] + np.uint64(i) * step) >> np.uint64(7) for i in range(PROBES)], 1) & np.uint64(SEGMENT - 1)
+    bits = np.stack([(rows[:, 0] + np.uint64(i) * step) >> np.uint64(7) for i in range(PROBES)], 1) & np.uint64(size - 1)
     return ((rows[:, 1] >> np.uint64(32)) % np.uint64(segments)).astype(np.int64), bits.astype(np.int64)
 
 
-def _filter(bits: np.ndarray) -> np.ndarray:
-    out = np.zeros(SEGMENT, bool)
-    out[bits.ravel()] = True
-    return np.packbits(out)
+def _filter(bits: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size // 8, np.uint8)
+    bits = np.unique(bits)
+    if len(bits):
+        byte = bits >> 3
+        first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        out[byte[first]] = np.bitwise_or.reduceat((128 >> (bits & 7)).astype(np.uint8), first)
+    return out
 
 
-def _local(segments: int):
+def _local(segments: int, size: int):
     def local(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition's two filters, a segment at a time."""
         for rows, _ in _keys(parts):
             rows, counts = np.unique(rows, axis=0, return_counts=True)
-            segment, bits = _places(rows, segments)
+            segment, bits = _places(rows, segments, size)
             order = np.argsort(segment, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(segment[order])) + 1):
-                once, twice = _filter(bits[part]), _filter(bits[part[counts[part] > 1]])
+                once, twice = _filter(bits[part], size), _filter(bits[part[counts[part] > 1]], size)
                 yield pa.record_batch({"segment": pa.array([segment[part[0]]], pa.int32()), "once": pa.array([zlib.compress(once, 1)], pa.binary()), "twice": pa.array([zlib.compress(twice, 1)], pa.binary())})
 
     return local
 
 
-def _merged(folder: str):
+def _merged(folder: str, size: int):
     def merged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partial filters come sorted by segment; a bit set once in two of them is set twice."""
         at, once, twice = None, None, None
@@ -95,39 +99,44 @@ def _merged(folder: str):
                 a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
                 if segment != at:
                     if at is not None:
-                        put(folder, f"{at}.npz", pack(twice=twice))
+                        put(folder, f"{at}.bin", zlib.compress(twice, 1))
                         yield pa.record_batch({"segment": pa.array([at], pa.int32())})
-                    at, once, twice = segment, np.zeros(SEGMENT // 8, np.uint8), np.zeros(SEGMENT // 8, np.uint8)
+                    at, once, twice = segment, np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
                 twice |= b | (once & a)
                 once |= a
         if at is not None:
-            put(folder, f"{at}.npz", pack(twice=twice))
+            put(folder, f"{at}.bin", zlib.compress(twice, 1))
             yield pa.record_batch({"segment": pa.array([at], pa.int32())})
 
     return merged
 
 
-def _suspects(folder: str, segments: int):
+def _suspects(folder: str, segments: int, size: int):
+    def load(folder: str) -> np.ndarray:
+        out = np.zeros(segments * (size // 8), np.uint8)
+        for name in names(folder):
+            at = int(name.removesuffix(".bin")) * (size // 8)
+            out[at : at + size // 8] = np.frombuffer(zlib.decompress(get(folder, name)), np.uint8)
+        return out
+
     def suspects(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = resident("line-filter", folder, load)
         for rows, docs in _keys(parts):
-            segment, bits = _places(rows, segments)
-            order, table = np.argsort(segment, kind="stable"), shards(folder)
-            hit = np.zeros(len(rows), bool)
-            for part in np.split(order, np.flatnonzero(np.diff(segment[order])) + 1):
-                twice, where = table[f"{segment[part[0]]}.npz"]["twice"], bits[part]
-                hit[part] = ((twice[where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1).all(1)
+            segment, bits = _places(rows, segments, size)
+            where = segment[:, None] * size + bits
+            hit = ((twice[where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1).all(1)
             raw = np.ascontiguousarray(rows[hit]).tobytes()
             yield pa.record_batch({"key": pa.Array.from_buffers(pa.binary(16), hit.sum(), [None, pa.py_buffer(raw)]).cast(pa.binary()), "doc_id": pa.array(docs[hit], pa.int64())})
 
     return suspects
 
 
-def _rebuild(least: int):
+def _rebuild(least: int, drop_at: str):
     def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, most=8 << 20):
             data, at = flat(part.column("text"))
             raw, rows = data.tobytes(), []
-            for a, b, drop in zip(at[:-1].tolist(), at[1:].tolist(), part.column("drop").to_pylist()):
+            for a, b, drop in zip(at[:-1].tolist(), at[1:].tolist(), part.column(drop_at).to_pylist()):
                 lines = raw[a:b].split(b"\n")
                 if drop:
                     gone = set(drop)
@@ -136,7 +145,7 @@ def _rebuild(least: int):
                 else:
                     rows.append((len(lines), 0, raw[a:b].decode()))
             n, dropped, text = zip(*rows) if rows else ((), (), ())
-            out = part.drop_columns(["text", "drop"])
+            out = part.drop_columns(["text", drop_at])
             for name, values, kind in (("text", text, pa.string()), ("n_lines", n, pa.int64()), ("n_dropped", dropped, pa.int64())):
                 out = out.append_column(name, pa.array(values, kind))
             yield out
@@ -144,7 +153,7 @@ def _rebuild(least: int):
     return rebuild
 
 
-def line_dedup(docs: DataFrame, least: int = 10, bits_per_key: int = 16) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = 10, filter_bits: int = 1 << 29) -> DataFrame:
     """Drop lines whose key stands in two documents or more, except in the one with the smallest doc_id.
 
     Returns docs with the new text and n_lines (before), n_dropped. A line's key is the line without white space at
@@ -153,26 +162,29 @@ def line_dedup(docs: DataFrame, least: int = 10, bits_per_key: int = 16) -> Data
 
     Each partition fills two Bloom filters with its keys (all; those of two documents). Merged, the second also gets
     every bit that two partitions set, so it holds each key of two documents or more. Only keys found in it are
-    shuffled, confirmed by digest and given their smallest document. Filters have `bits_per_key` bits a key in
-    segments of a fixed size: tasks work on one segment at a time where all together are too large for memory.
+    shuffled, confirmed by digest and given their smallest document. The filters have `filter_bits` bits each (64 MB)
+    whatever the input (a power of two), in segments that are made in tasks of their own; a Python worker reads the second one once. Results
+    never depend on that size: beyond some hundred million keys more and more of those that stand once are
+    suspected too, and shuffled as 24 bytes each.
 
     Null texts count as empty (one empty line). Rows without a doc_id are left as they are. Rows with the same doc_id
     count as one document. No rows: no rows. Other columns pass through, but for n_lines and n_dropped of docs, which
     are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped", "drop").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.drop("n_lines", "n_dropped").withColumn("doc_id", F.col("doc_id").cast("long"))
     keys = stored(docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_lines(least), "doc_id long, keys binary, n_keys long"), "line-keys")
-    total = keys.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
-    segments = max(1, -(-total * bits_per_key // SEGMENT))
+    size = min(SEGMENT, filter_bits)
+    segments = filter_bits // size
     folder = run_dir(spark, "line-filter")
-    partial = keys.mapInArrow(_local(segments), "segment int, once binary, twice binary")
-    partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merged(folder), "segment int").agg(F.count("*")).collect()
-    suspects = stored(keys.mapInArrow(_suspects(folder, segments), "key binary, doc_id long"), "line-suspects")
+    partial = keys.mapInArrow(_local(segments, size), "segment int, once binary, twice binary")
+    partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merged(folder, size), "segment int").agg(F.count("*")).collect()
+    suspects = stored(keys.mapInArrow(_suspects(folder, segments, size), "key binary, doc_id long"), "line-suspects")
     confirmed = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("key", "first")
     confirmed = stored(confirmed, "line-repeats")  # so that the join below is between two plain shuffles, and hot keys are split
-    drop = suspects.join(confirmed, "key").where("doc_id != first").groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+    drop_at = free_name("drop", docs.columns)
+    drop = suspects.join(confirmed, "key").where("doc_id != first").groupBy("doc_id").agg(F.collect_set("key").alias(drop_at))
     rows = docs.withColumn("text", F.col("text").cast("string")).join(drop, "doc_id", "left")
-    rest = [c for c in rows.columns if c not in ("text", "drop")]
+    rest = [c for c in rows.columns if c not in ("text", drop_at)]
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest] + ["text string", "n_lines long", "n_dropped long"])
-    return rows.select(*[f"`{c}`" for c in rest], "text", "drop").mapInArrow(_rebuild(least), schema)
+    return rows.select(*[f"`{c}`" for c in rest], "text", drop_at).mapInArrow(_rebuild(least, drop_at), schema)

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shards, lookup, pack, put, run_dir, stored, write_table
+from .shared import get, put, release, run_dir, stored
 from .textops import LOWER, SPACE, batches, flat, span_hash, spans
 
 ORDER = 5  # bytes of context
@@ -42,87 +44,112 @@ def word_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(LOWER[data], starts, ends), first
 
 
-def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of grams (kind 0) and words (kind 1), summed before they leave the partition."""
+def _chunks(most: int):
+    def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with the number of their chunk: so many bytes of text in a row, or one longer text."""
+        release()
+        seq, size = TaskContext.get().partitionId() << 32, 0
+        for part in batches(parts, most=1 << 20):
+            n = part.column("text").nbytes
+            if size and size + n > most:
+                seq, size = seq + 1, 0
+            size += n
+            yield part.append_column("chunk", pa.array(np.full(part.num_rows, seq), pa.int64()))
+
+    return chunks
+
+
+def _of_chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, batch of a MB or so of it)."""
+    for part in batches(parts, most=1 << 20):
+        own = part.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield int(own[a]), part.slice(a, b - a)
+
+
+def _keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, key, chunk, n): each distinct gram (kind 0) and word (kind 1) of a chunk, and how often its training rows hold it."""
     held: dict[int, list] = {0: [], 1: []}
 
     def merge(kind: int) -> None:
-        if not held[kind]:
-            return
         keys = np.concatenate([x[0] for x in held[kind]])
         order = np.argsort(keys)
         keys, n = keys[order], np.concatenate([x[1] for x in held[kind]])[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         held[kind] = [(keys[first], np.add.reduceat(n, first))]
 
-    def rows(kind: int) -> Iterator[pa.RecordBatch]:
-        merge(kind)
-        for keys, n in held[kind]:
+    def rows(chunk: int) -> Iterator[pa.RecordBatch]:
+        for kind in (0, 1):
+            merge(kind)
+            keys, n = held[kind].pop()
             for a in range(0, len(keys), 50_000):
-                yield pa.record_batch({"kind": pa.array(np.full(len(keys[a : a + 50_000]), kind), pa.int32()), "key": pa.array(keys[a : a + 50_000], pa.int64()), "n": pa.array(n[a : a + 50_000], pa.int64())})
-        held[kind] = []
-
-    for part in batches(parts, most=1 << 20):
-        text = part.column("text")
-        words, _ = word_keys(text)
-        for kind, keys in ((0, grams(text)[0]), (1, words.view(np.int64))):
-            held[kind].append(np.unique(keys, return_counts=True))
+                some = keys[a : a + 50_000]
+                yield pa.record_batch({"kind": pa.array(np.full(len(some), kind), pa.int32()), "key": pa.array(some, pa.int64()), "chunk": pa.array(np.full(len(some), chunk)), "n": pa.array(n[a : a + 50_000], pa.int64())})
+
+    now = None
+    for chunk, part in _of_chunks(parts):
+        if now is not None and chunk != now:
+            yield from rows(now)
+        now = chunk
+        text, train = part.column("text"), ~part.column("held_out").to_numpy(zero_copy_only=False)
+        gram, sizes = grams(text)
+        words, first = word_keys(text)
+        for kind, keys, n in ((0, gram, sizes), (1, words.view(np.int64), np.diff(first))):
+            uniq, at = np.unique(keys, return_inverse=True)
+            held[kind].append((uniq, np.bincount(at, np.repeat(train, n), len(uniq)).astype(np.int64)))
             if len(held[kind]) > 8:
                 merge(kind)
-                if len(held[kind][0][0]) > 1_500_000:
-                    yield from rows(kind)
-        held[1].append((np.array([END_WORD]), np.array([len(text)])))
-    yield from rows(0)
-    yield from rows(1)
+        held[1].append((np.array([END_WORD]), np.array([train.sum()])))
+    if now is not None:
+        yield from rows(now)
+
+
+class Lower:
+    """What all tasks know: counts of symbols without context and after one byte (65,536 numbers, whatever the corpus)."""
+
+    def __init__(self, pairs: np.ndarray):
+        self.pairs = pairs  # [byte << 8 | symbol]: how many bytes stand before the pair
+        table = pairs.reshape(256, 256)
+        self.zero = (table > 0).sum(0)
+        ids = np.flatnonzero(pairs)
+        ctx = ids >> 8
+        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])[: len(ctx)])
+        self.nodes = {"k1": ids, "n1": pairs[ids], "c1": ctx[first]}
+        if len(ids):
+            t, d = np.add.reduceat(pairs[ids], first), np.diff(np.append(first, len(ids)))
+            self.nodes |= {"t1": t, "d1": d, "et1": self.zero.sum() - np.add.reduceat(self.zero[ids & 255], first), "ed1": (self.zero > 0).sum() - d}
 
 
-def trie_shard(key: np.ndarray, n: np.ndarray, zero: np.ndarray) -> dict[str, np.ndarray]:
-    """Nodes of all contexts with one last byte, from the counts of their deepest grams (sorted). zero: counts of symbols without context.
+def trie_nodes(key: np.ndarray, n: np.ndarray, lower: Lower) -> dict[str, np.ndarray]:
+    """Nodes of all contexts that end in the same two bytes as these grams (sorted, with the counts of the deepest order).
 
     Counts are updated with exclusion: below the deepest order, a gram counts once for each longer gram that ends in it.
     For each order: known grams and counts, known contexts with total t and distinct symbols d, and what a context's
     parent has left when the context's own symbols are excluded: et and ed.
     """
-    out: dict[str, np.ndarray] = {}
-    low, count = np.flatnonzero(zero), zero[zero > 0]
-    for order in range(1, ORDER + 1):
+    out = dict(lower.nodes)
+    if not len(key):
+        return out
+    low, count = np.arange(65536), lower.pairs
+    for order in range(2, ORDER + 1):
         longer = np.unique(key & ((1 << (8 * (order + 2))) - 1))  # at the deepest order, the keys themselves
         ids, at = np.unique(longer & ((1 << (8 * (order + 1))) - 1), return_inverse=True)
         own = np.bincount(at, n if order == ORDER else None, len(ids)).astype(np.int64)
         ctx = ids >> 8
         first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-        parent = (ids & 255) if order == 1 else ids & ((1 << (8 * order)) - 1)
-        mine = count[np.searchsorted(low, parent)]
+        mine = count[np.searchsorted(low, ids & ((1 << (8 * order)) - 1))]
         c = ctx[first]
         t, d = np.add.reduceat(own, first), np.diff(np.append(first, len(ids)))
-        if order == 1:
-            pt, pd = np.full(len(c), zero.sum()), np.full(len(c), (zero > 0).sum())
-        else:
-            up = np.searchsorted(out[f"c{order - 1}"], c & ((1 << (8 * (order - 1))) - 1))
-            pt, pd = out[f"t{order - 1}"][up], out[f"d{order - 1}"][up]
+        up = np.searchsorted(out[f"c{order - 1}"], c & ((1 << (8 * (order - 1))) - 1))
+        pt, pd = out[f"t{order - 1}"][up], out[f"d{order - 1}"][up]
         out |= {f"k{order}": ids, f"n{order}": own, f"c{order}": c, f"t{order}": t, f"d{order}": d, f"et{order}": pt - np.add.reduceat(mine, first), f"ed{order}": pd - d}
         low, count = ids, own
     return out
 
 
-def _write_shards(folder: str, zero: np.ndarray):
-    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(p.column(0).to_numpy(), p.column(1).to_numpy()) for p in parts if p.num_rows]
-        if got:
-            key, n = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-            order = np.argsort(key)
-            key, n = key[order], n[order]
-            last = key >> 8 & 255
-            for b in np.unique(last):
-                nodes = trie_shard(key[last == b], n[last == b], zero)
-                # counts and sums that fit take half the room
-                put(folder, f"{b:03d}.npz", pack(**{k: x.astype(np.int32) if k[0] not in "kc" and x.max() < 1 << 31 else x for k, x in nodes.items()}))
-            yield pa.record_batch({"n": pa.array([len(key)], pa.int64())})
-
-    return write
-
-
-def log_probs(key: np.ndarray, trie: dict[str, np.ndarray] | None, zero: np.ndarray) -> np.ndarray:
+def log_probs(key: np.ndarray, trie: dict[str, np.ndarray], zero: np.ndarray) -> np.ndarray:
     """log10 probability of distinct grams: from the longest known context down, escapes and symbol exclusion (estimates n - 1/2, escape d/2 of t)."""
     out, live = np.zeros(len(key)), np.arange(len(key))
     t = np.full(len(key), -1.0)  # -1: nothing is excluded yet
@@ -136,7 +163,9 @@ def log_probs(key: np.ndarray, trie: dict[str, np.ndarray] | None, zero: np.ndar
             some = ~found & (total > 0)
             out[live[some]] += np.log10(kinds[some] / (2 * total[some]))
 
-    for order in range(ORDER, 0, -1) if trie is not None else ():
+    for order in range(ORDER, 0, -1):
+        if not len(trie.get(f"c{order}", ())):
+            continue
         k = key[live] & ((1 << (8 * (order + 1))) - 1)
         ctx = k >> 8
         at = np.minimum(np.searchsorted(trie[f"c{order}"], ctx), len(trie[f"c{order}"]) - 1)
@@ -158,22 +187,122 @@ def log_probs(key: np.ndarray, trie: dict[str, np.ndarray] | None, zero: np.ndar
     return out
 
 
-def _scorer(trie: str, words: str, bits: int, zero: np.ndarray, total: int, kinds: int):
+def _answers(lower: Lower, most: int):
+    def answers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (kind, part, ask, key, n, chunk) come sorted by kind, part and ask: of each part first the corpus' counts (ask = 0), then what chunks ask. Gives (chunk, kind, key, value)."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        open_: tuple[tuple[int, int], tuple[np.ndarray, np.ndarray]] | None = None  # the kind and part that go on, and their counts
+        held: list[np.ndarray] = []
+
+        def work(rows: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+            """Answer what these rows of one kind ask. If the last part goes on (not whole), its counts are kept."""
+            nonlocal open_
+            own = rows[:, rows[2] == 0]
+            before = open_[1] if open_ is not None and open_[0] == (rows[0, 0], rows[1, 0]) else none
+            known = tuple(np.concatenate(x) for x in zip(before, own[3:5]))
+            order = np.argsort(known[0])
+            key, n = known[0][order], known[1][order]
+            ask = rows[:, rows[2] == 1]
+            uniq, at = np.unique(ask[3], return_inverse=True)
+            if len(uniq) and rows[0, 0] == 0:
+                value = log_probs(uniq, trie_nodes(key, n, lower), lower.zero)
+            elif len(uniq):
+                spot = np.minimum(np.searchsorted(key, uniq), max(len(key) - 1, 0))
+                value = np.where(key[spot] == uniq, n[spot], 0).astype(float) if len(key) else np.zeros(len(uniq))
+            if len(uniq):
+                for a in range(0, len(at), 50_000):
+                    b = slice(a, a + 50_000)
+                    yield pa.record_batch({"chunk": pa.array(ask[5, b]), "kind": pa.array(ask[0, b].astype(np.int32)), "key": pa.array(ask[3, b]), "value": pa.array(value[at[b]])})
+            last, some = rows[1, -1], own[1] == rows[1, -1]
+            if last != rows[1, 0]:
+                before = none
+            open_ = None if whole else ((rows[0, 0], last), tuple(np.concatenate(x) for x in zip(before, own[3:5, some])))
+
+        def some(end: bool) -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held, 1)
+            held.clear()
+            for kind in (0, 1):
+                one = rows[:, rows[0] == kind]
+                if not one.shape[1]:
+                    continue
+                goes_on = not end and rows[0, -1] == kind
+                if goes_on and one[2, -1] == 0:  # counts of the last part are still coming: it waits
+                    cut = int(np.searchsorted(one[1], one[1, -1]))
+                    held.append(one[:, cut:])
+                    one, goes_on = one[:, :cut], False
+                if one.shape[1]:
+                    yield from work(one, not goes_on)
+
+        for part in parts:
+            if part.num_rows:
+                held.append(np.stack([part.column(k).fill_null(0).to_numpy().astype(np.int64) for k in ("kind", "part", "ask", "key", "n", "chunk")]))
+                if sum(x.shape[1] for x in held) > most:
+                    yield from some(False)
+        if held:
+            yield from some(True)
+
+    return answers
+
+
+def _file(key: np.ndarray, value: np.ndarray) -> bytes:
+    """A sorted table of keys and values."""
+    return len(key).to_bytes(8, "little") + zstandard.compress(np.diff(key, prepend=0).astype("<i8").tobytes() + value.astype("<f8").tobytes(), 1)
+
+
+def _table(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, data = int.from_bytes(raw[:8], "little"), zstandard.decompress(raw[8:])
+    return np.cumsum(np.frombuffer(data, "<i8", n)), np.frombuffer(data, "<f8", n, 8 * n)
+
+
+def _deliver(folder: str):
+    def deliver(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (chunk, kind, key, value) come sorted by chunk: a file for each chunk and kind."""
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            kind, key, value = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            for k in (0, 1):
+                uniq, at = np.unique(key[kind == k], return_index=True)
+                put(folder, f"{now}-{k}.bin", _file(uniq, value[kind == k][at]))
+            return pa.record_batch({"n": pa.array([len(key)], pa.int64())})
+
+        for part in parts:
+            chunk, kind, key, value = (c.to_numpy() for c in part.columns)
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    if now is not None and chunk[a] != now:
+                        yield out()
+                    now = int(chunk[a])
+                    held.append((kind[a:b], key[a:b], value[a:b]))
+        if held:
+            yield out()
+
+    return deliver
+
+
+def _scorer(folder: str, total: int, kinds: int):
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes = None
-        for part in batches(parts, most=1 << 20):
-            nodes = nodes or trie_reader(trie)
+        now, tables = None, []
+        for chunk, part in _of_chunks(parts):
+            if chunk != now:
+                now, tables = chunk, [_table(get(folder, f"{chunk}-{k}.bin")) for k in (0, 1)]
+
+            def value(kind: int, keys: np.ndarray, tables: list = tables) -> np.ndarray:
+                own, values = tables[kind]
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                if not np.array_equal(own[at], keys):
+                    raise ValueError("a chunk holds what it did not ask for")
+                return values[at]
+
             text = part.column("text")
             key, sizes = grams(text)
             uniq, at = np.unique(key, return_inverse=True)
-            probs, last = np.zeros(len(uniq)), uniq >> 8 & 255
-            for b in np.unique(last):
-                some = np.flatnonzero(last == b)
-                probs[some] = log_probs(uniq[some], nodes[f"{b:03d}.npz"] if f"{b:03d}.npz" in nodes else None, zero)
-            sums = np.add.reduceat(probs[at], np.cumsum(sizes) - sizes)
+            sums = np.add.reduceat(value(0, uniq)[at], np.cumsum(sizes) - sizes)
             own, first = word_keys(text)
-            uniq, at = np.unique(np.append(own, np.uint64(END_WORD & (1 << 64) - 1)), return_inverse=True)
-            c = lookup(uniq, words, 0, bits)[at]
+            uniq, at = np.unique(np.append(own.view(np.int64), END_WORD), return_inverse=True)
+            c = value(1, uniq)[at]
             base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
             add = lambda x: np.diff(np.append(0, np.cumsum(x[:-1]))[first]) + x[-1]
             yield pa.record_batch({
@@ -184,18 +313,7 @@ def _scorer(trie: str, words: str, bits: int, zero: np.ndarray, total: int, kind
     return score
 
 
-_tries: dict = {}
-
-
-def trie_reader(folder: str):
-    """The trie's reader, kept apart from the word table's."""
-    if folder not in _tries:
-        _tries.clear()
-        _tries[folder] = Shards(folder, 128 << 20)
-    return _tries[folder]
-
-
-def ppm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
+def ppm_scores(docs: DataFrame, folds: int = 10, chunk: int = 16 << 20, most: int = 400_000) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Rows with crc32(doc_id as text) mod `folds` = 0 are held out; all others are counted. base_score is a unigram
@@ -203,9 +321,11 @@ def ppm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     and the end under a byte trie of ORDER bytes of context: the longest known context gives the estimate; otherwise
     its escape, and the next shorter one without the symbols already excluded.
 
-    Counts of grams and words are summed within partitions, then by key. The trie is cut by a context's last byte and
-    the words by hash, each part built in its own task and read from the shared folder: kept if all parts together
-    are small, else one at a time for each batch.
+    Texts are dealt to chunks of `chunk` bytes, and a chunk's distinct grams and words with their counts are all that is
+    shuffled: first to be summed, then each to the part of the trie (contexts that end in the same two bytes) or of the
+    word table that knows it, and the answers back to a file for the chunk, which its texts are scored by. No table is looked up
+    across tasks: a part's counts are met once by what asks it, `most` rows at a time, and a chunk's file is read with the
+    chunk. Only the 65,536 counts below two bytes of context go to all tasks.
 
     Null texts count as empty (only the end is scored). A null doc_id counts as held out. Without training rows
     every symbol has the same probability. Repeated rows count as often as they stand. No rows: no rows.
@@ -213,16 +333,20 @@ def ppm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     spark = docs.sparkSession
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold == 0).alias("held_out"))
-    train = rows.where("not held_out").select("text")
-    counts = stored(train.mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    words = counts.where("kind = 1")
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    zero = np.zeros(SYMBOLS, np.int64)
-    for r in counts.where("kind = 0").select((F.col("key") % 65536).alias("pair")).distinct().groupBy((F.col("pair") % 256).alias("s")).agg(F.count("*").alias("n")).collect():  # at most 256 rows
-        zero[r.s] = r.n
-    trie, table, bits = run_dir(spark, "lm-trie"), run_dir(spark, "lm-words"), 6
-    last = F.shiftright("key", 8).bitwiseAND(F.lit(255)).cast("int")
-    counts.where("kind = 0").select("key", "n", last.alias("last")).repartitionById(256, "last").select("key", "n").mapInArrow(_write_shards(trie, zero), "n long").agg({"n": "sum"}).collect()
-    write_table(words.select("key", F.col("n").alias("value")), table, bits)
+    rows = stored(rows.mapInArrow(_chunks(chunk), "doc_id long, text string, held_out boolean, chunk long"), "lm-texts")
+    keys = stored(rows.select("text", "held_out", "chunk").mapInArrow(_keys, "kind int, key long, chunk long, n long"), "lm-keys", "zstd")
+    counts = stored(keys.where("n > 0").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts", "zstd")
+    total, kinds = counts.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    pairs = np.zeros(65536, np.int64)
+    triple = counts.where("kind = 0").select((F.col("key") % (1 << 24)).alias("t")).distinct()
+    for r in triple.groupBy((F.col("t") % 65536).alias("pair")).agg(F.count("*").alias("n")).collect():  # at most 65,536 rows
+        pairs[r.pair] = r.n
+    part = F.when(F.col("kind") == 0, F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(65535)).alias("part")
+    zero = F.lit(0).cast("long")
+    both = counts.select("kind", part, F.lit(0).alias("ask"), "key", "n", zero.alias("chunk")).unionByName(keys.select("kind", part, F.lit(1).alias("ask"), "key", zero.alias("n"), "chunk"))
+    sort = both.repartition("kind", "part").sortWithinPartitions("kind", "part", "ask", "key")
+    answers = sort.mapInArrow(_answers(Lower(pairs), most), "chunk long, kind int, key long, value double")
+    folder = run_dir(spark, "lm-answers")
+    answers.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_deliver(folder), "n long").agg({"n": "sum"}).collect()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(_scorer(trie, table, bits, zero, total, kinds), schema)
+    return rows.mapInArrow(_scorer(folder, total, kinds), schema)

@@ -21,13 +21,20 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{base or 'file://' + tempfile.gettempdir() + '/tracelode-shared'}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df in the shared folder and read it back: later work does not repeat it, and lost executors cost nothing."""
     path = run_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """A column name that is not among these."""
+    while name in columns:
+        name = "_" + name
+    return name
+
+
 def put(folder: str, name: str, data: bytes) -> None:
     """Write a file under a name of its own, then move it: a repeated task leaves the same whole file."""
     fs, path = pafs.FileSystem.from_uri(folder)
