@@ -17,6 +17,7 @@ from .textops import LOWER, SPACE, batches, flat, span_hash, spans
 ORDER = 5  # bytes of context
 END = 255  # no byte of UTF-8: stands before a text and ends it
 SYMBOLS = 256
+UNIT = float(1 << 26)  # probabilities travel as whole numbers of 1 / UNIT in log10: a gram's is right to 1e-8
 END_WORD = -7046029254386353131  # key of the end token, apart from any word
 
 
@@ -69,8 +70,16 @@ def _of_chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Record
                 yield int(own[a]), part.slice(a, b - a)
 
 
-def _keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, chunk, n): each distinct gram (kind 0) and word (kind 1) of a chunk, and how often its training rows hold it."""
+def _keys(ask: bool):
+    """ask: (what, key, chunk) of each distinct gram (what 1) and word (what 3) of a chunk. Else (what, key, n): how often the training rows of a chunk hold a gram (what 0) or word (what 2)."""
+
+    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _distinct(parts, ask)
+
+    return keys
+
+
+def _distinct(parts: Iterator[pa.RecordBatch], ask: bool) -> Iterator[pa.RecordBatch]:
     held: dict[int, list] = {0: [], 1: []}
 
     def merge(kind: int) -> None:
@@ -84,9 +93,12 @@ def _keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind in (0, 1):
             merge(kind)
             keys, n = held[kind].pop()
+            if not ask:
+                keys, n = keys[n > 0], n[n > 0]
             for a in range(0, len(keys), 50_000):
                 some = keys[a : a + 50_000]
-                yield pa.record_batch({"kind": pa.array(np.full(len(some), kind), pa.int32()), "key": pa.array(some, pa.int64()), "chunk": pa.array(np.full(len(some), chunk)), "n": pa.array(n[a : a + 50_000], pa.int64())})
+                x = np.full(len(some), chunk) if ask else n[a : a + 50_000]
+                yield pa.record_batch({"what": pa.array(np.full(len(some), 2 * kind + ask), pa.int32()), "key": pa.array(some, pa.int64()), "x": pa.array(x, pa.int64())})
 
     now = None
     for chunk, part in _of_chunks(parts):
@@ -187,55 +199,61 @@ def log_probs(key: np.ndarray, trie: dict[str, np.ndarray], zero: np.ndarray) ->
     return out
 
 
+def _part(key: np.ndarray, kind: int) -> np.ndarray:
+    """Which part of the trie or of the word table knows a key; as part() says in SQL."""
+    return key >> 8 & 65535 if kind == 0 else key & 65535
+
+
 def _answers(lower: Lower, most: int):
     def answers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (kind, part, ask, key, n, chunk) come sorted by kind, part and ask: of each part first the corpus' counts (ask = 0), then what chunks ask. Gives (chunk, kind, key, value)."""
+        """Rows (what, key, x) come sorted by kind and part, of each part first the corpus' counts, then what chunks ask. Gives (to, key, value): to is twice the chunk and the kind; value a word's count or a gram's -log10 probability in units of 1 / UNIT."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         open_: tuple[tuple[int, int], tuple[np.ndarray, np.ndarray]] | None = None  # the kind and part that go on, and their counts
         held: list[np.ndarray] = []
 
-        def work(rows: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+        def work(kind: int, rows: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
             """Answer what these rows of one kind ask. If the last part goes on (not whole), its counts are kept."""
             nonlocal open_
-            own = rows[:, rows[2] == 0]
-            before = open_[1] if open_ is not None and open_[0] == (rows[0, 0], rows[1, 0]) else none
-            known = tuple(np.concatenate(x) for x in zip(before, own[3:5]))
+            part, asks = _part(rows[1], kind), rows[0] & 1 == 1
+            before = open_[1] if open_ is not None and open_[0] == (kind, part[0]) else none
+            known = tuple(np.concatenate(x) for x in zip(before, rows[1:, ~asks]))
             order = np.argsort(known[0])
             key, n = known[0][order], known[1][order]
-            ask = rows[:, rows[2] == 1]
-            uniq, at = np.unique(ask[3], return_inverse=True)
-            if len(uniq) and rows[0, 0] == 0:
-                value = log_probs(uniq, trie_nodes(key, n, lower), lower.zero)
+            uniq, at = np.unique(rows[1, asks], return_inverse=True)
+            if len(uniq) and kind == 0:
+                value = np.rint(-UNIT * log_probs(uniq, trie_nodes(key, n, lower), lower.zero)).astype(np.int64)
             elif len(uniq):
                 spot = np.minimum(np.searchsorted(key, uniq), max(len(key) - 1, 0))
-                value = np.where(key[spot] == uniq, n[spot], 0).astype(float) if len(key) else np.zeros(len(uniq))
+                value = np.where(key[spot] == uniq, n[spot], 0) if len(key) else np.zeros(len(uniq), np.int64)
             if len(uniq):
+                to, asked = 2 * rows[2, asks] + kind, rows[1, asks]
                 for a in range(0, len(at), 50_000):
                     b = slice(a, a + 50_000)
-                    yield pa.record_batch({"chunk": pa.array(ask[5, b]), "kind": pa.array(ask[0, b].astype(np.int32)), "key": pa.array(ask[3, b]), "value": pa.array(value[at[b]])})
-            last, some = rows[1, -1], own[1] == rows[1, -1]
-            if last != rows[1, 0]:
+                    yield pa.record_batch({"to": pa.array(to[b]), "key": pa.array(asked[b]), "value": pa.array(value[at[b]])})
+            if part[-1] != part[0]:
                 before = none
-            open_ = None if whole else ((rows[0, 0], last), tuple(np.concatenate(x) for x in zip(before, own[3:5, some])))
+            last = ~asks & (part == part[-1])
+            open_ = None if whole else ((kind, part[-1]), tuple(np.concatenate(x) for x in zip(before, rows[1:, last])))
 
         def some(end: bool) -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(held, 1)
             held.clear()
             for kind in (0, 1):
-                one = rows[:, rows[0] == kind]
+                one = rows[:, rows[0] >> 1 == kind]
                 if not one.shape[1]:
                     continue
-                goes_on = not end and rows[0, -1] == kind
-                if goes_on and one[2, -1] == 0:  # counts of the last part are still coming: it waits
-                    cut = int(np.searchsorted(one[1], one[1, -1]))
+                goes_on = not end and rows[0, -1] >> 1 == kind
+                if goes_on and one[0, -1] & 1 == 0:  # counts of the last part are still coming: it waits
+                    part = _part(one[1], kind)
+                    cut = int(np.argmax(part == part[-1]))
                     held.append(one[:, cut:])
                     one, goes_on = one[:, :cut], False
                 if one.shape[1]:
-                    yield from work(one, not goes_on)
+                    yield from work(kind, one, not goes_on)
 
         for part in parts:
             if part.num_rows:
-                held.append(np.stack([part.column(k).fill_null(0).to_numpy().astype(np.int64) for k in ("kind", "part", "ask", "key", "n", "chunk")]))
+                held.append(np.stack([c.to_numpy().astype(np.int64) for c in part.columns]))
                 if sum(x.shape[1] for x in held) > most:
                     yield from some(False)
         if held:
@@ -246,36 +264,35 @@ def _answers(lower: Lower, most: int):
 
 def _file(key: np.ndarray, value: np.ndarray) -> bytes:
     """A sorted table of keys and values."""
-    return len(key).to_bytes(8, "little") + zstandard.compress(np.diff(key, prepend=0).astype("<i8").tobytes() + value.astype("<f8").tobytes(), 1)
+    return len(key).to_bytes(8, "little") + zstandard.compress(np.diff(key, prepend=0).astype("<i8").tobytes() + value.astype("<i8").tobytes(), 1)
 
 
 def _table(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, data = int.from_bytes(raw[:8], "little"), zstandard.decompress(raw[8:])
-    return np.cumsum(np.frombuffer(data, "<i8", n)), np.frombuffer(data, "<f8", n, 8 * n)
+    return np.cumsum(np.frombuffer(data, "<i8", n)), np.frombuffer(data, "<i8", n, 8 * n)
 
 
 def _deliver(folder: str):
     def deliver(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (chunk, kind, key, value) come sorted by chunk: a file for each chunk and kind."""
+        """Rows (to, key, value) come sorted by `to`: a file for each."""
         now, held = None, []
 
         def out() -> pa.RecordBatch:
-            kind, key, value = (np.concatenate(x) for x in zip(*held))
+            key, value = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            for k in (0, 1):
-                uniq, at = np.unique(key[kind == k], return_index=True)
-                put(folder, f"{now}-{k}.bin", _file(uniq, value[kind == k][at]))
+            uniq, at = np.unique(key, return_index=True)
+            put(folder, f"{now}.bin", _file(uniq, value[at]))
             return pa.record_batch({"n": pa.array([len(key)], pa.int64())})
 
         for part in parts:
-            chunk, kind, key, value = (c.to_numpy() for c in part.columns)
-            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            to, key, value = (c.to_numpy() for c in part.columns)
+            cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
             for a, b in zip(cuts, cuts[1:]):
                 if a < b:
-                    if now is not None and chunk[a] != now:
+                    if now is not None and to[a] != now:
                         yield out()
-                    now = int(chunk[a])
-                    held.append((kind[a:b], key[a:b], value[a:b]))
+                    now = int(to[a])
+                    held.append((key[a:b], value[a:b]))
         if held:
             yield out()
 
@@ -287,7 +304,7 @@ def _scorer(folder: str, total: int, kinds: int):
         now, tables = None, []
         for chunk, part in _of_chunks(parts):
             if chunk != now:
-                now, tables = chunk, [_table(get(folder, f"{chunk}-{k}.bin")) for k in (0, 1)]
+                now, tables = chunk, [_table(get(folder, f"{2 * chunk + k}.bin")) for k in (0, 1)]
 
             def value(kind: int, keys: np.ndarray, tables: list = tables) -> np.ndarray:
                 own, values = tables[kind]
@@ -299,7 +316,7 @@ def _scorer(folder: str, total: int, kinds: int):
             text = part.column("text")
             key, sizes = grams(text)
             uniq, at = np.unique(key, return_inverse=True)
-            sums = np.add.reduceat(value(0, uniq)[at], np.cumsum(sizes) - sizes)
+            sums = np.add.reduceat(value(0, uniq)[at], np.cumsum(sizes) - sizes) / -UNIT
             own, first = word_keys(text)
             uniq, at = np.unique(np.append(own.view(np.int64), END_WORD), return_inverse=True)
             c = value(1, uniq)[at]
@@ -333,20 +350,20 @@ def ppm_scores(docs: DataFrame, folds: int = 10, chunk: int = 16 << 20, most: in
     spark = docs.sparkSession
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold == 0).alias("held_out"))
-    rows = stored(rows.mapInArrow(_chunks(chunk), "doc_id long, text string, held_out boolean, chunk long"), "lm-texts")
-    keys = stored(rows.select("text", "held_out", "chunk").mapInArrow(_keys, "kind int, key long, chunk long, n long"), "lm-keys", "zstd")
-    counts = stored(keys.where("n > 0").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts", "zstd")
-    total, kinds = counts.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    rows = stored(rows.mapInArrow(_chunks(chunk), "doc_id long, text string, held_out boolean, chunk long"), "lm-texts", "zstd")
+    texts = rows.select("text", "held_out", "chunk")
+    counts = stored(texts.mapInArrow(_keys(False), "what int, key long, x long").groupBy("what", "key").agg(F.sum("x").alias("x")), "lm-counts", "zstd")
+    total, kinds = counts.where("what = 2").agg(F.coalesce(F.sum("x"), F.lit(0)), F.count("*")).first()
     pairs = np.zeros(65536, np.int64)
-    triple = counts.where("kind = 0").select((F.col("key") % (1 << 24)).alias("t")).distinct()
+    triple = counts.where("what = 0").select((F.col("key") % (1 << 24)).alias("t")).distinct()
     for r in triple.groupBy((F.col("t") % 65536).alias("pair")).agg(F.count("*").alias("n")).collect():  # at most 65,536 rows
         pairs[r.pair] = r.n
-    part = F.when(F.col("kind") == 0, F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(65535)).alias("part")
-    zero = F.lit(0).cast("long")
-    both = counts.select("kind", part, F.lit(0).alias("ask"), "key", "n", zero.alias("chunk")).unionByName(keys.select("kind", part, F.lit(1).alias("ask"), "key", zero.alias("n"), "chunk"))
-    sort = both.repartition("kind", "part").sortWithinPartitions("kind", "part", "ask", "key")
-    answers = sort.mapInArrow(_answers(Lower(pairs), most), "chunk long, kind int, key long, value double")
+    kind = F.shiftright("what", 1)
+    part = F.when(kind == 0, F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(65535))
+    both = counts.unionByName(texts.mapInArrow(_keys(True), "what int, key long, x long"))
+    sort = both.repartition(kind, part).sortWithinPartitions(kind, part, "what", "key")
+    answers = sort.mapInArrow(_answers(Lower(pairs), most), "to long, key long, value long")
     folder = run_dir(spark, "lm-answers")
-    answers.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_deliver(folder), "n long").agg({"n": "sum"}).collect()
+    answers.repartition("to").sortWithinPartitions("to").mapInArrow(_deliver(folder), "n long").agg({"n": "sum"}).collect()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.mapInArrow(_scorer(folder, total, kinds), schema)
