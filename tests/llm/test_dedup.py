@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -115,6 +116,75 @@ def test_simhash_edges(empty, nulls):
     assert rows(simhash.simhash_groups(nulls).select("doc_id", "component_id"))[:2] == [(5, 5), (7, 7)]
 
 
+def families(seed=11, n=40):
+    """Texts of 60 to 300 words with copies that differ in some words, and texts of their own."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(3000)}"
+    out = []
+    for _ in range(n):
+        one = [word() for _ in range(rng.randrange(60, 300))]
+        out.append(" ".join(one))
+        for _ in range(rng.randrange(4)):
+            other = list(one)
+            for _ in range(rng.randrange(1, max(2, len(one) // 30))):
+                at = rng.randrange(len(other))
+                other[at : at + rng.randrange(2)] = [word()]
+            out.append(" ".join(other))
+    return out
+
+
+def set5(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(UPPER))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else {()})
+
+
+def check_near(spark, texts, **more):
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), **more).collect()}
+    sets = [set5(t or "") for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return got, brute_components(range(len(texts)), pairs), pairs
+
+
+def test_near_groups(spark, texts):
+    """Groups by five-word Jaccard of 0.8 or more, against all pairs."""
+    for own in (families(), texts):
+        got, want, pairs = check_near(spark, own)
+        joined = sum(got[a] == got[b] for a, b in pairs)
+        print("pairs", len(pairs), "joined", joined)
+        assert len(pairs) > 10 and joined >= 0.98 * len(pairs)
+        assert all(want[i] == want[c] for i, c in got.items())  # nothing else is joined
+        assert all(c <= i for i, c in got.items())
+
+
+def test_near_groups_in_hot_buckets(spark, monkeypatch):
+    """One family of many near copies with buckets cut again above a low limit."""
+    monkeypatch.setattr(simhash, "HOT", 20)
+    rng = random.Random(3)
+    one = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    own = [" ".join(x if rng.random() > 0.01 else "other" for x in one) for _ in range(90)] + families(5, 10)
+    got, want, pairs = check_near(spark, own)
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs) and all(want[i] == want[c] for i, c in got.items())
+
+
+def test_near_groups_edges(empty, nulls):
+    assert simhash.near_groups(empty).count() == 0
+    assert rows(simhash.near_groups(nulls)) == sorted([(None, 5), (None, None), (5, 5), (7, 7), (7, 7)], key=str)
+
+
+def test_nearest_against_all_distances():
+    rng = np.random.Generator(np.random.PCG64(12))
+    base = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
+    fp = np.concatenate([base[rng.integers(0, 3, 300)] ^ (rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64))])
+    bucket = np.sort(rng.integers(0, 6, 300)) * (np.arange(300) < 150) + 9 * (np.arange(300) >= 150)
+    i, j = simhash.nearest(fp, bucket, 60)
+    got = dict.fromkeys(zip(i.tolist(), j.tolist()))
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2).astype(int)
+    want = []
+    for a in range(300):
+        want += [(a, b) for _, b in sorted((d[a, b], b) for b in range(a) if bucket[a] == bucket[b] and d[a, b] <= 60)[:4]]
+    assert list(got) == want and want
+
+
 def test_near_links_in_hot_buckets(spark, monkeypatch):
     """Many fingerprints that differ in a few bits only, with buckets cut again above a low limit."""
     rng = np.random.Generator(np.random.PCG64(1))

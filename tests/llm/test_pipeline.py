@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -7,7 +8,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tracelode.llm.substring_dedup import WORDS
 
-from .test_dedup import brute_components, brute_fingerprint
+from .test_dedup import brute_components, set5
 from .test_scores import brute_quality
 
 
@@ -37,8 +38,8 @@ def test_stages(spark, source, tmp_path_factory):
     key = lambda x: re.sub("[A-Z]+", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     holders = Counter(k for t in out["line_dedup"].values() for k in {key(x) for x in t.split("\n")} if len(k) >= 10)
     assert max(holders.values()) == 1
-    prints = {i: brute_fingerprint(t) for i, t in out["line_dedup"].items()}
-    comp = brute_components(sorted(prints), [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    sets = {i: set5(t) for i, t in out["line_dedup"].items()}
+    comp = brute_components(sorted(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     assert out["simhash_near_dedup"].keys() == set(comp.values())
     assert out["substring_dedup"].keys() == out["simhash_near_dedup"].keys()
     n = 2 * WORDS - 1
@@ -50,6 +51,30 @@ def test_stages(spark, source, tmp_path_factory):
     assert {r.doc_id for r in out["packing"]} == out["substring_dedup"].keys()
 
 
+def stages(spark, docs, tmp):
+    """Every stage over what the one before wrote."""
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "").write.parquet(str(tmp / name))
+        docs = spark.read.parquet(str(tmp / name))
+        out[name] = docs
+    return out
+
+
+def test_nulls_repeats_and_an_empty_corpus(spark, empty, tmp_path):
+    """Rows without a doc_id go through all stages, repeated rows stay repeated, and a corpus of which nothing is kept gives no rows."""
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(["river", "stone", "light", "walks", "never", "quiet", "tower", "grain"]) + rng.choice("abcdefgh") for _ in range(60))
+    one, two = text(), text()
+    rows = [(None, one, None, None, None), (5, two, "en", "s", 1), (5, two, "en", "s", 1), (6, None, None, None, None), (7, "", "en", "s", 0)]
+    out = stages(spark, spark.createDataFrame(rows, empty.schema), tmp_path / "a")
+    near = sorted(((r.doc_id, r.text) for r in out["simhash_near_dedup"].collect()), key=str)
+    assert near == sorted([(None, one), (5, two), (5, two)], key=str)
+    assert sorted({str(r.doc_id) for r in out["packing"].collect()}) == ["5", "None"]
+    for i, nothing in enumerate((empty, spark.createDataFrame(rows[3:], empty.schema))):
+        assert all(df.count() == 0 for df in stages(spark, nothing, tmp_path / f"b{i}").values())
+
+
 def test_registered(spark):
     names = entry.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
