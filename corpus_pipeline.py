@@ -10,7 +10,7 @@ from tracelode.llm.line_dedup import line_dedup
 from tracelode.llm.packing import pack_documents
 from tracelode.llm.quality import quality_rules
 from tracelode.llm.shared import stored
-from tracelode.llm.simhash import simhash_groups
+from tracelode.llm.simhash import near_groups
 from tracelode.llm.substring_dedup import substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,9 +32,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    groups = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return _documents(docs.join(groups, "doc_id", "left_semi"))
+    """Of each group of near-duplicates (five-word shingles, 0.8 or more) the document with the smallest doc_id stays. Rows without a doc_id stay."""
+    kept = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return _documents(docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
