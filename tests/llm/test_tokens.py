@@ -152,7 +152,7 @@ def test_differencing():
 
 def test_windows_are_nearly_equal_and_one_more_when_one_is_over():
     rng = np.random.Generator(np.random.PCG64(7))
-    pieces = [(i, a, b) for i, n in enumerate(rng.integers(1, 1024, 512).tolist()) for a, b in packing.cuts(0, n, 512, i % packing.FINE == 0)]
+    pieces = [(i, a, b) for i, n in enumerate(rng.integers(1, 1024, 512).tolist()) for a, b in packing.cuts(0, n, 1024, i % packing.FINE == 0)]
     got = packing.windows(pieces, 1024)
     sums = [sum(p[2] for p in w) for w in got]
     assert max(sums) <= 1024 and max(sums) - min(sums) < 30 and sum(sums) > 0.99 * 1024 * len(sums)

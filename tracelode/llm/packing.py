@@ -59,15 +59,17 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 def windows(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of nearly equal sums that hold all pieces (item, begin, length), none over the capacity.
 
-    As few windows as the sum asks for are tried first; while one of them is over the capacity there is one more.
+    As few windows as the sum asks for are tried first; while one of them is over the capacity there are more: one, or as many as lower the mean by what it is over.
     Pieces of an item that follow each other and meet in a window are one piece again.
     """
-    k = -(-sum(p[2] for p in pieces) // capacity)
+    total = sum(p[2] for p in pieces)
+    k = -(-total // capacity)
     while k:
         dealt = differencing([p[2] for p in pieces], k)
-        if max(sum(pieces[i][2] for i in items) for items in dealt) <= capacity:
+        over = max(sum(pieces[i][2] for i in items) for items in dealt) - capacity
+        if over <= 0:
             break
-        k += 1
+        k = max(k + 1, -(-total // max(capacity - over, 1))) if over < capacity // 16 else k + 1
     out = []
     for items in dealt if k else []:
         own: list[tuple[int, int, int]] = []
@@ -143,7 +145,7 @@ def _packer(path: str, end_id: int, capacity: int, group: int, piece: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, group: int = 512, piece: int = 512) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, group: int = 512, piece: int = 1024) -> DataFrame:
     """Pieces of documents in sequences of `capacity` ids: doc_id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset.
 
     Texts are encoded and end_id appended. Windows that one document fills are cut off it; its rest is cut into equal pieces
