@@ -4,21 +4,30 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import io
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_roots: dict[str, str] = {}
+
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; one of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or 'file://' + tempfile.gettempdir() + '/tracelode-shared'}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder below spark.checkpoint.dir, which goes when the application ends. Where that is unset, local sessions get a folder of their own, and clusters an error."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _roots:
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        root = f"{base or 'file://' + tempfile.gettempdir()}/tracelode-{uuid.uuid4().hex[:12]}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots[sc.applicationId] = root
+    return f"{_roots[sc.applicationId]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -58,85 +67,6 @@ def names(folder: str) -> dict[str, int]:
     return {x.base_name: x.size for x in found if x.is_file and not x.base_name.startswith(".")}
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
-
-
-class Shards:
-    """Read side of a table cut into files: all are kept in memory if together they are below `most` bytes, else each is read when it is asked for."""
-
-    def __init__(self, folder: str, most: int = 96 << 20):
-        self.folder, self.sizes, self.kept = folder, names(folder), {}
-        self.keep = sum(self.sizes.values()) <= most
-
-    def __contains__(self, name: str) -> bool:
-        return name in self.sizes
-
-    def __getitem__(self, name: str) -> dict[str, np.ndarray]:
-        if name in self.kept:
-            return self.kept[name]
-        with np.load(io.BytesIO(get(self.folder, name))) as file:
-            out = {k: file[k] for k in file.files}
-        if self.keep:
-            self.kept[name] = out
-        return out
-
-
-_open: dict[str, Shards] = {}
-
-
-def shards(folder: str, most: int = 96 << 20) -> Shards:
-    """One reader for each Python worker."""
-    if folder not in _open:
-        _open.clear()
-        _open[folder] = Shards(folder, most)
-    return _open[folder]
-
-
-def hold(*folders: str) -> None:
-    """Readers of several tables that a stage asks in turn, within the memory of one."""
-    _open.clear()
-    _open.update({x: Shards(x, (96 << 20) // len(folders)) for x in folders})
-
-
-def lookup(keys: np.ndarray, folder: str, default: int, bits: int) -> np.ndarray:
-    """Values of uint64 keys in a table that write_table() wrote."""
-    order = np.argsort(keys)
-    ordered, found, table = keys[order], np.full(len(keys), default, np.int64), shards(folder)
-    cuts = np.searchsorted(ordered, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)])):
-        if a < b and f"{k:05d}.npz" in table:
-            part = table[f"{k:05d}.npz"]
-            at = np.minimum(np.searchsorted(part["keys"], ordered[a:b]), len(part["keys"]) - 1)
-            hit = part["keys"][at] == ordered[a:b]
-            found[order[a:b][hit]] = part["values"][at[hit]]
-    return found
-
-
-def write_table(df: DataFrame, folder: str, bits: int) -> None:
-    """Write (key long as 64 bits, value long) as sorted arrays, one file for each value of the key's top `bits` bits."""
-
-    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(p.column(0).to_numpy(), p.column(1).to_numpy()) for p in parts if p.num_rows]
-        if got:
-            keys = np.concatenate([x[0] for x in got]).view(np.uint64)
-            values = np.concatenate([x[1] for x in got])
-            order = np.argsort(keys)
-            keys, values = keys[order], values[order]
-            top = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            for k in np.unique(top):
-                a, b = np.searchsorted(top, [k, k + 1])
-                put(folder, f"{k:05d}.npz", pack(keys=keys[a:b], values=values[a:b]))
-            yield pa.record_batch({"n": pa.array([len(keys)], pa.int64())})
-
-    from pyspark.sql import functions as F
-
-    rows = df.select("key", "value", F.shiftrightunsigned("key", 64 - bits).cast("int").alias("top"))
-    rows.repartitionById(1 << bits, "top").select("key", "value").mapInArrow(write, "n long").agg({"n": "sum"}).collect()
-
-
 _resident: dict[tuple[str, str], object] = {}
 
 
@@ -150,9 +80,8 @@ def resident(kind: str, path: str, make):
 
 def release() -> None:
     """For stages that need no table of a vocabulary: let go of what the worker kept from a stage before, and give its memory back."""
-    if _resident or _open:
+    if _resident:
         _resident.clear()
-        _open.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
         if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
