@@ -32,15 +32,15 @@ def by_horizon(deps: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10)) -> Da
     return d.select("dependency_type", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("count")) for h in horizons])).alias("x")).select("dependency_type", "x.*")
 
 
-def ecdf(rows: DataFrame, group: str, value: str) -> DataFrame:
+def ecdf(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, value, share of rows at or below): counted by value before they are ranked."""
-    n = rows.groupBy(group, value).agg(F.count("*").alias("n"))
-    upto, every = Window.partitionBy(group).orderBy(value), Window.partitionBy(group)
-    return n.select(group, value, F.round(F.sum("n").over(upto) / F.sum("n").over(every), 6).alias("share"))
+    n = rows.groupBy(*group, value).agg(F.count("*").alias("n"))
+    upto, every = Window.partitionBy(*group).orderBy(value), Window.partitionBy(*group)
+    return n.select(*group, value, F.round(F.sum("n").over(upto) / F.sum("n").over(every), 6).alias("share"))
 
 
 def distance_ecdf(deps: DataFrame) -> DataFrame:
-    return ecdf(_distance(deps), "dependency_type", "distance")
+    return ecdf(_distance(deps), ["dependency_type"], "distance")
 
 
 def pair_pivot(deps: DataFrame, tools: list[str]) -> DataFrame:

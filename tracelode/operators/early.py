@@ -5,96 +5,115 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import auc
+from .stats import auc, cosine_of
 from .transitions import draw
 from .views import view_steps
 
 KS = (1, 2, 3, 5, 8)
-METADATA = ["global", "task", "harness", "task_harness"]
+#: Baselines that know only what is known of a trace beforehand.
+METADATA = ["global", "task", "harness", "task+harness"]
+_VIEW = {"semantic_tool_tool_action_only": "tool", "phase_clean_tool_action_only": "phase"}
 
 
 def labels(steps: DataFrame) -> DataFrame:
-    """(trace_id, i, label): tool labels of tool actions, numbered from 1."""
-    rows = view_steps(steps, ["semantic_tool_tool_action_only"])
-    return rows.withColumn("i", F.row_number().over(Window.partitionBy("trace_id").orderBy("step_id"))).select("trace_id", "i", "label")
+    """(trace_id, kind, i, label): tools and phases of tool actions, each kind numbered from 1."""
+    kind = F.create_map(*[F.lit(x) for pair in _VIEW.items() for x in pair])[F.col("view")]
+    rows = view_steps(steps, list(_VIEW)).withColumn("kind", kind)
+    return rows.withColumn("i", F.row_number().over(Window.partitionBy("trace_id", "kind").orderBy("step_id"))).select("trace_id", "kind", "i", "label")
 
 
 def group_counts(lab: DataFrame, traces: DataFrame, seed: int = 7) -> DataFrame:
-    """(level, task_id, harness, label, n): counts of training traces at four levels, by one GROUPING SETS."""
+    """(level, task_id, harness, kind, label, n): counts of training traces at four levels, by one GROUPING SETS."""
     rows = lab.join(traces.select("trace_id", "task_id", "harness"), "trace_id").where(draw(seed, "trace_id") % 1000 < 700)
-    t, h, label = F.col("task_id"), F.col("harness"), F.col("label")
-    n = rows.groupingSets([[t, h, label], [t, label], [h, label], [label]], t, h, label).agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
-    level = F.when(F.col("gid") == 0, "task_harness").when(F.col("gid") == 2, "task").when(F.col("gid") == 4, "harness").otherwise("global")
-    return n.select(level.alias("level"), "task_id", "harness", "label", "n")
+    t, h, kind, label = (F.col(c) for c in ("task_id", "harness", "kind", "label"))
+    n = rows.groupingSets([[t, h, kind, label], [t, kind, label], [h, kind, label], [kind, label]], t, h, kind, label).agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
+    level = F.when(F.col("gid") == 0, "task+harness").when(F.col("gid") == 4, "task").when(F.col("gid") == 8, "harness").otherwise("global")
+    return n.select(level.alias("level"), "task_id", "harness", "kind", "label", "n")
 
 
 def _prefixes(lab: DataFrame) -> DataFrame:
-    """(trace_id, k, prefix): the first k labels, for every k."""
-    first = lab.where(F.col("i") <= max(KS)).groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]).alias("seq"))
+    """(trace_id, k, prefix): the first k tools, for every k."""
+    first = lab.where((F.col("kind") == "tool") & (F.col("i") <= max(KS))).groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]).alias("seq"))
     return first.select("trace_id", "seq", F.explode(F.array(*map(F.lit, KS))).alias("k")).withColumn("prefix", F.array_join(F.slice("seq", 1, F.col("k")), "\x01")).drop("seq")
 
 
 def scores(lab: DataFrame, traces: DataFrame, seed: int = 7) -> DataFrame:
-    """(k, baseline, trace_id, label, score) of held-out traces: counts of a group, of the first k labels, of the k-th, or of training traces that begin alike."""
+    """(k, baseline, trace_id, kind, label, score) of held-out traces: counts of a group, of the first k labels, of the k-th, or of training traces whose first k tools are the same."""
     about = traces.select("trace_id", "task_id", "harness")
     test = lab.select("trace_id").distinct().where(draw(seed, "trace_id") % 1000 >= 700).join(about, "trace_id")
     ks = F.explode(F.array(*map(F.lit, KS))).alias("k")
     g = group_counts(lab, traces, seed)
-    at = lambda level, on: test.join(g.where(F.col("level") == level).select(*on, "label", "n"), on) if on else test.crossJoin(F.broadcast(g.where("level = 'global'").select("label", "n")))  # noqa: E731  labels only
-    meta = [at("global", []).select("trace_id", F.lit("global").alias("baseline"), "label", F.col("n").alias("score"))]
-    own = {name: at(name, on).select("trace_id", "label", "n") for name, on in (("task", ["task_id"]), ("harness", ["harness"]), ("task_harness", ["task_id", "harness"]))}
-    everywhere = meta[0].select("trace_id", "label", F.col("score").alias("n"))
-    for name, chain in (("task", ["task"]), ("harness", ["harness"]), ("task_harness", ["task_harness", "task"])):
+    at = lambda level, on: test.join(g.where(F.col("level") == level).select(*on, "kind", "label", "n"), on).select("trace_id", "kind", "label", "n")
+    own = {"task": at("task", ["task_id"]), "harness": at("harness", ["harness"]), "task+harness": at("task+harness", ["task_id", "harness"])}
+    everywhere = test.crossJoin(F.broadcast(g.where("level = 'global'").select("kind", "label", "n"))).select("trace_id", "kind", "label", "n")  # labels only
+    fixed = everywhere.withColumn("baseline", F.lit("global"))
+    for name, chain in (("task", ["task"]), ("harness", ["harness"]), ("task+harness", ["task+harness", "task"])):
         rest, out = test.select("trace_id"), None
         for table in [*(own[c] for c in chain), everywhere]:  # the first that knows the trace's group
             part = table.join(rest, "trace_id", "left_semi")
             out = part if out is None else out.unionByName(part)
             rest = rest.join(table.select("trace_id").distinct(), "trace_id", "left_anti")
-        meta.append(out.select("trace_id", F.lit(name).alias("baseline"), "label", F.col("n").alias("score")))
-    fixed = meta[0]
-    for m in meta[1:]:
-        fixed = fixed.unionByName(m)
-    fixed = fixed.select(ks, "*")
+        fixed = fixed.unionByName(out.withColumn("baseline", F.lit(name)))
+    fixed = fixed.select(ks, "*").withColumnRenamed("n", "score")
     seen = lab.join(test.select("trace_id"), "trace_id").select(ks, "*").where("i <= k")
-    first = seen.groupBy("k", "trace_id", "label").agg(F.count("*").alias("score"))
-    lastk = first.select("k", F.lit("lastK").alias("baseline"), "trace_id", "label", "score")
-    place = F.row_number().over(Window.partitionBy("k", "trace_id").orderBy(F.desc("i")))
-    last = seen.withColumn("r", place).where("r = 1").select("k", F.lit("last_step").alias("baseline"), "trace_id", "label", F.lit(1).cast("long").alias("score"))
+    first = seen.groupBy("k", "trace_id", "kind", "label").agg(F.count("*").alias("score"))
+    lastk = first.withColumn("baseline", F.lit("lastK"))
+    place = F.row_number().over(Window.partitionBy("k", "trace_id", "kind").orderBy(F.desc("i")))
+    last = seen.withColumn("r", place).where("r = 1").select("k", "trace_id", "kind", "label", F.lit(1).cast("long").alias("score"), F.lit("last_step").alias("baseline"))
     pre = _prefixes(lab)
-    train = pre.where(draw(seed, "trace_id") % 1000 < 700).join(lab.groupBy("trace_id", "label").agg(F.count("*").alias("n")), "trace_id").groupBy("k", "prefix", "label").agg(F.sum("n").alias("score"))
-    alike = pre.join(test.select("trace_id"), "trace_id").join(train, ["k", "prefix"])
-    markov = alike.select("k", "trace_id", "label", "score")
-    unknown = lastk.join(alike.select("k", "trace_id").distinct(), ["k", "trace_id"], "left_anti")
-    markov = markov.unionByName(unknown.select("k", "trace_id", "label", "score")).select("k", F.lit("early_markov").alias("baseline"), "trace_id", "label", "score")
-    return fixed.select("k", "baseline", "trace_id", "label", "score").unionByName(lastk).unionByName(last).unionByName(markov)
+    train = pre.where(draw(seed, "trace_id") % 1000 < 700).join(lab.groupBy("trace_id", "kind", "label").agg(F.count("*").alias("n")), "trace_id").groupBy("k", "prefix", "kind", "label").agg(F.sum("n").alias("score"))
+    alike = pre.join(test.select("trace_id"), "trace_id").join(train, ["k", "prefix"]).select("k", "trace_id", "kind", "label", "score")
+    unknown = first.join(alike.select("k", "trace_id", "kind").distinct(), ["k", "trace_id", "kind"], "left_anti")
+    markov = alike.unionByName(unknown).withColumn("baseline", F.lit("early_markov"))
+    return fixed.unionByName(lastk).unionByName(last).unionByName(markov).select("k", "baseline", "trace_id", "kind", "label", "score")
 
 
 def metrics(lab: DataFrame, traces: DataFrame, leak_free: bool, seed: int = 7) -> DataFrame:
-    """(k, baseline, target, traces, cosine, top3_recall) over held-out traces.
+    """(k, baseline, target, traces, and for tools and phases cosine and top-3 recall) over held-out traces.
 
     target `whole` counts all labels of a trace, the observed ones too, as published figures do: baselines made of
     observed labels are right by construction. target `after_k` counts only what follows; traces without any are left out.
     """
     ks = F.explode(F.array(*map(F.lit, KS))).alias("k")
     truth = lab.where(draw(seed, "trace_id") % 1000 >= 700).select(ks, "*")
-    truth = (truth.where("i > k") if leak_free else truth).groupBy("k", "trace_id", "label").agg(F.count("*").alias("truth"))
+    truth = (truth.where("i > k") if leak_free else truth).groupBy("k", "trace_id", "kind", "label").agg(F.count("*").alias("truth"))
     s = scores(lab, traces, seed)
     names = s.select("baseline").distinct()
     t = truth.crossJoin(F.broadcast(names))  # seven names
-    both = t.join(s, ["k", "baseline", "trace_id", "label"], "full").join(truth.select("k", "trace_id").distinct(), ["k", "trace_id"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("k", "baseline", "trace_id").orderBy(F.desc_nulls_last("score"), "label"))
+    both = t.join(s, ["k", "baseline", "trace_id", "kind", "label"], "full").join(truth.select("k", "trace_id", "kind").distinct(), ["k", "trace_id", "kind"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("k", "baseline", "trace_id", "kind").orderBy(F.desc_nulls_last("score"), "label"))
     x, y = F.coalesce(F.col("score"), F.lit(0)).cast("double"), F.coalesce(F.col("truth"), F.lit(0)).cast("double")
-    each = both.withColumn("r", place).groupBy("k", "baseline", "trace_id").agg(
-        F.coalesce(F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))), F.lit(0.0)).alias("cos"),
-        (F.count_if(F.col("score").isNotNull() & F.col("truth").isNotNull() & (F.col("r") <= 3)) / F.count("truth")).alias("rec"),
+    each = both.withColumn("r", place).groupBy("k", "baseline", "trace_id", "kind").agg(
+        cosine_of(x, y).alias("cos"), (F.count_if(F.col("score").isNotNull() & F.col("truth").isNotNull() & (F.col("r") <= 3)) / F.count("truth")).alias("rec")
     )
-    return each.groupBy("k", "baseline").agg(F.count("*").alias("traces"), F.round(F.avg("cos"), 6).alias("cosine"), F.round(F.avg("rec"), 6).alias("top3_recall")).withColumn("target", F.lit("after_k" if leak_free else "whole"))
+    mean = lambda c, kind, name: F.round(F.avg(F.when(F.col("kind") == kind, F.col(c))), 6).alias(name)
+    return each.groupBy("k", "baseline").agg(
+        F.count_if(F.col("kind") == "tool").alias("traces"), mean("cos", "tool", "tool_cosine"), mean("cos", "phase", "phase_cosine"),
+        mean("rec", "tool", "future_tool_top3_recall"), mean("rec", "phase", "future_phase_top3_recall"),
+    ).withColumn("target", F.lit("after_k" if leak_free else "whole"))
+
+
+def prefix_recall(objects: DataFrame, traces: DataFrame, top: int = 5, seed: int = 7) -> DataFrame:
+    """One row: of held-out traces with object prefixes, the mean share of a trace's prefixes that are among its first `top`; the same for every k and baseline."""
+    held = traces.where(draw(seed, "trace_id") % 1000 >= 700).select("trace_id")
+    n = objects.where("stable_object and object_prefix is not null").join(held, "trace_id", "left_semi").groupBy("trace_id").agg(F.count_distinct("object_prefix").alias("n"))
+    return n.agg(F.count("*").alias("traces"), F.round(F.avg(F.least("n", F.lit(top)) / F.col("n")), 6).alias("object_prefix_top5_recall"))
 
 
 def against_metadata(m: DataFrame) -> DataFrame:
-    """Each baseline's recall less the best of the four that know only metadata, for each k."""
-    best = F.max(F.when(F.col("baseline").isin(METADATA), F.col("top3_recall"))).over(Window.partitionBy("k", "target"))
-    return m.select("k", "target", "baseline", "top3_recall", F.round(F.col("top3_recall") - best, 6).alias("delta"))
+    """Each baseline's tool recall less the best of the four that know only metadata, for each k."""
+    best = F.max(F.when(F.col("baseline").isin(METADATA), F.col("future_tool_top3_recall"))).over(Window.partitionBy("k", "target"))
+    return m.select("k", "target", "baseline", "future_tool_top3_recall", F.round(F.col("future_tool_top3_recall") - best, 6).alias("delta_vs_best_metadata_baseline"))
+
+
+def auc_by_k(lab: DataFrame, traces: DataFrame, per_trace: DataFrame, seed: int = 7) -> DataFrame:
+    """(k, baseline, long_trajectory_auc, failure_loop_auc) over held-out traces: how well the sum of a baseline's tool scores tells traces with more tool actions than the median of all, and the failure-loop score failures (the same for all)."""
+    n = traces.select("trace_id").join(lab.where("kind = 'tool'").groupBy("trace_id").agg(F.count("*").alias("n")), "trace_id", "left").na.fill(0)
+    held = n.crossJoin(F.broadcast(n.agg(F.median("n").alias("m")))).where(draw(seed, "trace_id") % 1000 >= 700).select("trace_id", (F.col("n") > F.col("m")).alias("long"))  # one row
+    total = scores(lab, traces, seed).where("kind = 'tool'").groupBy("k", "baseline", "trace_id").agg(F.sum("score").alias("score"))
+    by_length = auc(total.join(held, "trace_id"), ["k", "baseline"], "score", "long").withColumnRenamed("auc", "long_trajectory_auc")
+    failed = per_trace.where(draw(seed, "trace_id") % 1000 >= 700)
+    return by_length.crossJoin(F.broadcast(failure_auc(failed).select(F.col("auc").alias("failure_loop_auc"))))  # one row
 
 
 def failure_auc(metrics: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
 
-STABLE = ["file", "url", "test_case", "error"]
+#: Object types that stay the same from one access to the next, the type and id of a large observation, the data set's name.
+STABLE = ["file", "url", "test_case", "error_signature"]
+LARGE = "large_observation_bucket"
+DATASET = "terminalbench"
+#: How an object's id begins, by type.
+BEGINS = {"file": "file:", "url": "url:", "test_case": "test:", "error_signature": "error:"}
 
 
 def _pick(element: Column, *keys: str) -> Column:
@@ -15,10 +20,18 @@ def _pick(element: Column, *keys: str) -> Column:
     return F.coalesce(*[F.when(~x.isin("", "[]", "{}", "0", "false"), x) for x in got])
 
 
+def named(raw: DataFrame) -> DataFrame:
+    """Raw rows with trace_id: the trial's id or name, else a hash of its steps and, of equal ones, a number."""
+    own = raw.withColumn("trace_id", F.coalesce(F.nullif("trial_id", F.lit("")), F.nullif("trial_name", F.lit(""))))
+    rest = own.where("trace_id is null").withColumn("h", F.xxhash64("steps", "task_name", "agent", "model", "reward"))
+    nth = F.row_number().over(Window.partitionBy("h").orderBy("h"))
+    rest = rest.withColumn("trace_id", F.concat_ws(":", F.lit(DATASET), F.col("h").cast("string"), nth.cast("string"))).drop("h")
+    return own.where("trace_id is not null").unionByName(rest)
+
+
 def step_elements(raw: DataFrame) -> DataFrame:
     """One row for each step of a raw trace with its place; rows without steps, or with steps that are no list, have none."""
-    name = F.coalesce(F.nullif("trial_id", F.lit("")), F.nullif("trial_name", F.lit("")), F.concat(F.lit("trace:"), F.xxhash64("steps").cast("string")))
-    return raw.select(name.alias("trace_id"), F.posexplode(F.from_json("steps", "array<string>")).alias("step_id", "element"))
+    return named(raw).select("trace_id", F.posexplode(F.from_json("steps", "array<string>")).alias("step_id", "element"))
 
 
 def steps(raw: DataFrame) -> DataFrame:
@@ -43,33 +56,32 @@ def objects(steps: DataFrame) -> DataFrame:
     kind = "array<struct<id:string,type:string,source:string,size:int,access:string,path:string,signature:string,tool:boolean,observed:boolean>>"
 
     def made(values: Column, type_: str, source: str, access: Column, path: bool, tool, observed) -> Column:
-        return F.transform(values, lambda x: F.struct(F.concat(F.lit(type_ + ":"), x).alias("id"), F.lit(type_).alias("type"), F.lit(source).alias("source"), F.char_length(x).alias("size"), access.alias("access"), (x if path else F.lit(None).cast("string")).alias("path"), (x if type_ == "error" else F.lit(None).cast("string")).alias("signature"), tool(x).alias("tool"), observed(x).alias("observed"))).cast(kind)
+        return F.transform(values, lambda x: F.struct(F.concat(F.lit(BEGINS[type_]), x).alias("id"), F.lit(type_).alias("type"), F.lit(source).alias("source"), F.char_length(x).alias("size"), access.alias("access"), (x if path else F.lit(None).cast("string")).alias("path"), (x if type_ == "error_signature" else F.lit(None).cast("string")).alias("signature"), tool(x).alias("tool"), observed(x).alias("observed"))).cast(kind)
 
     yes, no = (lambda x: F.lit(True)), (lambda x: F.lit(False))
     used, mention = parse.access_type(F.col("semantic_tool_clean"), F.col("writes"), F.lit(False)), F.lit("mention")
     urls = F.array_distinct(F.concat(parse.urls(command, 8), parse.urls(obs, 8)))
     tests = F.array_distinct(F.concat(parse.test_ids(obs, 8), parse.test_ids(command, 4)))
     signature = parse.error_signature(F.col("obs"))
-    large = F.when(F.char_length(obs) > 4000, F.array(F.struct(F.concat(F.lit("large_observation:"), F.floor(F.char_length(obs) / 1000).cast("string")).alias("id"), F.lit("large_observation").alias("type"), F.lit("observation").alias("source"), F.char_length(obs).alias("size"), mention.alias("access"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("signature"), F.lit(False).alias("tool"), F.lit(True).alias("observed"))).cast(kind))
+    large = F.when(F.char_length(obs) > 4000, F.array(F.struct(F.lit(LARGE).alias("id"), F.lit(LARGE).alias("type"), F.lit("observation").alias("source"), F.char_length(obs).alias("size"), mention.alias("access"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("signature"), F.lit(False).alias("tool"), F.lit(True).alias("observed"))).cast(kind))
     every = F.concat(
         made(parse.paths(command, 16), "file", "command", used, True, yes, no), made(parse.paths(obs, 32), "file", "observation", mention, True, no, yes),
-        made(urls, "url", "text", used, True, lambda x: command.contains(x), lambda x: obs.contains(x)), made(tests, "test_case", "text", mention, True, no, lambda x: obs.contains(x)),
-        F.when(signature.isNotNull(), made(F.array(signature), "error", "observation", mention, False, no, yes)).otherwise(F.array().cast(kind)), F.coalesce(large, F.array().cast(kind)),
+        made(urls, "url", "mixed", F.lit("retrieve"), True, lambda x: command.contains(x), lambda x: obs.contains(x)), made(tests, "test_case", "mixed", F.lit("execute"), True, no, lambda x: obs.contains(x)),
+        F.when(signature.isNotNull(), made(F.array(signature), "error_signature", "observation", F.lit("error"), False, no, yes)).otherwise(F.array().cast(kind)), F.coalesce(large, F.array().cast(kind)),
     )
     o = steps.select("trace_id", "step_id", F.explode(every).alias("o")).select("trace_id", "step_id", "o.*")
     stable = F.col("type").isin(STABLE)
     return o.select(
         "trace_id", "step_id", F.col("id").alias("object_id"), F.col("type").alias("object_type"), F.col("source").alias("object_source"), F.lit(None).cast("string").alias("object_version"), F.col("size").alias("object_size"), F.col("access").alias("access_type"), stable.alias("stable_object"), stable.alias("actionable_object"),
-        F.col("path").alias("object_path"), parse.object_dir(F.col("path")).alias("object_dir"), F.when(F.col("path").isNotNull(), parse.object_prefix(F.col("path"))).alias("object_prefix"), parse.object_extension(F.col("path")).alias("object_extension"), F.lit(None).cast("string").alias("content_hash"), F.col("signature").alias("error_signature"), F.col("tool").alias("derived_from_tool"), F.col("observed").alias("derived_from_observation"),
+        F.col("path").alias("object_path"), F.when(F.col("path").isNotNull(), parse.object_dir(F.col("path"))).alias("object_dir"), F.when(F.col("path").isNotNull(), parse.object_prefix(F.col("path"))).alias("object_prefix"), parse.object_extension(F.col("path")).alias("object_extension"), F.lit(None).cast("string").alias("content_hash"), F.col("signature").alias("error_signature"), F.col("tool").alias("derived_from_tool"), F.col("observed").alias("derived_from_observation"),
     )
 
 
 def traces(raw: DataFrame, steps: DataFrame) -> DataFrame:
     """Headers with step counts; traces without steps are left out."""
-    name = F.coalesce(F.nullif("trial_id", F.lit("")), F.nullif("trial_name", F.lit("")), F.concat(F.lit("trace:"), F.xxhash64("steps").cast("string")))
     counts = steps.groupBy("trace_id").agg(F.count("*").alias("total_steps"), F.count_if("is_tool_action").alias("tool_action_steps"))
     number = lambda c: F.expr(f"try_cast({c} as double)")
-    head = raw.select(name.alias("trace_id"), F.lit("raw").alias("dataset"), F.col("task_name").alias("task_id"), F.col("agent").alias("harness"), F.col("agent").alias("agent_scaffold"), "model", (F.col("reward") != 0).alias("success"), "reward", (F.col("reward") != 0).alias("resolved"), number("duration_seconds").alias("duration"), number("input_tokens").alias("input_tokens"), number("output_tokens").alias("output_tokens"))
+    head = named(raw).select("trace_id", F.lit(DATASET).alias("dataset"), F.col("task_name").alias("task_id"), F.col("agent").alias("harness"), F.col("agent").alias("agent_scaffold"), "model", (F.col("reward") != 0).alias("success"), "reward", (F.col("reward") != 0).alias("resolved"), number("duration_seconds").alias("duration"), number("input_tokens").alias("input_tokens"), number("output_tokens").alias("output_tokens"))
     return head.join(counts, "trace_id")
 
 

@@ -22,8 +22,8 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event accesses one file; an error also has a signature, a view of k below 10 a test case."""
     e, kind, k = _raw(spark, sf_dir), F.col("event_type"), F.col("k")
     file = F.struct(F.concat(F.lit("file:k"), k).alias("object_id"), F.lit("file").alias("object_type"), F.concat(F.lit("p"), F.floor(k / 10)).alias("object_prefix"))
-    error = F.when(kind == "error", F.struct(F.concat(F.lit("error:e"), k % 5).alias("object_id"), F.lit("error").alias("object_type"), F.lit(None).cast("string").alias("object_prefix")))
-    test = F.when((kind == "view") & (k < 10), F.struct(F.concat(F.lit("test_case:t"), k % 3).alias("object_id"), F.lit("test_case").alias("object_type"), F.concat(F.lit("t"), k % 3).alias("object_prefix")))
+    error = F.when(kind == "error", F.struct(F.concat(F.lit("error:e"), k % 5).alias("object_id"), F.lit("error_signature").alias("object_type"), F.lit(None).cast("string").alias("object_prefix")))
+    test = F.when((kind == "view") & (k < 10), F.struct(F.concat(F.lit("test:t"), k % 3).alias("object_id"), F.lit("test_case").alias("object_type"), F.concat(F.lit("t"), k % 3).alias("object_prefix")))
     o = e.select("trace_id", "step_id", "event_type", F.explode(F.array_compact(F.array(file, error, test))).alias("o"))
     tool = kind.isin("signup", "purchase") & (F.col("o.object_type") == "file")
     return o.select("trace_id", "step_id", "o.*", F.char_length("o.object_id").alias("object_size"), F.lit(True).alias("stable_object"), F.lit(True).alias("actionable_object"), tool.alias("derived_from_tool"), (~kind.isin("signup", "purchase")).alias("derived_from_observation"))

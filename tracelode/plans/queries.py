@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parse
 from ..operators import dependencies, early, failure, motifs, normalize, severity, stats, transitions, views, working_set
+from ..sources import traces as sources
 from . import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +35,11 @@ _DRAW = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"
 _PART = _DRAW.format("'7|' || trace_id") + " % 1000"
 _OBJECTS = """objects AS (
   SELECT trace_id, step_id, 'file:k' || k AS object_id, 'file' AS object_type, 'p' || (k // 10) AS object_prefix, tool IN ('signup', 'purchase') AS by_tool, tool NOT IN ('signup', 'purchase') AS by_obs FROM steps WHERE k IS NOT NULL
-  UNION ALL SELECT trace_id, step_id, 'error:e' || (k % 5), 'error', NULL, false, true FROM steps WHERE tool = 'error'
-  UNION ALL SELECT trace_id, step_id, 'test_case:t' || (k % 3), 'test_case', 't' || (k % 3), false, true FROM steps WHERE tool = 'view' AND k < 10)"""
+  UNION ALL SELECT trace_id, step_id, 'error:e' || (k % 5), 'error_signature', NULL, false, true FROM steps WHERE tool = 'error'
+  UNION ALL SELECT trace_id, step_id, 'test:t' || (k % 3), 'test_case', 't' || (k % 3), false, true FROM steps WHERE tool = 'view' AND k < 10)"""
 _DEPS = """deps AS (SELECT DISTINCT a.trace_id, a.step_id AS src_step_id, b.step_id AS dst_step_id, 'file_path_from_output_to_next_arg' AS dependency_type, s.tool AS src_tool, d.tool AS dst_tool, a.object_id, a.object_type AS value_type, CASE WHEN b.step_id - a.step_id = 1 THEN 'high' ELSE 'medium' END AS confidence
   FROM objects a JOIN objects b ON a.trace_id = b.trace_id AND a.object_id = b.object_id AND b.step_id > a.step_id AND b.step_id <= a.step_id + 10 JOIN steps s ON s.trace_id = a.trace_id AND s.step_id = a.step_id JOIN steps d ON d.trace_id = b.trace_id AND d.step_id = b.step_id WHERE a.by_obs AND b.by_tool)"""
-_ACC = """acc AS (SELECT 'exact_id' AS granularity, trace_id, step_id, object_id AS item FROM objects WHERE object_id LIKE 'file:%' UNION ALL SELECT 'prefix', trace_id, step_id, object_prefix FROM objects WHERE object_prefix IS NOT NULL UNION ALL SELECT 'type', trace_id, step_id, object_type FROM objects),
+_ACC = """acc AS (SELECT 'exact_object_id' AS granularity, trace_id, step_id, object_id AS item FROM objects WHERE object_id LIKE 'file:%' UNION ALL SELECT 'path_prefix', trace_id, step_id, object_prefix FROM objects WHERE object_prefix IS NOT NULL UNION ALL SELECT 'object_type', trace_id, step_id, object_type FROM objects),
 reuse AS (SELECT granularity, trace_id, step_id - lag(step_id) OVER (PARTITION BY granularity, trace_id, item ORDER BY step_id) AS distance FROM acc)"""
 _S, _V, _O = f"WITH {_STEPS}", f"WITH {_STEPS}, {_VIEWS}", f"WITH {_STEPS}, {_OBJECTS}"
 _D, _A = f"{_O}, {_DEPS}", f"{_O}, {_ACC}"
@@ -102,10 +105,21 @@ def e9(spark, d):
     return transitions.entropy(transitions.transitions(_views(spark, d)))
 
 
-_PAIR = ["semantic_tool_tool_action_only", "phase_clean_tool_action_only"]
+_PAIR = ["semantic_tool_tool_action_only", "phase_clean_tool_action_only", "collapsed_semantic_tool_tool_action_only"]
+_IN_PAIR = "(" + ", ".join(f"'{v}'" for v in _PAIR) + ")"
 
 
-@query("e11_e12_e15_permutation_test")
+@query("e11_e12_e15_permutation_test", f"""{_V}, reps AS (SELECT CAST(unnest(range(1, 26)) AS INT) AS rep),
+wl AS (SELECT view, trace_id, label, rep, row_number() OVER (PARTITION BY view, trace_id, rep ORDER BY md5('1007|' || rep || '|' || trace_id || '|' || step_id)) AS i FROM views, reps WHERE view IN {_IN_PAIR}),
+wt AS (SELECT * FROM (SELECT view, 'within_trace' AS control, rep, trace_id, label AS current, lead(label) OVER (PARTITION BY view, trace_id, rep ORDER BY i) AS next FROM wl) WHERE next IS NOT NULL),
+gb AS (SELECT *, {_DRAW.format("'1007|b|' || rep || '|' || trace_id || '|' || step_id")} % 16 AS block FROM trans, reps WHERE view IN {_IN_PAIR}),
+ga AS (SELECT *, row_number() OVER (PARTITION BY view, rep, block ORDER BY trace_id, step_id) AS i, row_number() OVER (PARTITION BY view, rep, block ORDER BY md5('1007|' || rep || '|' || trace_id || '|' || step_id)) AS j FROM gb),
+allr AS (SELECT view, 'observed' AS control, 0 AS rep, trace_id, current, next FROM trans WHERE view IN {_IN_PAIR} UNION ALL SELECT * FROM wt UNION ALL SELECT a.view, 'global_next', a.rep, a.trace_id, a.current, b.next FROM ga a JOIN ga b ON a.view = b.view AND a.rep = b.rep AND a.block = b.block AND a.i = b.j),
+pairs AS (SELECT view, control, rep, current, next, count(*) AS n FROM allr WHERE {_PART} < 700 GROUP BY ALL), cond AS (SELECT *, row_number() OVER (PARTITION BY view, control, rep, current ORDER BY n DESC, next) AS r FROM pairs),
+overall AS (SELECT view, control, rep, next, row_number() OVER (PARTITION BY view, control, rep ORDER BY sum(n) DESC, next) AS g FROM pairs GROUP BY view, control, rep, next), known AS (SELECT DISTINCT view, control, rep, current FROM pairs),
+test AS (SELECT t.view, t.control, t.rep, CASE WHEN k.current IS NOT NULL THEN c.r ELSE g.g END AS r, g.g FROM allr t LEFT JOIN known k ON k.view = t.view AND k.control = t.control AND k.rep = t.rep AND k.current = t.current LEFT JOIN cond c ON c.view = t.view AND c.control = t.control AND c.rep = t.rep AND c.current = t.current AND c.next = t.next LEFT JOIN overall g ON g.view = t.view AND g.control = t.control AND g.rep = t.rep AND g.next = t.next WHERE {_PART.replace("trace_id", "t.trace_id")} >= 700),
+d AS (SELECT view, control, rep, (count(*) FILTER (r <= 3) - count(*) FILTER (g <= 3)) / count(*) AS d FROM test GROUP BY ALL), o AS (SELECT view, d AS observed FROM d WHERE control = 'observed')
+SELECT view, control, round(max(observed), 6) AS observed, round(avg(d), 6) AS null_mean, round((count(*) FILTER (round(d, 9) >= round(observed, 9)) + 1) / (count(*) + 1), 6) AS p FROM d JOIN o USING (view) WHERE control <> 'observed' GROUP BY view, control""")
 def e12(spark, d):
     return transitions.permutation_test(_views(spark, d, _PAIR))
 
@@ -186,17 +200,17 @@ def w12(spark, d):
     return working_set.reuse_ecdf(_acc(spark, d))
 
 
-@query("w13_top_items", f"{_A} SELECT granularity, item, count(*) AS n, CAST(row_number() OVER (PARTITION BY granularity ORDER BY count(*) DESC, item) AS INT) AS place FROM acc WHERE granularity <> 'type' GROUP BY granularity, item QUALIFY place <= 100")
+@query("w13_top_items", f"{_A} SELECT granularity, item, count(*) AS n, CAST(row_number() OVER (PARTITION BY granularity ORDER BY count(*) DESC, item) AS INT) AS place FROM acc WHERE granularity <> 'object_type' GROUP BY granularity, item QUALIFY place <= 100")
 def w13(spark, d):
     return working_set.top_items(_acc(spark, d))
 
 
-@query("w3_future_objects", f"{_A} SELECT granularity, p.trace_id, p.step_id, horizon, count(DISTINCT item) AS items FROM acc a, steps p, (SELECT CAST(unnest([1, 3, 5, 10]) AS INT) AS horizon) WHERE granularity <> 'type' AND p.act AND a.trace_id = p.trace_id AND a.step_id > p.step_id AND a.step_id <= p.step_id + horizon GROUP BY ALL")
+@query("w3_future_objects", f"{_A} SELECT granularity, p.trace_id, p.step_id, horizon, count(DISTINCT item) AS items FROM acc a, steps p, (SELECT CAST(unnest([1, 3, 5, 10]) AS INT) AS horizon) WHERE granularity <> 'object_type' AND p.act AND a.trace_id = p.trace_id AND a.step_id > p.step_id AND a.step_id <= p.step_id + horizon GROUP BY ALL")
 def w3(spark, d):
     return working_set.points(events.steps(spark, d), _acc(spark, d)).withColumn("items", F.size("truth").cast("long")).drop("truth")
 
 
-_LASTK = """use AS (SELECT granularity, trace_id, step_id, item, row_number() OVER (PARTITION BY granularity, trace_id ORDER BY step_id, item) AS nth FROM acc WHERE granularity <> 'type'),
+_LASTK = """use AS (SELECT granularity, trace_id, step_id, item, row_number() OVER (PARTITION BY granularity, trace_id ORDER BY step_id, item) AS nth FROM acc WHERE granularity <> 'object_type'),
 upto AS (SELECT u.granularity, p.trace_id, p.step_id, max(nth) AS nth FROM steps p JOIN use u ON u.trace_id = p.trace_id AND u.step_id <= p.step_id WHERE p.act GROUP BY ALL),
 lastk AS (SELECT q.granularity, q.trace_id, q.step_id, list(DISTINCT item) AS pred FROM upto q JOIN use u ON u.granularity = q.granularity AND u.trace_id = q.trace_id AND u.nth > q.nth - 5 AND u.nth <= q.nth GROUP BY ALL)"""
 
@@ -206,8 +220,8 @@ def w4(spark, d):
     return working_set.last_k(events.steps(spark, d), _acc(spark, d)).withColumn("pred", F.array_join(F.array_sort("pred"), ","))
 
 
-@query("w5_w9_object_prediction", f"""{_A}, {_LASTK}, truth AS (SELECT granularity, p.trace_id, p.step_id, horizon, list(DISTINCT item) AS truth FROM acc a, steps p, (SELECT CAST(unnest([1, 3, 5, 10]) AS INT) AS horizon) WHERE granularity <> 'type' AND p.act AND a.trace_id = p.trace_id AND a.step_id > p.step_id AND a.step_id <= p.step_id + horizon GROUP BY ALL),
-hot AS (SELECT granularity, task_id, harness, item, count(*) AS n FROM acc JOIN traces USING (trace_id) WHERE granularity <> 'type' GROUP BY ALL),
+@query("w5_w9_object_prediction", f"""{_A}, {_LASTK}, truth AS (SELECT granularity, p.trace_id, p.step_id, horizon, list(DISTINCT item) AS truth FROM acc a, steps p, (SELECT CAST(unnest([1, 3, 5, 10]) AS INT) AS horizon) WHERE granularity <> 'object_type' AND p.act AND a.trace_id = p.trace_id AND a.step_id > p.step_id AND a.step_id <= p.step_id + horizon GROUP BY ALL),
+hot AS (SELECT granularity, task_id, harness, item, count(*) AS n FROM acc JOIN traces USING (trace_id) WHERE granularity <> 'object_type' GROUP BY ALL),
 gh AS (SELECT granularity, list(item) AS pred FROM (SELECT granularity, item FROM hot GROUP BY granularity, item QUALIFY row_number() OVER (PARTITION BY granularity ORDER BY sum(n) DESC, item) <= 5) GROUP BY ALL),
 th AS (SELECT granularity, task_id, list(item) AS pred FROM (SELECT granularity, task_id, item FROM hot GROUP BY granularity, task_id, item QUALIFY row_number() OVER (PARTITION BY granularity, task_id ORDER BY sum(n) DESC, item) <= 5) GROUP BY ALL),
 hh AS (SELECT granularity, harness, list(item) AS pred FROM (SELECT granularity, harness, item FROM hot GROUP BY granularity, harness, item QUALIFY row_number() OVER (PARTITION BY granularity, harness ORDER BY sum(n) DESC, item) <= 5) GROUP BY ALL),
@@ -215,9 +229,9 @@ items AS (SELECT DISTINCT granularity, item FROM hot), rd2 AS (SELECT granularit
 a AS (SELECT t.*, x.task_id, x.harness FROM truth t JOIN traces x USING (trace_id)),
 p AS (SELECT a.granularity, horizon, truth, 'lastK_object' AS baseline, pred FROM a LEFT JOIN lastk l ON l.granularity = a.granularity AND l.trace_id = a.trace_id AND l.step_id = a.step_id
   UNION ALL SELECT a.granularity, horizon, truth, 'global_hot_object', pred FROM a LEFT JOIN gh ON gh.granularity = a.granularity UNION ALL SELECT a.granularity, horizon, truth, 'task_hot_object', pred FROM a LEFT JOIN th ON th.granularity = a.granularity AND th.task_id = a.task_id
-  UNION ALL SELECT a.granularity, horizon, truth, 'harness_hot_object', pred FROM a LEFT JOIN hh ON hh.granularity = a.granularity AND hh.harness = a.harness UNION ALL SELECT a.granularity, horizon, truth, 'random_object', pred FROM a LEFT JOIN rd2 ON rd2.granularity = a.granularity
-  UNION ALL SELECT granularity, horizon, truth, 'object_type_only', ['file'] FROM a)
-SELECT granularity, baseline, horizon, count(*) AS points, round(avg(len(list_intersect(coalesce(pred, []), truth)) / len(truth)), 6) AS recall FROM p GROUP BY ALL""")
+  UNION ALL SELECT a.granularity, horizon, truth, 'harness_hot_object', pred FROM a LEFT JOIN hh ON hh.granularity = a.granularity AND hh.harness = a.harness UNION ALL SELECT a.granularity, horizon, truth, 'random_same_count', pred FROM a LEFT JOIN rd2 ON rd2.granularity = a.granularity
+  UNION ALL SELECT granularity, horizon, truth, 'object_type_only', ['file'] FROM a WHERE granularity = 'exact_object_id')
+SELECT granularity, CASE WHEN granularity <> 'path_prefix' THEN baseline WHEN baseline = 'random_same_count' THEN 'random_prefix' ELSE replace(baseline, '_object', '_prefix') END AS baseline, horizon, count(*) AS points, round(avg(len(list_intersect(coalesce(pred, []), truth)) / len(truth)), 6) AS recall FROM p GROUP BY ALL""")
 def w9(spark, d):
     return working_set.predictions(events.steps(spark, d), _acc(spark, d), events.traces(spark, d))
 
@@ -226,37 +240,45 @@ def _labels(spark, d):
     return early.labels(events.steps(spark, d))
 
 
-_LAB = f"lab AS (SELECT trace_id, label, row_number() OVER (PARTITION BY trace_id ORDER BY step_id) AS i FROM views WHERE view = 'semantic_tool_tool_action_only'), train AS (SELECT lab.*, task_id, harness FROM lab JOIN traces USING (trace_id) WHERE {_PART} < 700), test AS (SELECT lab.*, task_id, harness FROM lab JOIN traces USING (trace_id) WHERE {_PART} >= 700)"
+_LAB = f"""lab AS (SELECT trace_id, kind, label, row_number() OVER (PARTITION BY trace_id, kind ORDER BY step_id) AS i FROM (SELECT *, CASE view WHEN 'semantic_tool_tool_action_only' THEN 'tool' WHEN 'phase_clean_tool_action_only' THEN 'phase' END AS kind FROM views) WHERE kind IS NOT NULL),
+train AS (SELECT lab.*, task_id, harness FROM lab JOIN traces USING (trace_id) WHERE {_PART} < 700), test AS (SELECT lab.*, task_id, harness FROM lab JOIN traces USING (trace_id) WHERE {_PART} >= 700)"""
 
 
-@query("i3_group_counts", f"{_V}, {_LAB} SELECT 'global' AS level, NULL AS task_id, NULL AS harness, label, count(*) AS n FROM train GROUP BY label UNION ALL SELECT 'task', task_id, NULL, label, count(*) FROM train GROUP BY task_id, label UNION ALL SELECT 'harness', NULL, harness, label, count(*) FROM train GROUP BY harness, label UNION ALL SELECT 'task_harness', task_id, harness, label, count(*) FROM train GROUP BY task_id, harness, label")
+@query("i3_group_counts", f"{_V}, {_LAB} SELECT 'global' AS level, NULL AS task_id, NULL AS harness, kind, label, count(*) AS n FROM train GROUP BY kind, label UNION ALL SELECT 'task', task_id, NULL, kind, label, count(*) FROM train GROUP BY task_id, kind, label UNION ALL SELECT 'harness', NULL, harness, kind, label, count(*) FROM train GROUP BY harness, kind, label UNION ALL SELECT 'task+harness', task_id, harness, kind, label, count(*) FROM train GROUP BY task_id, harness, kind, label")
 def i3(spark, d):
     return early.group_counts(_labels(spark, d), events.traces(spark, d))
 
 
+_SCORES = """ks AS (SELECT CAST(unnest([1, 2, 3, 5, 8]) AS INT) AS k), tt AS (SELECT DISTINCT trace_id, task_id, harness FROM test),
+g AS (SELECT kind, label, count(*) AS n FROM train GROUP BY ALL), t AS (SELECT task_id, kind, label, count(*) AS n FROM train GROUP BY ALL), h AS (SELECT harness, kind, label, count(*) AS n FROM train GROUP BY ALL), th AS (SELECT task_id, harness, kind, label, count(*) AS n FROM train GROUP BY ALL),
+fixed AS (SELECT 'global' AS baseline, trace_id, kind, label, n FROM tt, g
+  UNION ALL SELECT 'task', trace_id, kind, label, n FROM tt JOIN t USING (task_id) UNION ALL SELECT 'task', trace_id, kind, label, n FROM tt, g WHERE task_id NOT IN (SELECT task_id FROM t)
+  UNION ALL SELECT 'harness', trace_id, kind, label, n FROM tt JOIN h USING (harness) UNION ALL SELECT 'harness', trace_id, kind, label, n FROM tt, g WHERE harness NOT IN (SELECT harness FROM h)
+  UNION ALL SELECT 'task+harness', trace_id, kind, label, n FROM tt JOIN th USING (task_id, harness)
+  UNION ALL SELECT 'task+harness', trace_id, kind, label, n FROM tt JOIN t USING (task_id) WHERE NOT EXISTS (SELECT 1 FROM th WHERE th.task_id = tt.task_id AND th.harness = tt.harness)
+  UNION ALL SELECT 'task+harness', trace_id, kind, label, n FROM tt, g WHERE task_id NOT IN (SELECT task_id FROM t)),
+first AS (SELECT k, trace_id, kind, label, count(*) AS n FROM test, ks WHERE i <= k GROUP BY ALL),
+pre AS (SELECT k, trace_id, string_agg(label, chr(1) ORDER BY i) FILTER (i <= k) AS prefix FROM lab, ks WHERE kind = 'tool' GROUP BY ALL),
+pt AS (SELECT k, prefix, kind, label, count(*) AS n FROM pre JOIN train USING (trace_id) GROUP BY ALL),
+alike AS (SELECT pre.k, pre.trace_id, kind, label, n FROM pre JOIN tt USING (trace_id) JOIN pt ON pt.k = pre.k AND pt.prefix = pre.prefix),
+s AS (SELECT k, baseline, trace_id, kind, label, n AS x FROM fixed, ks UNION ALL SELECT k, 'lastK', trace_id, kind, label, n FROM first
+  UNION ALL SELECT k, 'last_step', trace_id, kind, arg_max(label, i), 1 FROM test, ks WHERE i <= k GROUP BY k, trace_id, kind
+  UNION ALL SELECT k, 'early_markov', trace_id, kind, label, n FROM alike UNION ALL SELECT k, 'early_markov', trace_id, kind, label, n FROM first WHERE NOT EXISTS (SELECT 1 FROM alike WHERE alike.k = first.k AND alike.trace_id = first.trace_id AND alike.kind = first.kind))"""
+
+
 def _early_sql(leak_free: bool) -> str:
     after = "WHERE i > k" if leak_free else ""
-    return f"""{_V}, {_LAB}, ks AS (SELECT CAST(unnest([1, 2, 3, 5, 8]) AS INT) AS k), tt AS (SELECT DISTINCT trace_id, task_id, harness FROM test),
-truth AS (SELECT k, trace_id, label, count(*) AS y FROM test, ks {after} GROUP BY ALL),
-g AS (SELECT label, count(*) AS n FROM train GROUP BY label), t AS (SELECT task_id, label, count(*) AS n FROM train GROUP BY ALL), h AS (SELECT harness, label, count(*) AS n FROM train GROUP BY ALL), th AS (SELECT task_id, harness, label, count(*) AS n FROM train GROUP BY ALL),
-fixed AS (SELECT 'global' AS baseline, trace_id, label, n FROM tt, g
-  UNION ALL SELECT 'task', trace_id, label, n FROM tt JOIN t USING (task_id) UNION ALL SELECT 'task', trace_id, label, n FROM tt, g WHERE task_id NOT IN (SELECT task_id FROM t)
-  UNION ALL SELECT 'harness', trace_id, label, n FROM tt JOIN h USING (harness) UNION ALL SELECT 'harness', trace_id, label, n FROM tt, g WHERE harness NOT IN (SELECT harness FROM h)
-  UNION ALL SELECT 'task_harness', trace_id, label, n FROM tt JOIN th USING (task_id, harness)
-  UNION ALL SELECT 'task_harness', trace_id, label, n FROM tt JOIN t USING (task_id) WHERE NOT EXISTS (SELECT 1 FROM th WHERE th.task_id = tt.task_id AND th.harness = tt.harness)
-  UNION ALL SELECT 'task_harness', trace_id, label, n FROM tt, g WHERE task_id NOT IN (SELECT task_id FROM t)),
-first AS (SELECT k, trace_id, label, count(*) AS n FROM test, ks WHERE i <= k GROUP BY ALL),
-pre AS (SELECT k, trace_id, string_agg(label, chr(1) ORDER BY i) FILTER (i <= k) AS prefix FROM lab, ks GROUP BY ALL),
-pt AS (SELECT k, prefix, label, count(*) AS n FROM pre JOIN train USING (trace_id) GROUP BY ALL),
-alike AS (SELECT pre.k, pre.trace_id, label, n FROM pre JOIN tt USING (trace_id) JOIN pt ON pt.k = pre.k AND pt.prefix = pre.prefix),
-s AS (SELECT k, baseline, trace_id, label, n AS x FROM fixed, ks UNION ALL SELECT k, 'lastK', trace_id, label, n FROM first
-  UNION ALL SELECT k, 'last_step', trace_id, arg_max(label, i), 1 FROM test, ks WHERE i <= k GROUP BY k, trace_id
-  UNION ALL SELECT k, 'early_markov', trace_id, label, n FROM alike UNION ALL SELECT k, 'early_markov', trace_id, label, n FROM first WHERE NOT EXISTS (SELECT 1 FROM alike WHERE alike.k = first.k AND alike.trace_id = first.trace_id)),
-b AS (SELECT unnest(['global', 'task', 'harness', 'task_harness', 'lastK', 'last_step', 'early_markov']) AS baseline),
-j AS (SELECT * FROM (SELECT truth.*, baseline FROM truth, b) FULL JOIN s USING (k, baseline, trace_id, label)),
-r AS (SELECT *, row_number() OVER (PARTITION BY k, baseline, trace_id ORDER BY x DESC NULLS LAST, label) AS r FROM j WHERE EXISTS (SELECT 1 FROM truth WHERE truth.k = j.k AND truth.trace_id = j.trace_id)),
-e2 AS (SELECT k, baseline, trace_id, coalesce(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 0) AS c, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND r <= 3) / count(y) AS rec FROM r GROUP BY ALL)
-SELECT k, baseline, count(*) AS traces, round(avg(c), 6) AS cosine, round(avg(rec), 6) AS top3_recall, '{"after_k" if leak_free else "whole"}' AS target FROM e2 GROUP BY k, baseline"""
+    return f"""{_V}, {_LAB}, {_SCORES},
+truth AS (SELECT k, trace_id, kind, label, count(*) AS y FROM test, ks {after} GROUP BY ALL),
+b AS (SELECT unnest(['global', 'task', 'harness', 'task+harness', 'lastK', 'last_step', 'early_markov']) AS baseline),
+j AS (SELECT * FROM (SELECT truth.*, baseline FROM truth, b) FULL JOIN s USING (k, baseline, trace_id, kind, label)),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, baseline, trace_id, kind ORDER BY x DESC NULLS LAST, label) AS r FROM j WHERE EXISTS (SELECT 1 FROM truth WHERE truth.k = j.k AND truth.trace_id = j.trace_id AND truth.kind = j.kind)),
+e2 AS (SELECT k, baseline, trace_id, kind, coalesce(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 0) AS c, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND r <= 3) / count(y) AS rec FROM r GROUP BY ALL)
+SELECT k, baseline, count(*) FILTER (kind = 'tool') AS traces, round(avg(c) FILTER (kind = 'tool'), 6) AS tool_cosine, round(avg(c) FILTER (kind = 'phase'), 6) AS phase_cosine, round(avg(rec) FILTER (kind = 'tool'), 6) AS future_tool_top3_recall, round(avg(rec) FILTER (kind = 'phase'), 6) AS future_phase_top3_recall, '{"after_k" if leak_free else "whole"}' AS target FROM e2 GROUP BY k, baseline"""
+
+
+def _delta_sql(leak_free: bool) -> str:
+    return f"SELECT k, target, baseline, future_tool_top3_recall, round(future_tool_top3_recall - max(future_tool_top3_recall) FILTER (baseline IN ('global', 'task', 'harness', 'task+harness')) OVER (PARTITION BY k), 6) AS delta_vs_best_metadata_baseline FROM ({_early_sql(leak_free)})"
 
 
 @query("i4_i6_early_prediction", _early_sql(False))
@@ -269,22 +291,34 @@ def i6b(spark, d):
     return early.metrics(_labels(spark, d), events.traces(spark, d), leak_free=True)
 
 
-@query("i10_delta_vs_metadata", f"SELECT k, target, baseline, top3_recall, round(top3_recall - max(top3_recall) FILTER (baseline IN ('global', 'task', 'harness', 'task_harness')) OVER (PARTITION BY k), 6) AS delta FROM ({_early_sql(True)})")
+@query("i6_prefix_recall", f"{_O}, n AS (SELECT trace_id, count(DISTINCT object_prefix) AS n FROM objects WHERE object_prefix IS NOT NULL AND {_PART} >= 700 GROUP BY trace_id) SELECT count(*) AS traces, round(avg(least(n, 5) / n), 6) AS object_prefix_top5_recall FROM n")
+def i6c(spark, d):
+    return early.prefix_recall(events.objects(spark, d), events.traces(spark, d))
+
+
+def _compared(spark, d, leak_free):
+    return early.against_metadata(early.metrics(_labels(spark, d), events.traces(spark, d), leak_free=leak_free))
+
+
+@query("i10_delta_vs_metadata", f"{_delta_sql(True)} UNION ALL {_delta_sql(False)}")
 def i10(spark, d):
-    return early.against_metadata(early.metrics(_labels(spark, d), events.traces(spark, d), leak_free=True))
+    return _compared(spark, d, True).unionByName(_compared(spark, d, False))
 
 
 _FAIL = """acts AS (SELECT * FROM steps WHERE act AND event_id % 13 <> 0),
 hx AS (SELECT trace_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS ht FROM (SELECT trace_id, tool, count(*) AS n FROM acts GROUP BY ALL) GROUP BY trace_id), hp AS (SELECT trace_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS hp FROM (SELECT trace_id, phase, count(*) AS n FROM acts GROUP BY ALL) GROUP BY trace_id),
 base AS (SELECT trace_id, count(*) AS n, 1 - count(DISTINCT tool) / count(*) AS rt, 1 - count(DISTINCT phase) / count(*) AS rp, avg(CASE WHEN tool = 'error' THEN 1.0 ELSE 0.0 END) AS er FROM acts GROUP BY trace_id),
 runs AS (SELECT trace_id, max(c) AS mr FROM (SELECT trace_id, tool, i, count(*) AS c FROM (SELECT trace_id, tool, row_number() OVER (PARTITION BY trace_id ORDER BY step_id) - row_number() OVER (PARTITION BY trace_id, tool ORDER BY step_id) AS i FROM acts) GROUP BY ALL) GROUP BY trace_id),
-ob AS (SELECT trace_id, 1 - count(DISTINCT object_id) / count(*) AS ro, 1 - count(DISTINCT object_prefix) / count(object_prefix) AS rx, count(*) FILTER (object_type = 'error') - count(DISTINCT object_id) FILTER (object_type = 'error') AS re, count(*) FILTER (object_type = 'test_case') - count(DISTINCT object_id) FILTER (object_type = 'test_case') AS rtc, count(*) FILTER (object_type = 'error') AS ne FROM objects GROUP BY trace_id),
+ob AS (SELECT trace_id, 1 - count(DISTINCT object_id) / count(*) AS ro, 1 - count(DISTINCT object_prefix) / count(object_prefix) AS rx, count(*) FILTER (object_type = 'error_signature') - count(DISTINCT object_id) FILTER (object_type = 'error_signature') AS re, count(*) FILTER (object_type = 'test_case') - count(DISTINCT object_id) FILTER (object_type = 'test_case') AS rtc, count(*) FILTER (object_type = 'error_signature') AS ne FROM objects GROUP BY trace_id),
 f0 AS (SELECT trace_id, success, coalesce(ht, 0) AS ht, coalesce(hp, 0) AS hp, coalesce(rt, 0) AS rt, coalesce(rp, 0) AS rp, coalesce(ro, 0) AS ro, coalesce(rx, 0) AS rx, coalesce(mr, 0) AS mr, coalesce(er, 0) AS er, coalesce(re, 0) AS re, coalesce(rtc, 0) AS rtc, coalesce(ne, 0) AS ne, coalesce(n, 0) AS n FROM traces LEFT JOIN base USING (trace_id) LEFT JOIN runs USING (trace_id) LEFT JOIN ob USING (trace_id) LEFT JOIN hx USING (trace_id) LEFT JOIN hp USING (trace_id)),
-f1 AS (SELECT trace_id, success, round(ht, 9) AS semantic_tool_entropy, round(hp, 9) AS phase_entropy, round(rt, 9) AS repeated_tool_ratio, round(rp, 9) AS repeated_phase_ratio, round(ro, 9) AS repeated_object_ratio, round(rx, 9) AS repeated_prefix_ratio, CAST(mr AS DOUBLE) AS max_same_tool_run_length, round(er, 9) AS error_rate, CAST(re AS DOUBLE) AS repeated_error_signature_count, CAST(rtc AS DOUBLE) AS repeated_test_case_count, round((rt + ro + er) / 3, 9) AS no_progress_loop_score, round((rt + rp + ro + rx + er + least(re / greatest(ne, 1), 1) + least(mr / greatest(n, 1), 1)) / 7, 9) AS failure_loop_score FROM f0)"""
+f1 AS (SELECT trace_id, success, round(ht, 9) AS semantic_tool_entropy, round(hp, 9) AS phase_entropy, round(rt, 9) AS repeated_semantic_tool_ratio, round(rp, 9) AS repeated_phase_ratio, round(ro, 9) AS repeated_object_ratio, round(rx, 9) AS repeated_path_prefix_ratio, CAST(mr AS DOUBLE) AS max_same_tool_run_length, round(er, 9) AS error_rate, CAST(re AS DOUBLE) AS repeated_error_signature_count, CAST(rtc AS DOUBLE) AS repeated_test_case_count, round((rt + ro + er) / 3, 9) AS no_progress_loop_score, round((rt + rp + ro + rx + er + least(re / greatest(ne, 1), 1) + least(mr / greatest(n, 1), 1)) / 7, 9) AS failure_loop_score FROM f0)"""
 _LONG = f"lg AS (SELECT trace_id, NOT success AS failed, metric, value FROM f1 UNPIVOT (value FOR metric IN ({', '.join(failure.METRICS)}))), rk AS (SELECT *, (rank() OVER (PARTITION BY metric ORDER BY value) + rank() OVER (PARTITION BY metric ORDER BY value) + count(*) OVER (PARTITION BY metric, value) - 1) / 2 AS r, count(*) OVER (PARTITION BY metric, value) AS ties FROM lg)"
 _F = f"{_O}, {_FAIL}"
 
 
+_ERFC = f"y * exp(-x * x {' '.join(f'{c:+} * y ** {i}' for i, c in enumerate(stats.ERFC))})"
+
+
 def _metrics(spark, d):
     return failure.per_trace(events.steps(spark, d), events.objects(spark, d), events.traces(spark, d))
 
@@ -295,12 +329,13 @@ def j1(spark, d):
 
 
 @query("j9_j10_comparison", f"""{_F}, {_LONG}, q AS (SELECT metric, avg(value) FILTER (NOT failed) AS a, avg(value) FILTER (failed) AS b, sum(r) FILTER (failed) AS rs, count(*) FILTER (failed) AS p, count(*) FILTER (NOT failed) AS n, sum(CAST(ties AS DOUBLE) * ties - 1) AS t FROM rk GROUP BY metric)
-SELECT metric, round(a, 6) AS success_mean, round(b, 6) AS failure_mean, round(round(b, 6) - round(a, 6), 6) AS delta, rs - p * (p + 1) / 2 AS u, CASE WHEN t >= (p + n) * (CAST(p + n AS DOUBLE) * (p + n) - 1) THEN NULL ELSE round((rs - p * (p + 1) / 2 - p * n / 2) / sqrt(p * n / 12 * (p + n + 1 - t / ((p + n) * (p + n - 1)))), 6) END AS z FROM q""")
+SELECT metric, round(a, 6) AS success_mean, round(b, 6) AS failure_mean, round(round(b, 6) - round(a, 6), 6) AS delta_failure_minus_success, rs - p * (p + 1) / 2 AS mannwhitney_u, CASE WHEN t >= (p + n) * (CAST(p + n AS DOUBLE) * (p + n) - 1) THEN NULL ELSE round((rs - p * (p + 1) / 2 - p * n / 2) / sqrt(p * n / 12 * (p + n + 1 - t / ((p + n) * (p + n - 1)))), 6) END AS z, CASE WHEN t < (p + n) * (CAST(p + n AS DOUBLE) * (p + n) - 1) THEN round(least(1, {_ERFC}), 6) END AS p_value
+FROM (SELECT *, 1 / (1 + 0.5 * x) AS y FROM (SELECT *, greatest(0, (abs(rs - p * (p + 1) / 2 - p * n / 2) - 0.5) / nullif(sqrt(greatest(0, p * n / 12 * (p + n + 1 - t / ((p + n) * (p + n - 1))))), 0)) / sqrt(2) AS x FROM q))""")
 def j9(spark, d):
     return failure.comparison(_metrics(spark, d))
 
 
-@query("j11_repeated_errors", f"{_O} SELECT object_id, count(*) AS n FROM objects WHERE object_type = 'error' GROUP BY object_id ORDER BY n DESC, object_id LIMIT 100")
+@query("j11_repeated_errors", f"{_O} SELECT object_id, count(*) AS n FROM objects WHERE object_type = 'error_signature' GROUP BY object_id ORDER BY n DESC, object_id LIMIT 100")
 def j11(spark, d):
     return failure.repeated_errors(events.objects(spark, d))
 
@@ -323,32 +358,74 @@ def i8(spark, d):
     return stats.auc(y, ["target"], "score", "long")
 
 
+@query("i8_i9_auc_by_k", f"""{_V}, {_OBJECTS}, {_FAIL}, {_LAB}, {_SCORES},
+ln AS (SELECT trace_id, count(lab.label) AS n FROM traces LEFT JOIN (SELECT * FROM lab WHERE kind = 'tool') lab USING (trace_id) GROUP BY trace_id), y AS (SELECT trace_id, n > (SELECT median(n) FROM ln) AS long FROM ln WHERE {_PART} >= 700),
+tot AS (SELECT k, baseline, trace_id, sum(x) AS score FROM s WHERE kind = 'tool' GROUP BY ALL), rl AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY k, baseline, score) - 1) / 2 AS r FROM tot JOIN y USING (trace_id) WINDOW w AS (PARTITION BY k, baseline ORDER BY score)),
+rf AS (SELECT success, rank() OVER (ORDER BY failure_loop_score) + (count(*) OVER (PARTITION BY failure_loop_score) - 1) / 2 AS r FROM f1 WHERE {_PART} >= 700),
+fa AS (SELECT round((sum(r) FILTER (NOT success) - count(*) FILTER (NOT success) * (count(*) FILTER (NOT success) + 1) / 2) / (count(*) FILTER (NOT success) * nullif(count(*) FILTER (success), 0)), 6) AS failure_loop_auc FROM rf)
+SELECT k, baseline, round((sum(r) FILTER (long) - count(*) FILTER (long) * (count(*) FILTER (long) + 1) / 2) / (nullif(count(*) FILTER (long), 0) * nullif(count(*) FILTER (NOT long), 0)), 6) AS long_trajectory_auc, any_value(failure_loop_auc) AS failure_loop_auc FROM rl, fa GROUP BY k, baseline""")
+def i8b(spark, d):
+    return early.auc_by_k(_labels(spark, d), events.traces(spark, d), _metrics(spark, d))
+
+
+@query("j12_cumulative", f"{_F} SELECT DISTINCT metric, success, value, round(cume_dist() OVER (PARTITION BY metric, success ORDER BY value), 6) AS share FROM (SELECT success, metric, value FROM f1 UNPIVOT (value FOR metric IN (repeated_error_signature_count, max_same_tool_run_length)))")
+def j12b(spark, d):
+    return failure.cumulative(_metrics(spark, d))
+
+
 _SEV = f"""{_O}, q AS (SELECT trace_id, object_id, CAST(sum(length(object_id)) AS DOUBLE) AS bytes, count(*) AS n FROM objects GROUP BY ALL),
-c AS (SELECT (SELECT coalesce(sum(bytes - bytes / n) FILTER (n > 1), 0) FROM q) AS r, (SELECT sum(0.15 * input_tokens) FROM traces) AS p, (SELECT CAST(count(*) AS DOUBLE) FROM steps JOIN traces USING (trace_id) WHERE act AND NOT success) AS w),
+c AS (SELECT (SELECT coalesce(sum(bytes - bytes / n) FILTER (n > 1), 0) FROM q) AS r, (SELECT sum(0.15 * input_tokens) FROM traces) AS p, (SELECT CAST(count(*) AS DOUBLE) FROM steps JOIN traces USING (trace_id) WHERE act AND NOT success) AS w, (SELECT greatest(0, max(delta_vs_best_metadata_baseline)) FROM ({_delta_sql(False)})) AS gain),
 v AS (SELECT *, r + p + 500 * w AS base, 0.2 * r AS session, 0.65 * r + 0.25 * p + 250 * w AS oracle FROM c)"""
+_COSTS = "x AS (SELECT unnest(['independent_call', 'session_affinity', 'oracle_upper_bound', 'predicted', 'wrong_prediction_stress', 'object_type_only']) AS strategy, unnest([0.0, session, oracle, session + oracle * least(0.35, 0.1 + gain), 0.85 * session, 0.95 * session]) AS red, base FROM v), costs AS (SELECT strategy, round(base - red, 3) AS estimated_cost, round(red, 3) AS reduction_vs_independent FROM x)"
 
 
 def _components(spark, d):
-    return severity.components(events.steps(spark, d), events.objects(spark, d), events.traces(spark, d))
+    return severity.components(events.steps(spark, d), events.objects(spark, d), events.traces(spark, d), severity.gain(_compared(spark, d, False)))
 
 
-@query("k1_k5_strategies", f"{_SEV}, x AS (SELECT unnest(['none', 'session', 'oracle', 'predicted', 'wrong', 'type_only']) AS strategy, unnest([0.0, session, oracle, session + oracle * 0.2, 0.85 * session, 0.95 * session]) AS red, base FROM v) SELECT strategy, round(red, 3) AS reduction, round(base - red, 3) AS cost FROM x")
+@query("k1_k5_strategies", f"{_SEV}, {_COSTS} SELECT * FROM costs")
 def k5(spark, d):
     return severity.strategies(_components(spark, d))
 
 
-@query("k6_breakdown", f"{_SEV} SELECT unnest(['repeated_bytes', 'prompt_tokens', 'failure_waste', 'state_reuse', 'prompt_reuse']) AS component, round(unnest([r, p, 500 * w, 0.3 * r, 0.2 * p]), 3) AS amount FROM v")
+@query("k5_opportunity", f"{_SEV}, {_COSTS} SELECT * FROM costs WHERE strategy <> 'independent_call'")
+def k5b(spark, d):
+    return severity.opportunity(severity.strategies(_components(spark, d)))
+
+
+@query("k6_breakdown", f"{_SEV} SELECT unnest(['repeated_object_bytes', 'estimated_redundant_prefill_tokens', 'failure_loop_wasted_steps_proxy', 'object_movement_bytes_proxy', 'kv_eviction_opportunity_loss_proxy']) AS component, round(unnest([r, p, 500 * w, 0.3 * r, 0.2 * p]), 3) AS cost FROM v")
 def k6(spark, d):
     return severity.breakdown(_components(spark, d))
 
 
-@query("k7_verdicts")
-def k7(spark, d):
+def _verdicts(spark, d):
     s, o, t = events.steps(spark, d), events.objects(spark, d), events.traces(spark, d)
-    rows = views.view_steps(s, _PAIR)
+    rows = views.view_steps(s, severity.CLEAN)
     tr, acc = transitions.transitions(rows), working_set.accesses(o)
-    e = early.against_metadata(early.metrics(early.labels(s), t, leak_free=True))
-    return severity.verdicts(transitions.recall(tr), transitions.bootstrap(tr), transitions.permutation_test(rows, replicates=25), motifs.motifs(motifs.sequences(s, o), t), dependencies.summary(normalize.dependencies(s, o), t), working_set.predictions(s, acc, t), e, failure.comparison(failure.per_trace(s, o, t)))
+    return severity.verdicts(transitions.recall(tr), transitions.bootstrap(tr), transitions.permutation_test(rows, replicates=25), motifs.motifs(motifs.sequences(s, o), t), dependencies.summary(normalize.dependencies(s, o), t), working_set.predictions(s, acc, t), _compared(spark, d, False), failure.comparison(failure.per_trace(s, o, t)))
+
+
+def _table(name: str) -> str:
+    return f"({ORACLES[name]})"
+
+
+_VERDICTS = f"""SELECT 'H1' AS hypothesis, CASE WHEN (SELECT max(delta) > 0.08 FROM {_table("e4_e5_recall")} WHERE k = 3 AND view LIKE '%semantic_tool_tool_action_only') AND (SELECT max(low) > 0 FROM {_table("e8_bootstrap")} WHERE view LIKE '%semantic_tool_tool_action_only') AND (SELECT min(p) < 0.05 FROM {_table("e11_e12_e15_permutation_test")} WHERE view LIKE '%semantic_tool_tool_action_only') THEN 'supported' ELSE 'not supported' END AS verdict
+UNION ALL SELECT 'H2', CASE WHEN count(*) FILTER (appears_in_heldout) >= 3 AND max(support_harnesses) > 1 THEN 'supported' WHEN bool_or(appears_in_heldout) THEN 'partially supported' ELSE 'not supported' END FROM {_table("f1_f7_motifs")}
+UNION ALL SELECT 'H3', CASE WHEN sum(count) > 0 AND coalesce(median(median_distance), 999) <= 5 THEN 'supported' ELSE 'not supported' END FROM {_table("g1_dependency_summary")}
+UNION ALL SELECT 'H4', CASE WHEN avg(recall) FILTER (baseline = 'lastK_object') > greatest(coalesce(avg(recall) FILTER (baseline = 'random_same_count'), -1), coalesce(avg(recall) FILTER (baseline = 'object_type_only'), -1)) + 0.05 THEN 'supported' ELSE 'not supported' END FROM {_table("w5_w9_object_prediction")} WHERE granularity = 'exact_object_id' AND horizon IN (3, 5, 10)
+UNION ALL SELECT 'H5', CASE WHEN count(*) FILTER (delta_vs_best_metadata_baseline > 0) >= 2 THEN 'supported' WHEN count(*) FILTER (delta_vs_best_metadata_baseline > 0) > 0 THEN 'partially supported' ELSE 'not supported' END FROM ({_delta_sql(False)}) WHERE baseline IN ('lastK', 'early_markov') AND k IN (3, 5, 8)
+UNION ALL SELECT 'H6', CASE WHEN bool_or(delta_failure_minus_success > 0 AND p_value < 0.05) THEN 'supported' WHEN bool_or(delta_failure_minus_success > 0) THEN 'partially supported' ELSE 'not supported' END FROM {_table("j9_j10_comparison")} WHERE metric = 'failure_loop_score'"""
+
+
+@query("k7_verdicts", _VERDICTS)
+def k7(spark, d):
+    return _verdicts(spark, d)
+
+
+@query("k8_conclusion", f"""WITH n AS (SELECT count(*) FILTER (verdict = 'supported') AS supported FROM ({_VERDICTS})), c AS (SELECT max(reduction_vs_independent) FILTER (strategy = 'predicted') AS predicted, max(reduction_vs_independent) FILTER (strategy = 'session_affinity') AS session, max(reduction_vs_independent) FILTER (strategy = 'wrong_prediction_stress') AS wrong FROM {_table("k1_k5_strategies")})
+SELECT *, supported >= 4 AND predicted > session AND predicted > wrong AS sufficient, CASE WHEN supported >= 4 AND predicted > session AND predicted > wrong THEN 'the problem exists' ELSE 'the problem is not sufficiently shown' END AS conclusion FROM n, c""")
+def k8(spark, d):
+    return severity.conclusion(_verdicts(spark, d), severity.strategies(_components(spark, d)))
 
 
 _KNOWN = """e AS (SELECT event_id, ts, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS step_id FROM events),
@@ -366,10 +443,10 @@ def b_c(spark, d):
 @query("c4_c10_object_counts", f"""WITH {_KNOWN}, o AS (
   SELECT 'file' AS object_type, 'command' AS object_source, CASE WHEN t = 'signup' THEN 'write' ELSE 'read' END AS access_type, 'file:src/pkg' || (k % 7) || '/f' || k || '.py' AS object_id FROM known WHERE ok AND t IN ('view', 'click', 'signup')
   UNION ALL SELECT 'file', 'command', 'execute', 'file:tests/test_m' || (k % 5) || '.py' FROM known WHERE ok AND t = 'purchase'
-  UNION ALL SELECT 'test_case', 'text', 'mention', 'test_case:test_m' || (k % 5) || '.py' FROM known WHERE ok AND t = 'purchase'
+  UNION ALL SELECT 'test_case', 'mixed', 'execute', 'test:test_m' || (k % 5) || '.py' FROM known WHERE ok AND t = 'purchase'
   UNION ALL SELECT 'file', 'observation', 'mention', 'file:src/pkg' || (k % 7) || '/f' || k || '.py' FROM known WHERE t = 'click'
   UNION ALL SELECT 'file', 'observation', 'mention', 'file:/app/Mod' || (k % 5) || '.py' FROM known WHERE t = 'error'
-  UNION ALL SELECT 'error', 'observation', 'mention', 'error:traceback:mod' || (k % 5) || '.py:' || k FROM known WHERE t = 'error')
+  UNION ALL SELECT 'error_signature', 'observation', 'error', 'error:traceback:Mod' || (k % 5) || '.py:line' FROM known WHERE t = 'error')
 SELECT object_type, object_source, access_type, object_id, count(*) AS n FROM o GROUP BY ALL""")
 def c10(spark, d):
     o = normalize.objects(normalize.steps(events.raw(spark, d)))
@@ -385,3 +462,53 @@ def c11(spark, d):
 @query("c14_c15_quality", f"WITH {_KNOWN} SELECT count(*) AS steps, count(*) FILTER (ok AND t <> 'error') AS tool_action_steps, count(DISTINCT trace_id) AS traces, round(avg(CASE WHEN NOT ok OR t = 'error' THEN 1.0 ELSE 0 END), 6) AS unknown_rate, round(avg(CASE WHEN none OR art THEN 1.0 ELSE 0 END), 6) AS artifact_rate, round(avg(CASE WHEN ok AND t <> 'error' THEN 1.0 ELSE 0 END), 6) AS parse_success_rate FROM known")
 def c14(spark, d):
     return normalize.quality_row(normalize.steps(events.raw(spark, d)))
+
+
+#: Commands with the tool that they run, its group, and whether they write: worked out by hand.
+COMMANDS = [
+    ("grep -R foo .", "grep", "search", False), ("search_dir foo src", "search_dir", "search", False), ("cat pytest.ini", "cat", "read_file", False), ("grep -rn pytest .", "grep", "search", False), ("pip install pytest", "pip", "pip", False),
+    ("sudo time ls", "ls", "list_files", False), ("/usr/bin/sudo ls", "ls", "list_files", False), ("env -i timeout -k5 /bin/cat x.py", "cat", "read_file", False), ("python -u -m unittest", "unittest", "test", False), ("python3 -m http.server", "python", "execute", False),
+    ("python run_pytest.py", "pytest", "test", False), ("A=1 B=2 python -m pytest", "pytest", "test", False), ("ls | tee out", "ls", "list_files", False), ("tee out", "tee", "edit", True), ("tee -a", "tee", "edit", True), ("touch a.py", "touch", "edit", True),
+    ("mkdir -p x", "mkdir", "edit", True), ("sed -n 1,10p a.py", "sed_read", "read_file", False), ("sed -i s/a/b/ a.py", "edit", "edit", True), ("sed -i.bak s/a/b/ a.py", "edit", "edit", True), ("echo hello", "echo", "unknown", False), ("echo hello > f.txt", "write_file", "edit", True),
+    ("cat a.txt >> b.txt", "cat", "read_file", True), ("bash -c 'ls -l'", "ls", "list_files", False), ("bash run.sh", "bash", "execute", False), ("go test ./...", "go_test", "test", False), ("go build", "go", "execute", False), ("npm test", "npm_test", "test", False), ("$ curl x", "curl", "retrieve", False),
+    ("submit", "submit", "final", False), ('cat "unclosed', "cat", "read_file", False), ("", "unknown", "unknown", False), ("X=1", "unknown", "unknown", False), ("(ls)", "unknown", "unknown", False),
+]
+#: Observations with their error's signature and flag, by hand.
+OBSERVATIONS = [
+    ('Traceback\n  File "/x/App.py", line 3, in f\nValueError: bad', "traceback:App.py:line", True), ('File "/x/app.txt", line 3', None, False), ("pkg.mod.ParseError: no", "exception:pkg.mod.ParseError", True), ("Exception: no", "exception:Exception", True),
+    ("FAILED tests/test_a.py::test_b, ok", "failed_test:tests/test_a.py::test_b", True), ("the job timed out", "error:timeout", True), ("an error", "error:generic", True), ("exit code 3", None, True), ("exit code 0", None, False), ("failures: 0", None, False), ("all good", None, False),
+]
+
+
+def _values(rows: list[tuple]) -> str:
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+@query("b9_b11_commands", f"SELECT * FROM ({_values(COMMANDS)}) t(command, tool, tool_group, writes)")
+def b10(spark, d):
+    df = spark.createDataFrame([(c[0],) for c in COMMANDS], "command string").withColumn("s", parse.shell("command", F.lit("execute_bash")))
+    return df.select("command", F.col("s.tool").alias("tool"), parse.tool_group(F.col("s.tool")).alias("tool_group"), F.col("s.writes").alias("writes"))
+
+
+@query("b18_b27_signatures", f"SELECT * FROM ({_values(OBSERVATIONS)}) t(observation, signature, error_flag)")
+def b18(spark, d):
+    df = spark.createDataFrame([(o[0],) for o in OBSERVATIONS], "observation string")
+    return df.select("observation", parse.error_signature(F.col("observation")).alias("signature"), parse.error_flag(F.col("observation")).alias("error_flag"))
+
+
+#: Steps as JSON, and the objects that they access: (step, id, type, access, prefix, folder, extension, stable), by hand.
+ACCESSES = [
+    (0, "file:src/pkg/a.py", "file", "read", "src/pkg", "src/pkg", ".py", True), (0, "url:https://x.org/a", "url", "retrieve", "https:/x.org", "https:/x.org", "", True), (1, "file:README.md", "file", "mention", "README.md", ".", ".md", True),
+    (2, "test:tests/test_a.py::test_b", "test_case", "execute", "tests/test_a.py::test_b", "tests", ".py::test_b", True), (2, "file:tests/test_a.py", "file", "execute", "tests/test_a.py", "tests", ".py", True),
+    (3, "large_observation_bucket", "large_observation_bucket", "mention", None, None, None, False), (3, "error:error:timeout", "error_signature", "error", None, None, None, True),
+]
+
+
+@query("c4_c10_accesses", f"SELECT CAST(step_id AS INT) AS step_id, object_id, object_type, access_type, object_prefix, object_dir, object_extension, stable_object FROM ({_values([(str(a[0]), *a[1:]) for a in ACCESSES])}) t(step_id, object_id, object_type, access_type, object_prefix, object_dir, object_extension, stable_object)")
+def c4(spark, d):
+    call = lambda cmd, obs: {"tools": [{"fn": "Bash", "cmd": cmd}], "obs": obs}
+    listed = [call("cat src/pkg/a.py https://x.org/a", None), {"message": "run\n```bash\nls\n```", "output": "README.md"}, call("pytest tests/test_a.py::test_b", None), call("sleep 9", "x" * 4001 + " timed out")]
+    raw = spark.createDataFrame([("t", None, "task", "h", "m", 1.0, "2", "3", "4", json.dumps(listed))], sources.RAW)
+    o = normalize.objects(normalize.steps(raw))
+    return o.select("step_id", "object_id", "object_type", "access_type", "object_prefix", "object_dir", "object_extension", "stable_object")
