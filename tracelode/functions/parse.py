@@ -63,39 +63,43 @@ def fenced_command(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.try_element_at(lines, F.lit(-1))), r"^\$ ", "")
 
 
-def _first(element: Column, keys: list[str]) -> list[Column]:
-    """Values of the first of several keys in a JSON object, empty values as null."""
-    got = [F.get_json_object(element, f"$.{k}") for k in keys]
-    return [F.when(~x.isin("", "[]", "{}", "0", "false"), x) for x in got]
-
-
 #: Where a step holds its call, its command and its tool's name.
 CALLS = ["tools", "tool_calls", "tool_call"]
 COMMANDS = ["cmd", "command", "input", "arguments", "args", "tool_input"]
 CALL_NAMES, STEP_NAMES = ["fn", "name", "tool_name", "tool"], ["tool_name", "tool", "name", "fn"]
 
 
-def _call(element: Column, keys: list[str]) -> list[Column]:
-    """For each place of a call: the first item if it is a list, the object, or the string itself."""
-    out = []
-    for place in CALLS:
-        head = F.get_json_object(element, f"$.{place}[0]")
-        one = F.coalesce(head, F.get_json_object(element, f"$.{place}"))
-        is_object = F.substring(one, 1, 1) == "{"
-        out += [F.when(is_object, x) for x in _first(one, keys)]
-        out.append(F.when(~is_object & ~one.isin("", "[]", "null") & (F.substring(one, 1, 1) != "["), one))
-    return out
+MESSAGES, ROLES, OUTPUTS, TIMES = ["msg", "message", "content"], ["src", "role"], ["obs", "observation", "output"], ["timestamp", "time"]
+_STEP = ", ".join(f"`{k}` string" for k in dict.fromkeys([*CALLS, *COMMANDS, *STEP_NAMES, *MESSAGES, *ROLES, *OUTPUTS, *TIMES]))
+_CALL = ", ".join(f"`{k}` string" for k in dict.fromkeys([*COMMANDS, *CALL_NAMES]))
+
+
+def step_fields(element: Column) -> Column:
+    """The known fields of a step, each as a string or JSON text, and of its calls (call0, call1, ... by place), from one parse of each; null if it is no object."""
+    return F.from_json(element, _STEP)
+
+
+def call_of(step: Column, place: str) -> Column:
+    """(fields, bare): the fields of the call at one place, the first of a list, and the call itself if it is a string."""
+    value = step[place]
+    one = F.when(F.substring(value, 1, 1) == "[", F.try_element_at(F.from_json(value, "array<string>"), F.lit(1))).otherwise(value)
+    return F.struct(F.from_json(F.when(F.substring(one, 1, 1) == "{", one), _CALL).alias("fields"), F.when(~F.substring(one, 1, 1).isin("{", "[") & ~one.isin("", "null"), one).alias("bare"))
+
+
+def pick(fields: Column, keys: list[str]) -> list[Column]:
+    """Values of several keys, empty values as null."""
+    return [F.when(~fields[k].isin("", "[]", "{}", "0", "false"), fields[k]) for k in keys]
 
 
-def command_string(element: Column, message: Column) -> Column:
+def command_string(step: Column, calls: list[Column], message: Column) -> Column:
     """The command of a step: in its call, on the step itself, or fenced in the message."""
-    return F.coalesce(*_call(element, COMMANDS), *_first(element, COMMANDS), fenced_command(message))
+    named = [x for c in calls for x in (*pick(c["fields"], COMMANDS), c["bare"])]
+    return F.coalesce(*named, *pick(step, COMMANDS), fenced_command(message))
 
 
-def wrapper(element: Column) -> Column:
+def wrapper(step: Column, calls: list[Column]) -> Column:
     """The name of the tool that a step calls; unknown if none."""
-    named = [c for i, c in enumerate(_call(element, CALL_NAMES)) if i % (len(CALL_NAMES) + 1) < len(CALL_NAMES)]
-    return clean_name(F.coalesce(*named, *_first(element, STEP_NAMES)))
+    return clean_name(F.coalesce(*[x for c in calls for x in pick(c["fields"], CALL_NAMES)], *pick(step, STEP_NAMES)))
 
 
 def artifact_flag(command: Column, tool: Column) -> Column:

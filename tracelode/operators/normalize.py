@@ -15,11 +15,6 @@ DATASET = "terminalbench"
 BEGINS = {"file": "file:", "url": "url:", "test_case": "test:", "error_signature": "error:"}
 
 
-def _pick(element: Column, *keys: str) -> Column:
-    got = [F.get_json_object(element, f"$.{k}") for k in keys]
-    return F.coalesce(*[F.when(~x.isin("", "[]", "{}", "0", "false"), x) for x in got])
-
-
 def named(raw: DataFrame) -> DataFrame:
     """Raw rows with trace_id: the trial's id or name, else a hash of its steps and, of equal ones, a number."""
     own = raw.withColumn("trace_id", F.coalesce(F.nullif("trial_id", F.lit("")), F.nullif("trial_name", F.lit(""))))
@@ -36,10 +31,11 @@ def step_elements(raw: DataFrame) -> DataFrame:
 
 def steps(raw: DataFrame) -> DataFrame:
     """Canonical steps, with the command's file flag (writes) and texts that objects() needs."""
-    e = F.col("element")
-    is_object = F.get_json_object(e, "$").startswith("{")
-    df = step_elements(raw).withColumn("msg", F.coalesce(_pick(e, "msg", "message", "content"), F.when(is_object.isNull() | ~is_object, e)))
-    df = df.select("trace_id", "step_id", "msg", _pick(e, "src", "role").alias("role"), _pick(e, "obs", "observation", "output").alias("obs"), parse.wrapper(e).alias("tool_wrapper"), parse.command_string(e, F.col("msg")).alias("command_string"), F.coalesce(F.get_json_object(e, "$.timestamp"), F.get_json_object(e, "$.time")).alias("timestamp"))
+    e, step = F.col("element"), F.col("step")
+    df = step_elements(raw).withColumn("step", parse.step_fields(e)).withColumns({f"call{i}": parse.call_of(step, c) for i, c in enumerate(parse.CALLS)})
+    calls = [F.col(f"call{i}") for i in range(len(parse.CALLS))]
+    df = df.withColumn("msg", F.coalesce(*parse.pick(step, parse.MESSAGES), F.when(~F.ltrim(e).startswith("{"), e)))
+    df = df.select("trace_id", "step_id", "msg", F.coalesce(*parse.pick(step, parse.ROLES)).alias("role"), F.coalesce(*parse.pick(step, parse.OUTPUTS)).alias("obs"), parse.wrapper(step, calls).alias("tool_wrapper"), parse.command_string(step, calls, F.col("msg")).alias("command_string"), F.coalesce(*[step[k] for k in parse.TIMES]).alias("timestamp"))
     df = df.withColumn("s", parse.shell("command_string", "tool_wrapper")).withColumn("semantic_tool", F.col("s.tool")).withColumn("semantic_tool_clean", parse.tool_group(F.col("semantic_tool")))
     group, command, wrap = F.col("semantic_tool_clean"), F.col("command_string"), F.col("tool_wrapper")
     return df.select(
