@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -86,7 +87,7 @@ def _distinct(parts: Iterator[pa.RecordBatch], ask: bool) -> Iterator[pa.RecordB
         keys = np.concatenate([x[0] for x in held[kind]])
         order = np.argsort(keys)
         keys, n = keys[order], np.concatenate([x[1] for x in held[kind]])[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
         held[kind] = [(keys[first], np.add.reduceat(n, first))]
 
     def rows(chunk: int) -> Iterator[pa.RecordBatch]:
@@ -105,15 +106,14 @@ def _distinct(parts: Iterator[pa.RecordBatch], ask: bool) -> Iterator[pa.RecordB
         if now is not None and chunk != now:
             yield from rows(now)
         now = chunk
-        text, train = part.column("text"), ~part.column("held_out").to_numpy(zero_copy_only=False)
-        gram, sizes = grams(text)
-        words, first = word_keys(text)
-        for kind, keys, n in ((0, gram, sizes), (1, words.view(np.int64), np.diff(first))):
-            uniq, at = np.unique(keys, return_inverse=True)
-            held[kind].append((uniq, np.bincount(at, np.repeat(train, n), len(uniq)).astype(np.int64)))
+        if not ask:
+            part = part.filter(pc.invert(part.column("held_out")))
+        text = part.column("text")
+        for kind, keys in ((0, grams(text)[0]), (1, word_keys(text)[0].view(np.int64))):
+            held[kind].append(np.unique(keys, return_counts=True))
             if len(held[kind]) > 8:
                 merge(kind)
-        held[1].append((np.array([END_WORD]), np.array([train.sum()])))
+        held[1].append((np.array([END_WORD]), np.array([len(text)])))
     if now is not None:
         yield from rows(now)
 
@@ -219,14 +219,16 @@ def _answers(lower: Lower, most: int):
             known = tuple(np.concatenate(x) for x in zip(before, rows[1:, ~asks]))
             order = np.argsort(known[0])
             key, n = known[0][order], known[1][order]
-            uniq, at = np.unique(rows[1, asks], return_inverse=True)
+            asked = rows[1, asks]  # in the order of parts and keys: equal ones stand together
+            new = np.concatenate([[True], asked[1:] != asked[:-1]])[: len(asked)]
+            uniq, at = asked[new], np.cumsum(new) - 1
             if len(uniq) and kind == 0:
                 value = np.rint(-UNIT * log_probs(uniq, trie_nodes(key, n, lower), lower.zero)).astype(np.int64)
             elif len(uniq):
                 spot = np.minimum(np.searchsorted(key, uniq), max(len(key) - 1, 0))
                 value = np.where(key[spot] == uniq, n[spot], 0) if len(key) else np.zeros(len(uniq), np.int64)
             if len(uniq):
-                to, asked = 2 * rows[2, asks] + kind, rows[1, asks]
+                to = 2 * rows[2, asks] + kind
                 for a in range(0, len(at), 50_000):
                     b = slice(a, a + 50_000)
                     yield pa.record_batch({"to": pa.array(to[b]), "key": pa.array(asked[b]), "value": pa.array(value[at[b]])})
