@@ -145,6 +145,18 @@ def test_unnamed_traces_stay_apart(spark):
     assert sorted((r.total_steps, r.success) for r in t) == [(1, False), (2, True), (2, True)] and {r.dataset for r in t} == {"terminalbench"}
 
 
+def test_metadata_of_a_run(spark, tmp_path):
+    """Counts, rates and flags of a run as one JSON row; without steps all rates are 0."""
+    df = raw(spark, call("cat a.py", "x"), {"msg": "no tool"}).union(spark.createDataFrame([("t2", *[None] * 8, "[]")], sources.RAW))
+    s = normalize.steps(df)
+    sources.write_tables({"metadata": normalize.quality_row(df, s, normalize.objects(s), source="cache", profile_mode="small")}, str(tmp_path), "json")
+    r = spark.read.json(str(tmp_path / "metadata")).first()
+    assert (r.num_traces, r.num_steps, r.num_tool_action_steps, r.num_object_accesses, r.skipped_rows, r.unknown_rate, r.command_parse_success_rate, r.source, r.profile_mode, r.used_mock) == (1, 2, 1, 1, 1, 0.5, 0.5, "cache", "small", False)
+    none = df.limit(0)
+    r = normalize.quality_row(none, normalize.steps(none), normalize.objects(normalize.steps(none))).first()
+    assert (r.num_steps, r.unknown_rate, r.skipped_rows) == (0, 0.0, 0)
+
+
 def test_p_values(spark):
     """Two-sided, with continuity and tie correction; against the definition."""
     rng = random.Random(1)

@@ -96,10 +96,16 @@ def dependencies(steps: DataFrame, objects: DataFrame, horizon: int = 10) -> Dat
     return df.select("trace_id", "src_step_id", "dst_step_id", kind.alias("dependency_type"), "src_tool", "dst_tool", "object_id", F.col("src_type").alias("value_type"), near.alias("confidence")).distinct()
 
 
-def quality_row(steps: DataFrame) -> DataFrame:
-    """One row: counts and rates of the steps."""
-    rate = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return steps.agg(F.count("*").alias("steps"), F.count_if("is_tool_action").alias("tool_action_steps"), F.count_distinct("trace_id").alias("traces"), rate(parse.nullish(F.col("semantic_tool_clean"))).alias("unknown_rate"), rate(F.col("command_artifact_flag")).alias("artifact_rate"), rate(~parse.nullish(F.col("semantic_tool_clean")) & ~F.col("command_artifact_flag")).alias("parse_success_rate"))
+def quality_row(raw: DataFrame, steps: DataFrame, objects: DataFrame, source: str = "", strict_real: bool = True, used_mock: bool = False, profile_mode: str = "") -> DataFrame:
+    """One row: counts and rates of the steps, raw rows that have none, and how the run was asked for. With sources.write_tables(..., "json") it is the run's metadata."""
+    rate = lambda c: F.round(F.coalesce(F.avg(c.cast("double")), F.lit(0.0)), 6)
+    n = steps.agg(
+        F.count_distinct("trace_id").alias("num_traces"), F.count("*").alias("num_steps"), F.count_if("is_tool_action").alias("num_tool_action_steps"),
+        rate(F.col("semantic_tool_clean") == "unknown").alias("unknown_rate"), rate(F.col("command_artifact_flag")).alias("artifact_rate"), rate(F.col("command_string").isNotNull()).alias("command_parse_success_rate"),
+    )
+    rows, o = raw.agg(F.count("*").alias("rows")), objects.agg(F.count("*").alias("num_object_accesses"))
+    flags = [F.lit(x).alias(k) for k, x in (("dataset", DATASET), ("source", source), ("strict_real", strict_real), ("used_mock", used_mock), ("profile_mode", profile_mode))]
+    return n.join(F.broadcast(o)).join(F.broadcast(rows)).withColumn("skipped_rows", F.col("rows") - F.col("num_traces")).drop("rows").select("*", *flags)  # single rows
 
 
 def normalize(raw: DataFrame) -> dict[str, DataFrame]:

@@ -90,11 +90,11 @@ def bootstrap(trans: DataFrame, k: int = 3, draws: int = 30, seed: int = 7) -> D
     return rep.groupBy("view").agg(F.round(F.percentile("delta", 0.025), 6).alias("low"), F.round(F.percentile("delta", 0.975), 6).alias("high"))
 
 
-def shuffled(rows: DataFrame, control: str, replicates: int = 25, seed: int = 1007, blocks: int = 16) -> DataFrame:
+def shuffled(rows: DataFrame, control: str, replicates: int = 25, seed: int = 1007, blocks: int | None = None) -> DataFrame:
     """Replicates of transitions whose order is broken: (view, rep, trace_id, current, next).
 
     within_trace deals each trace's labels out anew. global_next deals next labels out anew over all traces, in
-    `blocks` random blocks of transitions: any two blocks are alike, and no sort spans all rows.
+    `blocks` random blocks of transitions (16, or one for each million rows): any two blocks are alike, and no sort spans all rows.
     """
     rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
     if control == "within_trace":
@@ -103,6 +103,7 @@ def shuffled(rows: DataFrame, control: str, replicates: int = 25, seed: int = 10
         return transitions(each.withColumn("step_id", F.row_number().over(order)), ("view", "rep"))
     if control != "global_next":
         raise ValueError(control)
+    blocks = blocks or max(16, -(-rows.count() // 1_000_000))
     each = transitions(rows).select("*", rep).withColumn("block", draw(F.concat_ws("|", F.lit(str(seed)), F.lit("b"), F.col("rep")), "trace_id", "step_id") % blocks)
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep"), F.col("trace_id"), F.col("step_id")))
     inside = Window.partitionBy("view", "rep", "block")

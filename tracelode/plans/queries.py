@@ -112,7 +112,7 @@ _IN_PAIR = "(" + ", ".join(f"'{v}'" for v in _PAIR) + ")"
 @query("e11_e12_e15_permutation_test", f"""{_V}, reps AS (SELECT CAST(unnest(range(1, 26)) AS INT) AS rep),
 wl AS (SELECT view, trace_id, label, rep, row_number() OVER (PARTITION BY view, trace_id, rep ORDER BY md5('1007|' || rep || '|' || trace_id || '|' || step_id)) AS i FROM views, reps WHERE view IN {_IN_PAIR}),
 wt AS (SELECT * FROM (SELECT view, 'within_trace' AS control, rep, trace_id, label AS current, lead(label) OVER (PARTITION BY view, trace_id, rep ORDER BY i) AS next FROM wl) WHERE next IS NOT NULL),
-gb AS (SELECT *, {_DRAW.format("'1007|b|' || rep || '|' || trace_id || '|' || step_id")} % 16 AS block FROM trans, reps WHERE view IN {_IN_PAIR}),
+gb AS (SELECT *, {_DRAW.format("'1007|b|' || rep || '|' || trace_id || '|' || step_id")} % greatest(16, (SELECT CAST(ceil(count(*) / 1000000) AS BIGINT) FROM views WHERE view IN {_IN_PAIR})) AS block FROM trans, reps WHERE view IN {_IN_PAIR}),
 ga AS (SELECT *, row_number() OVER (PARTITION BY view, rep, block ORDER BY trace_id, step_id) AS i, row_number() OVER (PARTITION BY view, rep, block ORDER BY md5('1007|' || rep || '|' || trace_id || '|' || step_id)) AS j FROM gb),
 allr AS (SELECT view, 'observed' AS control, 0 AS rep, trace_id, current, next FROM trans WHERE view IN {_IN_PAIR} UNION ALL SELECT * FROM wt UNION ALL SELECT a.view, 'global_next', a.rep, a.trace_id, a.current, b.next FROM ga a JOIN ga b ON a.view = b.view AND a.rep = b.rep AND a.block = b.block AND a.i = b.j),
 pairs AS (SELECT view, control, rep, current, next, count(*) AS n FROM allr WHERE {_PART} < 700 GROUP BY ALL), cond AS (SELECT *, row_number() OVER (PARTITION BY view, control, rep, current ORDER BY n DESC, next) AS r FROM pairs),
@@ -459,9 +459,12 @@ def c11(spark, d):
     return normalize.traces(raw, normalize.steps(raw)).select("trace_id", "success", "duration", "input_tokens", "total_steps", "tool_action_steps")
 
 
-@query("c14_c15_quality", f"WITH {_KNOWN} SELECT count(*) AS steps, count(*) FILTER (ok AND t <> 'error') AS tool_action_steps, count(DISTINCT trace_id) AS traces, round(avg(CASE WHEN NOT ok OR t = 'error' THEN 1.0 ELSE 0 END), 6) AS unknown_rate, round(avg(CASE WHEN none OR art THEN 1.0 ELSE 0 END), 6) AS artifact_rate, round(avg(CASE WHEN ok AND t <> 'error' THEN 1.0 ELSE 0 END), 6) AS parse_success_rate FROM known")
+@query("c14_c15_quality", f"""WITH {_KNOWN} SELECT count(*) AS num_steps, count(*) FILTER (ok AND t <> 'error') AS num_tool_action_steps, count(DISTINCT trace_id) AS num_traces, round(avg(CASE WHEN NOT ok OR t = 'error' THEN 1.0 ELSE 0 END), 6) AS unknown_rate, round(avg(CASE WHEN none OR art THEN 1.0 ELSE 0 END), 6) AS artifact_rate, round(avg(CASE WHEN none THEN 0.0 ELSE 1 END), 6) AS command_parse_success_rate,
+(SELECT sum(n) FROM ({ORACLES["c4_c10_object_counts"]})) AS num_object_accesses, 0 AS skipped_rows, 'terminalbench' AS dataset, 'events' AS source, true AS strict_real, false AS used_mock, '' AS profile_mode FROM known""")
 def c14(spark, d):
-    return normalize.quality_row(normalize.steps(events.raw(spark, d)))
+    raw = events.raw(spark, d)
+    s = normalize.steps(raw)
+    return normalize.quality_row(raw, s, normalize.objects(s), source="events")
 
 
 #: Commands with the tool that they run, its group, and whether they write: worked out by hand.
