@@ -87,7 +87,7 @@ def nearest_entries(x: np.ndarray, book: np.ndarray, order: list[int]) -> tuple[
         so_far = so_far + (x[row, d] - book[entry, d]) ** 2
         if i == len(order) // 2:
             begin = np.searchsorted(row, np.arange(n))  # no row is ever without an entry
-            best = np.minimum(best, complete(np.arange(n), np.minimum.reduceat(so_far * k + entry, begin) % k))
+            best = np.minimum(best, complete(np.arange(n), (np.minimum.reduceat(so_far * k + entry, begin) % k).astype(np.int64)))
         going = so_far <= best[row]
         row, entry, so_far = row[going], entry[going], so_far[going]
     least = np.minimum.reduceat(so_far * k + entry, np.searchsorted(row, np.arange(n)))
