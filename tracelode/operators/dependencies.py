@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+from .ranks import below, joined
+
 
 def _distance(deps: DataFrame) -> DataFrame:
     return deps.withColumn("distance", F.col("dst_step_id") - F.col("src_step_id"))
@@ -33,10 +36,10 @@ def by_horizon(deps: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10)) -> Da
 
 
 def ecdf(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, value, share of rows at or below): counted by value before they are ranked."""
-    n = rows.groupBy(*group, value).agg(F.count("*").alias("n"))
-    upto, every = Window.partitionBy(*group).orderBy(value), Window.partitionBy(*group)
-    return n.select(*group, value, F.round(F.sum("n").over(upto) / F.sum("n").over(every), 6).alias("share"))
+    """(group, value, share of rows at or below): counted by value, and summed range by range (see ranks.below)."""
+    n = stored(rows.groupBy(*group, value).agg(F.count("*").alias("n")), "values")
+    total = n.groupBy(*group).agg(F.sum("n").alias("total"))
+    return joined(below(n, group, value), total, group).select(*group, value, F.round((F.col("below") + F.col("n")) / F.col("total"), 6).alias("share"))
 
 
 def distance_ecdf(deps: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
 from .stats import auc, cosine_of
 from .transitions import draw
 from .views import view_steps
@@ -109,7 +110,7 @@ def against_metadata(m: DataFrame) -> DataFrame:
 def auc_by_k(lab: DataFrame, traces: DataFrame, per_trace: DataFrame, seed: int = 7) -> DataFrame:
     """(k, baseline, long_trajectory_auc, failure_loop_auc) over held-out traces: how well the sum of a baseline's tool scores tells traces with more tool actions than the median of all, and the failure-loop score failures (the same for all)."""
     n = traces.select("trace_id").join(lab.where("kind = 'tool'").groupBy("trace_id").agg(F.count("*").alias("n")), "trace_id", "left").na.fill(0)
-    held = n.crossJoin(F.broadcast(n.agg(F.median("n").alias("m")))).where(draw(seed, "trace_id") % 1000 >= 700).select("trace_id", (F.col("n") > F.col("m")).alias("long"))  # one row
+    held = n.crossJoin(F.broadcast(quantiles(n, [], "n", {"m": 0.5}))).where(draw(seed, "trace_id") % 1000 >= 700).select("trace_id", (F.col("n") > F.col("m")).alias("long"))  # one row
     total = scores(lab, traces, seed).where("kind = 'tool'").groupBy("k", "baseline", "trace_id").agg(F.sum("score").alias("score"))
     by_length = auc(total.join(held, "trace_id"), ["k", "baseline"], "score", "long").withColumnRenamed("auc", "long_trajectory_auc")
     failed = per_trace.where(draw(seed, "trace_id") % 1000 >= 700)

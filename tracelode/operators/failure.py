@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dependencies import ecdf
+from .ranks import quantiles
 from .stats import mann_whitney
 
 #: Names of the metrics.
@@ -62,8 +63,8 @@ def cumulative(metrics: DataFrame) -> DataFrame:
 
 def box(metrics: DataFrame) -> DataFrame:
     """Quartiles by metric and outcome."""
-    q = [F.round(F.percentile("value", p), 6).alias(n) for p, n in ((0.0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "high"))]
-    return long(metrics).groupBy("metric", "failed").agg(*q)
+    shares = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
+    return quantiles(long(metrics), ["metric", "failed"], "value", shares).select("metric", "failed", *[F.round(c, 6).alias(c) for c in shares])
 
 
 def repeated_errors(objects: DataFrame, top: int = 100) -> DataFrame:

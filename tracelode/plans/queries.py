@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import dependencies, early, failure, motifs, normalize, severity, stats, transitions, views, working_set
+from ..operators import dependencies, early, failure, motifs, normalize, ranks, severity, stats, transitions, views, working_set
 from ..sources import traces as sources
 from . import events
 
@@ -354,7 +354,7 @@ def i9(spark, d):
 def i8(spark, d):
     real = F.col("is_tool_action") & ~F.col("command_artifact_flag") & ~F.col("is_no_tool_step")
     x = events.steps(spark, d).groupBy("trace_id").agg(F.count("*").alias("len"), F.count_if(real).alias("score"))
-    y = x.crossJoin(F.broadcast(x.agg(F.median("len").alias("m")))).select(F.lit("long").alias("target"), "score", (F.col("len") > F.col("m")).alias("long"))  # one row
+    y = x.crossJoin(F.broadcast(ranks.quantiles(x, [], "len", {"m": 0.5}))).select(F.lit("long").alias("target"), "score", (F.col("len") > F.col("m")).alias("long"))  # one row
     return stats.auc(y, ["target"], "score", "long")
 
 
