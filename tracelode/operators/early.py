@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .ranks import quantiles
-from .stats import auc, cosine_of
+from .stats import auc
 from .transitions import draw
 from .views import view_steps
 
@@ -38,35 +39,45 @@ def _prefixes(lab: DataFrame) -> DataFrame:
     return first.select("trace_id", "seq", F.explode(F.array(*map(F.lit, KS))).alias("k")).withColumn("prefix", F.array_join(F.slice("seq", 1, F.col("k")), "\x01")).drop("seq")
 
 
-def scores(lab: DataFrame, traces: DataFrame, seed: int = 7) -> DataFrame:
-    """(k, baseline, trace_id, kind, label, score) of held-out traces: counts of a group, of the first k labels, of the k-th, or of training traces whose first k tools are the same."""
-    about = traces.select("trace_id", "task_id", "harness")
-    test = lab.select("trace_id").distinct().where(draw(seed, "trace_id") % 1000 >= 700).join(about, "trace_id")
-    ks = F.explode(F.array(*map(F.lit, KS))).alias("k")
+def _name(kind: str, *columns: str) -> Column:
+    """The name of a vector of scores: what made it, and for what."""
+    return F.array(F.lit(kind), *[F.col(c).cast("string") for c in columns])
+
+
+def vectors(lab: DataFrame, traces: DataFrame, seed: int = 7) -> DataFrame:
+    """(vec, kind, label, score): every vector of scores once, however many held-out traces use it. Counts of the groups of training traces, of training traces by their first k tools, and of each held-out trace its first k labels and its k-th."""
     g = group_counts(lab, traces, seed)
-    at = lambda level, on: test.join(g.where(F.col("level") == level).select(*on, "kind", "label", "n"), on).select("trace_id", "kind", "label", "n")
-    own = {"task": at("task", ["task_id"]), "harness": at("harness", ["harness"]), "task+harness": at("task+harness", ["task_id", "harness"])}
-    everywhere = test.crossJoin(F.broadcast(g.where("level = 'global'").select("kind", "label", "n"))).select("trace_id", "kind", "label", "n")  # labels only
-    fixed = everywhere.withColumn("baseline", F.lit("global"))
-    for name, chain in (("task", ["task"]), ("harness", ["harness"]), ("task+harness", ["task+harness", "task"])):
-        rest, out = test.select("trace_id"), None
-        for table in [*(own[c] for c in chain), everywhere]:  # the first that knows the trace's group
-            part = table.join(rest, "trace_id", "left_semi")
-            out = part if out is None else out.unionByName(part)
-            rest = rest.join(table.select("trace_id").distinct(), "trace_id", "left_anti")
-        fixed = fixed.unionByName(out.withColumn("baseline", F.lit(name)))
-    fixed = fixed.select(ks, "*").withColumnRenamed("n", "score")
-    seen = lab.join(test.select("trace_id"), "trace_id").select(ks, "*").where("i <= k")
-    first = seen.groupBy("k", "trace_id", "kind", "label").agg(F.count("*").alias("score"))
-    lastk = first.withColumn("baseline", F.lit("lastK"))
-    place = F.row_number().over(Window.partitionBy("k", "trace_id", "kind").orderBy(F.desc("i")))
-    last = seen.withColumn("r", place).where("r = 1").select("k", "trace_id", "kind", "label", F.lit(1).cast("long").alias("score"), F.lit("last_step").alias("baseline"))
-    pre = _prefixes(lab)
-    train = pre.where(draw(seed, "trace_id") % 1000 < 700).join(lab.groupBy("trace_id", "kind", "label").agg(F.count("*").alias("n")), "trace_id").groupBy("k", "prefix", "kind", "label").agg(F.sum("n").alias("score"))
-    alike = pre.join(test.select("trace_id"), "trace_id").join(train, ["k", "prefix"]).select("k", "trace_id", "kind", "label", "score")
-    unknown = first.join(alike.select("k", "trace_id", "kind").distinct(), ["k", "trace_id", "kind"], "left_anti")
-    markov = alike.unionByName(unknown).withColumn("baseline", F.lit("early_markov"))
-    return fixed.unionByName(lastk).unionByName(last).unionByName(markov).select("k", "baseline", "trace_id", "kind", "label", "score")
+    at = lambda level, *on: g.where(F.col("level") == level).select(_name(level, *on), "kind", "label", F.col("n").alias("score"))
+    held = draw(seed, "trace_id") % 1000 >= 700
+    seen = lab.where(held).select(F.explode(F.array(*map(F.lit, KS))).alias("k"), "*").where("i <= k")
+    first = seen.groupBy("k", "trace_id", "kind", "label").agg(F.count("*").alias("score")).select(_name("first", "k", "trace_id"), "kind", "label", "score")
+    last = seen.groupBy("k", "trace_id", "kind").agg(F.max_by("label", "i").alias("label")).select(_name("last", "k", "trace_id"), "kind", "label", F.lit(1).cast("long").alias("score"))
+    own = lab.where(~held).groupBy("trace_id", "kind", "label").agg(F.count("*").alias("n"))
+    alike = _prefixes(lab).where(~held).join(own, "trace_id").groupBy("k", "prefix", "kind", "label").agg(F.sum("n").alias("score")).select(_name("prefix", "k", "prefix"), "kind", "label", "score")
+    out = None
+    for part in (at("global"), at("task", "task_id"), at("harness", "harness"), at("task+harness", "task_id", "harness"), first, last, alike):
+        part = part.toDF("vec", "kind", "label", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Names of the baselines.
+BASELINES = [*METADATA, "lastK", "last_step", "early_markov"]
+
+
+def asked(keys: DataFrame, lab: DataFrame, traces: DataFrame, vecs: DataFrame, seed: int = 7) -> DataFrame:
+    """keys (k, trace_id, kind, and more) once for each baseline, with the vector that the baseline uses there: a trace whose task or harness training does not know falls back, and so does a prefix that it does not know for that kind."""
+    known = lambda level, *on: vecs.where(F.col("vec")[0] == level).select(*[F.col("vec")[i + 1].alias(c) for i, c in enumerate(on)]).distinct().withColumn(f"has_{level}", F.lit(True))
+    about = traces.where(draw(seed, "trace_id") % 1000 >= 700).select("trace_id", F.col("task_id").cast("string").alias("task_id"), F.col("harness").cast("string").alias("harness"))
+    about = about.join(known("task", "task_id"), "task_id", "left").join(known("harness", "harness"), "harness", "left").join(known("task+harness", "task_id", "harness"), ["task_id", "harness"], "left")
+    task = F.when(F.col("has_task"), _name("task", "task_id")).otherwise(_name("global"))
+    about = about.select("trace_id", task.alias("task"), F.when(F.col("has_harness"), _name("harness", "harness")).otherwise(_name("global")).alias("harness"), F.when(F.col("has_task+harness"), _name("task+harness", "task_id", "harness")).otherwise(task).alias("task+harness"))
+    markov = vecs.where(F.col("vec")[0] == "prefix").select(F.col("vec")[1].cast("int").alias("k"), F.col("vec")[2].alias("prefix"), "kind").distinct()
+    markov = _prefixes(lab).where(draw(seed, "trace_id") % 1000 >= 700).join(markov, ["k", "prefix"]).select("k", "trace_id", "kind", _name("prefix", "k", "prefix").alias("alike"))
+    rows = keys.join(about, "trace_id").join(markov, ["k", "trace_id", "kind"], "left")
+    uses = {"global": _name("global"), **{b: F.col(f"`{b}`") for b in ("task", "harness", "task+harness")}, "lastK": _name("first", "k", "trace_id"), "last_step": _name("last", "k", "trace_id"), "early_markov": F.coalesce("alike", _name("first", "k", "trace_id"))}
+    pairs = F.explode(F.array(*[F.struct(F.lit(b).alias("baseline"), uses[b].alias("vec")) for b in BASELINES])).alias("use")
+    return rows.select(*keys.columns, pairs).select(*keys.columns, "use.baseline", "use.vec")
 
 
 def metrics(lab: DataFrame, traces: DataFrame, leak_free: bool, seed: int = 7) -> DataFrame:
@@ -74,19 +85,21 @@ def metrics(lab: DataFrame, traces: DataFrame, leak_free: bool, seed: int = 7) -
 
     target `whole` counts all labels of a trace, the observed ones too, as published figures do: baselines made of
     observed labels are right by construction. target `after_k` counts only what follows; traces without any are left out.
+
+    A trace meets only the scores of labels that it has; a vector's length and its three best labels are worked out once for all traces that use it.
     """
     ks = F.explode(F.array(*map(F.lit, KS))).alias("k")
-    truth = lab.where(draw(seed, "trace_id") % 1000 >= 700).select(ks, "*")
-    truth = (truth.where("i > k") if leak_free else truth).groupBy("k", "trace_id", "kind", "label").agg(F.count("*").alias("truth"))
-    s = scores(lab, traces, seed)
-    names = s.select("baseline").distinct()
-    t = truth.crossJoin(F.broadcast(names))  # seven names
-    both = t.join(s, ["k", "baseline", "trace_id", "kind", "label"], "full").join(truth.select("k", "trace_id", "kind").distinct(), ["k", "trace_id", "kind"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("k", "baseline", "trace_id", "kind").orderBy(F.desc_nulls_last("score"), "label"))
-    x, y = F.coalesce(F.col("score"), F.lit(0)).cast("double"), F.coalesce(F.col("truth"), F.lit(0)).cast("double")
-    each = both.withColumn("r", place).groupBy("k", "baseline", "trace_id", "kind").agg(
-        cosine_of(x, y).alias("cos"), (F.count_if(F.col("score").isNotNull() & F.col("truth").isNotNull() & (F.col("r") <= 3)) / F.count("truth")).alias("rec")
-    )
+    lab = stored(lab, "early-labels")
+    vecs = stored(vectors(lab, traces, seed), "early-vectors")
+    held = lab.where(draw(seed, "trace_id") % 1000 >= 700).select(ks, "*")
+    truth = (held.where("i > k") if leak_free else held).groupBy("k", "trace_id", "kind", "label").agg(F.count("*").cast("double").alias("truth"))
+    place = F.row_number().over(Window.partitionBy("vec", "kind").orderBy(F.desc("score"), "label"))
+    top = vecs.withColumn("r", place).where("r <= 3").select("vec", "kind", "label", F.lit(True).alias("top"))
+    scored = vecs.join(top, ["vec", "kind", "label"], "left").withColumn("score", F.col("score").cast("double"))
+    length = vecs.groupBy("vec", "kind").agg(F.sum(F.col("score").cast("double") * F.col("score")).alias("xx"))
+    met = asked(truth, lab, traces, vecs, seed).join(scored, ["vec", "kind", "label"], "left")
+    each = met.groupBy("k", "baseline", "trace_id", "kind", "vec").agg(F.sum(F.col("score") * F.col("truth")).alias("xy"), F.sum(F.col("truth") * F.col("truth")).alias("yy"), (F.count_if("top") / F.count("*")).alias("rec"))
+    each = each.join(length, ["vec", "kind"], "left").withColumn("cos", F.coalesce(F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")), F.lit(0.0)))
     mean = lambda c, kind, name: F.round(F.avg(F.when(F.col("kind") == kind, F.col(c))), 6).alias(name)
     return each.groupBy("k", "baseline").agg(
         F.count_if(F.col("kind") == "tool").alias("traces"), mean("cos", "tool", "tool_cosine"), mean("cos", "phase", "phase_cosine"),
@@ -109,12 +122,17 @@ def against_metadata(m: DataFrame) -> DataFrame:
 
 def auc_by_k(lab: DataFrame, traces: DataFrame, per_trace: DataFrame, seed: int = 7) -> DataFrame:
     """(k, baseline, long_trajectory_auc, failure_loop_auc) over held-out traces: how well the sum of a baseline's tool scores tells traces with more tool actions than the median of all, and the failure-loop score failures (the same for all)."""
+    lab = stored(lab, "early-labels")
+    vecs = stored(vectors(lab, traces, seed), "early-vectors")
     n = traces.select("trace_id").join(lab.where("kind = 'tool'").groupBy("trace_id").agg(F.count("*").alias("n")), "trace_id", "left").na.fill(0)
-    held = n.crossJoin(F.broadcast(quantiles(n, [], "n", {"m": 0.5}))).where(draw(seed, "trace_id") % 1000 >= 700).select("trace_id", (F.col("n") > F.col("m")).alias("long"))  # one row
-    total = scores(lab, traces, seed).where("kind = 'tool'").groupBy("k", "baseline", "trace_id").agg(F.sum("score").alias("score"))
-    by_length = auc(total.join(held, "trace_id"), ["k", "baseline"], "score", "long").withColumnRenamed("auc", "long_trajectory_auc")
+    middle = F.broadcast(quantiles(n, [], "n", {"m": 0.5}))  # one row
+    held = n.join(middle).where(draw(seed, "trace_id") % 1000 >= 700).select("trace_id", (F.col("n") > F.col("m")).alias("long"))
+    keys = lab.where(draw(seed, "trace_id") % 1000 >= 700).select("trace_id").distinct().select(F.explode(F.array(*map(F.lit, KS))).alias("k"), "trace_id", F.lit("tool").alias("kind"))
+    total = vecs.where("kind = 'tool'").groupBy("vec").agg(F.sum("score").alias("score"))
+    scored = asked(keys, lab, traces, vecs, seed).join(total, "vec").join(held, "trace_id")
+    by_length = auc(scored, ["k", "baseline"], "score", "long").withColumnRenamed("auc", "long_trajectory_auc")
     failed = per_trace.where(draw(seed, "trace_id") % 1000 >= 700)
-    return by_length.crossJoin(F.broadcast(failure_auc(failed).select(F.col("auc").alias("failure_loop_auc"))))  # one row
+    return by_length.join(F.broadcast(failure_auc(failed).select(F.col("auc").alias("failure_loop_auc"))))  # one row
 
 
 def failure_auc(metrics: DataFrame) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+from .ranks import digest, joined, number, numbered
+
 KS = (1, 3, 5)
 
 
@@ -74,27 +80,82 @@ def recall(trans: DataFrame, seed: int = 7) -> DataFrame:
     return long.select("view", "x.k", F.col("n").alias("test_transitions"), F.round(F.col("x.c") / F.col("n"), 6).alias("cond_recall"), F.round(F.col("x.g") / F.col("n"), 6).alias("glob_recall"), F.round((F.col("x.c") - F.col("x.g")) / F.col("n"), 6).alias("delta"))
 
 
+def resampled(per_trace: DataFrame, group: list[str], sums: list[str], draws: int = 30, seed: int = 7) -> DataFrame:
+    """(group, rep, drawn, sums): per-trace numbers summed over n traces drawn with replacement out of a group's n, `draws` times.
+
+    A group's traces are numbered (see ranks.numbered). Each of them stands for one draw of a replicate, whose md5 names the number that is drawn, so every
+    replicate has exactly n draws, all alike and independent: a multinomial. Draws are counted by number before they meet the traces.
+    """
+    n = stored(numbered(per_trace.select(*group, "trace_id", *sums), group, ["trace_id"]), "numbered-traces")
+    picks = n.select(*group, "i", "total", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("rep"))
+    picks = picks.select(*group, "rep", (number(digest(seed, F.lit("draw"), "rep", "i")) % F.col("total")).alias("i"))
+    times = picks.groupBy(*group, "rep", "i").agg(F.count("*").alias("times"))
+    met = joined(times, n.drop("total", "trace_id"), [*group, "i"])
+    return met.groupBy(*group, "rep").agg(F.sum("times").alias("drawn"), *[F.sum(F.col("times") * F.col(c)).alias(c) for c in sums])
+
+
+def interval(reps: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, low, high): percentiles 2.5 and 97.5 over replicates, which are few."""
+    return reps.groupBy(*group).agg(F.round(F.percentile(value, 0.025), 6).alias("low"), F.round(F.percentile(value, 0.975), 6).alias("high"))
+
+
 def bootstrap(trans: DataFrame, k: int = 3, draws: int = 30, seed: int = 7) -> DataFrame:
-    """(view, low, high): percentiles of the recall delta over traces drawn again.
+    """(view, low, high): percentiles of the recall delta over held-out traces drawn again (see resampled)."""
+    stats = hits(*parts(trans, seed), ["view"], ["trace_id"]).select("view", "trace_id", "n", (F.col(f"cond_{k}") - F.col(f"glob_{k}")).alias("gain"))
+    reps = resampled(stats, ["view"], ["gain", "n"], draws, seed)
+    return interval(reps.withColumn("delta", F.col("gain") / F.nullif("n", F.lit(0))), ["view"], "delta")
+
+
+def bootstrap_by_trace(rows: DataFrame, partial: Callable[[pa.Table], dict[str, float]], sums: list[str], final: Column, draws: int = 50, seed: int = 7, chunk: int = 100_000) -> DataFrame:
+    """One row (low, high): a bootstrap interval, by traces, of any statistic that follows from sums.
 
-    Each trace weighs in a draw as often as a Poisson variable of mean one says (from md5), so a draw needs no joint
-    index of all traces, and each replicate is a sum over per-trace counts.
+    partial gets the rows of a trace as an Arrow table (of a long trace, `chunk` steps at a time, so rows need trace_id and step_id) and returns its share of each of `sums`;
+    final makes the statistic out of summed columns. Each row is looked at once, however many replicates there are. No rows: no interval.
     """
-    stats = hits(*parts(trans, seed), ["view"], ["trace_id"])
-    d = stats.select("view", "trace_id", "n", (F.col(f"cond_{k}") - F.col(f"glob_{k}")).alias("gain"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("rep"))
-    u = draw(F.concat_ws("|", F.lit(str(seed)), F.col("rep")), "trace_id") / F.lit(4294967296.0)
-    #: cumulative probabilities of 0 to 5 for a mean of one
-    cuts = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815]
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    rep = d.withColumn("w", weight).groupBy("view", "rep").agg((F.sum(F.col("w") * F.col("gain")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("delta"))
-    return rep.groupBy("view").agg(F.round(F.percentile("delta", 0.025), 6).alias("low"), F.round(F.percentile("delta", 0.975), 6).alias("high"))
+
+    def of(table: pa.Table) -> pa.Table:
+        found = partial(table)
+        return pa.table({"trace_id": table.column("trace_id").slice(0, 1).cast(pa.string()), **{c: pa.array([found[c]], pa.float64()) for c in sums}})
+
+    schema = ", ".join(["trace_id string", *[f"{c} double" for c in sums]])
+    pieces = rows.withColumn("chunk__", F.floor(F.col("step_id") / chunk)).groupBy("trace_id", "chunk__").applyInArrow(of, schema)
+    each = pieces.groupBy("trace_id").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("all__", F.lit(1))
+    return interval(resampled(each, ["all__"], sums, draws, seed).withColumn("value__", final), ["all__"], "value__").drop("all__")
+
+
+#: How often a row's new number is looked for; one walk of so many steps ends outside for less than one in 10^16 tables.
+WALKS = 16
+
+
+def permuted(rows: DataFrame, i: str, total: str, to: str, *key: Column | str | int) -> DataFrame:
+    """rows with `to`, the place of number i of 0 ... total - 1 in a permutation that a key names: every place is taken once, and no row has to know of another.
+
+    A Feistel network of four rounds over pairs (i div b, i mod b), a * b being the least grid about a square that holds all numbers. A number that
+    leaves 0 ... total - 1 goes on through the same network until it is back (cycle walking); fewer than a numbers of the grid lie outside.
+    """
+    n, sides, half = F.col(total), (F.col("a__"), F.col("b__")), ("l__", "r__")
+    step = lambda r, own, other: (own + number(digest(*key, r, other))) % sides[r % 2]
+    df = rows.withColumn("a__", F.ceil(F.sqrt(n.cast("double")))).withColumn("b__", F.ceil(n / F.col("a__")))
+    df = df.withColumn("l__", F.floor(F.col(i) / F.col("b__"))).withColumn("r__", F.col(i) % F.col("b__"))
+    for r in range(4):  # a column for each round, so that none is worked out twice
+        df = df.withColumn(half[r % 2], step(r, F.col(half[r % 2]), F.col(half[1 - r % 2])))
+
+    def again(x: Column) -> Column:
+        pair = [F.floor(x / F.col("b__")), x % F.col("b__")]
+        for r in range(4):
+            pair[r % 2] = step(r, pair[r % 2], pair[1 - r % 2])
+        return pair[0] * F.col("b__") + pair[1]
+
+    x = F.col(to)
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS - 1)), x, lambda y, _: F.when(y < n, y).otherwise(again(y)))
+    return df.withColumn(to, F.col("l__") * F.col("b__") + F.col("r__")).withColumn(to, F.when(x < n, x).otherwise(walk)).drop("a__", "b__", "l__", "r__")
 
 
-def shuffled(rows: DataFrame, control: str, replicates: int = 25, seed: int = 1007, blocks: int | None = None) -> DataFrame:
+def shuffled(rows: DataFrame, control: str, replicates: int = 25, seed: int = 1007) -> DataFrame:
     """Replicates of transitions whose order is broken: (view, rep, trace_id, current, next).
 
-    within_trace deals each trace's labels out anew. global_next deals next labels out anew over all traces, in
-    `blocks` random blocks of transitions (16, or one for each million rows): any two blocks are alike, and no sort spans all rows.
+    within_trace deals each trace's labels out anew. global_next deals the next labels of a view out anew over all its traces: transitions are
+    numbered, and each number's next label goes to the number that a permutation says (see permuted). No sort or window spans all rows.
     """
     rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
     if control == "within_trace":
@@ -103,13 +164,10 @@ def shuffled(rows: DataFrame, control: str, replicates: int = 25, seed: int = 10
         return transitions(each.withColumn("step_id", F.row_number().over(order)), ("view", "rep"))
     if control != "global_next":
         raise ValueError(control)
-    blocks = blocks or max(16, -(-rows.count() // 1_000_000))
-    each = transitions(rows).select("*", rep).withColumn("block", draw(F.concat_ws("|", F.lit(str(seed)), F.lit("b"), F.col("rep")), "trace_id", "step_id") % blocks)
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep"), F.col("trace_id"), F.col("step_id")))
-    inside = Window.partitionBy("view", "rep", "block")
-    left = each.withColumn("i", F.row_number().over(inside.orderBy("trace_id", "step_id"))).select("view", "rep", "block", "i", "trace_id", "step_id", "current")
-    right = each.withColumn("i", F.row_number().over(inside.orderBy(key))).select("view", "rep", "block", "i", "next")
-    return left.join(right, ["view", "rep", "block", "i"]).drop("block", "i")
+    n = stored(numbered(transitions(rows), ["view"], ["trace_id", "step_id"]), "numbered-transitions")
+    left = n.select("view", rep, "i", "trace_id", "current")
+    right = permuted(n.select("view", rep, "i", "total", "next"), "i", "total", "to", seed, "rep").select("view", "rep", F.col("to").alias("i"), "next")
+    return left.join(right, ["view", "rep", "i"]).select("view", "rep", "trace_id", "current", "next")
 
 
 def permutation_test(rows: DataFrame, k: int = 3, replicates: int = 25, seed: int = 1007) -> DataFrame:

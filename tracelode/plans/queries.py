@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,10 +92,13 @@ def e6(spark, d):
     return transitions.hits(*transitions.parts(transitions.transitions(_views(spark, d))), ["view"], ["trace_id"]).select("view", "trace_id", "n", "cond_3", "glob_3")
 
 
+_LONG_DRAW = "CAST(('0x' || substr(md5({}), 1, 15)) AS BIGINT)"
+
+
 @query("e8_bootstrap", f"""{_V}, {_HITS}, st AS (SELECT view, trace_id, count(*) AS n, count(*) FILTER (r <= 3) - count(*) FILTER (g <= 3) AS gain FROM test GROUP BY view, trace_id),
-w AS (SELECT *, {_DRAW.format("'7|' || rep || '|' || trace_id")} / 4294967296.0 AS u FROM st, (SELECT unnest(range(1, 31)) AS rep)),
-x AS (SELECT *, list_sum(list_transform([0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815], lambda c: CASE WHEN u >= c THEN 1 ELSE 0 END)) AS k FROM w),
-y AS (SELECT view, rep, sum(k * gain) / nullif(sum(k * n), 0) AS delta FROM x GROUP BY view, rep)
+num AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY md5(trace_id)) - 1 AS i, count(*) OVER (PARTITION BY view) AS total FROM st),
+pick AS (SELECT view, rep, {_LONG_DRAW.format("'7|draw|' || rep || '|' || i")} % total AS i FROM num, (SELECT unnest(range(1, 31)) AS rep)),
+y AS (SELECT p.view, p.rep, sum(gain) / nullif(sum(n), 0) AS delta FROM pick p JOIN num ON num.view = p.view AND num.i = p.i GROUP BY p.view, p.rep)
 SELECT view, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high FROM y GROUP BY view""")
 def e8(spark, d):
     return transitions.bootstrap(transitions.transitions(_views(spark, d)))
@@ -105,16 +110,48 @@ def e9(spark, d):
     return transitions.entropy(transitions.transitions(_views(spark, d)))
 
 
+def _mean_of_purchases(table: pa.Table) -> dict[str, float]:
+    """Sums of one trace's rows: of values of purchases, and how many there are."""
+    bought = pc.equal(table.column("event_type"), "purchase")
+    return {"value": pc.sum(pc.if_else(bought, table.column("value"), 0.0)).as_py(), "n": float(pc.sum(pc.cast(bought, pa.int64())).as_py())}
+
+
+@query("l2_bootstrap_by_trace", f"""WITH t AS (SELECT CAST(user_id AS VARCHAR) AS trace_id, coalesce(sum(value) FILTER (event_type = 'purchase'), 0) AS value, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY user_id),
+num AS (SELECT *, row_number() OVER (ORDER BY md5(trace_id)) - 1 AS i, count(*) OVER () AS total FROM t),
+pick AS (SELECT rep, {_LONG_DRAW.format("'7|draw|' || rep || '|' || i")} % total AS i FROM num, (SELECT unnest(range(1, 51)) AS rep)),
+y AS (SELECT rep, sum(value) / nullif(sum(n), 0) AS mean FROM pick JOIN num USING (i) GROUP BY rep)
+SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM y""")
+def l2(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").alias("step_id"), "event_type", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return transitions.bootstrap_by_trace(e, _mean_of_purchases, ["value", "n"], F.col("value") / F.nullif("n", F.lit(0.0)))
+
+
 _PAIR = ["semantic_tool_tool_action_only", "phase_clean_tool_action_only", "collapsed_semantic_tool_tool_action_only"]
 _IN_PAIR = "(" + ", ".join(f"'{v}'" for v in _PAIR) + ")"
 
 
+
+
+def _feistel_sql(walks: int) -> str:
+    """Tables gp0, gp1, ...: numbers that have left the rows so often go through the network again; gx has them all."""
+    network, x = [], "x"
+    draw = lambda r, half: _LONG_DRAW.format(f"'1007|' || rep || '|{r}|' || {half}")
+    for w in range(walks):
+        of = "(SELECT ga.view, rep, next, total, i AS x, CAST(ceil(sqrt(total)) AS BIGINT) AS a FROM ga, reps)" if w == 0 else f"(SELECT view, rep, next, total, x, a FROM gp{w - 1} WHERE x >= total)"
+        network.append(f"""gp{w} AS MATERIALIZED (SELECT view, rep, next, total, a, l * b + r AS x FROM (SELECT * REPLACE ((r + {draw(3, "l")}) % b AS r) FROM (SELECT * REPLACE ((l + {draw(2, "r")}) % a AS l) FROM (SELECT * REPLACE ((r + {draw(1, "l")}) % b AS r) FROM (SELECT * REPLACE ((l + {draw(0, "r")}) % a AS l)
+  FROM (SELECT *, x // b AS l, x % b AS r FROM (SELECT *, (total + a - 1) // a AS b FROM {of})))))))""")
+    return ",\n".join(network) + ",\ngx AS (" + " UNION ALL ".join(f"SELECT view, rep, next, x FROM gp{w} WHERE x < total" for w in range(walks)) + "),"
+
+
+_FEISTEL = _feistel_sql(6)
+
+
 @query("e11_e12_e15_permutation_test", f"""{_V}, reps AS (SELECT CAST(unnest(range(1, 26)) AS INT) AS rep),
 wl AS (SELECT view, trace_id, label, rep, row_number() OVER (PARTITION BY view, trace_id, rep ORDER BY md5('1007|' || rep || '|' || trace_id || '|' || step_id)) AS i FROM views, reps WHERE view IN {_IN_PAIR}),
 wt AS (SELECT * FROM (SELECT view, 'within_trace' AS control, rep, trace_id, label AS current, lead(label) OVER (PARTITION BY view, trace_id, rep ORDER BY i) AS next FROM wl) WHERE next IS NOT NULL),
-gb AS (SELECT *, {_DRAW.format("'1007|b|' || rep || '|' || trace_id || '|' || step_id")} % greatest(16, (SELECT CAST(ceil(count(*) / 1000000) AS BIGINT) FROM views WHERE view IN {_IN_PAIR})) AS block FROM trans, reps WHERE view IN {_IN_PAIR}),
-ga AS (SELECT *, row_number() OVER (PARTITION BY view, rep, block ORDER BY trace_id, step_id) AS i, row_number() OVER (PARTITION BY view, rep, block ORDER BY md5('1007|' || rep || '|' || trace_id || '|' || step_id)) AS j FROM gb),
-allr AS (SELECT view, 'observed' AS control, 0 AS rep, trace_id, current, next FROM trans WHERE view IN {_IN_PAIR} UNION ALL SELECT * FROM wt UNION ALL SELECT a.view, 'global_next', a.rep, a.trace_id, a.current, b.next FROM ga a JOIN ga b ON a.view = b.view AND a.rep = b.rep AND a.block = b.block AND a.i = b.j),
+ga AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY md5(trace_id || '|' || step_id)) - 1 AS i, count(*) OVER (PARTITION BY view) AS total FROM trans WHERE view IN {_IN_PAIR}),
+{_FEISTEL}
+allr AS (SELECT view, 'observed' AS control, 0 AS rep, trace_id, current, next FROM trans WHERE view IN {_IN_PAIR} UNION ALL SELECT * FROM wt UNION ALL SELECT a.view, 'global_next', b.rep, a.trace_id, a.current, b.next FROM ga a JOIN gx b ON a.view = b.view AND a.i = b.x),
 pairs AS (SELECT view, control, rep, current, next, count(*) AS n FROM allr WHERE {_PART} < 700 GROUP BY ALL), cond AS (SELECT *, row_number() OVER (PARTITION BY view, control, rep, current ORDER BY n DESC, next) AS r FROM pairs),
 overall AS (SELECT view, control, rep, next, row_number() OVER (PARTITION BY view, control, rep ORDER BY sum(n) DESC, next) AS g FROM pairs GROUP BY view, control, rep, next), known AS (SELECT DISTINCT view, control, rep, current FROM pairs),
 test AS (SELECT t.view, t.control, t.rep, CASE WHEN k.current IS NOT NULL THEN c.r ELSE g.g END AS r, g.g FROM allr t LEFT JOIN known k ON k.view = t.view AND k.control = t.control AND k.rep = t.rep AND k.current = t.current LEFT JOIN cond c ON c.view = t.view AND c.control = t.control AND c.rep = t.rep AND c.current = t.current AND c.next = t.next LEFT JOIN overall g ON g.view = t.view AND g.control = t.control AND g.rep = t.rep AND g.next = t.next WHERE {_PART.replace("trace_id", "t.trace_id")} >= 700),
@@ -354,7 +391,7 @@ def i9(spark, d):
 def i8(spark, d):
     real = F.col("is_tool_action") & ~F.col("command_artifact_flag") & ~F.col("is_no_tool_step")
     x = events.steps(spark, d).groupBy("trace_id").agg(F.count("*").alias("len"), F.count_if(real).alias("score"))
-    y = x.crossJoin(F.broadcast(ranks.quantiles(x, [], "len", {"m": 0.5}))).select(F.lit("long").alias("target"), "score", (F.col("len") > F.col("m")).alias("long"))  # one row
+    y = x.join(F.broadcast(ranks.quantiles(x, [], "len", {"m": 0.5}))).select(F.lit("long").alias("target"), "score", (F.col("len") > F.col("m")).alias("long"))  # one row
     return stats.auc(y, ["target"], "score", "long")
 
 
