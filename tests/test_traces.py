@@ -1,5 +1,6 @@
 """Row-level and scalar cases of the normalizer, and invariants of the operators."""
 
+import itertools
 import json
 import math
 import random
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelode.functions import parse
-from tracelode.operators import normalize, severity, stats, transitions, views
+from tracelode.operators import normalize, ranks, severity, stats, transitions, views
 from tracelode.plans import events
 from tracelode.sources import traces as sources
 
@@ -109,7 +110,7 @@ def test_steps_take_every_form_of_call(spark):
     rows = normalize.steps(raw(spark, *forms)).orderBy("step_id").collect()
     assert [r.command_string for r in rows] == ["ls", "cat a.py", "grep x y", "pytest", None]
     assert [r.semantic_tool_clean for r in rows] == ["list_files", "read_file", "search", "test", "unknown"]
-    assert [r.tool_wrapper for r in rows] == ["sh", "unknown", "run", "unknown", "unknown"]
+    assert [r.tool_wrapper for r in rows] == ["sh", "cat", "run", "unknown", "unknown"]
 
 
 def test_bad_steps_make_no_rows(spark):
@@ -195,11 +196,125 @@ def test_verdicts_have_three_values(spark):
         assert (r.supported, r.sufficient) == (n, enough)
 
 
-def test_globally_shuffled_transitions_have_the_null_of_a_full_permutation(spark, sf_dir):
-    """Deltas of the block-wise control lie about those of permuting all next labels at once."""
+def test_permuted_numbers(spark):
+    """Every number of 0 ... n - 1 is taken once, for any n, and keys name different permutations."""
+    sizes = [1, 2, 3, 5, 16, 17, 97, 255, 256, 1000, 4099]
+    df = spark.createDataFrame([(n, i, k) for n in sizes for i in range(n) for k in (1, 2)], "n long, i long, k int")
+    got = {}
+    for r in transitions.permuted(df, "i", "n", "to", 7, "k").collect():
+        got.setdefault((r.n, r.k), {})[r.i] = r.to
+    assert all(sorted(x.values()) == list(range(n)) for (n, _), x in got.items())
+    for n in (97, 1000, 4099):
+        assert got[n, 1] != got[n, 2] and sum(i == x for i, x in got[n, 1].items()) < 12
+        moved = [(x - i) % n for i, x in got[n, 1].items()]
+        assert len(set(moved)) > 0.5 * n
+
+
+def test_globally_shuffled_transitions(spark, sf_dir):
+    """Each next label of the whole table is used once in each replicate; deltas lie about those of an ordinary shuffle."""
     rows = views.view_steps(events.steps(spark, sf_dir), ["semantic_tool_tool_action_only"])
-    null = lambda blocks: [r.d for r in transitions.hits(*transitions.parts(transitions.shuffled(rows, "global_next", 12, blocks=blocks)), ["view", "rep"], []).select(((F.col("cond_3") - F.col("glob_3")) / F.col("n")).alias("d")).collect()]
-    some, full = null(16), null(1)
+    got = transitions.shuffled(rows, "global_next", 12)
+    real = [(r.trace_id, r.current, r.next) for r in transitions.transitions(rows).collect()]
+    out = got.collect()
+    for rep in range(1, 13):
+        own = [r for r in out if r.rep == rep]
+        assert Counter(r.next for r in own) == Counter(x[2] for x in real) and Counter((r.trace_id, r.current) for r in own) == Counter(x[:2] for x in real)
+    rng, plain = random.Random(2), []
+    for rep in range(12):
+        nexts = [x[2] for x in real]
+        rng.shuffle(nexts)
+        plain += [("semantic_tool_tool_action_only", rep, t, c, n) for (t, c, _), n in zip(real, nexts)]
+    plain = spark.createDataFrame(plain, "view string, rep int, trace_id string, current string, next string")
+    null = lambda df: [r.d for r in transitions.hits(*transitions.parts(df), ["view", "rep"], []).select(((F.col("cond_3") - F.col("glob_3")) / F.col("n")).alias("d")).collect()]
+    some, full = null(got), null(plain)
     mean = lambda x: sum(x) / len(x)
     spread = math.sqrt(sum((x - mean(full)) ** 2 for x in full) / len(full))
     assert len(some) == len(full) == 12 and abs(mean(some) - mean(full)) < 2 * spread + 1e-3
+
+
+def test_bootstrap_draws(spark):
+    """Each replicate draws exactly as many traces as there are, some several times; an interval of a ratio lies about it; a trace in chunks counts as one."""
+    rows = [(f"t{i}", s, float(i % 7), 1.0) for i in range(60) for s in range(3)]
+    df = spark.createDataFrame(rows, "trace_id string, step_id int, x double, one double")
+    per = df.groupBy("trace_id").agg(F.sum("x").alias("x"), F.sum("one").alias("one")).withColumn("g", F.lit(1))
+    got = transitions.resampled(per, ["g"], ["x", "one"], draws=40).collect()
+    assert len(got) == 40 and all(r.drawn == 60 and r.one == 180 for r in got) and len({r.x for r in got}) > 20
+    partial = lambda t: {"x": sum(t.column("x").to_pylist()), "one": float(t.num_rows)}
+    both = [transitions.bootstrap_by_trace(df, partial, ["x", "one"], F.col("x") / F.col("one"), chunk=c).first() for c in (100_000, 2)]
+    assert both[0] == both[1] and both[0].low < sum(x for _, _, x, _ in rows) / len(rows) < both[0].high
+    assert transitions.bootstrap_by_trace(df.limit(0), partial, ["x", "one"], F.col("x") / F.col("one")).collect() == []
+
+
+def test_ranks_below_and_quantiles(spark):
+    """Against sorted lists: negative numbers, both zeros, infinities, NaN, nulls, very close and very large whole numbers, groups that are null."""
+    rng = random.Random(6)
+    values = {"a": [rng.gauss(0, 1) for _ in range(200)] + [0.0, -0.0, 1e300, -1e300, 5e-324, -5e-324], "b": [1e9 + i * 1e-6 for i in range(50)] * 2, None: [3.0, 3.0], "c": [float("inf"), float("-inf"), 2.0, 2.0]}
+    df = spark.createDataFrame([(g, x) for g, v in values.items() for x in v], "g string, x double")
+    n = df.groupBy("g", "x").agg(F.count("*").alias("n"))
+    got = ranks.below(n, ["g"], "x").collect()
+    assert len(got) == n.count()
+    assert all(r.below == sum(v < r.x for v in values[r.g]) for r in got)
+    q = {r.g: r for r in ranks.quantiles(df.union(df.limit(1).select("g", F.lit(None).cast("double"))).union(spark.createDataFrame([("d", None)], "g string, x double")), ["g"], "x", {"low": 0.0, "q1": 0.25, "mid": 0.5, "high": 1.0}).collect()}
+    for g in ("a", "b", None):
+        v = sorted(values[g])
+        for name, p in (("low", 0.0), ("q1", 0.25), ("mid", 0.5), ("high", 1.0)):
+            h = p * (len(v) - 1)
+            want = v[math.floor(h)] + (h - math.floor(h)) * (v[math.ceil(h)] - v[math.floor(h)])
+            assert math.isclose(q[g][name], want, rel_tol=1e-12, abs_tol=1e-300)
+    assert q["d"].mid is None and q["c"].mid == 2.0
+    whole = [2**62, 2**62 + 1, 2**62 + 3, -(2**62)]
+    n = spark.createDataFrame([(1, x, 1) for x in whole], "g int, x long, n int")
+    assert {r.x: r.below for r in ranks.below(n, ["g"], "x").collect()} == {x: sum(y < x for y in whole) for x in whole}
+
+
+def test_exact_p_of_small_samples(spark):
+    """Against all orders; with a tie or two large samples it is the normal p."""
+    rng = random.Random(5)
+    rows = []
+    for g, (m, n) in enumerate([(1, 1), (2, 3), (3, 5), (8, 4), (5, 5), (1, 9)]):
+        x = rng.sample(range(1000), m + n)
+        rows += [(g, float(v), i < m) for i, v in enumerate(x)]
+    rows += [(10, float(v), i < 9) for i, v in enumerate(rng.sample(range(1000), 18))] + [(11, v, f) for v, f in ((1.0, True), (2.0, True), (2.0, False), (3.0, False))]
+    got = {r.g: r for r in stats.mann_whitney(spark.createDataFrame(rows, "g int, x double, f boolean"), ["g"], "x", "f").collect()}
+    for g in range(6):
+        pos, neg = ([x for h, x, f in rows if h == g and f == want] for want in (True, False))
+        u_of = lambda a, b: sum(x > y for x in a for y in b)
+        both = sorted(pos + neg)
+        every = [u_of(c, [x for x in both if x not in c]) for c in itertools.combinations(both, len(pos))]
+        u = u_of(pos, neg)
+        p = min(1.0, 2 * min(sum(x <= u for x in every), sum(x >= u for x in every)) / len(every))
+        assert got[g].mannwhitney_u == u and abs(got[g].p_value - p) < 1e-6
+    for g in (10, 11):
+        pos, neg = ([x for h, x, f in rows if h == g and f == want] for want in (True, False))
+        n, ties = len(pos) + len(neg), sum(c**3 - c for c in Counter(x for h, x, _ in rows if h == g).values())
+        sd = math.sqrt(len(pos) * len(neg) / 12 * (n + 1 - ties / (n * (n - 1))))
+        p = math.erfc(max(0, abs(got[g].mannwhitney_u - len(pos) * len(neg) / 2) - 0.5) / sd / math.sqrt(2))
+        assert abs(got[g].p_value - p) < 2e-6
+    assert stats.orders_up_to(8, 5000, 20) == stats.orders_up_to(5000, 8, 20) and stats.orders_up_to(4, 4, 16) == math.comb(8, 4)
+
+
+def test_values_of_a_step_keep_their_types(spark):
+    """Texts that look empty are commands; numbers, false, blanks and empty lists are not; calls may be texts."""
+    cases = [
+        ({"cmd": "0"}, "unknown", "0"), ({"cmd": 0, "command": "ls"}, "unknown", "ls"), ({"cmd": "false"}, "unknown", "false"), ({"cmd": False, "args": "ls"}, "unknown", "ls"), ({"cmd": [], "input": {}, "args": "x"}, "unknown", "x"), ({"cmd": "[]"}, "unknown", "[]"),
+        ({"cmd": 0.0, "command": -0.0, "input": 7}, "unknown", "7"), ({"tool_calls": "ls -l"}, "ls", "ls -l"), ({"tools": ["  "], "cmd": "ls"}, "unknown", "ls"), ({"tools": [" cat x "]}, "cat", "cat x"), ({"tools": "[x] y"}, "[x]", "[x] y"), ({"tools": [0], "cmd": "ls"}, "unknown", "ls"),
+        ({"tools": [None], "tool_calls": [{"name": "Run", "args": {"a": 1}}]}, "run", '{"a":1}'), ({"tools": [], "tool_call": {"fn": "", "name": "Go", "cmd": None, "input": "go test"}}, "go", "go test"), ({"tools": [{"fn": 5, "cmd": "ls"}]}, "5", "ls"), ({"name": "Bash", "message": "```\r\nls\r\n\t$  pwd \t\r\n```"}, "bash", "pwd"),
+        ({"message": "```sh \n\n  a b\x0bc d\u2028e\n```"}, "unknown", "e"), ({"message": "```\n\t\n```"}, "unknown", None), ({"msg": 0, "message": "", "content": "hi"}, "unknown", None), ({"cmd": "  "}, "unknown", "  "),
+    ]
+    got = normalize.steps(raw(spark, *[c[0] for c in cases])).orderBy("step_id").collect()
+    assert [(r.tool_wrapper, r.command_string) for r in got] == [c[1:] for c in cases]
+    odd = spark.createDataFrame([("t1", None, "t", "h", "m", 1.0, "2", "3", "x", s) for s in ('[{"cmd": "a", "cmd": "b"}, "text", 7, null, ["x"]]', '["{\\"cmd\\": \\"ls\\"}", 1]', ' [{"role": "user", "time": 12}]')], sources.RAW)
+    rows = normalize.steps(odd).select("row_hash", "step_id", "command_string", "message_len_chars", "role", "timestamp").collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: r.step_id):
+        by.setdefault(r.row_hash, []).append(tuple(r)[2:])
+    assert sorted(by.values(), key=len) == [[(None, 0, "user", "12")], [(None, 13, None, None), (None, 1, None, None)], by[max(by, key=lambda h: len(by[h]))]]
+    assert len(max(by.values(), key=len)) == 5
+
+
+def test_rows_of_one_id_keep_their_own_counts(spark):
+    """Raw rows with the same id each count their own steps; equal ones too."""
+    make = lambda n: ("t1", None, "t", "h", "m", 1.0, "2", "3", "x", json.dumps([call("ls")] * n))
+    df = spark.createDataFrame([make(1), make(3), make(3)], sources.RAW)
+    t = normalize.traces(df, normalize.steps(df)).collect()
+    assert sorted((r.total_steps, r.tool_action_steps) for r in t) == [(1, 1), (3, 3), (3, 3)]

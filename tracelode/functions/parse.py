@@ -56,56 +56,90 @@ def clean_name(c: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(word), F.lit("")), F.lit("unknown"))
 
 
+#: White space as text functions of Python know it: Unicode's, and the four separators of ASCII.
+_BLANK = r"[\s\x1c-\x1f]"
+#: What ends a line: Unicode's line ends, and three of the separators.
+_LINE_END = r"[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+
+
 def fenced_command(c: Column) -> Column:
-    """Last non-blank line of the last fenced block, without a prompt; null without a block."""
-    blocks = F.regexp_extract_all(_text(c), F.lit(r"(?is)```(?:bash|sh|shell|console)?[ \t]*\n(.*?)```"), 1)
-    lines = F.filter(F.split(F.try_element_at(blocks, F.lit(-1)), "\n"), lambda x: F.trim(x) != "")
-    return F.regexp_replace(F.trim(F.try_element_at(lines, F.lit(-1))), r"^\$ ", "")
+    """Last non-blank line of the last fenced block, without a prompt and white space; null without a block, or if it is blank."""
+    blocks = F.regexp_extract_all(_text(c), F.lit(rf"(?isU)```(?:bash|sh|shell|console)?{_BLANK}*\n(.*?)```"), 1)
+    lines = F.filter(F.transform(F.split(F.try_element_at(blocks, F.lit(-1)), _LINE_END), stripped), lambda x: x != "")
+    last = F.try_element_at(lines, F.lit(-1))
+    return F.when(last.startswith("$ "), stripped(F.substring(last, 3, 1 << 30))).otherwise(last)
 
 
 #: Where a step holds its call, its command and its tool's name.
 CALLS = ["tools", "tool_calls", "tool_call"]
 COMMANDS = ["cmd", "command", "input", "arguments", "args", "tool_input"]
 CALL_NAMES, STEP_NAMES = ["fn", "name", "tool_name", "tool"], ["tool_name", "tool", "name", "fn"]
+MESSAGES, ROLES, OUTPUTS, TIMES = ["msg", "message", "content"], ["src", "role"], ["obs", "observation", "output"], ["timestamp", "time"]
 
 
-MESSAGES, ROLES, OUTPUTS, TIMES = ["msg", "message", "content"], ["src", "role"], ["obs", "observation", "output"], ["timestamp", "time"]
-_STEP = ", ".join(f"`{k}` string" for k in dict.fromkeys([*CALLS, *COMMANDS, *STEP_NAMES, *MESSAGES, *ROLES, *OUTPUTS, *TIMES]))
-_CALL = ", ".join(f"`{k}` string" for k in dict.fromkeys([*COMMANDS, *CALL_NAMES]))
+def step_list(steps: Column) -> Column:
+    """The elements of a JSON list as VARIANT, so that numbers, texts, lists and objects stay apart; null if it is no list.
+
+    A list that VARIANT can't hold as a whole (an object with a key given twice, or more than it has room for) is parsed
+    element by element; an element that it can't hold either is text.
+    """
+    whole = F.try_variant_get(F.try_parse_json(steps), "$", "array<variant>")
+    each = F.transform(F.from_json(steps, "array<string>"), lambda x: F.coalesce(F.try_parse_json(x), x.cast("variant")))
+    return F.coalesce(whole, F.when(F.ltrim(steps).startswith("["), each))
+
 
+def is_text(v: Column) -> Column:
+    return F.schema_of_variant(v) == "STRING"
 
-def step_fields(element: Column) -> Column:
-    """The known fields of a step, each as a string or JSON text, and of its calls (call0, call1, ... by place), from one parse of each; null if it is no object."""
-    return F.from_json(element, _STEP)
+
+def text_at(v: Column, key: str) -> Column:
+    """What an object holds at a key, as text (numbers as they are written, lists and objects as JSON); null if it is missing, null, false, zero or empty."""
+    path = f"$.{key}"
+    text = F.try_variant_get(v, path, "string")
+    # only what looks empty is asked for its type: the texts "0", "false" and "[]" are not empty
+    looks_empty = text.isin("false", "[]", "{}") | text.rlike(r"^-?0+(\.0*)?([eE][-+]?\d+)?$")
+    return F.when(text == "", F.lit(None)).when(looks_empty & ~is_text(F.try_variant_get(v, path, "variant")), F.lit(None)).otherwise(text)
+
+
+def pick(v: Column, keys: list[str]) -> list[Column]:
+    return [text_at(v, k) for k in keys]
 
 
 def call_of(step: Column, place: str) -> Column:
-    """(fields, bare): the fields of the call at one place, the first of a list, and the call itself if it is a string."""
-    value = step[place]
-    one = F.when(F.substring(value, 1, 1) == "[", F.try_element_at(F.from_json(value, "array<string>"), F.lit(1))).otherwise(value)
-    return F.struct(F.from_json(F.when(F.substring(one, 1, 1) == "{", one), _CALL).alias("fields"), F.when(~F.substring(one, 1, 1).isin("{", "[") & ~one.isin("", "null"), one).alias("bare"))
+    """The call at one place of a step, as VARIANT: the first of a list, or what stands there."""
+    return F.coalesce(F.try_variant_get(step, f"$.{place}[0]", "variant"), F.try_variant_get(step, f"$.{place}", "variant"))
 
 
-def pick(fields: Column, keys: list[str]) -> list[Column]:
-    """Values of several keys, empty values as null."""
-    return [F.when(~fields[k].isin("", "[]", "{}", "0", "false"), fields[k]) for k in keys]
+def bare_call(call: Column) -> Column:
+    """A call that is a text, without white space around; null if it is none, or blank."""
+    text = stripped(F.try_variant_get(call, "$", "string"))
+    return F.when(call.isNotNull() & is_text(call) & (text != ""), text)
 
 
 def command_string(step: Column, calls: list[Column], message: Column) -> Column:
     """The command of a step: in its call, on the step itself, or fenced in the message."""
-    named = [x for c in calls for x in (*pick(c["fields"], COMMANDS), c["bare"])]
+    named = [x for c in calls for x in (*pick(c, COMMANDS), bare_call(c))]
     return F.coalesce(*named, *pick(step, COMMANDS), fenced_command(message))
 
 
 def wrapper(step: Column, calls: list[Column]) -> Column:
-    """The name of the tool that a step calls; unknown if none."""
-    return clean_name(F.coalesce(*[x for c in calls for x in pick(c["fields"], CALL_NAMES)], *pick(step, STEP_NAMES)))
+    """The name of the tool that a step calls, of a call that is a text its first word; unknown if none."""
+    named = [x for c in calls for x in (*pick(c, CALL_NAMES), bare_call(c))]
+    return clean_name(F.coalesce(*named, *pick(step, STEP_NAMES)))
+
+
+#: How what is no command begins.
+PROMPT = r"^(>>>|\.\.\.|[{}\[\]])"
 
 
 def artifact_flag(command: Column, tool: Column) -> Column:
     """Not a command: empty, the look of a prompt or of JSON, too long, or several lines of an unknown tool."""
-    c = F.regexp_replace(_text(command), r"(?U)^\s+|\s+$", "")
-    return (c == "") | c.rlike(r"^(>>>|\.\.\.|[{}\[\]])") | (F.char_length(c) > 4000) | (c.contains("\n") & nullish(tool))
+    c = stripped(_text(command))
+    return (c == "") | c.rlike(PROMPT) | (F.char_length(c) > 4000) | (c.contains("\n") & nullish(tool))
 
 
 #: Shells that run a string, wrappers before a command, names of calls that say nothing, tools that write.
@@ -157,14 +191,15 @@ def semantic_tool(command: str | None, wrapper_name: str | None) -> str:
     return head if re.fullmatch(r"[a-zA-Z0-9_.+-]+", head) else "unknown"
 
 
+#: Patterns of commands that write, and the tools for which each counts; an empty list: for all.
+WRITES = [(r"(^|\s)-i(?:\s|$|[.\w-])", ["sed", "perl"]), (r"(?s)(^|\s)(echo|printf|cat)\b.*?(>>?)\s+\S+", [])]
+
+
 def explicit_write(command: str | None, tool: str) -> bool:
-    """A command that writes a file by its own words, or a tool that always does."""
+    """A command that writes a file by its own words, or a tool that always does; tee does with a file to write to."""
     text = command or ""
-    if tool in WRITERS or (tool in ("sed", "perl") and re.search(r"(^|\s)-i(?:\s|$|[.\w-])", text)):
-        return True
-    if tool == "tee" and any(not w.startswith("-") for w in split_command(text)[1:]):
-        return True
-    return re.search(r"(^|\s)(echo|printf|cat)\b.*?(>>?)\s+\S+", text, re.S) is not None
+    files = [w for w in split_command(text)[1:] if not w.startswith("-")] if tool == "tee" else []
+    return tool in WRITERS or bool(files) or any(re.search(p, text) for p, tools in WRITES if tool in tools or not tools)
 
 
 @F.pandas_udf(T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("tool", T.StringType()), T.StructField("writes", T.BooleanType())]))

@@ -16,8 +16,8 @@ BEGINS = {"file": "file:", "url": "url:", "test_case": "test:", "error_signature
 
 
 def named(raw: DataFrame) -> DataFrame:
-    """Raw rows with trace_id: the trial's id or name, else a hash of its steps and, of equal ones, a number."""
-    own = raw.withColumn("trace_id", F.coalesce(F.nullif("trial_id", F.lit("")), F.nullif("trial_name", F.lit(""))))
+    """Raw rows with trace_id, the trial's id or name, else a hash of the row and, of equal ones, a number; and row_hash, which tells rows of one id apart."""
+    own = raw.withColumn("trace_id", F.coalesce(F.nullif("trial_id", F.lit("")), F.nullif("trial_name", F.lit("")))).withColumn("row_hash", F.xxhash64("steps", "task_name", "agent", "model", "reward", "duration_seconds", "input_tokens", "output_tokens"))
     rest = own.where("trace_id is null").withColumn("h", F.xxhash64("steps", "task_name", "agent", "model", "reward"))
     nth = F.row_number().over(Window.partitionBy("h").orderBy("h"))
     rest = rest.withColumn("trace_id", F.concat_ws(":", F.lit(DATASET), F.col("h").cast("string"), nth.cast("string"))).drop("h")
@@ -25,24 +25,25 @@ def named(raw: DataFrame) -> DataFrame:
 
 
 def step_elements(raw: DataFrame) -> DataFrame:
-    """One row for each step of a raw trace with its place; rows without steps, or with steps that are no list, have none."""
-    return named(raw).select("trace_id", F.posexplode(F.from_json("steps", "array<string>")).alias("step_id", "element"))
+    """One row for each step of a raw trace, as VARIANT, with its place; rows without steps, or with steps that are no list, have none."""
+    return named(raw).select("trace_id", "row_hash", F.posexplode(parse.step_list(F.col("steps"))).alias("step_id", "element"))
 
 
 def steps(raw: DataFrame) -> DataFrame:
-    """Canonical steps, with the command's file flag (writes) and texts that objects() needs."""
-    e, step = F.col("element"), F.col("step")
-    df = step_elements(raw).withColumn("step", parse.step_fields(e)).withColumns({f"call{i}": parse.call_of(step, c) for i, c in enumerate(parse.CALLS)})
+    """Canonical steps, with the command's file flag (writes), the row they come from (row_hash) and texts that objects() needs. An element that is no object is a message."""
+    e = F.col("element")
     calls = [F.col(f"call{i}") for i in range(len(parse.CALLS))]
-    df = df.withColumn("msg", F.coalesce(*parse.pick(step, parse.MESSAGES), F.when(~F.ltrim(e).startswith("{"), e)))
-    df = df.select("trace_id", "step_id", "msg", F.coalesce(*parse.pick(step, parse.ROLES)).alias("role"), F.coalesce(*parse.pick(step, parse.OUTPUTS)).alias("obs"), parse.wrapper(step, calls).alias("tool_wrapper"), parse.command_string(step, calls, F.col("msg")).alias("command_string"), F.coalesce(*[step[k] for k in parse.TIMES]).alias("timestamp"))
+    df = step_elements(raw).withColumns({f"call{i}": parse.call_of(e, c) for i, c in enumerate(parse.CALLS)})
+    other = F.when(~F.schema_of_variant(e).startswith("OBJECT"), F.try_variant_get(e, "$", "string"))
+    df = df.withColumn("msg", F.coalesce(*parse.pick(e, parse.MESSAGES), other))
+    df = df.select("trace_id", "row_hash", "step_id", "msg", F.coalesce(*parse.pick(e, parse.ROLES)).alias("role"), F.coalesce(*parse.pick(e, parse.OUTPUTS)).alias("obs"), parse.wrapper(e, calls).alias("tool_wrapper"), parse.command_string(e, calls, F.col("msg")).alias("command_string"), F.coalesce(*parse.pick(e, parse.TIMES)).alias("timestamp"))
     df = df.withColumn("s", parse.shell("command_string", "tool_wrapper")).withColumn("semantic_tool", F.col("s.tool")).withColumn("semantic_tool_clean", parse.tool_group(F.col("semantic_tool")))
     group, command, wrap = F.col("semantic_tool_clean"), F.col("command_string"), F.col("tool_wrapper")
     return df.select(
         "trace_id", "step_id", "role", wrap.alias("raw_tool_name"), "tool_wrapper", "semantic_tool", "semantic_tool_clean", "command_string",
         parse.phase(group).alias("phase"), parse.phase(group).alias("phase_clean"), F.when(parse.nullish(group), "unknown").otherwise("semantic_tool").alias("phase_source"),
         parse.tool_action(wrap, command, group).alias("is_tool_action"), parse.no_tool_step(wrap, command, group).alias("is_no_tool_step"), parse.artifact_flag(command, group).alias("command_artifact_flag"),
-        F.coalesce(F.char_length("obs"), F.lit(0)).alias("observation_len_chars"), F.coalesce(F.char_length("msg"), F.lit(0)).alias("message_len_chars"), parse.error_flag(F.col("obs")).alias("error_flag"), "timestamp", F.col("s.writes").alias("writes"), "obs",
+        F.coalesce(F.char_length("obs"), F.lit(0)).alias("observation_len_chars"), F.coalesce(F.char_length("msg"), F.lit(0)).alias("message_len_chars"), parse.error_flag(F.col("obs")).alias("error_flag"), "timestamp", F.col("s.writes").alias("writes"), "obs", "row_hash",
     )
 
 
@@ -74,11 +75,13 @@ def objects(steps: DataFrame) -> DataFrame:
 
 
 def traces(raw: DataFrame, steps: DataFrame) -> DataFrame:
-    """Headers with step counts; traces without steps are left out."""
-    counts = steps.groupBy("trace_id").agg(F.count("*").alias("total_steps"), F.count_if("is_tool_action").alias("tool_action_steps"))
+    """Headers with step counts, each row its own even if another has the same id; traces without steps are left out."""
+    counts = steps.groupBy("trace_id", "row_hash").agg(F.count("*").alias("total_steps"), F.count_if("is_tool_action").alias("tool_action_steps"))
     number = lambda c: F.expr(f"try_cast({c} as double)")
-    head = named(raw).select("trace_id", F.lit(DATASET).alias("dataset"), F.col("task_name").alias("task_id"), F.col("agent").alias("harness"), F.col("agent").alias("agent_scaffold"), "model", (F.col("reward") != 0).alias("success"), "reward", (F.col("reward") != 0).alias("resolved"), number("duration_seconds").alias("duration"), number("input_tokens").alias("input_tokens"), number("output_tokens").alias("output_tokens"))
-    return head.join(counts, "trace_id")
+    head = named(raw).select("trace_id", "row_hash", F.lit(DATASET).alias("dataset"), F.col("task_name").alias("task_id"), F.col("agent").alias("harness"), F.col("agent").alias("agent_scaffold"), "model", (F.col("reward") != 0).alias("success"), "reward", (F.col("reward") != 0).alias("resolved"), number("duration_seconds").alias("duration"), number("input_tokens").alias("input_tokens"), number("output_tokens").alias("output_tokens"))
+    copies = named(raw).groupBy("trace_id", "row_hash").agg(F.count("*").alias("copies"))  # equal rows have equal counts, so each has its share of all
+    each = counts.join(copies, ["trace_id", "row_hash"]).select("trace_id", "row_hash", *[F.expr(f"{c} div copies").alias(c) for c in ("total_steps", "tool_action_steps")])
+    return head.join(each, ["trace_id", "row_hash"]).drop("row_hash")
 
 
 def dependencies(steps: DataFrame, objects: DataFrame, horizon: int = 10) -> DataFrame:
@@ -111,4 +114,4 @@ def quality_row(raw: DataFrame, steps: DataFrame, objects: DataFrame, source: st
 def normalize(raw: DataFrame) -> dict[str, DataFrame]:
     s = steps(raw)
     o = objects(s)
-    return {"traces": traces(raw, s), "steps": s.drop("writes", "obs"), "object_accesses": o, "data_dependencies": dependencies(s, o)}
+    return {"traces": traces(raw, s), "steps": s.drop("writes", "obs", "row_hash"), "object_accesses": o, "data_dependencies": dependencies(s, o)}

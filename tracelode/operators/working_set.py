@@ -90,7 +90,8 @@ def predictions(steps: DataFrame, acc: DataFrame, traces: DataFrame) -> DataFram
     tables = [("lastK_object", last_k(steps, acc), ["granularity", "trace_id", "step_id"]), ("global_hot_object", hot(acc, traces, []), ["granularity"]), ("task_hot_object", hot(acc, traces, ["task_id"]), ["granularity", "task_id"]), ("harness_hot_object", hot(acc, traces, ["harness"]), ["granularity", "harness"]), ("random_same_count", chance, ["granularity"])]
     df = asked
     for name, table, on in tables:
-        df = df.join(table.withColumnRenamed("pred", name), on, "left")
+        table = table.withColumnRenamed("pred", name)
+        df = df.join(F.broadcast(table) if on == ["granularity"] else table, on, "left")  # one list of five items for each granularity
     score = lambda p: F.size(F.array_intersect(p, "truth")) / F.size("truth")
     named = [(n, F.coalesce(F.col(n), F.array().cast("array<string>"))) for n, _, _ in tables] + [("object_type_only", F.array(F.lit("file")))]
     long = df.select("granularity", "horizon", F.explode(F.array(*[F.struct(F.lit(n).alias("baseline"), score(p).alias("recall")) for n, p in named])).alias("x")).select("granularity", "horizon", "x.*")
