@@ -124,6 +124,52 @@ def test_a_passage_in_very_many_documents(spark, monkeypatch):
     assert not any(r.removed for r in found if r.doc_id == 0)
 
 
+def test_exact_passages_with_earlier_decoys(spark):
+    """Passages of 25, 28 and 32 words, each in two late documents, and all its parts of 24 words in earlier ones: every second copy is found, and the rows are the same however documents are dealt."""
+    rng, texts, where = random.Random(11), [], {}
+    late = []
+    for k in range(150):
+        words = spread(rng, (25, 28, 32)[k % 3])
+        for i in range(len(words) - PARAGRAPH + 1):
+            texts.append((len(texts), inside(rng, words[i : i + PARAGRAPH])[0]))
+        late += [words, words]
+    for words in late:
+        text, at = inside(rng, words)
+        where[len(texts)] = at, len(words)
+        texts.append((len(texts), text))
+    rng.shuffle(texts)
+    rows = []
+    for n in (1, 8, 64):
+        found = repeated_passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(n)).collect()
+        rows.append(sorted(map(tuple, found)))
+        second = [i for j, i in enumerate(sorted(where)) if j % 2]
+        assert all(covered(found, i, *where[i]).all() for i in second)
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_near_passages_with_earlier_decoys(spark):
+    """Near passages (Jaccard 0.8 or more) in two late documents, with parts of 24 words of the first in earlier ones: found as without decoys."""
+    rng, texts, where = random.Random(12), [], {}
+    pairs = []
+    while len(pairs) < 150:
+        words = spread(rng, rng.choice([60, 80, 100, 150]))
+        other = edited(rng, words, rng.sample(range(len(words)), 1 + len(pairs) % 3), ("changed", "put in", "left out")[len(pairs) % 3])
+        if similarity(words, other) < 0.8:
+            continue
+        for i in range(0, len(words) - PARAGRAPH + 1, 3):
+            texts.append((len(texts), inside(rng, words[i : i + PARAGRAPH])[0]))
+        pairs.append((words, other))
+    for words, other in pairs:
+        texts.append((len(texts), inside(rng, words)[0]))
+        text, at = inside(rng, other)
+        where[len(texts)] = at, len(other)
+        texts.append((len(texts), text))
+    found = repeated_passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
+    each = [covered(found, i, at, n) for i, (at, n) in where.items()]
+    print("decoys", len(each), "found", np.mean([x.any() for x in each]), "words", np.mean([x.mean() for x in each]))
+    assert np.mean([x.any() for x in each]) >= 0.99 and np.mean([x.mean() for x in each]) > 0.95
+
+
 def test_bands_of_equal_paragraphs_are_equal():
     rng = random.Random(4)
     words = spread(rng, PARAGRAPH)

@@ -67,83 +67,45 @@ def band_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), whose[place], place - first[whose[place]]
 
 
-_LINK = "key long, doc long, place int, to_doc long, to_place int"
-
-
-def _links(key: np.ndarray, doc: np.ndarray, place: np.ndarray, to_doc: np.ndarray, to_place: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-    """Rows of _LINK; to_doc and to_place are null where they are not known yet."""
-    return pa.record_batch({"key": pa.array(key), "doc": pa.array(doc), "place": pa.array(place.astype(np.int32)), "to_doc": pa.array(to_doc, mask=~known), "to_place": pa.array(to_place.astype(np.int32), mask=~known)})
-
-
-def _meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each band key with the smallest place that holds it among some hundred thousand; the others are linked to that place here, so a key costs one row however many documents share it."""
+def _places(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every band key of every document, and where it stands."""
     release()
-    held: list[np.ndarray] = []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held, 1)
-        held.clear()
-        key, doc, place = rows[:, np.lexsort(rows[::-1])]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        best = np.repeat(first, np.diff(np.append(first, len(key))))
-        known = doc != doc[best]
-        some = np.flatnonzero(known | (np.arange(len(key)) == best))
-        known, best = known[some], best[some]
-        # a link that is known goes anywhere
-        spread = np.where(known, mix(doc[some].view(np.uint64) * _STEP + place[some].view(np.uint64)).view(np.int64), key[some])
-        for a in range(0, len(some), 20_000):
-            b = slice(a, a + 20_000)
-            yield _links(spread[b], doc[some[b]], place[some[b]], doc[best[b]], place[best[b]], known[b])
-
     for part in batches(parts, most=1 << 20):
         key, row, place = band_keys(part.column("text"))
-        held.append(np.stack([key.view(np.int64), part.column("doc_id").to_numpy()[row], place]))
-        if sum(x.shape[1] for x in held) > 300_000:
-            yield from out()
-    if held:
-        yield from out()
+        yield pa.record_batch({"key": pa.array(key.view(np.int64)), "doc": pa.array(part.column("doc_id").to_numpy()[row]), "place": pa.array(place.astype(np.int32))})
 
 
-def _resolve(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key, document and place: all places of a key are linked to the first."""
-    last: tuple[int, int, int] | None = None
-    for part in parts:
-        known = part.column("to_doc").is_valid().to_numpy(zero_copy_only=False)
-        key, doc, place = (part.column(k).to_numpy() for k in ("key", "doc", "place"))
-        to_doc, to_place = (part.column(k).fill_null(0).to_numpy().copy() for k in ("to_doc", "to_place"))
-        open_ = np.flatnonzero(~known)
-        if len(open_):
-            k, d, p = key[open_], doc[open_], place[open_]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.append(first, len(k)))
-            best_doc, best_place = d[first].copy(), p[first].copy()
-            if last is not None and k[0] == last[0]:
-                best_doc[0], best_place[0] = last[1:]
-            last = int(k[-1]), int(best_doc[-1]), int(best_place[-1])
-            to_doc[open_], to_place[open_] = np.repeat(best_doc, size), np.repeat(best_place, size)
-        some = np.flatnonzero(doc != to_doc)
-        yield _links(key[some], doc[some], place[some], to_doc[some], to_place[some], np.ones(len(some), bool))
-
-
-_SLICE = "d long, r long, diagonal int, side int, word int, byte long, slice binary"
+def stars(places: DataFrame) -> DataFrame:
+    """Of places (key, doc, place, and more), those whose key stands in an earlier document too, with the first place of the first document that holds it (to_doc, to_place), and whether other places hold it (more).
+
+    Keys are counted before anything is joined, and joins are between plain shuffles, so the places of a hot key are split; which place is first does not depend on how rows are dealt.
+    """
+    first = places.groupBy("key").agg(F.min("doc").alias("to_doc"), F.max("doc").alias("last"), F.count("*").alias("n")).where("to_doc != last")
+    first = stored(first.select("key", "to_doc", (F.col("n") > 2).alias("more")), "passage-keys")
+    some = stored(places.join(first, "key"), "passage-places")
+    root = stored(some.where("doc = to_doc").groupBy("key").agg(F.min("place").alias("to_place"), *[F.min(c).alias(f"to_{c}") for c in places.columns if c not in ("key", "doc", "place")]), "passage-roots")
+    return some.where("doc != to_doc").join(root, "key")
+
+
+_SLICE = "d long, r long, diagonal int, side int, more boolean, at int, upto int, word int, byte long, slice binary"
 
 
 def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by document, its texts before what is asked of them (words lo to hi). Texts that nothing is asked of are not looked at."""
+    """Rows come sorted by document, its texts before what is asked of them (collisions at words `at` to `upto`; MARGIN words more on both sides go out). Texts that nothing is asked of are not looked at."""
     now, texts = None, []  # texts: bytes, or (bytes, starts, ends)
     names = [x.split()[0] for x in _SLICE.split(", ")]
     rows: list[tuple] = []
     size = 0
 
     def out() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         made = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         rows.clear()
         return made
 
     for part in parts:
         text = part.column("text")
-        for i, (doc, side, d, r, diagonal, lo, hi) in enumerate(zip(*(part.column(k).to_pylist() for k in ("doc", "side", "d", "r", "diagonal", "lo", "hi")))):
+        for i, (doc, side, d, r, diagonal, more, at, upto) in enumerate(zip(*(part.column(k).to_pylist() for k in ("doc", "side", "d", "r", "diagonal", "more", "at", "upto")))):
             if doc != now:
                 now, texts = doc, []
             if side is None:
@@ -155,9 +117,9 @@ def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     data = np.frombuffer(raw, np.uint8)
                     texts[j] = t = (raw, *spans(SPACE[data], np.array([0, len(data)]))[:2])
                 raw, starts, ends = t
-                a, b = max(lo, 0), min(hi, len(starts))
+                a, b = max(at - MARGIN, 0), min(upto + PARAGRAPH + MARGIN, len(starts))
                 if a < b:
-                    rows.append((d, r, diagonal, side, a, int(starts[a]), raw[starts[a] : ends[b - 1]]))
+                    rows.append((d, r, diagonal, side, more, at, upto, a, int(starts[a]), raw[starts[a] : ends[b - 1]]))
                     size += len(rows[-1][-1])
                     if size > 1 << 20:
                         yield out()
@@ -240,11 +202,42 @@ def jaccard(a: list[bytes], b: list[bytes]) -> float:
 
 
 _PASSAGE = [f"{side}_{name} long" for side in "dr" for name in ("doc", "word", "words", "lo", "hi", "crc")]
+#: kind 0: a passage of two documents. kind 1: a finer key (r_doc) of a place (d_doc, d_word) outside passages. kind 2: the slice that such places stand in; word and size name it.
+_FOUND = ", ".join(["kind int", *_PASSAGE, "word int", "size int", "byte long", "slice binary"])
+_CONTEXT = 24  # words on each side of a collision that finer keys of near passages look at
+_SEEDS = _RNG.integers(0, 2**63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _grown(least: float):
+def finer_keys(h: np.ndarray, at: int, upto: int, covered: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, word): keys of a slice (hashes of its words) about the collision at words `at` to `upto`, for another round.
+
+    First those of all WORDS words in a row that hold a shingle of the collision, but for what passages cover already: two texts
+    with an equal one share a passage, whatever third text they met before. Then minima of the shingles before
+    and after the collision, each with the shingle at it: these bring texts together whose surroundings are alike.
+    """
+    keys, places = [], []
+    whole = rolling(h, WORDS)
+    start = np.arange(max(at + SHINGLE - WORDS, 0), min(upto + 1, len(whole)))
+    for a, b in covered:
+        start = start[(start < a) | (start + WORDS > b)]
+    keys.append(mix(whole[start] + np.uint64(0x5851F42D4C957F2D)))
+    places.append(start)
+    shingle = rolling(h, SHINGLE)
+    for anchor in {at, upto}:
+        if 0 <= anchor < len(shingle) and not any(a <= anchor and anchor + SHINGLE <= b for a, b in covered):
+            for side, part in enumerate((shingle[max(0, anchor - _CONTEXT) : anchor], shingle[anchor + 1 : anchor + 1 + _CONTEXT])):
+                if len(part):
+                    low = np.array([mix(part * f).min() for f in _SEEDS], np.uint64)
+                    keys.append(mix(low * _STEP + shingle[anchor] + np.arange(len(_SEEDS), dtype=np.uint64) + np.uint64(side << 8)))
+                    places.append(np.full(len(_SEEDS), anchor))
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def _grown(least: float, again: bool):
+    """again: places without a passage get finer keys."""
+
     def passages(pairs: list[tuple]) -> pa.RecordBatch:
-        """pairs: (d, r, diagonal, (word, byte, slice) of d, of r)."""
+        """pairs: (d, r, diagonal, (word, byte, slice, more, at, upto) of d, of r)."""
         sides, starts, ends, first = [], [], [], []
         for k in (3, 4):
             data, at = flat(pa.array([x[k][2] for x in pairs], pa.binary()))
@@ -260,6 +253,7 @@ def _grown(least: float):
         order = np.argsort(pair, kind="stable")
         pair, runs = pair[order], np.stack([d[order], r[order], n[order]], 1)
         out: list[tuple] = []
+        covered: dict[int, list[tuple]] = {}
         cuts = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)]
         for a, b in zip(cuts, cuts[1:]):
             if a == b or (b - a == 1 and runs[a, 2] < WORDS):
@@ -271,15 +265,18 @@ def _grown(least: float):
 
             def row(x: int, y: int, i: int = i, own: list = own, text: list = text) -> tuple | None:
                 """Runs x to y as a passage, if its texts say so too."""
-                made, words = [], []
+                made, words, where = [], [], []
                 for side in (0, 1):
                     begin, end = own[x][side], own[y][side] + own[y][2]
                     lo, hi = int(starts[side][first[side][i] + begin]), int(ends[side][first[side][i] + end - 1])
                     raw = text[side][lo:hi]
                     words.append(raw.lower().split())
-                    word, byte, _ = pairs[i][3 + side]
+                    where.append((begin, end))
+                    word, byte = pairs[i][3 + side][:2]
                     made += [pairs[i][side], word + begin, end - begin, byte + lo, byte + hi, zlib.crc32(raw)]
                 same = words[0] == words[1] if x == y else jaccard(*words) >= least - 1e-9
+                if same:
+                    covered.setdefault(i, []).append(where)
                 return tuple(made) if same else None
 
             for x, y in grow(own):
@@ -288,18 +285,36 @@ def _grown(least: float):
                 found = [row(x, y)]
                 if x < y and found[0] is None:
                     found = [row(k, k) for k in range(x, y + 1) if own[k][2] >= WORDS]
-                out += [f for f in found if f]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * len(_PASSAGE))], names=[x.split()[0] for x in _PASSAGE])
+                out += [(0, *f, None, None, None, None) for f in found if f]
+        if again:
+            seen: set[tuple] = set()
+            for i, x in enumerate(pairs):
+                for side in (0, 1):
+                    word, byte, raw, more, at, upto = x[3 + side]
+                    if not more:
+                        continue
+                    h = sides[side][first[side][i] : first[side][i + 1]]
+                    key, place = finer_keys(h, at - word, upto - word, [c[side] for c in covered.get(i, [])])
+                    none = (0,) * (len(_PASSAGE) - 3)
+                    for k, p in zip(key.view(np.int64).tolist(), (place + word).tolist()):
+                        if (k, x[side], p) not in seen:
+                            seen.add((k, x[side], p))
+                            out.append((1, x[side], p, *none[:4], k, *none[4:], word, len(raw), 0, None))
+                    if len(key) and (x[side], word, len(raw)) not in seen:
+                        seen.add((x[side], word, len(raw)))
+                        out.append((2, x[side], 0, *none[:4], 0, *none[4:], word, len(raw), byte, raw))
+        kinds = [pa.int32(), *[pa.int64()] * len(_PASSAGE), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     def grown(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of _SLICE come sorted by pair and side; each slice of d is held against each of r."""
         release()
         now, own, pairs, size = None, [], [], 0
         for part in parts:
-            for d, r, diagonal, side, word, byte, raw in zip(*(c.to_pylist() for c in part.columns)):
+            for d, r, diagonal, side, more, at, upto, word, byte, raw in zip(*(c.to_pylist() for c in part.columns)):
                 if (d, r, diagonal) != now:
                     now, own = (d, r, diagonal), []
-                one = (word, byte, raw)
+                one = (word, byte, raw, more, at, upto)
                 if side == 0:
                     if one not in own:
                         own.append(one)
@@ -319,21 +334,33 @@ def _grown(least: float):
 def linked_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Passages that a document shares with one of a smaller doc_id: (doc, word, words, lo, hi, crc) of both, d_ and r_. See repeated_passages()."""
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = plain.mapInArrow(_meet, _LINK).repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(_resolve, _LINK)
-    chains = met.groupBy(F.col("doc").alias("d"), F.col("to_doc").alias("r"), (F.col("place") - F.col("to_place")).alias("diagonal")).agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
+    met = stars(plain.mapInArrow(_places, "key long, doc long, place int"))
+    chains = met.groupBy(F.col("doc").alias("d"), F.col("to_doc").alias("r"), (F.col("place") - F.col("to_place")).alias("diagonal")).agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.bool_or("more").alias("more"))
     chains = stored(chains, "passage-chains")
     back = F.when(F.col("side") == 0, 0).otherwise(F.col("diagonal"))
-    asks = chains.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        F.when(F.col("side") == 0, F.col("d")).otherwise(F.col("r")).alias("doc"), "side", "d", "r", "diagonal", (F.col("lo") - back - MARGIN).alias("lo"), (F.col("hi") - back + PARAGRAPH + MARGIN).alias("hi")
-    )
+    asks = chains.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.when(F.col("side") == 0, F.col("d")).otherwise(F.col("r")).alias("doc"), "side", "d", "r", "diagonal", "more", (F.col("lo") - back).alias("at"), (F.col("hi") - back).alias("upto"))
     # documents of which very much is asked are dealt to several tasks; the table has one row for each, a HOT-th of all rows at most
     hot = stored(asks.groupBy("doc").agg(F.ceil(F.count("*") / HOT).cast("int").alias("cuts")).where("cuts > 1"), "passage-hot")
     asks = asks.join(hot, "doc", "left").withColumn("cut", F.pmod(F.xxhash64("d", "r", "diagonal"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts").withColumn("text", F.lit(None).cast("binary"))
     null = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    texts = plain.join(hot, plain.doc_id == hot.doc, "left").select(F.col("doc_id").alias("doc"), null("side", "int"), null("d", "long"), null("r", "long"), null("diagonal", "int"), null("lo", "int"), null("hi", "int"), F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)).alias("cut"), F.col("text").cast("binary").alias("text"))
+    texts = plain.join(hot, plain.doc_id == hot.doc, "left").select(F.col("doc_id").alias("doc"), null("side", "int"), null("d", "long"), null("r", "long"), null("diagonal", "int"), null("more", "boolean"), null("at", "int"), null("upto", "int"), F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)).alias("cut"), F.col("text").cast("binary").alias("text"))
     both = texts.unionByName(asks).repartition("doc", "cut").sortWithinPartitions("doc", "cut", F.asc_nulls_first("side"))
-    pairs = both.mapInArrow(_slices, _SLICE).repartition("d", "r", "diagonal").sortWithinPartitions("d", "r", "diagonal", "side")
-    return pairs.mapInArrow(_grown(least), ", ".join(_PASSAGE)).distinct()
+    pairs = both.mapInArrow(_slices, _SLICE)
+    found = stored(_verified(pairs, least, again=True), "passages-first")
+    # another round for places outside passages: other texts can share more there
+    slice_id = F.xxhash64("d_doc", "word", "size")
+    finer = found.where("kind = 1").groupBy(F.col("r_doc").alias("key"), F.col("d_doc").alias("doc"), F.col("d_word").cast("int").alias("place")).agg(F.min(slice_id).alias("slice_id"))
+    met = stars(finer).groupBy(F.col("doc").alias("d"), F.col("to_doc").alias("r"), (F.col("place") - F.col("to_place")).alias("diagonal")).agg(F.min(F.struct("place", "to_place", "slice_id", "to_slice_id")).alias("x"))
+    side = lambda i, to: F.struct(F.lit(i).alias("side"), F.col(f"x.{to}place").alias("at"), F.col(f"x.{to}slice_id").alias("slice_id"))
+    asks = met.select("d", "r", "diagonal", F.explode(F.array(side(0, ""), side(1, "to_"))).alias("y")).select("d", "r", "diagonal", "y.*")
+    slices = stored(found.where("kind = 2").groupBy(slice_id.alias("slice_id")).agg(F.first("word").alias("word"), F.first("byte").alias("byte"), F.first("slice").alias("slice")), "passage-slices")
+    pairs = asks.join(slices, "slice_id").select("d", "r", "diagonal", "side", F.lit(False).alias("more"), "at", F.col("at").alias("upto"), "word", "byte", "slice")
+    names = [x.split()[0] for x in _PASSAGE]
+    return found.where("kind = 0").select(*names).unionByName(_verified(pairs, least, again=False).select(*names)).distinct()
+
+
+def _verified(pairs: DataFrame, least: float, again: bool) -> DataFrame:
+    return pairs.repartition("d", "r", "diagonal").sortWithinPartitions("d", "r", "diagonal", "side", "word").mapInArrow(_grown(least, again), _FOUND)
 
 
 def repeated_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
