@@ -166,6 +166,53 @@ def test_near_groups_in_hot_buckets(spark, monkeypatch):
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs) and all(want[i] == want[c] for i, c in got.items())
 
 
+def changed(rng, words, places):
+    out = list(words)
+    for i in places:
+        out[i] = f"new{rng.randrange(10**7)}"
+    return " ".join(out)
+
+
+def test_links_behind_many_nearer_texts(spark):
+    """A text that is similar enough to one member of a family only, which has eight nearer ones: the link holds, whatever number of texts is asked for first."""
+    rng, texts, wanted = random.Random(21), [], []
+    for _ in range(60):
+        x = [f"w{rng.randrange(10**7)}" for _ in range(400)]
+        far = rng.sample(range(0, 400, 6), 8)
+        near = [changed(rng, x, rng.sample(range(0, 400, 6), 2)) for _ in range(8)]
+        texts += [*near, " ".join(x), changed(rng, x, far)]
+        wanted.append((len(texts) - 2, len(texts) - 1))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    own = [texts[i] for i in order]
+    at = {i: n for n, i in enumerate(order)}
+    groups = []
+    for most in (1, 4, 400):
+        got, want, pairs = check_near(spark, own, most=most)
+        assert all(got[at[a]] == got[at[b]] for a, b in wanted) and all(want[i] == want[c] for i, c in got.items())
+        groups.append(got)
+    assert groups[0] == groups[1] == groups[2] and any(got != i for i, got in groups[0].items())
+
+
+def test_hot_keys_do_not_change_groups(spark, monkeypatch):
+    """Pairs of a similarity not far over 0.8, and a large family, with nearly every key hot: the same groups."""
+    rng, own = random.Random(22), []
+    for _ in range(100):
+        x = [f"w{rng.randrange(10**7)}" for _ in range(300)]
+        own += [" ".join(x), changed(rng, x, rng.sample(range(0, 300, 6), 5))]
+    one = [f"w{rng.randrange(10**7)}" for _ in range(200)]
+    own += [changed(rng, one, rng.sample(range(200), 2)) for _ in range(60)]
+    groups = []
+    for hot in (4096, 4):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got, want, pairs = check_near(spark, own)
+        joined = sum(got[a] == got[b] for a, b in pairs)
+        print("hot", hot, "pairs", len(pairs), "joined", joined)
+        assert joined >= 0.99 * len(pairs) and all(want[i] == want[c] for i, c in got.items())
+        groups.append(got)
+    assert groups[0] == groups[1]
+
+
 def test_near_groups_edges(empty, nulls):
     assert simhash.near_groups(empty).count() == 0
     assert rows(simhash.near_groups(nulls)) == sorted([(None, 5), (None, None), (5, 5), (7, 7), (7, 7)], key=str)
@@ -176,13 +223,17 @@ def test_nearest_against_all_distances():
     base = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
     fp = np.concatenate([base[rng.integers(0, 3, 300)] ^ (rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64) & rng.integers(0, 2**63, (300, 4), dtype=np.uint64))])
     bucket = np.sort(rng.integers(0, 6, 300)) * (np.arange(300) < 150) + 9 * (np.arange(300) >= 150)
-    i, j = simhash.nearest(fp, bucket, 60)
+    i, j, more = simhash.nearest(fp, bucket, 60)
     got = dict.fromkeys(zip(i.tolist(), j.tolist()))
     d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2).astype(int)
-    want = []
+    want, over = [], []
     for a in range(300):
-        want += [(a, b) for _, b in sorted((d[a, b], b) for b in range(a) if bucket[a] == bucket[b] and d[a, b] <= 60)[:4]]
-    assert list(got) == want and want
+        near = [(a, b) for _, b in sorted((d[a, b], b) for b in range(a) if bucket[a] == bucket[b] and d[a, b] <= 60)]
+        want += near[:4]
+        over += [a] * (len(near) > 4)
+    assert list(got) == want and want and more.tolist() == over and over
+    i, j, more = simhash.nearest(fp, bucket, 60, 1000, lambda x, y: (x + y) % 3 == 0)
+    assert not len(more) and set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(300) for b in range(a) if bucket[a] == bucket[b] and d[a, b] <= 60 and (a + b) % 3 == 0}
 
 
 def test_near_links_in_hot_buckets(spark, monkeypatch):

@@ -338,20 +338,23 @@ def wide_planes(values: np.ndarray) -> np.ndarray:
     return np.concatenate([planes(values[:, i]) for i in range(values.shape[1])])
 
 
-def nearest(fp: np.ndarray, bucket: np.ndarray, radius: int, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the `most` nearest earlier ones of its bucket within the radius: (row, earlier row). Rows are sorted by bucket."""
+def nearest(fp: np.ndarray, bucket: np.ndarray, radius: int, most: int = 4, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the `most` nearest earlier ones of its bucket within the radius, of those that allowed(rows, earlier rows) lets through: (row, earlier row), and the rows that have more. Rows are sorted by bucket."""
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     size = np.diff(np.append(first, len(fp)))
     found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
 
     def least(rows: np.ndarray) -> np.ndarray:
-        """Of rows (i, distance, j), the `most` least of each i."""
+        """Of rows (i, distance, j), the `most` least of each i, and one more."""
         rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
         begin = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])[: rows.shape[1]])
-        return rows[:, np.arange(rows.shape[1]) - np.repeat(begin, np.diff(np.append(begin, rows.shape[1]))) < most]
+        return rows[:, np.arange(rows.shape[1]) - np.repeat(begin, np.diff(np.append(begin, rows.shape[1]))) <= most]
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
         """Row j is earlier than row i."""
+        if allowed is not None:
+            some = allowed(i, j)
+            i, j = i[some], j[some]
         found.append(least(np.stack([i, np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64), j])))
         if len(found) > 64:
             found[:] = [least(np.concatenate(found, 1))]
@@ -378,28 +381,49 @@ def nearest(fp: np.ndarray, bucket: np.ndarray, radius: int, most: int = 4) -> t
                 if ok.any():
                     take(s + row + q[ok], s + col + r[ok])
     rows = least(np.concatenate(found, 1))
-    return rows[0], rows[2]
+    begin = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])[: rows.shape[1]])
+    over = np.arange(rows.shape[1]) - np.repeat(begin, np.diff(np.append(begin, rows.shape[1]))) == most
+    return rows[0, ~over], rows[2, ~over], rows[0, over]
 
 
-def _candidates(radius: int):
+def _candidates(radius: int, most: int):
     def candidates(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, id, f0...) come sorted by key and id."""
+        """Rows (key, id, f0..., component, ask, tested) come sorted by key and id. Returns pairs (u, v), and (u, null) for rows of a bucket that have more."""
         release()
-        held: list[np.ndarray] = []
-
-        def work(rows: np.ndarray) -> pa.RecordBatch:
-            i, j = nearest(rows[:, 2:].view(np.uint64), rows[:, 0], radius)
-            return pa.record_batch({"u": pa.array(rows[i, 1]), "v": pa.array(rows[j, 1])})
+        held: list[pa.Table] = []
+
+        def work(table: pa.Table) -> pa.RecordBatch:
+            key, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
+            fp = np.stack([table.column(f"f{w}").to_numpy() for w in range(WIDE)], 1).view(np.uint64)
+            component, ask = table.column("component").to_numpy(), table.column("ask").to_numpy(zero_copy_only=False)
+            tested = table.column("tested")
+            known = {i: set(x) for i, x in enumerate(tested.to_pylist()) if x} if tested.null_count < len(tested) else {}
+
+            def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = ask[i] & (component[i] != component[j])
+                if known:
+                    ok[ok] = [y not in known.get(x, ()) for x, y in zip(i[ok].tolist(), ids[j[ok]].tolist())]
+                return ok
+
+            i, j, more = nearest(fp, key, radius, most, allowed)
+            none = np.concatenate([np.zeros(len(i), bool), np.ones(len(more), bool)])
+            at = np.concatenate([i, more])
+            return pa.record_batch({"key": pa.array(key[at]), "u": pa.array(ids[at]), "v": pa.array(np.concatenate([ids[j], np.zeros(len(more), np.int64)]), mask=none)})
 
         for part in parts:
             if part.num_rows:
-                rows = np.concatenate([*held, np.stack([c.to_numpy() for c in part.columns], 1)])
-                cut = int(np.argmax(rows[:, 0] == rows[-1, 0]))
-                if cut:
-                    yield work(rows[:cut])
-                held = [rows[cut:]]
+                key = part.column("key").to_numpy()
+                cut = int(np.argmax(key == key[-1]))
+                table = pa.Table.from_batches([part])
+                if held and (cut or key[0] != held[-1].column("key")[-1].as_py()):
+                    whole = pa.concat_tables([*held, table.slice(0, cut)])
+                    held = []
+                    yield work(whole)
+                elif cut:
+                    yield work(table.slice(0, cut))
+                held.append(table.slice(cut))
         if held:
-            yield work(held[0])
+            yield work(pa.concat_tables(held))
 
     return candidates
 
@@ -417,45 +441,99 @@ def _similar(least: float):
     return similar
 
 
-def near_groups(docs: DataFrame, least: float = 0.8, k: int = 5, radius: int = 56) -> DataFrame:
+#: Keys of rows whose keys are hot, level by level: how many keys, of how many minima each, out of POOL minima. At a similarity of 0.8 pairs meet in 0.9998 and 0.999 of all cases.
+FINER, POOL = ((16, 4), (64, 8)), 128
+_POOL = _RNG.integers(0, 2**63, POOL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PICKS = [np.arange(64).reshape(16, 4), np.stack([_RNG.choice(POOL, 8, replace=False) for _ in range(64)])]
+
+
+def _finer(level: int):
+    def finer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys of each set of shingles, each of several minima."""
+        release()
+        picks = _PICKS[level]
+        some = np.unique(picks)
+        for part in parts:
+            out = []
+            for raw in part.column("shingles").to_pylist():
+                h = np.frombuffer(raw, "<u4").astype(np.uint64)
+                low = np.zeros(POOL, np.uint64)
+                for i in some.tolist():
+                    low[i] = mix((h + np.uint64(1)) * _POOL[i]).min(initial=0xFFFFFFFFFFFFFFFF)
+                key = np.arange(len(picks), dtype=np.uint64) + np.uint64((level + 1) << 32)
+                for i in range(picks.shape[1]):
+                    key = key * _STEP + low[picks[:, i]]
+                out.append(mix(key).view(np.int64))
+            yield part.drop_columns(["shingles"]).append_column("keys", pa.array(out, pa.list_(pa.int64())))
+
+    return finer
+
+
+def _sets(rows: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of some texts."""
+    own = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "a", "b", "n", "shingles").join(ids, "id", "left_semi")
+    return own.join(texts.select("id", "a", "b", "n"), ["id", "a", "b", "n"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
+
+
+def _buckets(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, id, fingerprint): texts that share a key are compared. Rows of a key above HOT rows get the finer keys of FINER instead; keys above HOT rows at the last level are cut into parts, and each two parts are a bucket."""
+    prints = [f"f{i}" for i in range(WIDE)]
+    dealt = texts.select("id", *prints, F.explode(F.array(*[F.xxhash64(F.lit(i), F.col(f"k{i}")) for i in range(BANDS)])).alias("key"))
+    ready = None
+    for level in range(len(FINER) + 1):
+        dealt = stored(dealt, "near-keys")
+        hot = stored(dealt.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT), "near-hot")
+        both = dealt.join(hot, "key", "left")
+        part = both.where("m is null").select("key", "id", *prints)
+        ready = part if ready is None else ready.unionByName(part)
+        if hot.isEmpty():
+            return ready
+        waiting = both.where("m is not null")
+        if level < len(FINER):
+            ids = stored(waiting.select("id", *prints).dropDuplicates(["id"]), "near-waiting")
+            keys = ids.join(_sets(rows, texts, ids.select("id")), "id").mapInArrow(_finer(level), ", ".join(["id long", *[f"{c} long" for c in prints], "keys array<long>"]))
+            dealt = keys.select("id", *prints, F.explode("keys").alias("key"))
+    size = F.ceil(F.col("m") / HOT).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit("part")), size).cast("int")
+    pairs = waiting.select("key", "id", *prints, own.alias("own"), F.explode(F.sequence(F.lit(0), size - 1)).alias("other"))
+    return ready.unionByName(pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), F.lit("parts")).alias("key"), "id", *prints))
+
+
+def near_groups(docs: DataFrame, least: float = 0.8, k: int = 5, radius: int = 56, most: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, component_id: the smallest doc_id reachable by links between texts whose k-word shingles have a Jaccard similarity of `least` or more.
 
     Texts with the same set of shingles are one, under their smallest doc_id. The others meet in buckets of two minima of
     their shingles (BANDS of them: at 0.8, 99.8 % of pairs meet), where bit-sliced SimHashes of 64 * WIDE bits are compared, and each text asks
-    for the four nearest of those with smaller ids (two sets at 0.8 differ in 39 of 256 bits on average, with a deviation of 6; the radius is three
-    deviations more). What it finds is linked if the sets themselves are similar enough. Buckets above HOT rows are cut
-    again by pairs, then threes of keys, before anything is compared; rows of a hot key are spread by a join, not sent to one task.
+    for the `most` nearest of those with smaller ids (two sets at 0.8 differ in 39 of 256 bits on average, with a deviation of 6; the radius is three
+    deviations more). What it finds is linked if the sets themselves are similar enough. Texts of a bucket that have more within
+    the radius ask again, for four times as many, of those that are not in their component yet and were not held against them, until none is
+    left: `most` decides about work, never about links. Rows of buckets above HOT rows go by finer keys (see _buckets).
 
     Null and empty texts are alike. Texts with fewer than k words are one shingle. Rows without a doc_id have no say in a
     component's id; if no row of a text has one, component_id is null. Repeated rows stay repeated. No rows: no rows. Other columns are ignored.
     """
-    prints = ", ".join(f"f{i}" for i in range(WIDE))
-    names = [f"k{i}" for i in range(BANDS)]
+    prints = [f"f{i}" for i in range(WIDE)]
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signs(k), _SIGNS), "near-signs")
-    texts = stored(rows.where("doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in [*prints.split(", "), *names]]), "near-texts")
-    cuts = [combinations(names, m) for m in (1, 2, 3)]
-    waiting, ready = texts, None
-    for level, cut in enumerate(cuts):
-        number = 1000 * level
-        keys = F.array(*[F.xxhash64(F.lit(number + i), *c) for i, c in enumerate(cut)])
-        if level == 0:
-            dealt = waiting.select("id", *prints.split(", "), *names, F.explode(keys).alias("key"))
-        else:  # of a hot row, all finer keys; the same in each of its hot buckets, so once
-            dealt = waiting.dropDuplicates(["id"]).select("id", *prints.split(", "), *names, F.explode(keys).alias("key"))
-        dealt = stored(dealt, "near-keys")
-        if level + 1 < len(cuts):
-            hot = stored(dealt.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("key", F.lit(True).alias("hot")), "near-hot")
-            dealt = dealt.join(hot, "key", "left")
-            waiting, dealt = dealt.where("hot").drop("hot", "key"), dealt.where("hot is null")
-        part = dealt.select("key", "id", *prints.split(", "))
-        ready = part if ready is None else ready.unionByName(part)
-        if level + 1 < len(cuts) and hot.isEmpty():
+    texts = stored(rows.where("doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in [*prints, *[f"k{i}" for i in range(BANDS)]]]), "near-texts")
+    buckets = _buckets(rows, texts)
+    work = buckets.select("key", "id", *prints, F.col("id").alias("component"), F.lit(True).alias("ask"), F.lit(None).cast("array<long>").alias("tested"))
+    tested = links = None
+    while True:
+        met = stored(work.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates(radius, most), "key long, u long, v long"), "near-pairs")
+        pairs = met.where("v is not null").select("u", "v").distinct()
+        ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+        sets = stored(_sets(rows, texts, ids), "near-sets")  # so that the joins below are between plain shuffles, and texts with very many links are split
+        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
+        new = stored(both.mapInArrow(_similar(least), "u long, v long"), "near-links")
+        links = new if links is None else links.unionByName(new)
+        parts = connected_components(links)
+        more = stored(met.where("v is null").select("key", F.col("u").alias("id")).distinct(), "near-more")
+        if more.isEmpty():
             break
-    met = stored(ready.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates(radius), "u long, v long").distinct(), "near-pairs")
-    asked = met.select(F.col("u").alias("id")).unionByName(met.select(F.col("v").alias("id"))).distinct()
-    sets = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "a", "b", "n", "shingles").join(texts.select("id", "a", "b", "n"), ["id", "a", "b", "n"], "left_semi").join(asked, "id", "left_semi").dropDuplicates(["id"]).select("id", "shingles")
-    sets = stored(sets, "near-sets")  # so that the joins below are between plain shuffles, and texts with very many links are split
-    pairs = met.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
-    parts = connected_components(pairs.mapInArrow(_similar(least), "u long, v long"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        before = tested.join(more.select(F.col("id").alias("u")).distinct(), "u", "left_semi").groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("tested"))
+        work = buckets.join(more.select("key").distinct(), "key", "left_semi").join(more.withColumn("ask", F.lit(True)), ["key", "id"], "left").join(parts.withColumnRenamed("node", "id"), "id", "left").join(before, "id", "left")
+        work = work.select("key", "id", *prints, F.coalesce("component", "id").alias("component"), F.coalesce("ask", F.lit(False)).alias("ask"), F.when(F.col("ask"), F.col("tested")).alias("tested"))
+        most *= 4
     named = stored(texts.join(parts, texts.id == parts.node, "left").select("a", "b", "n", F.coalesce("component", "id").alias("component_id")), "near-named")
     return rows.select("doc_id", "a", "b", "n").join(named, ["a", "b", "n"], "left").select("doc_id", "component_id")
