@@ -318,3 +318,18 @@ def test_rows_of_one_id_keep_their_own_counts(spark):
     df = spark.createDataFrame([make(1), make(3), make(3)], sources.RAW)
     t = normalize.traces(df, normalize.steps(df)).collect()
     assert sorted((r.total_steps, r.tool_action_steps) for r in t) == [(1, 1), (3, 3), (3, 3)]
+
+
+#: The objects that the steps below access: (step, id, type, access, prefix, folder, extension, stable), by hand.
+ACCESSES = [
+    (0, "file:src/pkg/a.py", "file", "read", "src/pkg", "src/pkg", ".py", True), (0, "url:https://x.org/a", "url", "retrieve", "https:/x.org", "https:/x.org", "", True), (1, "file:README.md", "file", "mention", "README.md", ".", ".md", True),
+    (2, "test:tests/test_a.py::test_b", "test_case", "execute", "tests/test_a.py::test_b", "tests", ".py::test_b", True), (2, "file:tests/test_a.py", "file", "execute", "tests/test_a.py", "tests", ".py", True),
+    (3, "large_observation_bucket", "large_observation_bucket", "mention", None, None, None, False), (3, "error:error:timeout", "error_signature", "error", None, None, None, True),
+]
+
+
+def test_objects_of_steps(spark):
+    listed = [call("cat src/pkg/a.py https://x.org/a"), {"message": "run\n```bash\nls\n```", "output": "README.md"}, call("pytest tests/test_a.py::test_b"), call("sleep 9", "x" * 4001 + " timed out")]
+    o = normalize.objects(normalize.steps(raw(spark, *listed)))
+    got = o.select("step_id", "object_id", "object_type", "access_type", "object_prefix", "object_dir", "object_extension", "stable_object").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(ACCESSES, key=str)

@@ -43,3 +43,14 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.to_json(F.struct(F.lit("agent").alias("src"), F.when(command.isNotNull(), F.array(F.struct(F.lit("Bash").alias("fn"), command.alias("cmd")))).alias("tools"), obs.alias("obs")))
     listed = e.select("user_id", F.struct("ts", "event_id", step.alias("j")).alias("s")).groupBy("user_id").agg(F.array_sort(F.collect_list("s")).alias("l"))
     return listed.select(F.col("user_id").cast("string").alias("trial_id"), F.lit(None).cast("string").alias("trial_name"), F.lit("t").alias("task_name"), F.lit("h").alias("agent"), F.lit("m").alias("model"), F.lit(1.0).alias("reward"), F.lit("1.5").alias("duration_seconds"), F.lit("").alias("input_tokens"), F.lit("x").alias("output_tokens"), F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]")).alias("steps"))
+
+
+def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw traces out of web pages, each fetched by its address (the observation is the page and its address), and out of documents, each read or written as a file."""
+    call = lambda command, obs: F.to_json(F.array(F.struct(F.lit("agent").alias("role"), F.create_map(F.lit("name"), F.lit("Bash"), F.lit("command"), command).alias("tool_call"), obs.alias("output"))))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("page"), "page_id").alias("trial_id"), call(F.concat(F.lit("curl -s "), "url"), F.concat("html", F.lit("\n"), "url", F.lit("."))).alias("steps"))
+    path = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("./data/"), "source", F.lit("/"), "lang", F.lit("/doc"), "doc_id", F.lit(".md"))).otherwise(F.concat(F.lit("doc"), "doc_id", F.lit(".json")))
+    command = F.concat(F.when(F.col("doc_id") % 2 == 0, "head -5 ").otherwise("touch "), path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("doc"), "doc_id").alias("trial_id"), call(command, F.lit("done")).alias("steps"))
+    null = F.lit(None).cast("string")
+    return pages.unionByName(docs).select("trial_id", null.alias("trial_name"), F.lit("t").alias("task_name"), F.lit("h").alias("agent"), F.lit("m").alias("model"), F.lit(1.0).alias("reward"), null.alias("duration_seconds"), null.alias("input_tokens"), null.alias("output_tokens"), "steps")

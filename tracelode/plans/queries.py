@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators import dependencies, early, failure, motifs, normalize, ranks, severity, stats, transitions, views, working_set
-from ..sources import traces as sources
 from . import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,51 +502,62 @@ def c14(spark, d):
     return normalize.quality_row(raw, s, normalize.objects(s), source="events")
 
 
-#: Commands with the tool that they run, its group, and whether they write: worked out by hand.
+#: Commands ({} is a file's path) with the tool that they run, its group, and whether they write: worked out by hand. Each event is one of them, about a file of its own.
 COMMANDS = [
-    ("grep -R foo .", "grep", "search", False), ("search_dir foo src", "search_dir", "search", False), ("cat pytest.ini", "cat", "read_file", False), ("grep -rn pytest .", "grep", "search", False), ("pip install pytest", "pip", "pip", False),
-    ("sudo time ls", "ls", "list_files", False), ("/usr/bin/sudo ls", "ls", "list_files", False), ("env -i timeout -k5 /bin/cat x.py", "cat", "read_file", False), ("python -u -m unittest", "unittest", "test", False), ("python3 -m http.server", "python", "execute", False),
-    ("python run_pytest.py", "pytest", "test", False), ("A=1 B=2 python -m pytest", "pytest", "test", False), ("ls | tee out", "ls", "list_files", False), ("tee out", "tee", "edit", True), ("tee -a", "tee", "edit", True), ("touch a.py", "touch", "edit", True),
-    ("mkdir -p x", "mkdir", "edit", True), ("sed -n 1,10p a.py", "sed_read", "read_file", False), ("sed -i s/a/b/ a.py", "edit", "edit", True), ("sed -i.bak s/a/b/ a.py", "edit", "edit", True), ("echo hello", "echo", "unknown", False), ("echo hello > f.txt", "write_file", "edit", True),
-    ("cat a.txt >> b.txt", "cat", "read_file", True), ("bash -c 'ls -l'", "ls", "list_files", False), ("bash run.sh", "bash", "execute", False), ("go test ./...", "go_test", "test", False), ("go build", "go", "execute", False), ("npm test", "npm_test", "test", False), ("$ curl x", "curl", "retrieve", False),
-    ("submit", "submit", "final", False), ('cat "unclosed', "cat", "read_file", False), ("", "unknown", "unknown", False), ("X=1", "unknown", "unknown", False), ("(ls)", "unknown", "unknown", False),
+    ("grep -R foo {}", "grep", "search", False), ("search_dir foo {}", "search_dir", "search", False), ("cat pytest.ini {}", "cat", "read_file", False), ("grep -rn pytest {}", "grep", "search", False), ("pip install {}", "pip", "pip", False),
+    ("sudo time ls {}", "ls", "list_files", False), ("/usr/bin/sudo ls", "ls", "list_files", False), ("env -i timeout -k5 /bin/cat {}", "cat", "read_file", False), ("python -u -m unittest {}", "unittest", "test", False), ("python3 -m http.server {}", "python", "execute", False),
+    ("python run_pytest.py {}", "pytest", "test", False), ("A=1 B=2 python -m pytest {}", "pytest", "test", False), ("ls {} | tee out", "ls", "list_files", False), ("tee {}", "tee", "edit", True), ("tee -a", "tee", "edit", True), ("touch {}", "touch", "edit", True),
+    ("mkdir -p {}", "mkdir", "edit", True), ("sed -n 1,10p {}", "sed_read", "read_file", False), ("sed -i s/a/b/ {}", "edit", "edit", True), ("sed -i.bak s/a/b/ {}", "edit", "edit", True), ("echo {}", "echo", "unknown", False), ("echo hello > {}", "write_file", "edit", True),
+    ("cat a.txt >> {}", "cat", "read_file", True), ("bash -c 'ls -l {}'", "ls", "list_files", False), ("bash {}", "bash", "execute", False), ("go test {}", "go_test", "test", False), ("go build {}", "go", "execute", False), ("npm test", "npm_test", "test", False), ("$ curl {}", "curl", "retrieve", False),
+    ("submit", "submit", "final", False), ('cat "{}', "cat", "read_file", False), ("", "unknown", "unknown", False), ("X={}", "unknown", "unknown", False), ("(ls {})", "unknown", "unknown", False),
 ]
-#: Observations with their error's signature and flag, by hand.
+#: Observations ({} is the name of a module) with their error's signature and flag, by hand. Each event is one of them.
 OBSERVATIONS = [
-    ('Traceback\n  File "/x/App.py", line 3, in f\nValueError: bad', "traceback:App.py:line", True), ('File "/x/app.txt", line 3', None, False), ("pkg.mod.ParseError: no", "exception:pkg.mod.ParseError", True), ("Exception: no", "exception:Exception", True),
-    ("FAILED tests/test_a.py::test_b, ok", "failed_test:tests/test_a.py::test_b", True), ("the job timed out", "error:timeout", True), ("an error", "error:generic", True), ("exit code 3", None, True), ("exit code 0", None, False), ("failures: 0", None, False), ("all good", None, False),
+    ('Traceback\n  File "/x/{}.py", line 3, in f\nValueError: bad', "traceback:{}.py:line", True), ('File "/x/{}.txt", line 3', None, False), ("pkg.{}.ParseError: no", "exception:pkg.{}.ParseError", True), ("Exception: {}", "exception:Exception", True),
+    ("FAILED tests/test_{}.py::test_b, ok", "failed_test:tests/test_{}.py::test_b", True), ("the job of {} timed out", "error:timeout", True), ("an error in {}", "error:generic", True), ("{}: exit code 3", None, True), ("{}: exit code 0", None, False), ("{}: 0 failures", None, False), ("{}: all good", None, False),
 ]
 
 
 def _values(rows: list[tuple]) -> str:
-    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, (bool, int)) else "'" + x.replace("'", "''") + "'"
     return "VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
 
 
-@query("b9_b11_commands", f"SELECT * FROM ({_values(COMMANDS)}) t(command, tool, tool_group, writes)")
-def b10(spark, d):
-    df = spark.createDataFrame([(c[0],) for c in COMMANDS], "command string").withColumn("s", parse.shell("command", F.lit("execute_bash")))
-    return df.select("command", F.col("s.tool").alias("tool"), parse.tool_group(F.col("s.tool")).alias("tool_group"), F.col("s.writes").alias("writes"))
+def _cases(spark, d, cases: list[tuple], name) -> DataFrame:
+    """event_id, and the first text of the case that its number names, with the event's own name in it."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    text = F.element_at(F.array(*[F.lit(c[0]) for c in cases]), (F.pmod("event_id", F.lit(len(cases))) + 1).cast("int"))
+    return e.select("event_id", F.replace(text, F.lit("{}"), name).alias("text"))
 
 
-@query("b18_b27_signatures", f"SELECT * FROM ({_values(OBSERVATIONS)}) t(observation, signature, error_flag)")
-def b18(spark, d):
-    df = spark.createDataFrame([(o[0],) for o in OBSERVATIONS], "observation string")
-    return df.select("observation", parse.error_signature(F.col("observation")).alias("signature"), parse.error_flag(F.col("observation")).alias("error_flag"))
+_NAMED = "SELECT event_id, 'src/pkg' || (user_id % 7) || '/f' || CAST(json_extract_string(props, '$.k') AS BIGINT) || '.py' AS file, 'Mod' || (user_id % 50) AS module FROM events"
 
 
-#: Steps as JSON, and the objects that they access: (step, id, type, access, prefix, folder, extension, stable), by hand.
-ACCESSES = [
-    (0, "file:src/pkg/a.py", "file", "read", "src/pkg", "src/pkg", ".py", True), (0, "url:https://x.org/a", "url", "retrieve", "https:/x.org", "https:/x.org", "", True), (1, "file:README.md", "file", "mention", "README.md", ".", ".md", True),
-    (2, "test:tests/test_a.py::test_b", "test_case", "execute", "tests/test_a.py::test_b", "tests", ".py::test_b", True), (2, "file:tests/test_a.py", "file", "execute", "tests/test_a.py", "tests", ".py", True),
-    (3, "large_observation_bucket", "large_observation_bucket", "mention", None, None, None, False), (3, "error:error:timeout", "error_signature", "error", None, None, None, True),
-]
+@query("b9_b11_commands", f"""WITH c AS (SELECT * FROM ({_values([(i, *c) for i, c in enumerate(COMMANDS)])}) t(i, command, tool, tool_group, writes))
+SELECT event_id, replace(command, '{{}}', file) AS command, tool, tool_group, writes FROM ({_NAMED}) e JOIN c ON c.i = e.event_id % {len(COMMANDS)}""")
+def b10(spark, d):
+    file = F.concat(F.lit("src/pkg"), F.col("user_id") % 7, F.lit("/f"), F.col("k"), F.lit(".py"))
+    df = _cases(spark, d, COMMANDS, file).withColumn("s", parse.shell("text", F.lit("execute_bash")))
+    return df.select("event_id", F.col("text").alias("command"), F.col("s.tool").alias("tool"), parse.tool_group(F.col("s.tool")).alias("tool_group"), F.col("s.writes").alias("writes"))
 
 
-@query("c4_c10_accesses", f"SELECT CAST(step_id AS INT) AS step_id, object_id, object_type, access_type, object_prefix, object_dir, object_extension, stable_object FROM ({_values([(str(a[0]), *a[1:]) for a in ACCESSES])}) t(step_id, object_id, object_type, access_type, object_prefix, object_dir, object_extension, stable_object)")
+@query("b18_b27_signatures", f"""WITH c AS (SELECT * FROM ({_values([(i, *o) for i, o in enumerate(OBSERVATIONS)])}) t(i, observation, signature, error_flag))
+SELECT event_id, replace(observation, '{{}}', module) AS observation, replace(signature, '{{}}', module) AS signature, error_flag FROM ({_NAMED}) e JOIN c ON c.i = e.event_id % {len(OBSERVATIONS)}""")
+def b18(spark, d):
+    df = _cases(spark, d, OBSERVATIONS, F.concat(F.lit("Mod"), F.col("user_id") % 50))
+    return df.select("event_id", F.col("text").alias("observation"), parse.error_signature(F.col("text")).alias("signature"), parse.error_flag(F.col("text")).alias("error_flag"))
+
+
+@query("c4_c10_accesses", r"""WITH u AS (SELECT page_id, regexp_replace(url, '[.,;)]+$', '') AS url, length(html) + 2 + length(url) AS n FROM pages),
+v AS (SELECT *, regexp_replace(url, '/+', '/', 'g') AS path FROM u),
+w AS (SELECT *, regexp_extract(path, '[^/]*$') AS last, list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.', '..')) AS parts FROM v),
+h AS (SELECT page_id, regexp_extract(url, '^https?:/(/[^?#]*\.html)($|[^\w./-])', 1) AS path FROM pages),
+f AS (SELECT doc_id, doc_id % 2 = 0 AS deep, CASE WHEN doc_id % 2 = 0 THEN './data/' || source || '/' || lang || '/doc' || doc_id || '.md' ELSE 'doc' || doc_id || '.json' END AS path, source FROM documents)
+SELECT 'page' || page_id AS trace_id, 'url:' || url AS object_id, 'url' AS object_type, 'retrieve' AS access_type, CAST(length(url) AS INT) AS object_size, array_to_string(parts[1:2], '/') AS object_prefix, regexp_replace(path, '/[^/]*$', '') AS object_dir, lower(regexp_extract(last, '^.+(\.[^.]+)$', 1)) AS object_extension, true AS stable_object FROM w
+UNION ALL SELECT 'page' || page_id, 'large_observation_bucket', 'large_observation_bucket', 'mention', CAST(n AS INT), NULL, NULL, NULL, false FROM u WHERE n > 4000
+UNION ALL SELECT 'page' || page_id, 'file:' || path, 'file', 'retrieve', CAST(length(path) AS INT), array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '')[1:2], '/'), regexp_replace(path, '/[^/]*$', ''), '.html', true FROM h WHERE path <> ''
+UNION ALL SELECT 'doc' || doc_id, 'file:' || path, 'file', CASE WHEN deep THEN 'read' ELSE 'write' END, CAST(length(path) AS INT), CASE WHEN deep THEN 'data/' || source ELSE path END, CASE WHEN deep THEN regexp_replace(substr(path, 3), '/[^/]*$', '') ELSE '.' END, CASE WHEN deep THEN '.md' ELSE '.json' END, true FROM f""")
 def c4(spark, d):
-    call = lambda cmd, obs: {"tools": [{"fn": "Bash", "cmd": cmd}], "obs": obs}
-    listed = [call("cat src/pkg/a.py https://x.org/a", None), {"message": "run\n```bash\nls\n```", "output": "README.md"}, call("pytest tests/test_a.py::test_b", None), call("sleep 9", "x" * 4001 + " timed out")]
-    raw = spark.createDataFrame([("t", None, "task", "h", "m", 1.0, "2", "3", "4", json.dumps(listed))], sources.RAW)
-    o = normalize.objects(normalize.steps(raw))
-    return o.select("step_id", "object_id", "object_type", "access_type", "object_prefix", "object_dir", "object_extension", "stable_object")
+    o = normalize.objects(normalize.steps(events.raw_pages(spark, d)))
+    kept = o.where("object_type in ('url', 'large_observation_bucket') or (object_type = 'file' and object_source = 'command')")
+    return kept.select("trace_id", "object_id", "object_type", "access_type", "object_size", "object_prefix", "object_dir", "object_extension", "stable_object")
