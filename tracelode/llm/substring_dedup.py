@@ -28,8 +28,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 28) - 1)
 
 
-def band_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, word) of each band of all paragraphs of PARAGRAPH words; paragraphs in a row with the same key give one.
+def band_keys(text: pa.Array) -> tuple[np.ndarray, ...]:
+    """(key, text, word, first, last) of each band of all paragraphs of PARAGRAPH words; paragraphs in a row with the same key give one row, and begin at words `first` to `last`.
 
     A key is made of ROWS minima of the shingles of a paragraph; word is where the first of these shingles begins. If a
     key stays the same for long (texts that repeat themselves), it is given again once for each paragraph's length.
@@ -38,7 +38,7 @@ def band_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = spans(SPACE[data], at)
     n, width = len(starts), PARAGRAPH - SHINGLE + 1
     if n < PARAGRAPH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4
     whose = owners(first, n)
     begin = np.flatnonzero(first[1:][whose] - np.arange(n) >= PARAGRAPH)
     shingle = rolling(span_hash(LOWER[data], starts, ends), SHINGLE)
@@ -51,7 +51,7 @@ def band_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             size *= 2
         low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
         least.append((low[begin] & _PLACE).astype(np.int64))
-    keys, places = [], []
+    keys, places, firsts, lasts = [], [], [], []
     doc = whose[begin]
     for band in range(BANDS):
         key = np.full(len(begin), band + 1, np.uint64)
@@ -63,31 +63,34 @@ def band_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         some = np.flatnonzero(since % width == 0)
         keys.append(key[some])
         places.append(least[band * ROWS][some])
+        firsts.append(begin[some])
+        lasts.append(begin[np.append(some, len(key))[1:] - 1])
     place = np.concatenate(places)
-    return np.concatenate(keys), whose[place], place - first[whose[place]]
+    at = first[whose[place]]
+    return np.concatenate(keys), whose[place], place - at, np.concatenate(firsts) - at, np.concatenate(lasts) - at
 
 
 def _places(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every band key of every document, and where it stands."""
+    """Every band key of every document, where it stands, and its paragraphs (how far before the place they begin, and how many more there are)."""
     release()
     for part in batches(parts, most=1 << 20):
-        key, row, place = band_keys(part.column("text"))
-        yield pa.record_batch({"key": pa.array(key.view(np.int64)), "doc": pa.array(part.column("doc_id").to_numpy()[row]), "place": pa.array(place.astype(np.int32))})
+        key, row, place, begin, last = band_keys(part.column("text"))
+        yield pa.record_batch({"key": pa.array(key.view(np.int64)), "doc": pa.array(part.column("doc_id").to_numpy()[row]), "place": pa.array(place.astype(np.int32)), "ahead": pa.array((place - begin).astype(np.int8)), "further": pa.array((last - begin).astype(np.int8))})
 
 
-def stars(places: DataFrame) -> DataFrame:
-    """Of places (key, doc, place, and more), those whose key stands in an earlier document too, with the first place of the first document that holds it (to_doc, to_place), and whether other places hold it (more).
+def stars(places: DataFrame, *also: str) -> DataFrame:
+    """Of places (key, doc, place), those whose key stands in an earlier document too, with the first place of the first document that holds it (to_doc, to_place, and to_ for other columns), and whether other places hold it (more).
 
     Keys are counted before anything is joined, and joins are between plain shuffles, so the places of a hot key are split; which place is first does not depend on how rows are dealt.
     """
     first = places.groupBy("key").agg(F.min("doc").alias("to_doc"), F.max("doc").alias("last"), F.count("*").alias("n")).where("to_doc != last")
     first = stored(first.select("key", "to_doc", (F.col("n") > 2).alias("more")), "passage-keys")
     some = stored(places.join(first, "key"), "passage-places")
-    root = stored(some.where("doc = to_doc").groupBy("key").agg(F.min("place").alias("to_place"), *[F.min(c).alias(f"to_{c}") for c in places.columns if c not in ("key", "doc", "place")]), "passage-roots")
+    root = stored(some.where("doc = to_doc").groupBy("key").agg(F.min("place").alias("to_place"), *[F.min(c).alias(f"to_{c}") for c in also]), "passage-roots")
     return some.where("doc != to_doc").join(root, "key")
 
 
-_SLICE = "d long, r long, diagonal int, side int, more boolean, at int, upto int, word int, byte long, slice binary"
+_SLICE = "d long, r long, diagonal int, side int, more boolean, begin int, last int, at int, upto int, word int, byte long, slice binary"
 
 
 def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,14 +101,14 @@ def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def out() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.int32()] * 5, pa.int64(), pa.binary()]
         made = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         rows.clear()
         return made
 
     for part in parts:
         text = part.column("text")
-        for i, (doc, side, d, r, diagonal, more, at, upto) in enumerate(zip(*(part.column(k).to_pylist() for k in ("doc", "side", "d", "r", "diagonal", "more", "at", "upto")))):
+        for i, (doc, side, d, r, diagonal, more, begin, last, at, upto) in enumerate(zip(*(part.column(k).to_pylist() for k in ("doc", "side", "d", "r", "diagonal", "more", "begin", "last", "at", "upto")))):
             if doc != now:
                 now, texts = doc, []
             if side is None:
@@ -119,7 +122,7 @@ def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw, starts, ends = t
                 a, b = max(at - MARGIN, 0), min(upto + PARAGRAPH + MARGIN, len(starts))
                 if a < b:
-                    rows.append((d, r, diagonal, side, more, at, upto, a, int(starts[a]), raw[starts[a] : ends[b - 1]]))
+                    rows.append((d, r, diagonal, side, more, begin, last, at, upto, a, int(starts[a]), raw[starts[a] : ends[b - 1]]))
                     size += len(rows[-1][-1])
                     if size > 1 << 20:
                         yield out()
@@ -202,32 +205,31 @@ def jaccard(a: list[bytes], b: list[bytes]) -> float:
 
 
 _PASSAGE = [f"{side}_{name} long" for side in "dr" for name in ("doc", "word", "words", "lo", "hi", "crc")]
-#: kind 0: a passage of two documents. kind 1: a finer key (r_doc) of a place (d_doc, d_word) outside passages. kind 2: the slice that such places stand in; word and size name it.
-_FOUND = ", ".join(["kind int", *_PASSAGE, "word int", "size int", "byte long", "slice binary"])
+#: A passage of two documents (_PASSAGE), or the slice of a document (d_doc) with finer keys of places outside passages, and those places; word, byte and size tell where the slice begins, and its length.
+_FOUND = ", ".join([*_PASSAGE, "word int", "size int", "byte long", "slice binary", "keys array<long>", "places array<int>"])
 _CONTEXT = 24  # words on each side of a collision that finer keys of near passages look at
 _SEEDS = _RNG.integers(0, 2**63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def finer_keys(h: np.ndarray, at: int, upto: int, covered: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, word): keys of a slice (hashes of its words) about the collision at words `at` to `upto`, for another round.
+def finer_keys(whole: np.ndarray, shingle: np.ndarray, begin: int, last: int, at: int, upto: int, covered: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, word): keys of a slice (hashes of its WORDS words in a row, and of its shingles) about the collision at words `at` to `upto`, for another round. The paragraphs that collide begin at words `begin` to `last`.
 
-    First those of all WORDS words in a row that hold a shingle of the collision, but for what passages cover already: two texts
-    with an equal one share a passage, whatever third text they met before. Then minima of the shingles before
-    and after the collision, each with the shingle at it: these bring texts together whose surroundings are alike.
+    Of a collision that is not wholly inside one passage, WORDS words in a row that hold such a paragraph, but for those inside passages: two texts with an equal one share
+    a passage, whatever third text they met before. Then minima of the shingles before and after the collision, each
+    with the shingle at it: these bring texts together whose surroundings are alike. Of a collision inside a
+    passage, the WORDS words that go one word beyond it at either end: another text can share more.
     """
-    keys, places = [], []
-    whole = rolling(h, WORDS)
-    start = np.arange(max(at + SHINGLE - WORDS, 0), min(upto + 1, len(whole)))
-    for a, b in covered:
+    around = [(a, b) for a, b in covered if a <= at and upto + SHINGLE <= b]
+    start = np.array([x for a, b in around for x in (a - 1, b - WORDS + 1)], np.int64) if around else np.arange(begin - 1, last + 1)
+    start = start[(start >= 0) & (start < len(whole))]
+    for a, b in () if around else covered:
         start = start[(start < a) | (start + WORDS > b)]
-    keys.append(mix(whole[start] + np.uint64(0x5851F42D4C957F2D)))
-    places.append(start)
-    shingle = rolling(h, SHINGLE)
-    for anchor in {at, upto}:
+    keys, places = [mix(whole[start] + np.uint64(0x5851F42D4C957F2D))], [start]
+    for anchor in () if around else {at, upto}:
         if 0 <= anchor < len(shingle) and not any(a <= anchor and anchor + SHINGLE <= b for a, b in covered):
             for side, part in enumerate((shingle[max(0, anchor - _CONTEXT) : anchor], shingle[anchor + 1 : anchor + 1 + _CONTEXT])):
                 if len(part):
-                    low = np.array([mix(part * f).min() for f in _SEEDS], np.uint64)
+                    low = mix(part[:, None] * _SEEDS).min(0)
                     keys.append(mix(low * _STEP + shingle[anchor] + np.arange(len(_SEEDS), dtype=np.uint64) + np.uint64(side << 8)))
                     places.append(np.full(len(_SEEDS), anchor))
     return np.concatenate(keys), np.concatenate(places)
@@ -237,7 +239,7 @@ def _grown(least: float, again: bool):
     """again: places without a passage get finer keys."""
 
     def passages(pairs: list[tuple]) -> pa.RecordBatch:
-        """pairs: (d, r, diagonal, (word, byte, slice, more, at, upto) of d, of r)."""
+        """pairs: (d, r, diagonal, (word, byte, slice, more, begin, last, at, upto) of d, of r)."""
         sides, starts, ends, first = [], [], [], []
         for k in (3, 4):
             data, at = flat(pa.array([x[k][2] for x in pairs], pa.binary()))
@@ -253,6 +255,7 @@ def _grown(least: float, again: bool):
         order = np.argsort(pair, kind="stable")
         pair, runs = pair[order], np.stack([d[order], r[order], n[order]], 1)
         out: list[tuple] = []
+        none = (None,) * 6
         covered: dict[int, list[tuple]] = {}
         cuts = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)]
         for a, b in zip(cuts, cuts[1:]):
@@ -285,25 +288,17 @@ def _grown(least: float, again: bool):
                 found = [row(x, y)]
                 if x < y and found[0] is None:
                     found = [row(k, k) for k in range(x, y + 1) if own[k][2] >= WORDS]
-                out += [(0, *f, None, None, None, None) for f in found if f]
-        if again:
-            seen: set[tuple] = set()
+                out += [(*f, *none) for f in found if f]
+        if again:  # the first document of a key has met all others already
+            whole, shingle = rolling(sides[0], WORDS), rolling(sides[0], SHINGLE)
             for i, x in enumerate(pairs):
-                for side in (0, 1):
-                    word, byte, raw, more, at, upto = x[3 + side]
-                    if not more:
-                        continue
-                    h = sides[side][first[side][i] : first[side][i + 1]]
-                    key, place = finer_keys(h, at - word, upto - word, [c[side] for c in covered.get(i, [])])
-                    none = (0,) * (len(_PASSAGE) - 3)
-                    for k, p in zip(key.view(np.int64).tolist(), (place + word).tolist()):
-                        if (k, x[side], p) not in seen:
-                            seen.add((k, x[side], p))
-                            out.append((1, x[side], p, *none[:4], k, *none[4:], word, len(raw), 0, None))
-                    if len(key) and (x[side], word, len(raw)) not in seen:
-                        seen.add((x[side], word, len(raw)))
-                        out.append((2, x[side], 0, *none[:4], 0, *none[4:], word, len(raw), byte, raw))
-        kinds = [pa.int32(), *[pa.int64()] * len(_PASSAGE), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                word, byte, raw, more, begin, last, at, upto = x[3]
+                if more:
+                    lo, hi = int(first[0][i]), int(first[0][i + 1])
+                    key, place = finer_keys(whole[lo : max(lo, hi - WORDS + 1)], shingle[lo : max(lo, hi - SHINGLE + 1)], begin - word, last - word, at - word, upto - word, [c[0] for c in covered.get(i, [])])
+                    if len(key):
+                        out.append((x[0], *[None] * (len(_PASSAGE) - 1), word, len(raw), byte, raw, key.view(np.int64), (place + word).astype(np.int32)))
+        kinds = [*[pa.int64()] * len(_PASSAGE), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     def grown(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +306,10 @@ def _grown(least: float, again: bool):
         release()
         now, own, pairs, size = None, [], [], 0
         for part in parts:
-            for d, r, diagonal, side, more, at, upto, word, byte, raw in zip(*(c.to_pylist() for c in part.columns)):
+            for d, r, diagonal, side, more, begin, last, at, upto, word, byte, raw in zip(*(c.to_pylist() for c in part.columns)):
                 if (d, r, diagonal) != now:
                     now, own = (d, r, diagonal), []
-                one = (word, byte, raw, more, at, upto)
+                one = (word, byte, raw, more, begin, last, at, upto)
                 if side == 0:
                     if one not in own:
                         own.append(one)
@@ -334,29 +329,30 @@ def _grown(least: float, again: bool):
 def linked_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Passages that a document shares with one of a smaller doc_id: (doc, word, words, lo, hi, crc) of both, d_ and r_. See repeated_passages()."""
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = stars(plain.mapInArrow(_places, "key long, doc long, place int"))
-    chains = met.groupBy(F.col("doc").alias("d"), F.col("to_doc").alias("r"), (F.col("place") - F.col("to_place")).alias("diagonal")).agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.bool_or("more").alias("more"))
+    met = stars(plain.mapInArrow(_places, "key long, doc long, place int, ahead byte, further byte"))
+    chains = met.groupBy(F.col("doc").alias("d"), F.col("to_doc").alias("r"), (F.col("place") - F.col("to_place")).alias("diagonal")).agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.min(F.col("place") - F.col("ahead")).alias("begin"), F.max(F.col("place") - F.col("ahead") + F.col("further")).alias("last"), F.bool_or("more").alias("more"))
     chains = stored(chains, "passage-chains")
     back = F.when(F.col("side") == 0, 0).otherwise(F.col("diagonal"))
-    asks = chains.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.when(F.col("side") == 0, F.col("d")).otherwise(F.col("r")).alias("doc"), "side", "d", "r", "diagonal", "more", (F.col("lo") - back).alias("at"), (F.col("hi") - back).alias("upto"))
+    asks = chains.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.when(F.col("side") == 0, F.col("d")).otherwise(F.col("r")).alias("doc"), "side", "d", "r", "diagonal", "more", "begin", "last", (F.col("lo") - back).alias("at"), (F.col("hi") - back).alias("upto"))
     # documents of which very much is asked are dealt to several tasks; the table has one row for each, a HOT-th of all rows at most
     hot = stored(asks.groupBy("doc").agg(F.ceil(F.count("*") / HOT).cast("int").alias("cuts")).where("cuts > 1"), "passage-hot")
     asks = asks.join(hot, "doc", "left").withColumn("cut", F.pmod(F.xxhash64("d", "r", "diagonal"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts").withColumn("text", F.lit(None).cast("binary"))
     null = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    texts = plain.join(hot, plain.doc_id == hot.doc, "left").select(F.col("doc_id").alias("doc"), null("side", "int"), null("d", "long"), null("r", "long"), null("diagonal", "int"), null("more", "boolean"), null("at", "int"), null("upto", "int"), F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)).alias("cut"), F.col("text").cast("binary").alias("text"))
+    texts = plain.join(hot, plain.doc_id == hot.doc, "left").select(F.col("doc_id").alias("doc"), null("side", "int"), null("d", "long"), null("r", "long"), null("diagonal", "int"), null("more", "boolean"), null("begin", "int"), null("last", "int"), null("at", "int"), null("upto", "int"), F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)).alias("cut"), F.col("text").cast("binary").alias("text"))
     both = texts.unionByName(asks).repartition("doc", "cut").sortWithinPartitions("doc", "cut", F.asc_nulls_first("side"))
     pairs = both.mapInArrow(_slices, _SLICE)
     found = stored(_verified(pairs, least, again=True), "passages-first")
     # another round for places outside passages: other texts can share more there
     slice_id = F.xxhash64("d_doc", "word", "size")
-    finer = found.where("kind = 1").groupBy(F.col("r_doc").alias("key"), F.col("d_doc").alias("doc"), F.col("d_word").cast("int").alias("place")).agg(F.min(slice_id).alias("slice_id"))
-    met = stars(finer).groupBy(F.col("doc").alias("d"), F.col("to_doc").alias("r"), (F.col("place") - F.col("to_place")).alias("diagonal")).agg(F.min(F.struct("place", "to_place", "slice_id", "to_slice_id")).alias("x"))
+    pair = F.explode(F.arrays_zip("keys", "places")).alias("x")
+    finer = found.where("slice is not null").select(F.col("d_doc").alias("doc"), slice_id.alias("slice_id"), pair).groupBy(F.col("x.keys").alias("key"), "doc", F.col("x.places").alias("place")).agg(F.min("slice_id").alias("slice_id"))
+    met = stars(finer, "slice_id").groupBy(F.col("doc").alias("d"), F.col("to_doc").alias("r"), (F.col("place") - F.col("to_place")).alias("diagonal")).agg(F.min(F.struct("place", "to_place", "slice_id", "to_slice_id")).alias("x"))
     side = lambda i, to: F.struct(F.lit(i).alias("side"), F.col(f"x.{to}place").alias("at"), F.col(f"x.{to}slice_id").alias("slice_id"))
     asks = met.select("d", "r", "diagonal", F.explode(F.array(side(0, ""), side(1, "to_"))).alias("y")).select("d", "r", "diagonal", "y.*")
-    slices = stored(found.where("kind = 2").groupBy(slice_id.alias("slice_id")).agg(F.first("word").alias("word"), F.first("byte").alias("byte"), F.first("slice").alias("slice")), "passage-slices")
-    pairs = asks.join(slices, "slice_id").select("d", "r", "diagonal", "side", F.lit(False).alias("more"), "at", F.col("at").alias("upto"), "word", "byte", "slice")
+    slices = stored(found.where("slice is not null").groupBy(slice_id.alias("slice_id")).agg(F.first("word").alias("word"), F.first("byte").alias("byte"), F.first("slice").alias("slice")), "passage-slices")
+    pairs = asks.join(slices, "slice_id").select("d", "r", "diagonal", "side", F.lit(False).alias("more"), F.col("at").alias("begin"), F.col("at").alias("last"), "at", F.col("at").alias("upto"), "word", "byte", "slice")
     names = [x.split()[0] for x in _PASSAGE]
-    return found.where("kind = 0").select(*names).unionByName(_verified(pairs, least, again=False).select(*names)).distinct()
+    return found.where("slice is null").select(*names).unionByName(_verified(pairs, least, again=False).select(*names)).distinct()
 
 
 def _verified(pairs: DataFrame, least: float, again: bool) -> DataFrame:
