@@ -4,7 +4,10 @@ import itertools
 import json
 import math
 import random
+import threading
 from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -333,3 +336,72 @@ def test_objects_of_steps(spark):
     o = normalize.objects(normalize.steps(raw(spark, *listed)))
     got = o.select("step_id", "object_id", "object_type", "access_type", "object_prefix", "object_dir", "object_extension", "stable_object").collect()
     assert sorted(map(tuple, got), key=str) == sorted(ACCESSES, key=str)
+
+
+class Server:
+    """Rows of a paged source over HTTP; pages at or beyond `broken` fail. Every fifth row has no steps."""
+
+    def __init__(self, n):
+        self.asked, self.broken, outer = [], None, self
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):
+                q = {k: int(v[0]) for k, v in parse_qs(urlparse(self.path).query).items()}
+                outer.asked.append(q["offset"])
+                if outer.broken is not None and q["offset"] >= outer.broken:
+                    self.send_error(500)
+                    return
+                rows = [{"row": {"trial_id": f"r{i}", "reward": i % 2, "steps": "null" if i % 5 == 0 else json.dumps([call("ls")])}} for i in range(q["offset"], min(n, q["offset"] + q["length"]))]
+                body = json.dumps({"rows": rows}).encode()
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *args):
+                pass
+
+        self.http = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.http.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.http.server_port}/rows"
+
+
+def test_paged_load_goes_on_after_a_failure(spark, tmp_path):
+    """A load that fails half-way, a partial answer, and the rest of the load: no row is lost or read twice; then the cache alone answers."""
+    server, cache = Server(60), str(tmp_path / "cache")
+    options = {"rows": 60, "page": 5, "batch": 2, "retries": 1}
+    ids = lambda df: sorted(int(r.trial_id[1:]) for r in df.collect())
+    want = [i for i in range(60) if i % 5]
+    server.broken = 0
+    with pytest.raises(RuntimeError, match="strict-real"):
+        sources.load_traces(spark, server.url, 48, cache, partial=True, **options)  # nothing is cached
+    server.broken = 30
+    with pytest.raises(RuntimeError, match="strict-real"):
+        sources.load_traces(spark, server.url, 48, cache, **options)
+    some, said = sources.load_traces(spark, server.url, 48, cache, partial=True, **options)
+    assert ids(some) == [i for i in want if i < 30] and "partial_load_error" in said
+    server.broken, server.asked = None, []
+    df, said = sources.load_traces(spark, server.url, 48, cache, **options)
+    assert ids(df) == want and said == {} and sorted(server.asked) == list(range(30, 60, 5))
+    server.asked = []
+    assert len(ids(sources.load_traces(spark, server.url, 10, cache, **options)[0])) == 10 and not server.asked
+    few, _ = sources.load_traces(spark, server.url, 12, str(tmp_path / "other"), **options)  # ends as soon as there are enough
+    assert len(ids(few)) == 12 and max(server.asked) < 40
+
+
+def test_sets_of_tables_appear_whole_or_not_at_all(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    one = spark.createDataFrame([(i, f"x{i}", [i]) for i in range(20)], "a int, b string, c array<int>").repartition(4)
+    none = one.limit(0)
+    sources.write_set({"one": one, "none": none}, folder)
+    read = lambda name: sorted(tuple(r) for r in sources.read_set(spark, folder, name).collect())
+    assert read("one") == sorted(tuple(r) for r in one.collect()) and read("none") == [] and sources.read_set(spark, folder, "none").dtypes == one.dtypes
+    bad = one.withColumn("a", F.when(F.col("a") == 19, F.raise_error(F.lit("stop"))).otherwise(F.col("a")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        sources.write_set({"one": one.where("a < 5"), "none": bad}, folder)
+    assert len(read("one")) == 20 and read("none") == []
+    runs = list((tmp_path / "set" / "runs").iterdir())
+    assert len(runs) == 1
+    sources.write_set({"one": one.where("a < 5")}, folder)
+    assert len(read("one")) == 5 and len(list((tmp_path / "set" / "runs").iterdir())) == 1
+    with pytest.raises(ValueError):
+        read("none")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
@@ -17,6 +19,18 @@ def qualified(spark: SparkSession, path: str) -> str:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
+#: Schemes of Hadoop's file systems that Arrow knows by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a qualified path, for Python workers, and the path there."""
+    scheme, _, rest = path.partition(":") if re.match(r"[a-z][a-z0-9+.-]*:/", path) else ("file", "", path)
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which goes when the application ends. Where that is unset, local sessions get a folder of their own, and clusters an error."""
     sc = spark.sparkContext

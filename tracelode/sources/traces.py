@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import json
+import re
 import time
+import uuid
 from collections.abc import Iterator
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
+
+from .shared import arrow_fs, qualified
 
 RAW = "trial_id string, trial_name string, task_name string, agent string, model string, reward double, duration_seconds string, input_tokens string, output_tokens string, steps string"
 
@@ -25,8 +33,8 @@ def read_cached(rows: DataFrame, most: int) -> DataFrame:
 
 
 class _Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+    def __init__(self, offset: int, length: int):
+        self.offset, self.length = offset, length
 
 
 class _Pages(DataSourceReader):
@@ -35,11 +43,14 @@ class _Pages(DataSourceReader):
         self.page, self.retries = int(options.get("page", 10)), int(options.get("retries", 6))
         self.query = {k: options[k] for k in ("dataset", "config", "split") if k in options}
 
+    def between(self, start: int, end: int) -> list[_Page]:
+        return [_Page(i, min(self.page, end - i)) for i in range(start, end, self.page)]
+
     def partitions(self):
-        return [_Page(i) for i in range(0, self.rows, self.page)]
+        return self.between(0, self.rows)
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        query = urlencode(self.query | {"offset": partition.offset, "length": min(self.page, self.rows - partition.offset)})
+        query = urlencode(self.query | {"offset": partition.offset, "length": partition.length})
         for attempt in range(self.retries):
             try:
                 with urlopen(f"{self.url}?{query}", timeout=120) as answer:
@@ -59,8 +70,33 @@ class _Pages(DataSourceReader):
             yield (*(text(k) for k in ("trial_id", "trial_name", "task_name", "agent", "model")), None if reward is None else float(reward), *(text(k) for k in ("duration_seconds", "input_tokens", "output_tokens")), steps if isinstance(steps, str) else json.dumps(steps))
 
 
+class _PageStream(DataSourceStreamReader):
+    """Pages as a stream. The offset is the number of rows that were asked for, whether they were kept or not, so going on after a stop neither repeats nor skips rows."""
+
+    def __init__(self, options):
+        self.pages, self.step = _Pages(options), int(options.get("batch", 10))
+        self.at = 0
+
+    def initialOffset(self) -> dict:
+        return {"scanned": 0}
+
+    def latestOffset(self) -> dict:
+        self.at = min(self.pages.rows, self.at + self.step * self.pages.page)
+        return {"scanned": self.at}
+
+    def partitions(self, start: dict, end: dict) -> list[_Page]:
+        self.at = max(self.at, end["scanned"])  # after a restart the last batch of the log is planned or committed first
+        return self.pages.between(start["scanned"], end["scanned"])
+
+    def commit(self, end: dict) -> None:
+        self.at = max(self.at, end["scanned"])
+
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        return self.pages.read(partition)
+
+
 class PagedTraces(DataSource):
-    """spark.read.format("paged_traces").option("url", ...): one partition for each page, so a page's failure is retried alone. A page that stays unreadable fails the query; nothing is made up."""
+    """spark.read or spark.readStream.format("paged_traces").option("url", ...): one partition for each page, so a page's failure is retried alone. A page that stays unreadable fails the query; nothing is made up."""
 
     @classmethod
     def name(cls):
@@ -72,6 +108,147 @@ class PagedTraces(DataSource):
     def reader(self, schema):
         return _Pages(self.options)
 
+    def streamReader(self, schema):
+        return _PageStream(self.options)
+
+
+def load_traces(spark: SparkSession, url: str, sample: int, cache: str, partial: bool = False, **options: int | str) -> tuple[DataFrame, dict[str, str]]:
+    """Raw traces of a paged source, kept in a cache folder, and what there is to say of the load.
+
+    A cache with `sample` rows or more is read as it is. Else pages are added to it, `batch` of them at a time, up to `rows` rows of the
+    source; each batch is written with its offset, so a load that was stopped goes on where it ended. A load that fails raises "strict-real";
+    with `partial` it returns the rows that are cached, if there are any, and the failure as partial_load_error.
+    """
+    rows, log = f"{cache}/rows", f"{cache}/offsets"
+    most = int(options.get("rows", 100))
+
+    def kept() -> DataFrame | None:
+        try:
+            found = spark.read.schema(RAW).parquet(rows)
+        except AnalysisException:  # no batch is written yet
+            return None
+        return found if not found.isEmpty() else None
+
+    def enough() -> bool:
+        found = kept()
+        return found is not None and found.count() >= sample
+
+    if enough():
+        return read_cached(kept(), sample), {}
+    spark.dataSource.register(PagedTraces)
+    stream = spark.readStream.format("paged_traces").option("url", url).options(**options).load()
+    query = stream.writeStream.format("parquet").option("path", rows).option("checkpointLocation", log).trigger(processingTime="0 seconds").start()
+    try:
+        seen = -1
+        while query.isActive:
+            last = query.lastProgress
+            if last and last["batchId"] != seen:
+                seen = last["batchId"]
+                scanned = int(re.search(r"\d+", str(last["sources"][0]["endOffset"]))[0])  # the offset has one number
+                if scanned >= most or enough():
+                    break
+            time.sleep(0.05)
+        query.stop()
+        if query.exception():
+            raise query.exception()
+    except StreamingQueryException as e:
+        if partial and kept() is not None:
+            return read_cached(kept(), sample), {"partial_load_error": str(e).splitlines()[0]}
+        raise RuntimeError(f"strict-real: {e}") from e
+    found = kept()
+    return (read_cached(found, sample) if found is not None else spark.createDataFrame([], RAW)), {}
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, files: dict[str, int]):
+        self.files = files
+
+
+class _SetWriter(DataSourceArrowWriter):
+    """Tasks write files under names of their own and report them; the files of reporting tasks make the table, those of a failed write go."""
+
+    def __init__(self, options, schema):
+        self.folder, self.table, self.schema = f"{options['folder']}/runs/{options['run']}", options["table"], schema.json()
+
+    def write(self, iterator) -> _Written:
+        fs, folder = arrow_fs(f"{self.folder}/{self.table}")
+        fs.create_dir(folder, recursive=True)
+        name, writer, n = f"part-{uuid.uuid4().hex}.parquet", None, 0
+        for batch in iterator:
+            if batch.num_rows:
+                writer = writer or pq.ParquetWriter(f"{folder}/{name}", batch.schema, filesystem=fs)
+                writer.write_batch(batch)
+                n += batch.num_rows
+        if writer:
+            writer.close()
+        return _Written({name: n} if n else {})
+
+    def commit(self, messages) -> None:
+        fs, folder = arrow_fs(self.folder)
+        fs.create_dir(folder, recursive=True)
+        files = {k: n for m in messages if m for k, n in m.files.items()}
+        with fs.open_output_stream(f"{folder}/{self.table}.json") as out:
+            out.write(json.dumps({"files": files, "schema": self.schema}).encode())
+
+    def abort(self, messages) -> None:
+        fs, folder = arrow_fs(self.folder)
+        for name in (k for m in messages if m for k in m.files):
+            fs.delete_file(f"{folder}/{self.table}/{name}")
+
+
+class TableSets(DataSource):
+    """df.write.format("table_set"): one table of a set; see write_set()."""
+
+    @classmethod
+    def name(cls):
+        return "table_set"
+
+    def writer(self, schema, overwrite):
+        return _SetWriter(self.options, schema)
+
+
+def _current(folder: str) -> dict:
+    fs, path = arrow_fs(folder)
+    if fs.get_file_info(f"{path}/current.json").type == pafs.FileType.NotFound:
+        return {}
+    with fs.open_input_stream(f"{path}/current.json") as file:
+        return json.loads(file.read())
+
+
+def write_set(tables: dict[str, DataFrame], folder: str) -> None:
+    """Tables that appear together or not at all: each is written beside the old ones, and when all are there, one small file that names them is moved into place. A failure leaves the old set."""
+    spark = next(iter(tables.values())).sparkSession
+    folder = qualified(spark, folder)
+    spark.dataSource.register(TableSets)
+    run, old = uuid.uuid4().hex[:12], _current(folder)
+    fs, path = arrow_fs(folder)
+    try:
+        for name, df in tables.items():
+            df.write.format("table_set").mode("append").option("folder", folder).option("run", run).option("table", name).save()
+        with fs.open_output_stream(f"{path}/runs/{run}/current.json") as out:
+            out.write(json.dumps({"run": run, "tables": sorted(tables)}).encode())
+        fs.move(f"{path}/runs/{run}/current.json", f"{path}/current.json")
+    except Exception:
+        if fs.get_file_info(f"{path}/runs/{run}").type != pafs.FileType.NotFound:
+            fs.delete_dir(f"{path}/runs/{run}")
+        raise
+    if old:
+        fs.delete_dir(f"{path}/runs/{old['run']}")
+
+
+def read_set(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table of the set that was written last."""
+    folder = qualified(spark, folder)
+    now = _current(folder)
+    if table not in now.get("tables", []):
+        raise ValueError(f"no table {table} in {folder}")
+    fs, path = arrow_fs(folder)
+    with fs.open_input_stream(f"{path}/runs/{now['run']}/{table}.json") as file:
+        manifest = json.loads(file.read())
+    schema = T.StructType.fromJson(json.loads(manifest["schema"]))
+    files = [f"{folder}/runs/{now['run']}/{table}/{f}" for f in manifest["files"]]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
 
 def write_tables(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:
     """Each table in a folder of its own, replaced whole; form: parquet, csv or json."""
