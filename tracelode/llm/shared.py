@@ -4,38 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
 
-_roots: dict[str, str] = {}
-
-
-def run_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which goes when the application ends. Where that is unset, local sessions get a folder of their own, and clusters an error."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not base and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
-        root = f"{base or 'file://' + tempfile.gettempdir()}/tracelode-{uuid.uuid4().hex[:12]}"
-        path = sc._jvm.org.apache.hadoop.fs.Path(root)
-        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        _roots[sc.applicationId] = root
-    return f"{_roots[sc.applicationId]}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df in the shared folder and read it back: later work does not repeat it, and lost executors cost nothing."""
-    path = run_dir(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.shared import arrow_fs, run_dir, stored
 
+__all__ = ["free_name", "get", "names", "put", "release", "resident", "run_dir", "stored"]
 
 def free_name(name: str, columns: list[str]) -> str:
     """A column name that is not among these."""
@@ -46,7 +22,7 @@ def free_name(name: str, columns: list[str]) -> str:
 
 def put(folder: str, name: str, data: bytes) -> None:
     """Write a file under a name of its own, then move it: a repeated task leaves the same whole file."""
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = arrow_fs(folder)
     fs.create_dir(path, recursive=True)
     own = f"{path}/.{name}.{uuid.uuid4().hex[:8]}"
     with fs.open_output_stream(own) as out:
@@ -55,14 +31,14 @@ def put(folder: str, name: str, data: bytes) -> None:
 
 
 def get(folder: str, name: str) -> bytes:
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = arrow_fs(folder)
     with fs.open_input_stream(f"{path}/{name}") as file:
         return file.read()
 
 
 def names(folder: str) -> dict[str, int]:
     """Whole files of a folder and their sizes."""
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = arrow_fs(folder)
     found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
     return {x.base_name: x.size for x in found if x.is_file and not x.base_name.startswith(".")}
 
