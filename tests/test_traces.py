@@ -405,3 +405,36 @@ def test_sets_of_tables_appear_whole_or_not_at_all(spark, tmp_path):
     assert len(read("one")) == 5 and len(list((tmp_path / "set" / "runs").iterdir())) == 1
     with pytest.raises(ValueError):
         read("none")
+
+
+def test_three_reports(spark):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    view = "semantic_tool_tool_action_only"
+    args = [
+        table([(7, True, False)], "num_traces int, strict_real boolean, used_mock boolean"), table([(view, 3, 0.25), (view, 1, 0.9)], "view string, k int, delta double"), table([(view, 0.1, 0.4)], "view string, low double, high double"),
+        table([("a", 5, 3.0), ("b", 2, 5.0)], "dependency_type string, count long, median_distance double"), table([("failure_loop_score", 0.0123)], "metric string, p_value double"), table([("H1", "supported")], "hypothesis string, verdict string"),
+        table([("predicted", 30.0), ("session_affinity", 20.0)], "strategy string, reduction_vs_independent double"), table([("the problem exists",)], "conclusion string"),
+    ]
+    got = sources.run_reports(*args, command="run it")
+    assert set(got) == {"problem_existence_report", "problem_existence_audit", "limitations"}
+    text = got["problem_existence_report"]
+    for want in ("0.25, interval [0.1, 0.4]", "7 dependencies", "distances 4", "p = 0.0123", "saves 30, session affinity 20, wrong predictions none", "the problem exists", "| H1 | supported |"):
+        assert want in text, want
+    assert "`run it`" in got["problem_existence_audit"] and got["limitations"].count("\n- ") == 5
+    none = sources.run_reports(*[a.limit(0) for a in args])
+    assert "0 dependencies" in none["problem_existence_report"] and "p = none" in none["problem_existence_report"]
+
+
+def test_paths_get_the_default_file_system(spark):
+    """A bare path is completed as Spark would, so Python workers open the same place."""
+    from tracelode.sources.shared import arrow_fs, qualified
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.c.link./ckpt", "file:///tmp")
+    conf.set("fs.defaultFS", "viewfs://c/")
+    try:
+        assert qualified(spark, "/ckpt/a") == "viewfs://c/ckpt/a" and qualified(spark, "file:///ckpt/a") == "file:/ckpt/a"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert qualified(spark, "/ckpt") == "file:/ckpt" and arrow_fs("file:/ckpt/a")[1] == arrow_fs("/ckpt/a")[1] == arrow_fs("file:///ckpt/a")[1] == "/ckpt/a"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators import dependencies, early, failure, motifs, normalize, ranks, severity, stats, transitions, views, working_set
+from ..sources.shared import stored
 from . import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -434,8 +435,8 @@ def k6(spark, d):
 
 
 def _verdicts(spark, d):
-    s, o, t = events.steps(spark, d), events.objects(spark, d), events.traces(spark, d)
-    rows = views.view_steps(s, severity.CLEAN)
+    s, o, t = (stored(f(spark, d), "verdicts") for f in (events.steps, events.objects, events.traces))  # eight results share them
+    rows = stored(views.view_steps(s, severity.CLEAN), "verdicts")
     tr, acc = transitions.transitions(rows), working_set.accesses(o)
     return severity.verdicts(transitions.recall(tr), transitions.bootstrap(tr), transitions.permutation_test(rows, replicates=25), motifs.motifs(motifs.sequences(s, o), t), dependencies.summary(normalize.dependencies(s, o), t), working_set.predictions(s, acc, t), _compared(spark, d, False), failure.comparison(failure.per_trace(s, o, t)))
 

@@ -257,11 +257,57 @@ def write_tables(tables: dict[str, DataFrame], folder: str, form: str = "parquet
         (writer.option("header", True) if form == "csv" else writer).save(f"{folder}/{name}")
 
 
+def _table(df: DataFrame, most: int = 20) -> list[str]:
+    """Markdown of the first rows of a small result table."""
+    rows = [f"| {' | '.join('' if x is None else str(x) for x in r)} |" for r in df.limit(most).collect()]
+    return ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *rows]
+
+
 def report(title: str, tables: dict[str, DataFrame], most: int = 20) -> str:
     """Markdown of the first rows of small result tables."""
-    out = [f"# {title}"]
-    for name, df in tables.items():
-        rows = df.limit(most).collect()
-        out += [f"\n## {name}\n", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows]
-    return "\n".join(out) + "\n"
+    return "\n".join([f"# {title}", *(line for name, df in tables.items() for line in ("", f"## {name}", "", *_table(df, most)))]) + "\n"
+
+
+#: What a run does not show, whatever its figures are.
+NOT_SHOWN = ["a speed-up of real hardware", "reuse of objects or caches in a running service", "that other kinds of agents behave alike", "that acting ahead of a prediction is safe", "that tasks succeed as often as before"]
+LIMITS = [
+    "Observations of the source are cut at 5,000 characters, so dependencies are lower bounds.",
+    "A load that failed half-way has fewer rows than were asked for; the metadata has the number.",
+    "Intervals come from drawing traces again, not from a model of tasks and harnesses.",
+    "Costs are sums with fixed coefficients: they show where work repeats, not how fast anything runs.",
+    "Stable prompts are inferred from tokens that repeat; no cache was watched.",
+]
+
+
+def run_reports(quality: DataFrame, recall: DataFrame, interval: DataFrame, deps: DataFrame, failure: DataFrame, verdicts: DataFrame, costs: DataFrame, conclusion: DataFrame, command: str = "") -> dict[str, str]:
+    """Three Markdown texts by name, from result tables of a few rows each: problem_existence_report, problem_existence_audit and limitations.
+
+    The figures: of clean tool actions the gain in top-3 recall with its interval, the number and the median distance of dependencies, the
+    p-value of the failure-loop score, and the strategies' savings. A figure whose table has no row is `none`.
+    """
+    view, score = "view = 'semantic_tool_tool_action_only'", "metric = 'failure_loop_score'"
+
+    def figure(df: DataFrame, column: str, where: str = "true") -> str:
+        row = df.where(where).select(column).first()
+        return "none" if row is None or row[0] is None else f"{row[0]:.4g}" if isinstance(row[0], float) else str(row[0])
+
+    def saved(name: str) -> str:
+        return figure(costs, "reduction_vs_independent", f"strategy = '{name}'")
+
+    flags = quality.select("strict_real", "used_mock").first()
+    strict, mock = (str(x).lower() for x in flags) if flags else ("none", "none")
+    total = deps.selectExpr("coalesce(sum(count), 0) as n", "median(median_distance) as m")
+    main = ["# Does the problem exist?", "", "## Question", "", "Do runs of agents share a structure of steps and objects that is known before they end? Nothing found earlier is taken for granted.", "", "## Data", "", *_table(quality), "", f"Strict: {strict}. Mock rows: {mock}.", "", "## Hypotheses", "", *_table(verdicts), ""]
+    main += [
+        f"- H1: top-3 recall of the next tool, known the one before, less that of the commonest tools: {figure(recall, 'delta', view + ' and k = 3')}, interval [{figure(interval, 'low', view)}, {figure(interval, 'high', view)}]. Controls: labels dealt anew within traces, and over all traces.",
+        "- H2: motifs of training traces that held-out traces have too, and the harnesses that have them.",
+        f"- H3: {figure(total, 'n')} dependencies, median of their types' median distances {figure(total, 'm')}; an object that is only mentioned makes none.",
+        "- H4: objects used next, by identifier and by path prefix; the last objects against chance and against the bare type.",
+        "- H5: labels of a trace from its first 1, 2, 3, 5 or 8 steps, against the best guess from what is known beforehand.",
+        f"- H6: failure-loop score of failures against successes, p = {figure(failure, "p_value", score)}.",
+        "", "## Costs", "", *_table(costs), "", f"Prediction saves {saved('predicted')}, session affinity {saved('session_affinity')}, wrong predictions {saved('wrong_prediction_stress')}.",
+        "", "## Shown", "", "What the table of hypotheses calls supported, for these traces.", "", "## Not shown", "", *[f"- {x}" for x in NOT_SHOWN], "", "## Next", "", figure(conclusion, "conclusion"),
+    ]
+    audit = ["# Audit", "", f"- Strict run: {strict}; mock rows: {mock}.", "- Steps without a tool, with an unknown one, or whose command is no command are left out of tool actions.", "- Objects are counted by identifier and by path prefix.", "- Controls are in the table of permutation tests and in the strategies with wrong predictions.", f"- Command: `{command}`"]
+    texts = {"problem_existence_report": main, "problem_existence_audit": audit, "limitations": ["# Limitations", "", *[f"- {x}" for x in LIMITS]]}
+    return {name: "\n".join(lines) + "\n" for name, lines in texts.items()}
