@@ -198,7 +198,8 @@ def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(fp long, id long), fp distinct -> (u, v): edges that join the ids of all fingerprints within the radius.
 
     Of radius + 2 blocks of bits two are equal if at most `radius` bits differ, so each pair of blocks gives a
-    table of buckets. Rows of buckets above HOT rows are cut again in the same way by their other bits.
+    table of buckets. Rows of buckets above HOT rows are cut again in the same way by their other bits. A bucket that is above HOT
+    rows even then is cut into parts at random, and each two parts are compared in a task of their own.
     """
     masks = _block_masks(list(range(64)), radius)
 
@@ -217,8 +218,19 @@ def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     for t, m in enumerate(masks):
         free = [b for b in range(64) if not m >> b & 1]
         finer += [(t + 1, len(finer) + i, m | x) for i, x in enumerate(_block_masks(free, radius))]
-    second = table(rest.select(F.col("x").alias("fp"), F.col("y").alias("id"), F.col("kind").alias("t0")), finer, None)
-    return edges.unionByName(second.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    second = stored(table(rest.select(F.col("x").alias("fp"), F.col("y").alias("id"), F.col("kind").alias("t0")), finer, [m for *_, m in finer]), "near-links")
+    edges = edges.unionByName(second.where("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    last = second.where("kind > 0")
+    if last.isEmpty():
+        return edges
+    mask = F.element_at(F.array(*[F.lit(_signed(m)) for *_, m in finer]), F.col("kind"))
+    rows = last.select("kind", F.col("x").bitwiseAND(mask).alias("key"), F.col("x").alias("fp"), F.col("y").alias("id"))
+    size = stored(rows.groupBy("kind", "key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")), "near-parts")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    pairs = rows.join(size, ["kind", "key"]).select("kind", "key", "fp", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = pairs.select(F.col("kind").alias("t"), F.xxhash64("kind", "key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "id")
+    third = dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucketed(radius, None), "kind int, x long, y long")
+    return edges.unionByName(third.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
 
 def simhash_groups(docs: DataFrame, radius: int = 3, k: int = 3) -> DataFrame:
