@@ -85,7 +85,7 @@ def stars(places: DataFrame, *also: str) -> DataFrame:
     """
     first = places.groupBy("key").agg(F.min("doc").alias("to_doc"), F.max("doc").alias("last"), F.count("*").alias("n")).where("to_doc != last")
     first = stored(first.select("key", "to_doc", (F.col("n") > 2).alias("more")), "passage-keys")
-    some = stored(places.join(first, "key"), "passage-places")
+    some = stored(places.join(first.hint("shuffle_hash"), "key"), "passage-places")  # of all places, which are not sorted for it; a partition's part of the keys is held
     root = stored(some.where("doc = to_doc").groupBy("key").agg(F.min("place").alias("to_place"), *[F.min(c).alias(f"to_{c}") for c in also]), "passage-roots")
     return some.where("doc != to_doc").join(root, "key")
 
@@ -364,7 +364,7 @@ def repeated_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     Every PARAGRAPH words in a row are a paragraph (A-Z lower-cased, any white space between), whatever line they stand
     in. Paragraphs meet by MinHash bands (BANDS of ROWS minima of 5-word shingles); equal ones always do. All places of a
-    key are linked to the smallest, first within a task, then over all, so a key of any size is one row of a task.
+    key meet the first document that holds it, and those outside the passages found there meet again by finer keys (see finer_keys()).
 
     About each link the two texts are laid beside each other, up to MARGIN words beyond the outermost collision, and
     the longest stretches of WORDS words or more that begin and end with a shared shingle and whose 5-word shingles have a
@@ -372,7 +372,8 @@ def repeated_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Similarity is worked out from the words themselves, not their hashes. A passage of 49 words or more with isolated
     changes cannot be that similar without an unchanged paragraph, so bands lose none of these.
 
-    Passages that are linked, or cover nearly the same place of a document, make a cluster (components). The passage stays in
+    Passages that are linked, or cover nearly the same place of a document, make a cluster (components; those of a document are
+    joined before, as they stand in order). The passage stays in
     the smallest document of its cluster (keep_doc_id) and is removed in all others. Rows of one document can overlap.
 
     Null and empty texts and those below WORDS words have none. Rows without a doc_id are ignored. Rows with the same
@@ -381,16 +382,18 @@ def repeated_passages(docs: DataFrame, least: float = 0.8) -> DataFrame:
     links = stored(linked_passages(docs, least), "passage-links")
     side = lambda s: links.select(F.col(f"{s}_doc").alias("doc_id"), F.col(f"{s}_word").alias("word_start"), F.col(f"{s}_words").alias("n_words"), F.col(f"{s}_lo").alias("byte_start"), F.col(f"{s}_hi").alias("byte_end"), F.col(f"{s}_crc").alias("crc32"))
     name = lambda s: F.xxhash64(*[f"{s}_{x}" for x in ("doc", "word", "words", "crc")])
-    nodes = stored(side("d").unionByName(side("r")).distinct().withColumn("node", F.xxhash64("doc_id", "word_start", "n_words", "crc32")), "passage-nodes")
-    end = F.col("word_start") + F.col("n_words")
-    after = nodes.select("doc_id", "node", "word_start", end.alias("end"))
-    row = F.struct("word_start", "end", "node")
-    # the next row of a document that begins at the same place or later; lead() runs over distinct places of one document
-    nxt = after.withColumn("next", F.lead(row).over(Window.partitionBy("doc_id").orderBy("word_start", "end", "node")))
-    shared = F.least("end", "next.end") - F.col("next.word_start")
-    alike = nxt.where(10 * shared >= 8 * (F.greatest("end", "next.end") - F.col("word_start"))).select(F.col("node").alias("u"), F.col("next.node").alias("v"))
-    parts = connected_components(links.select(name("d").alias("u"), name("r").alias("v")).unionByName(alike))
-    member = stored(nodes.join(parts, "node", "left").withColumn("cluster_id", F.coalesce("component", "node")).drop("node", "component"), "passage-members")
+    nodes = side("d").unionByName(side("r")).distinct().withColumn("node", F.xxhash64("doc_id", "word_start", "n_words", "crc32"))
+    # rows of a document, in order, that cover nearly the same place as the one before are one island; windows run over the distinct places of one document
+    order = Window.partitionBy("doc_id").orderBy("word_start", "end", "node")
+    before = F.lag(F.struct("word_start", "end")).over(order)
+    shared = F.least("end", "before.end") - F.col("word_start")
+    new = F.coalesce(10 * shared < 8 * (F.greatest("end", "before.end") - F.col("before.word_start")), F.lit(True))
+    nodes = nodes.withColumn("end", F.col("word_start") + F.col("n_words")).withColumn("before", before).withColumn("new", new).withColumn("island", F.sum(F.col("new").cast("long")).over(order))
+    nodes = stored(nodes.withColumn("whole", F.min("node").over(Window.partitionBy("doc_id", "island"))).drop("end", "before", "new", "island"), "passage-nodes")
+    of = lambda n: nodes.select(F.col("node").alias(n), F.col("whole").alias(f"{n}_whole"))
+    edges = links.select(name("d").alias("u"), name("r").alias("v")).join(of("u"), "u").join(of("v"), "v").select(F.col("u_whole").alias("u"), F.col("v_whole").alias("v")).distinct()
+    parts = connected_components(edges)
+    member = stored(nodes.join(parts, nodes.whole == parts.node, "left").withColumn("cluster_id", F.coalesce("component", "whole")).drop(nodes.node).drop(parts.node).drop("whole", "component"), "passage-members")
     keep = stored(member.groupBy("cluster_id").agg(F.min("doc_id").alias("keep_doc_id")), "passage-clusters")  # so that the join below is between two plain shuffles, and hot clusters are split
     return member.join(keep, "cluster_id").select("doc_id", "word_start", "n_words", "byte_start", "byte_end", "crc32", "cluster_id", "keep_doc_id", (F.col("doc_id") != F.col("keep_doc_id")).alias("removed"))
 
