@@ -23,6 +23,7 @@ def components(steps: DataFrame, objects: DataFrame, traces: DataFrame, won: Dat
     p = traces.agg(F.coalesce(F.sum(0.15 * F.col("input_tokens")), F.lit(0.0)).alias("p"))
     w = steps.where("is_tool_action").join(traces.where("not success").select("trace_id"), "trace_id", "left_semi").agg(F.count("*").cast("double").alias("w"))
     c = F.col
+    # The coefficients here and in breakdown(), and the thresholds in verdicts() and conclusion(), are the published ones
     df = r.join(F.broadcast(p)).join(F.broadcast(w)).join(F.broadcast(won))  # four single rows
     df = df.withColumn("base", c("r") + c("p") + 500 * c("w")).withColumn("session", 0.20 * c("r")).withColumn("oracle", 0.65 * c("r") + 0.25 * c("p") + 250 * c("w"))
     return df.withColumn("predicted", c("session") + c("oracle") * F.least(F.lit(0.35), 0.10 + c("gain"))).withColumn("wrong", 0.85 * c("session")).withColumn("type_only", 0.95 * c("session"))

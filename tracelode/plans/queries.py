@@ -364,9 +364,14 @@ def j1(spark, d):
     return _metrics(spark, d)
 
 
-@query("j9_j10_comparison", f"""{_F}, {_LONG}, q AS (SELECT metric, avg(value) FILTER (NOT failed) AS a, avg(value) FILTER (failed) AS b, sum(r) FILTER (failed) AS rs, count(*) FILTER (failed) AS p, count(*) FILTER (NOT failed) AS n, sum(CAST(ties AS DOUBLE) * ties - 1) AS t FROM rk GROUP BY metric)
-SELECT metric, round(a, 6) AS success_mean, round(b, 6) AS failure_mean, round(round(b, 6) - round(a, 6), 6) AS delta_failure_minus_success, rs - p * (p + 1) / 2 AS mannwhitney_u, CASE WHEN t >= (p + n) * (CAST(p + n AS DOUBLE) * (p + n) - 1) THEN NULL ELSE round((rs - p * (p + 1) / 2 - p * n / 2) / sqrt(p * n / 12 * (p + n + 1 - t / ((p + n) * (p + n - 1)))), 6) END AS z, CASE WHEN t < (p + n) * (CAST(p + n AS DOUBLE) * (p + n) - 1) THEN round(least(1, {_ERFC}), 6) END AS p_value
-FROM (SELECT *, 1 / (1 + 0.5 * x) AS y FROM (SELECT *, greatest(0, (abs(rs - p * (p + 1) / 2 - p * n / 2) - 0.5) / nullif(sqrt(greatest(0, p * n / 12 * (p + n + 1 - t / ((p + n) * (p + n - 1))))), 0)) / sqrt(2) AS x FROM q))""")
+@query("j9_j10_comparison", f"""{_F.replace("WITH", "WITH RECURSIVE", 1)}, {_LONG}, q AS (SELECT metric, avg(value) FILTER (NOT failed) AS a, avg(value) FILTER (failed) AS b, sum(r) FILTER (failed) AS rs, count(*) FILTER (failed) AS p, count(*) FILTER (NOT failed) AS n, sum(CAST(ties AS DOUBLE) * ties - 1) AS t FROM rk GROUP BY metric),
+small AS (SELECT metric, p, n, least(rs - p * (p + 1) / 2, p * n - rs + p * (p + 1) / 2) AS u FROM q WHERE t = 0 AND least(p, n) BETWEEN 1 AND 8 AND p * n <= 1000000),
+lim AS (SELECT coalesce(max(p), 0) AS p, coalesce(max(n), 0) AS n FROM small),
+ways AS (SELECT 0 AS p, 0 AS n, 0 AS u, CAST(1 AS DOUBLE) AS w UNION ALL
+  SELECT CAST(ways.p + side AS INT), CAST(ways.n + 1 - side AS INT), CAST(ways.u + side * ways.n AS INT), sum(w) FROM ways, lim, (SELECT unnest([0, 1]) AS side) WHERE ways.p + side <= lim.p AND ways.n + 1 - side <= lim.n GROUP BY ALL),
+exact AS (SELECT metric, least(1, 2 * sum(w) FILTER (ways.u <= small.u) / sum(w)) AS e FROM small JOIN ways ON ways.p = small.p AND ways.n = small.n GROUP BY metric)
+SELECT metric, round(a, 6) AS success_mean, round(b, 6) AS failure_mean, round(round(b, 6) - round(a, 6), 6) AS delta_failure_minus_success, rs - p * (p + 1) / 2 AS mannwhitney_u, CASE WHEN t >= (p + n) * (CAST(p + n AS DOUBLE) * (p + n) - 1) THEN NULL ELSE round((rs - p * (p + 1) / 2 - p * n / 2) / sqrt(p * n / 12 * (p + n + 1 - t / ((p + n) * (p + n - 1)))), 6) END AS z, round(coalesce(e, CASE WHEN t < (p + n) * (CAST(p + n AS DOUBLE) * (p + n) - 1) THEN least(1, {_ERFC}) END), 6) AS p_value
+FROM (SELECT *, 1 / (1 + 0.5 * x) AS y FROM (SELECT *, greatest(0, (abs(rs - p * (p + 1) / 2 - p * n / 2) - 0.5) / nullif(sqrt(greatest(0, p * n / 12 * (p + n + 1 - t / ((p + n) * (p + n - 1))))), 0)) / sqrt(2) AS x FROM q)) LEFT JOIN exact USING (metric)""")
 def j9(spark, d):
     return failure.comparison(_metrics(spark, d))
 
