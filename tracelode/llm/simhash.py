@@ -350,27 +350,50 @@ def wide_planes(values: np.ndarray) -> np.ndarray:
     return np.concatenate([planes(values[:, i]) for i in range(values.shape[1])])
 
 
-def nearest(fp: np.ndarray, bucket: np.ndarray, radius: int, most: int = 4, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the `most` nearest earlier ones of its bucket within the radius, of those that allowed(rows, earlier rows) lets through: (row, earlier row), and the rows that have more. Rows are sorted by bucket."""
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    size = np.diff(np.append(first, len(fp)))
-    found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+def _within(ask: np.ndarray, sliced: np.ndarray, words: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(asking row, held row) of all within the radius; sliced: the planes of the held rows, in `words` words."""
+    bits = np.concatenate([(ask[:, [w]] >> np.arange(63, -1, -1, dtype=np.uint64)) & np.uint64(1) for w in range(ask.shape[1])], 1)
+    flip = np.where(bits == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+    got = _set(*near_wide(lambda p, left: sliced[p, left % words] ^ flip[left // words, p], len(ask) * words, len(sliced), radius), len(ask) * words * 64)
+    return got // (words * 64), got % (words * 64)
+
 
-    def least(rows: np.ndarray) -> np.ndarray:
-        """Of rows (i, distance, j), the `most` least of each i, and one more."""
+class _Found:
+    """Rows (i, distance, j): the `most` least of each i, and one more; the others go whenever a million have come together."""
+
+    def __init__(self, fp: np.ndarray, most: int, allowed):
+        self.fp, self.most, self.allowed = fp, most, allowed
+        self.rows, self.size = [np.zeros((3, 0), np.int64)], 0
+
+    def take(self, i: np.ndarray, j: np.ndarray) -> None:
+        if self.allowed is not None:
+            some = self.allowed(i, j)
+            i, j = i[some], j[some]
+        self.rows.append(np.stack([i, np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(1, dtype=np.int64), j]))
+        self.size += len(i)
+        if self.size > 1 << 20:
+            self.rows = [self.least()]
+            self.size = self.rows[0].shape[1] // 2  # what stays counts less, or nothing would ever come together
+
+    def least(self) -> np.ndarray:
+        rows = np.concatenate(self.rows, 1)
         rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
         begin = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])[: rows.shape[1]])
-        return rows[:, np.arange(rows.shape[1]) - np.repeat(begin, np.diff(np.append(begin, rows.shape[1]))) <= most]
+        return rows[:, np.arange(rows.shape[1]) - np.repeat(begin, np.diff(np.append(begin, rows.shape[1]))) <= self.most]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = self.least()
+        begin = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])[: rows.shape[1]])
+        over = np.arange(rows.shape[1]) - np.repeat(begin, np.diff(np.append(begin, rows.shape[1]))) == self.most
+        return rows[0, ~over], rows[2, ~over], rows[0, over]
 
-    def take(i: np.ndarray, j: np.ndarray) -> None:
-        """Row j is earlier than row i."""
-        if allowed is not None:
-            some = allowed(i, j)
-            i, j = i[some], j[some]
-        found.append(least(np.stack([i, np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64), j])))
-        if len(found) > 64:
-            found[:] = [least(np.concatenate(found, 1))]
 
+def nearest(fp: np.ndarray, bucket: np.ndarray, radius: int, most: int = 4, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the `most` nearest earlier ones of its bucket within the radius, of those that allowed(rows, earlier rows) lets through: (row, earlier row), and the rows that have more. Rows are sorted by bucket."""
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    size = np.diff(np.append(first, len(fp)))
+    found = _Found(fp, most, allowed)
+    take = found.take
     small = np.repeat(np.where(size <= 64, size, 0), size)
     rank = np.arange(len(fp)) - np.repeat(first, size)
     for lag in range(1, int(small.max(initial=0))):
@@ -384,18 +407,26 @@ def nearest(fp: np.ndarray, bucket: np.ndarray, radius: int, most: int = 4, allo
             held = fp[s + col : s + min(n, col + (1 << 14))]
             sliced, words = wide_planes(held), -(-len(held) // 64)
             for row in range(col, n, 64):
-                ask = fp[s + row : s + min(n, row + 64)]
-                bits = np.concatenate([(ask[:, [w]] >> np.arange(63, -1, -1, dtype=np.uint64)) & np.uint64(1) for w in range(ask.shape[1])], 1)
-                flip = np.where(bits == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
-                got = _set(*near_wide(lambda p, left: sliced[p, left % words] ^ flip[left // words, p], len(ask) * words, len(sliced), radius), len(ask) * words * 64)
-                q, r = got // (words * 64), got % (words * 64)
+                q, r = _within(fp[s + row : s + min(n, row + 64)], sliced, words, radius)
                 ok = (r < len(held)) & (col + r < row + q)
                 if ok.any():
                     take(s + row + q[ok], s + col + r[ok])
-    rows = least(np.concatenate(found, 1))
-    begin = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])[: rows.shape[1]])
-    over = np.arange(rows.shape[1]) - np.repeat(begin, np.diff(np.append(begin, rows.shape[1]))) == most
-    return rows[0, ~over], rows[2, ~over], rows[0, over]
+    return found.all()
+
+
+def nearest_to(asks: np.ndarray, fp: np.ndarray, radius: int, most: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """nearest() for some rows of one bucket, of all others and not only the earlier ones."""
+    found = _Found(fp, most, allowed)
+    for col in range(0, len(fp), 1 << 14):
+        held = fp[col : col + (1 << 14)]
+        sliced, words = wide_planes(held), -(-len(held) // 64)
+        for row in range(0, len(asks), 64):
+            own = asks[row : row + 64]
+            q, r = _within(fp[own], sliced, words, radius)
+            ok = (r < len(held)) & (own[q] != col + r)
+            if ok.any():
+                found.take(own[q[ok]], col + r[ok])
+    return found.all()
 
 
 def _candidates(radius: int, most: int):
@@ -417,7 +448,19 @@ def _candidates(radius: int, most: int):
                     ok[ok] = [y not in known.get(x, ()) for x, y in zip(i[ok].tolist(), ids[j[ok]].tolist())]
                 return ok
 
-            i, j, more = nearest(fp, key, radius, most, allowed)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            whole, got = np.ones(len(key), bool), []
+            for a, n in zip(first[size > 64].tolist(), size[size > 64].tolist()):
+                own = slice(a, a + n)
+                names, counts = np.unique(component[own], return_counts=True)
+                if counts.max() > n // 2:  # two texts that are not linked yet: one of them at least is outside the largest group
+                    whole[own] = False
+                    asks = np.flatnonzero(ask[own] & (component[own] != names[counts.argmax()])) if ask[own].all() else np.flatnonzero(ask[own])
+                    got.append([a + x for x in nearest_to(asks, fp[own], radius, most, lambda i, j, a=a: allowed(a + i, a + j))])
+            rest = np.flatnonzero(whole)
+            got.append([rest[x] for x in nearest(fp[rest], key[rest], radius, most, lambda i, j: allowed(rest[i], rest[j]))])
+            i, j, more = (np.concatenate(x) for x in zip(*got))
             none = np.concatenate([np.zeros(len(i), bool), np.ones(len(more), bool)])
             at = np.concatenate([i, more])
             return pa.record_batch({"key": pa.array(key[at]), "u": pa.array(ids[at]), "v": pa.array(np.concatenate([ids[j], np.zeros(len(more), np.int64)]), mask=none)})
@@ -487,8 +530,9 @@ def _sets(rows: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
     return own.join(texts.select("id", "a", "b", "n"), ["id", "a", "b", "n"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
 
 
-def _buckets(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, id, fingerprint): texts that share a key are compared. Rows of a key above HOT rows get the finer keys of FINER instead; keys above HOT rows at the last level are cut into parts, and each two parts are a bucket."""
+def _buckets(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, id, fingerprint): texts that share a key are compared. Rows of a key above HOT rows get the finer keys of FINER instead. Keys above HOT rows at the last level are cut into parts, and each two parts are a bucket: the second table, for when most of these
+    texts are linked already. To that end each of them is in two buckets of the first table, with its part and the next of one of its keys."""
     prints = [f"f{i}" for i in range(WIDE)]
     dealt = texts.select("id", *prints, F.explode(F.array(*[F.xxhash64(F.lit(i), F.col(f"k{i}")) for i in range(BANDS)])).alias("key"))
     ready = None
@@ -499,7 +543,7 @@ def _buckets(rows: DataFrame, texts: DataFrame) -> DataFrame:
         part = both.where("m is null").select("key", "id", *prints)
         ready = part if ready is None else ready.unionByName(part)
         if hot.isEmpty():
-            return ready
+            return ready, None
         waiting = both.where("m is not null")
         if level < len(FINER):
             ids = stored(waiting.select("id", *prints).dropDuplicates(["id"]), "near-waiting")
@@ -507,8 +551,12 @@ def _buckets(rows: DataFrame, texts: DataFrame) -> DataFrame:
             dealt = keys.select("id", *prints, F.explode("keys").alias("key"))
     size = F.ceil(F.col("m") / HOT).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit("part")), size).cast("int")
-    pairs = waiting.select("key", "id", *prints, own.alias("own"), F.explode(F.sequence(F.lit(0), size - 1)).alias("other"))
-    return ready.unionByName(pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), F.lit("parts")).alias("key"), "id", *prints))
+    waiting = waiting.select("key", "id", *prints, own.alias("own"), size.alias("size"))
+    pairs = waiting.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    blocks = pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), F.lit("parts")).alias("key"), "id", *prints)
+    one = waiting.join(waiting.groupBy("id").agg(F.min("key").alias("key")), ["id", "key"])
+    seeds = one.select(F.explode(F.array(F.col("own"), (F.col("own") + 1) % F.col("size"))).alias("other"), "key", "id", *prints).select(F.xxhash64("key", "other", F.lit("seeds")).alias("key"), "id", *prints)
+    return ready.unionByName(seeds.distinct()), blocks
 
 
 def near_groups(docs: DataFrame, least: float = 0.8, k: int = 5, radius: int = 56, most: int = 4) -> DataFrame:
@@ -527,7 +575,7 @@ def near_groups(docs: DataFrame, least: float = 0.8, k: int = 5, radius: int = 5
     prints = [f"f{i}" for i in range(WIDE)]
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signs(k), _SIGNS), "near-signs")
     texts = stored(rows.where("doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in [*prints, *[f"k{i}" for i in range(BANDS)]]]), "near-texts")
-    buckets = _buckets(rows, texts)
+    buckets, blocks = _buckets(rows, texts)
     work = buckets.select("key", "id", *prints, F.col("id").alias("component"), F.lit(True).alias("ask"), F.lit(None).cast("array<long>").alias("tested"))
     tested = links = None
     while True:
@@ -540,11 +588,14 @@ def near_groups(docs: DataFrame, least: float = 0.8, k: int = 5, radius: int = 5
         links = new if links is None else links.unionByName(new)
         parts = connected_components(links)
         more = stored(met.where("v is null").select("key", F.col("u").alias("id")).distinct(), "near-more")
-        if more.isEmpty():
+        if blocks is None and more.isEmpty():
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
         before = tested.join(more.select(F.col("id").alias("u")).distinct(), "u", "left_semi").groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("tested"))
-        work = buckets.join(more.select("key").distinct(), "key", "left_semi").join(more.withColumn("ask", F.lit(True)), ["key", "id"], "left").join(parts.withColumnRenamed("node", "id"), "id", "left").join(before, "id", "left")
+        work = buckets.join(more.select("key").distinct(), "key", "left_semi").join(more.withColumn("ask", F.lit(True)), ["key", "id"], "left")
+        if blocks is not None:  # buckets of parts, now that most of their texts are linked
+            work, buckets, blocks = work.unionByName(blocks.withColumn("ask", F.lit(True))), buckets.unionByName(blocks), None
+        work = work.join(parts.withColumnRenamed("node", "id"), "id", "left").join(before, "id", "left")
         work = work.select("key", "id", *prints, F.coalesce("component", "id").alias("component"), F.coalesce("ask", F.lit(False)).alias("ask"), F.when(F.col("ask"), F.col("tested")).alias("tested"))
         most *= 4
     named = stored(texts.join(parts, texts.id == parts.node, "left").select("a", "b", "n", F.coalesce("component", "id").alias("component_id")), "near-named")
