@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
+EDGES = 1_000_000  # of which a task makes one forest
+
+
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the edges (a, b) that are not the smallest of their component, and that smallest."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -42,7 +45,7 @@ def _contract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for part in parts:
         held.append(np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], 1))
-        if sum(map(len, held)) > 1_000_000:
+        if sum(map(len, held)) > EDGES:
             yield out()
     if held:
         yield out()
@@ -55,7 +58,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Only forests of local edges are shuffled; minima are combined before each shuffle.
     """
     links = stored(edges.where("u != v").select("u", "v"), "links")  # written, so that no task needs two Python workers at once
-    e = stored(links.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    parts = max(1, -(-links.count() // EDGES))  # as many edges in a task as it holds at once, so that forests leave as little as they can
+    e = stored(links.coalesce(parts).mapInArrow(_contract, "u long, v long").distinct(), "edges")
     before = None
     while True:
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
