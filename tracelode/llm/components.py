@@ -59,7 +59,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     links = stored(edges.where("u != v").select("u", "v"), "links")  # written, so that no task needs two Python workers at once
     parts = max(1, -(-links.count() // EDGES))  # as many edges in a task as it holds at once, so that forests leave as little as they can
-    e = stored(links.coalesce(parts).mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    forests = links.coalesce(parts).mapInArrow(_contract, "u long, v long")
+    if parts == 1:  # one forest of all edges: each node has its smallest already
+        return stored(forests.select(F.col("u").alias("node"), F.col("v").alias("component")), "edges")
+    e = stored(forests.distinct(), "edges")
     before = None
     while True:
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()

@@ -577,7 +577,7 @@ def near_groups(docs: DataFrame, least: float = 0.8, k: int = 5, radius: int = 5
     texts = stored(rows.where("doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in [*prints, *[f"k{i}" for i in range(BANDS)]]]), "near-texts")
     buckets, blocks = _buckets(rows, texts)
     work = buckets.select("key", "id", *prints, F.col("id").alias("component"), F.lit(True).alias("ask"), F.lit(None).cast("array<long>").alias("tested"))
-    tested = links = None
+    tested = parts = None
     while True:
         met = stored(work.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates(radius, most), "key long, u long, v long"), "near-pairs")
         pairs = met.where("v is not null").select("u", "v").distinct()
@@ -585,8 +585,8 @@ def near_groups(docs: DataFrame, least: float = 0.8, k: int = 5, radius: int = 5
         sets = stored(_sets(rows, texts, ids), "near-sets")  # so that the joins below are between plain shuffles, and texts with very many links are split
         both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
         new = stored(both.mapInArrow(_similar(least), "u long, v long"), "near-links")
-        links = new if links is None else links.unionByName(new)
-        parts = connected_components(links)
+        # earlier links are as good as the components they made
+        parts = connected_components(new if parts is None else parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new))
         more = stored(met.where("v is null").select("key", F.col("u").alias("id")).distinct(), "near-more")
         if blocks is None and more.isEmpty():
             break
