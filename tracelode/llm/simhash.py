@@ -361,15 +361,19 @@ def _within(ask: np.ndarray, sliced: np.ndarray, words: int, radius: int) -> tup
 class _Found:
     """Rows (i, distance, j): the `most` least of each i, and one more; the others go whenever a million have come together."""
 
-    def __init__(self, fp: np.ndarray, most: int, allowed):
-        self.fp, self.most, self.allowed = fp, most, allowed
+    def __init__(self, fp: np.ndarray, most: int, allowed=None, beyond=None):
+        self.fp, self.most, self.allowed, self.beyond = fp, most, allowed, beyond
         self.rows, self.size = [np.zeros((3, 0), np.int64)], 0
 
     def take(self, i: np.ndarray, j: np.ndarray) -> None:
         if self.allowed is not None:
             some = self.allowed(i, j)
             i, j = i[some], j[some]
-        self.rows.append(np.stack([i, np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(1, dtype=np.int64), j]))
+        distance = np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(1, dtype=np.int64)
+        if self.beyond is not None:
+            some = self.beyond(i, j, distance)
+            i, j, distance = i[some], j[some], distance[some]
+        self.rows.append(np.stack([i, distance, j]))
         self.size += len(i)
         if self.size > 1 << 20:
             self.rows = [self.least()]
@@ -382,17 +386,27 @@ class _Found:
         return rows[:, np.arange(rows.shape[1]) - np.repeat(begin, np.diff(np.append(begin, rows.shape[1]))) <= self.most]
 
     def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j) of the least, and each i that has more."""
+        rows, more = self.split()
+        return rows[0], rows[2], more[0]
+
+    def split(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least rows of each i, and the first row beyond them of each i that has more."""
         rows = self.least()
         begin = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])[: rows.shape[1]])
         over = np.arange(rows.shape[1]) - np.repeat(begin, np.diff(np.append(begin, rows.shape[1]))) == self.most
-        return rows[0, ~over], rows[2, ~over], rows[0, over]
+        return rows[:, ~over], rows[:, over]
 
 
 def nearest(fp: np.ndarray, bucket: np.ndarray, radius: int, most: int = 4, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row the `most` nearest earlier ones of its bucket within the radius, of those that allowed(rows, earlier rows) lets through: (row, earlier row), and the rows that have more. Rows are sorted by bucket."""
+    return _earlier(fp, bucket, radius, _Found(fp, most, allowed)).all()
+
+
+def _earlier(fp: np.ndarray, bucket: np.ndarray, radius: int, found: _Found) -> _Found:
+    """Each row held against the earlier ones of its bucket."""
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     size = np.diff(np.append(first, len(fp)))
-    found = _Found(fp, most, allowed)
     take = found.take
     small = np.repeat(np.where(size <= 64, size, 0), size)
     rank = np.arange(len(fp)) - np.repeat(first, size)
@@ -411,12 +425,11 @@ def nearest(fp: np.ndarray, bucket: np.ndarray, radius: int, most: int = 4, allo
                 ok = (r < len(held)) & (col + r < row + q)
                 if ok.any():
                     take(s + row + q[ok], s + col + r[ok])
-    return found.all()
+    return found
 
 
-def nearest_to(asks: np.ndarray, fp: np.ndarray, radius: int, most: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """nearest() for some rows of one bucket, of all others and not only the earlier ones."""
-    found = _Found(fp, most, allowed)
+def _others(asks: np.ndarray, fp: np.ndarray, radius: int, found: _Found) -> _Found:
+    """Some rows of one bucket held against all others and not only the earlier ones."""
     for col in range(0, len(fp), 1 << 14):
         held = fp[col : col + (1 << 14)]
         sliced, words = wide_planes(held), -(-len(held) // 64)
@@ -426,44 +439,58 @@ def nearest_to(asks: np.ndarray, fp: np.ndarray, radius: int, most: int, allowed
             ok = (r < len(held)) & (own[q] != col + r)
             if ok.any():
                 found.take(own[q[ok]], col + r[ok])
-    return found.all()
+    return found
 
 
 def _candidates(radius: int, most: int):
     def candidates(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, id, f0..., component, ask, tested) come sorted by key and id. Returns pairs (u, v), and (u, null) for rows of a bucket that have more."""
+        """Rows (key, id, f0..., component, ask, distance, upto, others) come sorted by key and id. Returns pairs (u, v), and for rows u of a bucket that have more where they go on.
+
+        A row has asked its bucket for all that come before (distance, upto) in the order of distance and id: of all
+        others, or else of those with smaller ids. Those with larger ids ask for it themselves, unless they are in the
+        bucket's largest group; once a group is that large it stays so.
+        """
         release()
         held: list[pa.Table] = []
 
         def work(table: pa.Table) -> pa.RecordBatch:
             key, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
             fp = np.stack([table.column(f"f{w}").to_numpy() for w in range(WIDE)], 1).view(np.uint64)
-            component, ask = table.column("component").to_numpy(), table.column("ask").to_numpy(zero_copy_only=False)
-            tested = table.column("tested")
-            known = {i: set(x) for i, x in enumerate(tested.to_pylist()) if x} if tested.null_count < len(tested) else {}
+            component, ask, others = (table.column(c).to_numpy(zero_copy_only=False) if c != "component" else table.column(c).to_numpy() for c in ("component", "ask", "others"))
+            since, upto = table.column("distance").to_numpy(), table.column("upto").to_numpy()
 
-            def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                ok = ask[i] & (component[i] != component[j])
-                if known:
-                    ok[ok] = [y not in known.get(x, ()) for x, y in zip(i[ok].tolist(), ids[j[ok]].tolist())]
-                return ok
+            def found(rows: np.ndarray) -> _Found:
+                def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                    i, j = rows[i], rows[j]
+                    return ask[i] & (component[i] != component[j])
+
+                def beyond(i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
+                    i, j = rows[i], rows[j]
+                    return (distance > since[i]) | ((distance == since[i]) & (ids[j] >= upto[i])) | (~others[i] & (ids[j] > ids[i]))
+
+                return _Found(fp[rows], most, allowed, beyond)
 
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
             whole, got = np.ones(len(key), bool), []
+
+            def keep(rows: np.ndarray, of: _Found, all_others: bool) -> None:
+                pairs, more = of.split()
+                one = lambda x, more: (rows[x[0]], rows[x[2]], x[1], np.full(x.shape[1], more), np.full(x.shape[1], all_others))
+                got.extend([one(pairs, False), one(more, True)])
+
             for a, n in zip(first[size > 64].tolist(), size[size > 64].tolist()):
                 own = slice(a, a + n)
                 names, counts = np.unique(component[own], return_counts=True)
                 if counts.max() > n // 2:  # two texts that are not linked yet: one of them at least is outside the largest group
                     whole[own] = False
                     asks = np.flatnonzero(ask[own] & (component[own] != names[counts.argmax()])) if ask[own].all() else np.flatnonzero(ask[own])
-                    got.append([a + x for x in nearest_to(asks, fp[own], radius, most, lambda i, j, a=a: allowed(a + i, a + j))])
+                    rows = np.arange(a, a + n)
+                    keep(rows, _others(asks, fp[own], radius, found(rows)), True)
             rest = np.flatnonzero(whole)
-            got.append([rest[x] for x in nearest(fp[rest], key[rest], radius, most, lambda i, j: allowed(rest[i], rest[j]))])
-            i, j, more = (np.concatenate(x) for x in zip(*got))
-            none = np.concatenate([np.zeros(len(i), bool), np.ones(len(more), bool)])
-            at = np.concatenate([i, more])
-            return pa.record_batch({"key": pa.array(key[at]), "u": pa.array(ids[at]), "v": pa.array(np.concatenate([ids[j], np.zeros(len(more), np.int64)]), mask=none)})
+            keep(rest, _earlier(fp[rest], key[rest], radius, found(rest)), False)
+            i, j, distance, more, all_others = (np.concatenate(x) for x in zip(*got))
+            return pa.record_batch({"key": pa.array(key[i]), "u": pa.array(ids[i]), "v": pa.array(ids[j]), "more": pa.array(more), "distance": pa.array(distance), "others": pa.array(all_others)})
 
         for part in parts:
             if part.num_rows:
@@ -566,7 +593,7 @@ def near_groups(docs: DataFrame, least: float = 0.8, k: int = 5, radius: int = 5
     their shingles (BANDS of them: at 0.8, 99.8 % of pairs meet), where bit-sliced SimHashes of 64 * WIDE bits are compared, and each text asks
     for the `most` nearest of those with smaller ids (two sets at 0.8 differ in 39 of 256 bits on average, with a deviation of 6; the radius is three
     deviations more). What it finds is linked if the sets themselves are similar enough. Texts of a bucket that have more within
-    the radius ask again, for four times as many, of those that are not in their component yet and were not held against them, until none is
+    the radius ask again, for four times as many, of those that are not in their component yet, from where they stopped in that bucket on, until none is
     left: `most` decides about work, never about links. Rows of buckets above HOT rows go by finer keys (see _buckets).
 
     Null and empty texts are alike. Texts with fewer than k words are one shingle. Rows without a doc_id have no say in a
@@ -576,27 +603,25 @@ def near_groups(docs: DataFrame, least: float = 0.8, k: int = 5, radius: int = 5
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signs(k), _SIGNS), "near-signs")
     texts = stored(rows.where("doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in [*prints, *[f"k{i}" for i in range(BANDS)]]]), "near-texts")
     buckets, blocks = _buckets(rows, texts)
-    work = buckets.select("key", "id", *prints, F.col("id").alias("component"), F.lit(True).alias("ask"), F.lit(None).cast("array<long>").alias("tested"))
-    tested = parts = None
+    work = buckets.select("key", "id", *prints, F.col("id").alias("component"), F.lit(True).alias("ask"), F.lit(-1).cast("long").alias("distance"), F.lit(0).cast("long").alias("upto"), F.lit(False).alias("others"))
+    parts = None
     while True:
-        met = stored(work.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates(radius, most), "key long, u long, v long"), "near-pairs")
-        pairs = met.where("v is not null").select("u", "v").distinct()
+        met = stored(work.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates(radius, most), "key long, u long, v long, more boolean, distance long, others boolean"), "near-pairs")
+        pairs = met.where("not more").select("u", "v").distinct()
         ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
         sets = stored(_sets(rows, texts, ids), "near-sets")  # so that the joins below are between plain shuffles, and texts with very many links are split
         both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v").select("u", "v", "x", "y")
         new = stored(both.mapInArrow(_similar(least), "u long, v long"), "near-links")
         # earlier links are as good as the components they made
         parts = connected_components(new if parts is None else parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new))
-        more = stored(met.where("v is null").select("key", F.col("u").alias("id")).distinct(), "near-more")
+        more = stored(met.where("more").select("key", F.col("u").alias("id"), "distance", F.col("v").alias("upto"), "others"), "near-more")
         if blocks is None and more.isEmpty():
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        before = tested.join(more.select(F.col("id").alias("u")).distinct(), "u", "left_semi").groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("tested"))
         work = buckets.join(more.select("key").distinct(), "key", "left_semi").join(more.withColumn("ask", F.lit(True)), ["key", "id"], "left")
         if blocks is not None:  # buckets of parts, now that most of their texts are linked
-            work, buckets, blocks = work.unionByName(blocks.withColumn("ask", F.lit(True))), buckets.unionByName(blocks), None
-        work = work.join(parts.withColumnRenamed("node", "id"), "id", "left").join(before, "id", "left")
-        work = work.select("key", "id", *prints, F.coalesce("component", "id").alias("component"), F.coalesce("ask", F.lit(False)).alias("ask"), F.when(F.col("ask"), F.col("tested")).alias("tested"))
+            work, buckets, blocks = work.unionByName(blocks.withColumn("ask", F.lit(True)), allowMissingColumns=True), buckets.unionByName(blocks), None
+        work = work.join(parts.withColumnRenamed("node", "id"), "id", "left")
+        work = work.select("key", "id", *prints, F.coalesce("component", "id").alias("component"), F.coalesce("ask", F.lit(False)).alias("ask"), F.coalesce("distance", F.lit(-1)).alias("distance"), F.coalesce("upto", F.lit(0)).alias("upto"), F.coalesce("others", F.lit(False)).alias("others"))
         most *= 4
     named = stored(texts.join(parts, texts.id == parts.node, "left").select("a", "b", "n", F.coalesce("component", "id").alias("component_id")), "near-named")
     return rows.select("doc_id", "a", "b", "n").join(named, ["a", "b", "n"], "left").select("doc_id", "component_id")
