@@ -170,3 +170,34 @@ def test_each_simple_character_is_split_as_the_library_does(path):
     chars = [chr(c) for c in range(0x2100) if SIMPLE.fullmatch(chr(c))]
     texts = [f"a{c}b {c} 1{c}\n\n {c}{c}'s" for c in chars]
     assert table.encode(texts) == [table.ids(x) for x in texts]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_are_looked_up_one_by_one(path, texts):
+    """No batch goes through all words that are known; new words, repeats and forgetting give the library's ids."""
+
+    class Table(Words):
+        def keys(self):
+            raise AssertionError("the whole table was gone through")
+
+        __iter__ = items = values = keys
+
+    tok, table = Tokenizer.from_file(path), Table(path, most=100)
+    texts = [t or "" for t in texts]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for size in (1, 7, len(texts)):
+        assert [x for i in range(0, len(texts), size) for x in table.encode(texts[i : i + size])] == want
+    assert table.new == {} and len(table) < 100 + len({w for t in texts for w in table.split(t.lower() if table.lower else t)})
+    assert len(table) > 0 and {type(x) for x in dict.values(table)} == {bytes}
+
+
+def test_words_forget_what_a_failed_batch_asked():
+    table = Words(BYTE)
+    with pytest.raises(TypeError):
+        table.encode(["one two", None])
+    assert len(table) == 0 and table.new == {} and table.encode(["one two"]) == [table.ids("one two")]
+
+
+def test_pieces_of_a_rest_that_fits_one():
+    assert packing.cuts(3, 3 + 512, 512, False) == [(3, 512)] and packing.cuts(3, 4, 512, True) == [(3, 1)]
+    assert packing.cuts(0, 513, 512, False) == [(0, 256), (256, 257)]

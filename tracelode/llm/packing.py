@@ -36,11 +36,11 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
         _, i = heapq.heappop(heap)
         _, j = heapq.heappop(heap)
         total, x, y = sums[i] + sums[j, ::-1], node[i], node[j, ::-1]
-        new = np.where(x < 0, y, x)
-        join = np.flatnonzero((x >= 0) & (y >= 0))
-        new[join] = len(sizes) + len(both) + np.arange(len(join))
-        both += zip(x[join].tolist(), y[join].tolist())
-        order = np.argsort(-total, kind="stable")
+        new = np.maximum(x, y)  # one of them is -1, but where both hold items
+        if len(join := (np.minimum(x, y) >= 0).nonzero()[0]):
+            new[join] = np.arange(len(sizes) + len(both), len(sizes) + len(both) + len(join))
+            both += zip(x[join].tolist(), y[join].tolist())
+        order = (-total).argsort(kind="stable")
         sums[i], node[i] = total[order] - total[order[-1]], new[order]
         heapq.heappush(heap, (-int(sums[i, 0]), i))
     out = []
@@ -85,7 +85,7 @@ def windows(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[tupl
 
 def cuts(begin: int, end: int, most: int, fine: bool) -> list[tuple[int, int]]:
     """(begin, length) of the pieces of a rest: equal ones of `most` ids or fewer; fine: the last one in halves down to two ids, so that differencing has something to level windows with."""
-    at = np.linspace(begin, end, -(-(end - begin) // most) + 1).astype(int).tolist()
+    at = np.linspace(begin, end, -(-(end - begin) // most) + 1).astype(int).tolist() if end - begin > most else [begin, end]
     out = [(a, b - a) for a, b in zip(at, at[1:])]
     if fine:
         at, length = out.pop()

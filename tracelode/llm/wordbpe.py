@@ -26,6 +26,7 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.np, self.tok, self.most = np, Tokenizer.from_file(path), most
+        self.new: dict[str, bytearray] = {}
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -40,16 +41,16 @@ class Words(dict):
     def ids(self, text: str) -> bytes:
         return self.np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Encode those words that are not known yet, a thousand in one text: the library takes less time for that."""
-        new = list(words - self.keys())
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(words)
-        spaces = [x for x in new if x.isspace()]
-        for word in spaces:
-            self[word] = self.ids(word)
-        new = [x for x in new if not x.isspace()] if spaces else new
+    def __missing__(self, word: str) -> bytearray:
+        """A place for the ids of a word that is not known yet; learn() fills it."""
+        self[word] = self.new[word] = bytearray()
+        return self.new[word]
+
+    def learn(self) -> None:
+        """Encode the words that were asked for and not known, a thousand in one text: the library takes less time for that."""
+        for word in [x for x in self.new if x.isspace()]:
+            self.fill([word], [self.ids(word)])
+        new = list(self.new)
         for i in range(0, len(new), 1000):
             some = new[i : i + 1000]
             ids = self.np.array(self.tok.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -59,19 +60,31 @@ class Words(dict):
                 starts, ends = starts[:-1], starts[1:]
             else:
                 ends.append(len(raw))
-            if len(ends) == len(some):
-                self.update(zip(some, [raw[a:b] for a, b in zip(starts, ends)]))
-            else:
-                self.update((x, self.ids(x)) for x in some)
+            self.fill(some, [raw[a:b] for a, b in zip(starts, ends)] if len(ends) == len(some) else [self.ids(x) for x in some])
+
+    def fill(self, words: list[str], ids: list[bytes]) -> None:
+        for word, own in zip(words, ids):
+            self.new.pop(word)[:] = own
+            self[word] = own
 
     def simple(self, text: str) -> bool:
         return SIMPLE.fullmatch(text) is not None and not any(x in text for x in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts, equal to the library's: pre-tokens do not reach over their ends, so each is encoded once."""
-        parts = [self.split(x.lower() if self.lower else x) if self.simple(x) else None for x in texts]
-        self.learn(set().union(*(x for x in parts if x)))
-        return [self.ids(text) if part is None else b"".join(map(self.__getitem__, part)) for text, part in zip(texts, parts)]
+        """Ids of texts, equal to the library's: pre-tokens do not reach over their ends, so each is encoded once.
+
+        Each pre-token is looked up once; the table as a whole is never gone through.
+        """
+        if len(self) > self.most:
+            self.clear()
+        try:
+            parts = [list(map(self.__getitem__, self.split(x.lower() if self.lower else x))) if self.simple(x) else None for x in texts]
+            self.learn()
+        except BaseException:  # places that were not filled
+            self.clear()
+            self.new.clear()
+            raise
+        return [self.ids(text) if part is None else b"".join(part) for text, part in zip(texts, parts)]
 
 
 def words(path: str) -> Words:
