@@ -1,12 +1,15 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from tracelode.llm import simhash
+from tracelode.llm import line_dedup as line_dedup_module
+from tracelode.llm import shared, simhash
 from tracelode.llm.components import connected_components, roots
 from tracelode.llm import exact_dedup as exact_dedup_module
 from tracelode.llm.exact_dedup import exact_dedup
@@ -89,6 +92,37 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
     assert rows(out) == sorted([(1, "a", "b", "the same long line\nanother line here", 2, 0), (2, "c", "d", "", 1, 1), (2, None, None, "", 1, 0)], key=str)
 
 
+def test_line_dedup_lets_go_of_the_filter(monkeypatch):
+    """Texts are built again in workers that asked the filter before."""
+    monkeypatch.setattr(shared, "_resident", {("line-filter", "somewhere"): np.zeros(8)})
+    assert list(line_dedup_module._rebuild(10, "drop")(iter([]))) == [] and not shared._resident
+
+
+def test_line_dedup_asks_the_filter_in_small_portions(tmp_path, monkeypatch):
+    """Keys of two partitions are all suspected, others hardly, and memory does not grow with the keys of a task."""
+    size = segments = 1 << 10
+    keys = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 64, (600_000, 2), np.uint64)
+
+    def parts(at, step):
+        for a in range(0, len(at), step):
+            own = [x.tobytes() for x in at[a : a + step].reshape(-1, 20)]
+            yield pa.record_batch({"doc_id": pa.array(range(a, a + len(own)), pa.int64()), "keys": pa.array(own, pa.binary())})
+
+    twice = keys[:300]
+    local = [x for at in (twice, keys[:600]) for x in line_dedup_module._local(segments, size)(parts(at, 100))]
+    merged = sorted(local, key=lambda x: x.column("segment")[0].as_py())
+    list(line_dedup_module._merged(str(tmp_path), size)(iter(merged)))
+    monkeypatch.setattr(shared, "_resident", {})
+    tracemalloc.start()
+    got = set()
+    for x in line_dedup_module._suspects(str(tmp_path), segments, size)(parts(keys, 20_000)):
+        got.update(x.column("key").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {x.tobytes() for x in twice} <= got and len(got) < 400
+    assert peak < 60 << 20
+
+
 def test_line_dedup_edges(empty, nulls):
     assert line_dedup(empty).count() == 0
     assert rows(line_dedup(nulls).select("doc_id", "text", "n_dropped")) == sorted([(None, "", 0), (None, "one two three four", 0), (5, "", 0), (7, "Abc def ghi", 0), (7, "Abc def ghi", 0)], key=str)

@@ -17,6 +17,7 @@ from .textops import batches, flat
 _WHITE = b" \t\n\v\f\r"
 SEGMENT = 1 << 21  # bits of a part of a filter
 PROBES = 4
+ASKED = 1 << 18  # keys that a worker holds against the filter at a time, beside the filter's 64 MB
 
 
 def line_key(line: bytes, least: int) -> bytes | None:
@@ -61,9 +62,10 @@ def _keys(parts: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tupl
 
 def _places(rows: np.ndarray, segments: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Each digest's segment, and its bits there."""
-    step = rows[:, 1] | np.uint64(1)
-    bits = np.stack([(rows[:, 0] + np.uint64(i) * step) >> np.uint64(7) for i in range(PROBES)], 1) & np.uint64(size - 1)
-    return ((rows[:, 1] >> np.uint64(32)) % np.uint64(segments)).astype(np.int64), bits.astype(np.int64)
+    step, bits = rows[:, 1] | np.uint64(1), np.empty((len(rows), PROBES), np.int32)
+    for i in range(PROBES):
+        bits[:, i] = ((rows[:, 0] + np.uint64(i) * step) >> np.uint64(7)) & np.uint64(size - 1)
+    return ((rows[:, 1] >> np.uint64(32)) % np.uint64(segments)).astype(np.int64), bits
 
 
 def _filter(bits: np.ndarray, size: int) -> np.ndarray:
@@ -121,10 +123,12 @@ def _suspects(folder: str, segments: int, size: int):
 
     def suspects(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = resident("line-filter", folder, load)
-        for rows, docs in _keys(parts):
+        for rows, docs in _keys(parts, ASKED):
             segment, bits = _places(rows, segments, size)
-            where = segment[:, None] * size + bits
-            hit = ((twice[where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1).all(1)
+            hit = np.ones(len(rows), bool)
+            for i in range(PROBES):
+                where = segment * size + bits[:, i]
+                hit &= (twice[where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1 == 1
             raw = np.ascontiguousarray(rows[hit]).tobytes()
             yield pa.record_batch({"key": pa.Array.from_buffers(pa.binary(16), hit.sum(), [None, pa.py_buffer(raw)]).cast(pa.binary()), "doc_id": pa.array(docs[hit], pa.int64())})
 
@@ -133,6 +137,7 @@ def _suspects(folder: str, segments: int, size: int):
 
 def _rebuild(least: int, drop_at: str):
     def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in batches(parts, most=8 << 20):
             data, at = flat(part.column("text"))
             raw, rows = data.tobytes(), []
@@ -163,7 +168,8 @@ def line_dedup(docs: DataFrame, least: int = 10, filter_bits: int = 1 << 29) ->
     Each partition fills two Bloom filters with its keys (all; those of two documents). Merged, the second also gets
     every bit that two partitions set, so it holds each key of two documents or more. Only keys found in it are
     shuffled, confirmed by digest and given their smallest document. The filters have `filter_bits` bits each (64 MB)
-    whatever the input (a power of two), in segments that are made in tasks of their own; a Python worker reads the second one once. Results
+    whatever the input (a power of two), in segments that are made in tasks of their own; a Python worker reads the second one once
+    and lets go of it before texts are built again. Results
     never depend on that size: beyond some hundred million keys more and more of those that stand once are
     suspected too, and shuffled as 24 bytes each.
 
