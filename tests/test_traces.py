@@ -235,6 +235,23 @@ def test_globally_shuffled_transitions(spark, sf_dir):
     assert len(some) == len(full) == 12 and abs(mean(some) - mean(full)) < 2 * spread + 1e-3
 
 
+def test_controls_are_counted_once(spark, sf_dir):
+    """What compares the controls reads stored counts: its plan, which the driver holds whole, makes no replicate and no transitions again."""
+    rows = views.view_steps(events.steps(spark, sf_dir), ["semantic_tool_tool_action_only"])
+    found = transitions.permutation_test(rows, replicates=3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "lead(" not in plan
+    assert sorted(r.control for r in found.collect()) == ["global_next", "within_trace"]
+
+
+def test_shuffled_rows_keep_what_their_trace_has(spark, sf_dir):
+    rows = views.view_steps(events.steps(spark, sf_dir), ["semantic_tool_tool_action_only"]).withColumn("own", F.concat("trace_id", F.lit("!")))
+    for control in ("within_trace", "global_next"):
+        got = transitions.shuffled(rows, control, 2)
+        assert got.columns == ["view", "rep", "trace_id", "current", "next", "own"] and got.where("own <> concat(trace_id, '!')").count() == 0
+        assert got.groupBy("rep").count().where(F.col("count") == transitions.transitions(rows).count()).count() == 2
+
+
 def test_bootstrap_draws(spark):
     """Each replicate draws exactly as many traces as there are, some several times; an interval of a ratio lies about it; a trace in chunks counts as one."""
     rows = [(f"t{i}", s, float(i % 7), 1.0) for i in range(60) for s in range(3)]
