@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["k7_verdicts"])
+@pytest.mark.parametrize("name", ["k7_verdicts", "k8_conclusion"])
 def test_verdicts_read_stored_results(spark, sf_dir, name):
     """Each result is planned, run and stored by itself: the driver never holds the plans of all in one."""
     plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
